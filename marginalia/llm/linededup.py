@@ -56,7 +56,7 @@ def repeated_starts(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     windows = line_windows(docs, id, text).distinct()
     place = F.struct("d", "s", "p")
     firsts = cut(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = windows.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = windows.join(firsts.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     return cut(later.groupBy("d", "s").agg(F.sort_array(F.collect_list("p")).alias("starts")))
 
 
@@ -74,7 +74,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", removed
     starts = repeated_starts(docs, id, text).select(F.col("d").alias("_d"), F.col("s").alias("_s"), "starts")
     d, s, at = (fresh(docs, x) for x in ("_line_d", "_line_s", "_line_at"))
     starts = starts.toDF(d, s, at)
-    joined = docs.join(starts, docs[id].eqNullSafe(starts[d]) & (F.xxhash64(docs[text]) == starts[s]), "left")
+    joined = docs.join(starts.hint("merge"), docs[id].eqNullSafe(starts[d]) & (F.xxhash64(docs[text]) == starts[s]), "left")
 
     def clean(x: Column) -> Column:
         gone = F.flatten(F.transform(F.col(at), lambda p: F.sequence(p, p + (WINDOW - 1))))
