@@ -7,9 +7,11 @@ bringing an edge to the driver.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def show_workers(spark: SparkSession) -> None:
+    """Python workers on this machine find the package where the driver found it, unless the session says otherwise."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back; lost executors lose nothing of it."""
     spark = df.sparkSession
@@ -77,6 +87,7 @@ def words_of(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    show_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
