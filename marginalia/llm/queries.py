@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import linededup, neardup, packing, pieces, quality, secrets, tokencount, vectordup
+from marginalia.llm import linededup, lm, neardup, packing, pieces, quality, secrets, tokencount, vectordup
 from marginalia.llm.common import table
 
 
@@ -58,10 +58,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(docs, *lm.split_by_id())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = linededup.dedup_lines(docs, removed="n_removed")
     return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_sentencepiece, op4_best_fit_packing, op5_embedding_near_dedup, op7_minhash_near_dedup, op9_line_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_sentencepiece, op4_best_fit_packing, op5_embedding_near_dedup, op7_minhash_near_dedup, op8_lm_scoring, op9_line_dedup, op10_token_counts)}
