@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import linededup, lm, neardup, packing, pieces, quality, secrets, tokencount, vectordup
+from marginalia.llm import linededup, lm, maintext, neardup, packing, pieces, quality, secrets, tokencount, vectordup
 from marginalia.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.link(table(spark, sf_dir, "embeddings"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,4 +73,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_sentencepiece, op4_best_fit_packing, op5_embedding_near_dedup, op7_minhash_near_dedup, op8_lm_scoring, op9_line_dedup, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_sentencepiece, op4_best_fit_packing, op5_embedding_near_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_lm_scoring, op9_line_dedup, op10_token_counts)}
