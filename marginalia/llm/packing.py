@@ -13,6 +13,7 @@ brought to the driver.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import zlib
 from array import array
@@ -33,9 +34,11 @@ KEPT_WORDS, RUN_CHARS = 700_000, 2_000_000
 class WordCoder:
     """Texts to ids (little-endian 32-bit), by a ``tokenizers`` file.
 
-    Where the file's pre-tokenizer drops white space, the words between spaces and line
-    ends are encoded once and looked up: no token reaches over white space there, and
-    neither does a normaliser. For any other file whole texts are encoded.
+    Where the file's pre-tokenizer drops white space and parts letters from marks, the
+    words between spaces and line ends are encoded once and looked up: no token reaches
+    over white space there, nor from a letter to the marks behind it, and neither does
+    a normaliser. Where it lowers case, so do the stems that are kept. For any other
+    file whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -46,23 +49,46 @@ class WordCoder:
             form = json.load(f)
         first = (form.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         normal = (form.get("normalizer") or {}).get("normalizers", [{"type": ""}])
-        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in first.get("pattern", {}).get("Regex", "")
+        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
         local = {x["type"] for x in normal} <= {"NFC", "NFKC", "Lowercase", "Replace"} and all(x.get("pattern", {}).get("Regex") == r"\s+" for x in normal if x["type"] == "Replace")
-        strips = any(x["lstrip"] or x["rstrip"] or any(c.isspace() for c in x["content"]) for x in form.get("added_tokens", []))
+        added = [x["content"] for x in form.get("added_tokens", [])]
+        strips = any(x["lstrip"] or x["rstrip"] for x in form.get("added_tokens", [])) or any(c.isspace() for x in added for c in x) or not all(x[:2] == "<|" and x[-1] == ">" for x in added)
         self.by_word = bool(drops and local and not strips and not form.get("post_processor"))
+        self.lowers = {"type": "Lowercase"} in normal
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _stem(self, word: str) -> tuple[str, str]:
+        """The part to encode and the marks behind it, which are encoded apart where a Latin letter stands before them."""
+        stem = word.rstrip(".,;:!?")
+        if not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
+            stem = word
+        tail = word[len(stem) :]
+        if self.lowers and "<|" not in stem and (stem.isascii() or max(stem) < "\u0250"):
+            stem = stem.lower()
+        return stem, tail
+
+    def _learn(self, words: list[str]) -> None:
+        stems = self.stems
+        if len(stems) > KEPT_WORDS:
+            stems.clear()
+        parts = [self._stem(w) for w in words]
+        new = list({p for pair in parts for p in pair if p not in stems})
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            stems.update(zip(some, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        self.known.update((w, stems[a] + stems[b]) for w, (a, b) in zip(words, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        raw = lambda ids: array("I", ids).tobytes()
         if not self.by_word:
-            return [raw(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         known, split = self.known, [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, (raw(x.ids) for x in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+        missing: set[str] = set()
+        for words in split:
+            missing.update(words)
+        self._learn([w for w in missing if w not in known])
         return [b"".join([known[w] for w in words]) for words in split]
 
 
@@ -75,19 +101,27 @@ def _coder(path: str) -> WordCoder:
 
 
 def text_runs(batches: Iterable[pa.RecordBatch], chars: int = RUN_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """Ids and whole texts (null: empty) of a table's first two columns, some ``chars`` at a time."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(batch.column(0), batch.column(1), strict=True):
-            t = t.as_py() or ""
-            ids.append(i.as_py())
-            texts.append(t)
-            size += len(t)
-            if size >= chars:
+    """Ids and whole texts (null: empty) of a table's first two columns, some ``chars`` at a time.
+
+    Meanwhile the worker looks for no reference cycles: millions of words and few
+    containers would be looked through again and again.
+    """
+    gc.disable()
+    try:
+        for batch in batches:
+            ids, texts, size = [], [], 0
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                t = t.as_py() or ""
+                ids.append(i.as_py())
+                texts.append(t)
+                size += len(t)
+                if size >= chars:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+            if ids:
                 yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+    finally:
+        gc.enable()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
