@@ -22,7 +22,7 @@ from marginalia.llm import spmodel
 from marginalia.llm.packing import _arrow, text_runs
 
 #: Chunks that a worker keeps the ids of.
-KEPT_CHUNKS = 350_000
+KEPT_CHUNKS = 1_000_000
 
 
 class PieceCoder:
