@@ -3,7 +3,8 @@
 Texts that are equal are one from the start, so groups of copies cost one signature.
 Band buckets are first reduced to their least member, and every other member is held
 against that one only; buckets in which members of different classes remain are then
-looked through pair by pair, with signatures deciding which pairs get an exact check.
+looked through in blocks, with signatures deciding which pairs get an exact check, and
+only links between classes leave a block.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Shingler:
     words has one shingle, of all its words; one without words has none.
     """
 
-    def __init__(self, size: int = SHINGLE, kept: int = 500_000):
+    def __init__(self, size: int = SHINGLE, kept: int = 300_000):
         self.size, self.kept, self.known = size, kept, {}
 
     def hashes(self, text: str) -> np.ndarray:
@@ -145,7 +146,7 @@ def sketch(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for nodes, run in text_runs(batches, 4_000_000):
+        for nodes, run in text_runs(batches, 2_000_000):
             kept = [(n, b) for n, b in zip(nodes, map(shingler.bag, run), strict=True) if len(b[0])]
             if kept:
                 sigs = signatures([b for _, b in kept], BANDS * ROWS)
@@ -185,31 +186,55 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
-def _bucket_pairs(left: DataFrame) -> DataFrame:
-    """``a, b`` for members of a bucket in different classes whose signatures agree often enough.
+def _bucket_links(left: DataFrame) -> DataFrame:
+    """``a, b``: links that join the classes of a bucket's members, as far as exact checks find them.
 
-    ``left``: ``band, node, class, sig``. Large buckets are dealt out in blocks, each
-    pair of blocks to a task of its own.
+    ``left``: ``k, band, node, class, sig, bands, text``, k the number of the band. Large
+    buckets are dealt out in blocks, each pair of blocks to a task of its own. A task
+    checks pairs of different classes, the most promising first, and passes on only
+    links that join two; a pair is checked in the first band that brings it together.
     """
     blocks = left.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
     dealt = left.join(blocks.hint("merge"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "class", "sig")
-
-    def pairs(t: pd.DataFrame) -> pd.DataFrame:
-        p, q = t["p"].iloc[0], t["q"].iloc[0]
-        one, other = t[t["own"] == p], t[t["own"] == q]
-        side = lambda x: np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
-        classes = pd.factorize(pd.concat([one["class"], other["class"]]))[0]
-        s, c, out = side(other) if len(other) else np.zeros((0, 1), np.uint8), classes[len(one) :], []
-        for i, row in enumerate(side(one) if len(one) else ()):
-            ok = ((s == row).mean(axis=1) >= HOPELESS) & (c != classes[i])
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("k", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "class", "sig", "bands", "text")
+
+    def block(t: pa.Table) -> pa.Table:
+        k, p, q, own = t.column("k")[0].as_py(), t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("own").to_numpy()
+        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)[:, :k]
+        names = pd.factorize(pd.Series(t.column("class").to_pylist()))[0]
+        one, other = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        pairs = []
+        for some in np.array_split(one, len(one) // 32 + 1):
+            agree = (sigs[some][:, None, :] == sigs[other][None, :, :]).mean(axis=2)
+            near = (agree >= HOPELESS) & (names[some][:, None] != names[other][None, :]) & ~(keys[some][:, None, :] == keys[other][None, :, :]).any(axis=2)
             if p == q:
-                ok[: i + 1] = False
-            a = one["node"].iloc[i]
-            out += [(min(a, b), max(a, b)) for b in other["node"].to_numpy()[ok]]
-        return pd.DataFrame(out, columns=["a", "b"])
+                near &= some[:, None] < other[None, :]
+            i, j = np.nonzero(near)
+            pairs.append(np.stack([-agree[i, j], some[i], other[j]]))
+        found = np.concatenate(pairs, axis=1)
+        found = found[:, np.argsort(found[0], kind="stable")]
+        up, bags, links, nodes, texts, shingler = list(range(len(names))), {}, [], t.column("node"), t.column("text"), Shingler()
 
-    return dealt.groupBy("band", "p", "q").applyInPandas(pairs, "a binary, b binary").distinct()
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in bags:
+                bags[i] = shingler.bag(texts[i].as_py())
+            return bags[i]
+
+        for i, j in zip(found[1].astype(int).tolist(), found[2].astype(int).tolist(), strict=True):
+            x, y = root(int(names[i])), root(int(names[j]))
+            if x != y and weighted_jaccard(bag(i), bag(j)) >= SIMILARITY:
+                up[x] = y
+                links.append((nodes[i].as_py(), nodes[j].as_py()))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    return dealt.groupBy("k", "band", "p", "q").applyInArrow(block, "a binary, b binary")
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +253,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     texts = docs.where(worded).select(F.col(id).alias("least"), key.alias("node"), F.col(text).alias("text"))
     sketches = cut(sketch(texts).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    sigs, bands = sketches.select("node", "sig"), sketches.select("node", F.explode("bands").alias("band"))
+    sigs, bands = sketches.select("node", "sig"), sketches.select("node", F.posexplode("bands").alias("k", "band"))
     least = bands.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(bands.join(least.hint("merge"), "band"))
     wanted = members.select("node").distinct().join(nodes.select("node", "least").hint("merge"), "node")
@@ -236,10 +261,10 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     chosen = cut(chosen.select("node", "text").dropDuplicates(["node"]))
     tried = cut(members.where("a <> node").select("a", F.col("node").alias("b")).distinct())
     roots = cut(components(verified(_hopeful(tried, sigs), chosen)))
-    named = members.select("band", "node").join(roots.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("class"))
+    named = members.select("k", "band", "node").join(roots.hint("merge"), "node", "left").select("k", "band", "node", F.coalesce("root", "node").alias("class"))
     mixed = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("band")
-    left = named.join(mixed.hint("merge"), "band").join(sigs.hint("merge"), "node").select("band", "node", "class", "sig")
-    more = cut(verified(_bucket_pairs(left).join(tried, ["a", "b"], "left_anti"), chosen))
+    left = named.join(mixed.hint("merge"), "band").join(sketches.hint("merge"), "node").join(chosen.hint("merge"), "node")
+    more = cut(_bucket_links(left.select("k", "band", "node", "class", "sig", "bands", "text")))
     if not more.isEmpty():
         roots = cut(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)))
     for done in (sketches, members, chosen, tried, more):
