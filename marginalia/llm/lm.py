@@ -89,6 +89,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts as a width (1, 2, 4 or 8 bytes) and the numbers."""
+    most = int(counts.max()) if len(counts) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.float64)
+
+
 def _bucket_edges(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """For sorted hashes: the buckets that have some, and where each begins (and the end)."""
     at = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -106,7 +117,7 @@ def _requests(buckets: dict[int, int]):
             keys, at = np.unique(grams, return_inverse=True)
             counts = np.bincount(at, learns, len(keys)).astype("<u8")
             found, edges = _bucket_edges(keys, buckets[order])
-            rows += [(block, fold, order, int(k), packed(keys[i:j]), counts[i:j].tobytes()) for k, i, j in zip(found, edges[:-1], edges[1:], strict=True)]
+            rows += [(block, fold, order, int(k), packed(keys[i:j]), narrow(counts[i:j])) for k, i, j in zip(found, edges[:-1], edges[1:], strict=True)]
         return pa.Table.from_pylist([dict(zip(("block", "fold", "order", "bucket", "hashes", "counts"), r, strict=True)) for r in rows], pa.schema([("block", pa.int64()), ("fold", pa.bool_()), ("order", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     return work
@@ -116,13 +127,13 @@ def _answers(t: pa.Table) -> pa.Table:
     """Counts of a bucket's n-grams over all learning documents and over those set aside, for each block that asked."""
     order, fold = t.column("order")[0].as_py(), t.column("fold").to_pylist()
     hashes = [unpacked(x) for x in t.column("hashes").to_pylist()]
-    counts = [np.frombuffer(x, "<u8") for x in t.column("counts").to_pylist()]
+    counts = [wide(x) for x in t.column("counts").to_pylist()]
     keys, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    every = np.concatenate(counts).astype(np.float64)
+    every = np.concatenate(counts)
     total = np.bincount(at, every, len(keys)).astype("<u8")
     aside = np.bincount(at, every * np.repeat(fold, [len(x) for x in hashes]), len(keys)).astype("<u8")
     edges = np.cumsum([0, *(len(x) for x in hashes)])
-    rows = [(b, order, k, total[at[i:j]].tobytes(), aside[at[i:j]].tobytes() if f else b"") for b, k, f, i, j in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), fold, edges[:-1], edges[1:], strict=True)]
+    rows = [(b, order, k, narrow(total[at[i:j]]), narrow(aside[at[i:j]]) if f else b"") for b, k, f, i, j in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), fold, edges[:-1], edges[1:], strict=True)]
     names, kinds = ("block", "order", "bucket", "total", "aside"), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
     sums = [[int(total.sum()), int((total > 0).sum()), int(aside.sum())] if order == 1 else [0, 0, 0], *[[0, 0, 0]] * (len(rows) - 1)]
@@ -134,7 +145,7 @@ def _counts(b: Block, answers: pa.Table, column: str) -> dict[int, np.ndarray]:
     out = {}
     rows = sorted(zip(answers.column("order").to_pylist(), answers.column("bucket").to_pylist(), answers.column(column).to_pylist(), strict=True), key=lambda r: r[:2])
     for order, grams in b.grams.items():
-        found = np.frombuffer(b"".join(x for o, _, x in rows if o == order), "<u8").astype(np.float64)
+        found = np.concatenate([wide(x) for o, _, x in rows if o == order])
         out[order] = found[np.unique(grams, return_inverse=True)[1]]
     return out
 
