@@ -114,7 +114,7 @@ def pairwise_f1(spans: DataFrame, coders: list[str], by_type: bool = False) -> D
     counts = spans.groupBy("coder", *key).agg(F.count("*").alias("n"))
     a, b = spans.withColumnRenamed("coder", "coder_a"), spans.withColumnRenamed("coder", "coder_b")
     shared = a.join(b, SPAN).where("coder_a < coder_b").groupBy("coder_a", "coder_b", *key).agg(F.count("*").alias("tp"))
-    shared = shared.unionByName(shared.withColumnsRenamed({"coder_a": "coder_b", "coder_b": "coder_a"}))
+    shared = shared.unionByName(shared.select(F.col("coder_b").alias("coder_a"), F.col("coder_a").alias("coder_b"), *key, "tp"))
     out = pairs.join(shared, ["coder_a", "coder_b", *key], "left").join(counts.withColumnsRenamed({"coder": "coder_a", "n": "n_a"}), ["coder_a", *key], "left").join(counts.withColumnsRenamed({"coder": "coder_b", "n": "n_b"}), ["coder_b", *key], "left").na.fill(0, ["tp", "n_a", "n_b"])
     tp, na, nb = F.col("tp"), F.col("n_a"), F.col("n_b")
     empty = (na + nb) == 0

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip_bio
-from marginalia.operators.tokens import BY_DOC, SO_FAR
+from marginalia.operators.tokens import by_doc, so_far
 
 
 def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column) -> DataFrame:
     """Rows from each opening on, as spans; rows where ``keep`` is false belong to none."""
-    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(SO_FAR)).withColumn("_type", label).where(keep)
+    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(so_far())).withColumn("_type", label).where(keep)
     item = F.struct("idx", "text")
     spans = rows.groupBy("doc_id", "_run").agg(F.first("_type").alias("any_type"), F.min_by("_type", "idx").alias("type"), F.array_sort(F.collect_list(item)).alias("t"))
     return spans.select("doc_id", "type", F.element_at("t", 1)["idx"].alias("start_idx"), F.element_at("t", -1)["idx"].alias("end_idx"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), F.transform("t", lambda x: x["idx"]).alias("token_indices"))
@@ -20,7 +20,7 @@ def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column) -> DataFr
 def io_spans(rows: DataFrame) -> DataFrame:
     """Maximal runs of one label that isn't O; neighbours of one type merge."""
     io = strip_bio(F.col("label"))
-    opens = ~F.coalesce(F.lag(io).over(BY_DOC) == io, F.lit(False))
+    opens = ~F.coalesce(F.lag(io).over(by_doc()) == io, F.lit(False))
     return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io)
 
 
@@ -28,7 +28,7 @@ def bio_spans(rows: DataFrame, words_only: bool = True) -> DataFrame:
     """B opens, I goes on whatever its type, O closes; an I without a span is dropped. Marks are looked through with ``words_only``."""
     rows = rows.where("is_word") if words_only else rows
     closes = F.startswith("label", F.lit("B-")) | (F.col("label") == "O")
-    rows = rows.withColumn("_run", F.sum(closes.cast("int")).over(SO_FAR)).withColumn("_head", F.first("label").over(Window.partitionBy("doc_id", "_run").orderBy("idx")))
+    rows = rows.withColumn("_run", F.sum(closes.cast("int")).over(so_far())).withColumn("_head", F.first("label").over(Window.partitionBy("doc_id", "_run").orderBy("idx")))
     return _runs(rows.where(F.startswith("_head", F.lit("B-"))).drop("_run"), F.startswith("label", F.lit("B-")), F.lit(True), strip_bio(F.col("label")))
 
 
@@ -42,13 +42,13 @@ def sentence_spans(rows: DataFrame) -> DataFrame:
 def chunk_spans(rows: DataFrame) -> DataFrame:
     """The lenient reading for metrics: an I after O or after another type opens a span."""
     io = strip_bio(F.col("label"))
-    opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(F.lag(io).over(BY_DOC) == io, F.lit(False)))
+    opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(F.lag(io).over(by_doc()) == io, F.lit(False)))
     return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io)
 
 
 def io_to_bio(rows: DataFrame, io: str = "io") -> DataFrame:
     """``label`` with B where the type differs from the label before, in order; only O comes between."""
-    before = F.lag(io).over(BY_DOC)
+    before = F.lag(io).over(by_doc())
     return rows.withColumn("label", F.when(F.col(io) == "O", "O").otherwise(F.concat(F.when(F.coalesce(before == F.col(io), F.lit(False)), "I-").otherwise("B-"), F.col(io))))
 
 

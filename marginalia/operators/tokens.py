@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import MIDDLE_DOT, clean_text, is_word, pieces, token_of
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("idx")
-SO_FAR = BY_DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_doc() -> WindowSpec:
+    """A document's tokens in order."""
+    return Window.partitionBy("doc_id").orderBy("idx")
+
+
+def so_far() -> WindowSpec:
+    """A document's tokens up to this one."""
+    return by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: bool = True) -> DataFrame:
@@ -22,7 +29,7 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: boo
 def tokenize_with_offsets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``tokenize``, with ``start`` and ``end`` in code points of the cleaned text; pieces tile it, so ends are running sums."""
     rows = docs.select(F.col(id).alias("doc_id"), F.posexplode(pieces(clean_text(F.col(text)))).alias("idx", "piece"))
-    rows = rows.withColumn("text", token_of(F.col("piece"))).withColumn("end", F.sum(F.length("piece")).over(SO_FAR).cast("int"))
+    rows = rows.withColumn("text", token_of(F.col("piece"))).withColumn("end", F.sum(F.length("piece")).over(so_far()).cast("int"))
     return rows.select("doc_id", "idx", "text", (F.col("end") - F.length("text")).alias("start"), "end", is_word(F.col("text")).alias("is_word"))
 
 
@@ -35,16 +42,16 @@ def with_neighbours(tokens: DataFrame) -> DataFrame:
 
     Sentence-initial: no word before, or a stop since the last one.
     """
-    words = tokens.withColumn("stops", F.count_if(is_stop(F.col("text"))).over(SO_FAR)).where("is_word")
-    words = words.withColumn("prev_word", F.lag("text").over(BY_DOC)).withColumn("next_word", F.lead("text").over(BY_DOC)).withColumn("before", F.lag("stops").over(BY_DOC))
+    words = tokens.withColumn("stops", F.count_if(is_stop(F.col("text"))).over(so_far())).where("is_word")
+    words = words.withColumn("prev_word", F.lag("text").over(by_doc())).withColumn("next_word", F.lead("text").over(by_doc())).withColumn("before", F.lag("stops").over(by_doc()))
     return words.withColumn("sentence_initial", F.col("prev_word").isNull() | (F.col("stops") > F.col("before"))).drop("stops", "before")
 
 
 def word_ngrams(tokens: DataFrame, n: int) -> DataFrame:
     """``doc_id, start_idx, span_len, ngram``: spans of 1 to ``n`` words that follow each other, whatever marks stand between."""
     words = tokens.where("is_word")
-    ahead = F.collect_list("text").over(BY_DOC.rowsBetween(0, n - 1))
-    places = F.collect_list("idx").over(BY_DOC.rowsBetween(0, n - 1))
+    ahead = F.collect_list("text").over(by_doc().rowsBetween(0, n - 1))
+    places = F.collect_list("idx").over(by_doc().rowsBetween(0, n - 1))
     spans = words.select("doc_id", "idx", ahead.alias("w"), places.alias("at"))
     spans = spans.select("doc_id", F.col("idx").alias("start_idx"), "w", "at", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("span_len"))
     return spans.select("doc_id", "start_idx", "span_len", F.array_join(F.slice("w", 1, F.col("span_len")), " ").alias("ngram"), F.slice("at", 1, F.col("span_len")).alias("token_indices"))

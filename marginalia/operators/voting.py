@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.lexicon import continues_person
 from marginalia.operators.signals import Lexicons
-from marginalia.operators.tokens import BY_DOC, SO_FAR
+from marginalia.operators.tokens import by_doc, so_far
 
 SIGNALS = ("s1", "s2", "s3")
 NAMES = ("signal_1", "signal_2", "signal_3")
@@ -36,13 +36,13 @@ def vote(combined: DataFrame, lex: Lexicons) -> DataFrame:
     in_ = lambda words: low.isin(*words) if words else F.lit(False)
     rows = combined.withColumn("type", F.when(F.col("is_word"), kind)).withColumn("case", F.when(~F.col("is_word"), "not_word").when(~any_signal, F.when(continues_person(F.col("text")), "patronymic").otherwise("no_signal")).when(kind.isNull(), "unknown").when((kind == "Person") & in_(lex.title_words), "title").when((kind == "Location") & in_(lex.place_prefixes), "prefix").otherwise("entity"))
     rows = rows.withColumn("keeps", F.when(F.col("case").isin("patronymic", "title"), "Person").when(F.col("case") == "prefix", "Location"))
-    rows = rows.withColumn("island", F.sum(F.col("keeps").isNull().cast("int")).over(SO_FAR))
+    rows = rows.withColumn("island", F.sum(F.col("keeps").isNull().cast("int")).over(so_far()))
     in_island = Window.partitionBy("doc_id", "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     given = F.first(F.struct(F.when(F.col("keeps").isNull() & (F.col("case") == "entity"), F.col("type")).alias("t"))).over(in_island)["t"]
     rows = rows.withColumn("given", given)
     broken = F.sum((F.col("keeps").isNotNull() & ~F.coalesce(F.col("keeps") == F.col("given"), F.lit(False))).cast("int")).over(in_island)
     rows = rows.withColumn("state", F.when(broken == 0, F.col("given")))
-    before = F.lag("state").over(BY_DOC)
+    before = F.lag("state").over(by_doc())
     label = F.when(F.col("state").isNull(), "O").otherwise(F.concat(F.when(F.coalesce(before == F.col("state"), F.lit(False)), "I-").otherwise("B-"), F.col("state")))
     reason = (
         F.when(F.col("case") == "not_word", "not_word").when(F.col("case") == "patronymic", F.when(F.col("state").isNull(), "no_signal").otherwise("patronymic_continuation")).when(F.col("case") == "no_signal", "no_signal")
