@@ -27,8 +27,16 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import cut
 
 CAPACITY = 2048
-#: Words that a worker keeps the ids of, and characters that it encodes at a time.
-KEPT_WORDS, RUN_CHARS = 700_000, 2_000_000
+#: Words, and stems of words, that a worker takes up before it forgets those not met since the last time; characters that it encodes at a time.
+KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 200_000, 250_000, 2_000_000
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordCoder:
@@ -56,24 +64,37 @@ class WordCoder:
         self.by_word = bool(drops and local and not strips and not form.get("post_processor"))
         self.lowers = {"type": "Lowercase"} in normal
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
+
+    def _ready(self, text: str) -> list[str]:
+        """The words of a text, in lower case where that changes nothing but what the file's own step would."""
+        if self.lowers and "<|" not in text and (text.isascii() or _latin(text)):
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
 
-    def _stem(self, word: str) -> tuple[str, str]:
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
         """The part to encode and the marks behind it, which are encoded apart where a Latin letter stands before them."""
         stem = word.rstrip(".,;:!?")
-        if not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
-            stem = word
-        tail = word[len(stem) :]
-        if self.lowers and "<|" not in stem and (stem.isascii() or max(stem) < "\u0250"):
-            stem = stem.lower()
-        return stem, tail
+        if stem is word or not stem or not (stem[-1].isalpha() and stem[-1] < "\u0250"):
+            return word, ""
+        return stem, word[len(stem) :]
 
     def _learn(self, words: list[str]) -> None:
-        stems = self.stems
-        if len(stems) > KEPT_WORDS:
-            stems.clear()
+        if len(self.stems) > KEPT_STEMS:
+            self.old_stems, self.stems = self.stems, {}
+        stems, old = self.stems, self.old_stems
         parts = [self._stem(w) for w in words]
-        new = list({p for pair in parts for p in pair if p not in stems})
+        missing = {p for pair in parts for p in pair if p not in stems}
+        new = []
+        for p in missing:
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                stems[p] = ids
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             stems.update(zip(some, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
@@ -83,12 +104,20 @@ class WordCoder:
         if not self.by_word:
             return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known, split = self.known, [t.replace("\n", " ").split(" ") for t in texts]
+            self.old, self.known = self.known, {}
+        known, old, split = self.known, self.old, [self._ready(t) for t in texts]
         missing: set[str] = set()
         for words in split:
             missing.update(words)
-        self._learn([w for w in missing if w not in known])
+        new = []
+        for w in missing:
+            if w not in known:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+        self._learn(new)
         return [b"".join([known[w] for w in words]) for words in split]
 
 
