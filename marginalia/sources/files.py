@@ -48,7 +48,7 @@ def verified_ids(files: DataFrame, suffix: str = "silver") -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    value = F.regexp_replace("value", "\n$", "")
+    value = F.regexp_replace("value", r"\n\z", "")
     return docs.select("doc_id", F.posexplode(F.split(value, "\n", -1)).alias("line_no", "line"))
 
 
@@ -129,7 +129,7 @@ def charter_editions(spark: SparkSession, path: str, strip_middle_dots: bool = T
 
 def write_conll(labels: DataFrame, path: str) -> None:
     """A folder for each document, named by its id, with one label file."""
-    conll_documents(labels).withColumn("value", F.regexp_replace("value", "\n$", "")).write.partitionBy("doc_id").text(path)
+    conll_documents(labels).withColumn("value", F.regexp_replace("value", r"\n\z", "")).write.partitionBy("doc_id").text(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
