@@ -63,11 +63,44 @@ class WordCoder:
         strips = any(x["lstrip"] or x["rstrip"] for x in form.get("added_tokens", [])) or any(c.isspace() for x in added for c in x) or not all(x[:2] == "<|" and x[-1] == ">" for x in added)
         self.by_word = bool(drops and local and not strips and not form.get("post_processor"))
         self.lowers = {"type": "Lowercase"} in normal
+        self.plain, self.ends = self._letters_only(form) if self.by_word else (None, None)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.old_stems: dict[str, bytes] = {}
 
+    @staticmethod
+    def _letters_only(form: dict):
+        """A tokenizer for lower-case Latin words, which the file's normaliser and splitting leave as they are, and which of its tokens end a word."""
+        from tokenizers import Tokenizer
+
+        rest, suffix = form["pre_tokenizer"]["pretokenizers"][1:], form["model"].get("end_of_word_suffix")
+        if [x["type"] for x in rest] != ["ByteLevel"] or rest[0].get("use_regex") or rest[0].get("add_prefix_space") or form["model"]["type"] != "BPE" or not suffix:
+            return None, None
+        plain = form | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+        ends = np.zeros(max(form["model"]["vocab"].values()) + 1, bool)
+        ends[[i for t, i in form["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(plain)), ends
+
+    def _encode_new(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each stem and its ids; words of lower-case Latin letters many at a time, parted where a token ends a word."""
+        raw = lambda ids: array("I", ids).tobytes()
+        if self.plain is not None:
+            words = [p for p in stems if p.isalpha() and (p.isascii() or _latin(p)) and p == p.lower()]
+            some = set(words)
+            stems = [p for p in stems if p not in some]
+            for at in range(0, len(words), 5_000):
+                part = words[at : at + 5_000]
+                ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                edges, data = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
+                if len(edges) == len(part) + 1:
+                    yield from ((p, data[i:j]) for p, i, j in zip(part, edges, edges[1:], strict=False))
+                else:
+                    stems += part
+        for at in range(0, len(stems), 20_000):
+            part = stems[at : at + 20_000]
+            yield from zip(part, (raw(x.ids) for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
+
     def _ready(self, text: str) -> list[str]:
         """The words of a text, in lower case where that changes nothing but what the file's own step would."""
         if self.lowers and "<|" not in text and (text.isascii() or _latin(text)):
@@ -95,9 +128,7 @@ class WordCoder:
                 new.append(p)
             else:
                 stems[p] = ids
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            stems.update(zip(some, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        stems.update(self._encode_new(new))
         self.known.update((w, stems[a] + stems[b]) for w, (a, b) in zip(words, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
