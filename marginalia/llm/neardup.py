@@ -45,7 +45,7 @@ class Shingler:
     words has one shingle, of all its words; one without words has none.
     """
 
-    def __init__(self, size: int = SHINGLE, kept: int = 300_000):
+    def __init__(self, size: int = SHINGLE, kept: int = 200_000):
         self.size, self.kept, self.known = size, kept, {}
 
     def hashes(self, text: str) -> np.ndarray:
@@ -146,7 +146,7 @@ def sketch(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for nodes, run in text_runs(batches, 2_000_000):
+        for nodes, run in text_runs(batches, 1_000_000):
             kept = [(n, b) for n, b in zip(nodes, map(shingler.bag, run), strict=True) if len(b[0])]
             if kept:
                 sigs = signatures([b for _, b in kept], BANDS * ROWS)
