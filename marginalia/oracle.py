@@ -113,8 +113,8 @@ def exact_signal(name: str = "s2", places: str = "plc", persons: str = "per") ->
   FROM tok t LEFT JOIN {places} a ON lower(t.text) = a.name_lower LEFT JOIN {persons} b ON lower(t.text) = b.name_lower WHERE t.is_word))"""
 
 
-def vote(name: str, capitals: bool = True, names: bool = True) -> str:
-    s2 = "LEFT JOIN (SELECT doc_id, idx, label AS l2 FROM s2 WHERE label IS NOT NULL) USING (doc_id, idx)" if names else ""
+def vote(name: str, capitals: bool = True, names: str = "s2") -> str:
+    s2 = f"LEFT JOIN (SELECT doc_id, idx, label AS l2 FROM {names} WHERE label IS NOT NULL) USING (doc_id, idx)" if names else ""
     s3 = "LEFT JOIN (SELECT doc_id, idx, label AS l3 FROM cap WHERE label IS NOT NULL) USING (doc_id, idx)" if capitals else ""
     l2, l3 = ("l2" if names else "NULL::VARCHAR"), ("l3" if capitals else "NULL::VARCHAR")
     n = name
@@ -137,7 +137,7 @@ def vote(name: str, capitals: bool = True, names: bool = True) -> str:
 
 BASE = f"{TOK},\n{NB},\n{CAP},\n{NAMES},\n{exact_signal()}"
 V = f"{BASE},\n{vote('v')}"
-GP = f"{BASE},\n{vote('v')},\n{vote('vp', names=False)}"
+GP = f"{V}, per_lo AS (SELECT * FROM per WHERE name_lower < 'm'),\n{exact_signal('s2p', 'per_lo', 'plc')},\n{vote('vp', names='s2p')}"
 
 
 def spans(name: str, rows: str, how: str, keys: str = "doc_id") -> str:
@@ -302,7 +302,7 @@ add("krippendorff_alpha", """SELECT round(CASE WHEN d_e = 0 THEN 1.0 ELSE 1 - d_
   SELECT d_o, n_units, n_all, (n_all * n_all - sq)::DOUBLE / greatest(n_all - 1, 1) AS d_e FROM (SELECT sum((m * m - s)::DOUBLE / (m - 1)) AS d_o, sum(m)::DOUBLE AS n_all, count(*) AS n_units FROM un), (SELECT sum(n * n)::DOUBLE AS sq FROM (SELECT label, count(*) AS n FROM cod WHERE item_id IN (SELECT item_id FROM un) GROUP BY 1)))""",
     f"{COD}, cn AS (SELECT item_id, label, count(*) AS n FROM cod WHERE label IS NOT NULL GROUP BY 1, 2), un AS (SELECT item_id, sum(n) AS m, sum(n * n) AS s FROM cn GROUP BY 1 HAVING sum(n) >= 2)")
 add("label_counts", "SELECT coder, count(*) FILTER (label = '0') AS n_0, count(*) FILTER (label = '1') AS n_1 FROM cod GROUP BY coder", COD)
-COD3 = f"""{GP}, {vote('u', capitals=False)}, {spans('xa', 'v', 'io')}, {spans('xb', 'vp', 'io')}, {spans('xc', 'u', 'io')},
+COD3 = f"""{V}, {vote('vp', names='')}, {vote('u', capitals=False)}, {spans('xa', 'v', 'io')}, {spans('xb', 'vp', 'io')}, {spans('xc', 'u', 'io')},
 cs AS (SELECT 'a' AS coder, doc_id, type, start_idx, end_idx FROM xa UNION ALL SELECT 'b', doc_id, type, start_idx, end_idx FROM xb UNION ALL SELECT 'c', doc_id, type, start_idx, end_idx FROM xc),
 cp AS (SELECT * FROM (VALUES ('a', 'b'), ('a', 'c'), ('b', 'c')) t(coder_a, coder_b))"""
 
@@ -340,7 +340,7 @@ add("inline_tags_to_labels", r"SELECT doc_id, (row_number() OVER (PARTITION BY d
 IDS = "ids AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS a FROM documents)"
 add("overlap_windows", """SELECT doc_id, k::INTEGER AS window_no, len(w)::INTEGER AS n, list_sum(w)::BIGINT AS total FROM (SELECT doc_id, k, a[k * 128 + 1 : k * 128 + 256] AS w FROM (SELECT doc_id, a, unnest(generate_series(0, greatest(len(a) - 129, 0) // 128)) AS k FROM ids)) WHERE len(w) >= 7""", IDS)
 add("chunk_min_len", "SELECT doc_id, len(a)::INTEGER AS n FROM ids WHERE len(a) >= 7", IDS)
-SUBW = f"""{TOK}, {NB}, {CAP}, {vote('vp', names=False)}, sw AS (SELECT doc_id, idx, label, text, unnest(CASE WHEN length(text) > 4 THEN [0, 1] ELSE [0] END) AS sub_no FROM vp WHERE is_word),
+SUBW = f"""{TOK}, {NB}, {CAP}, {vote('vp', names='')}, sw AS (SELECT doc_id, idx, label, text, unnest(CASE WHEN length(text) > 4 THEN [0, 1] ELSE [0] END) AS sub_no FROM vp WHERE is_word),
 su AS (SELECT *, CASE WHEN sub_no = 1 THEN '##' || substring(text, 5) WHEN length(text) > 4 THEN substring(text, 1, 4) ELSE text END AS subword FROM sw)"""
 add("first_subword_labels", "SELECT doc_id, idx, sub_no, subword, CASE WHEN sub_no = 1 THEN -100 ELSE CASE label WHEN 'O' THEN 0 WHEN 'B-Person' THEN 1 WHEN 'I-Person' THEN 2 WHEN 'B-Location' THEN 3 ELSE 4 END END AS label_id FROM su", SUBW)
 add("subword_regroup", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS word_no, text AS word FROM vp WHERE is_word", SUBW)
