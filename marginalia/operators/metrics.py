@@ -186,3 +186,24 @@ def document_scores(pairs: DataFrame) -> DataFrame:
     )
 
 
+
+
+def report(gold_labels: DataFrame, pred_labels: DataFrame) -> DataFrame:
+    """Everything about two labellings in one row of structs and arrays, ready for JSON: entities and tokens by type and on average, confusion, errors."""
+    from marginalia.operators.spans import chunk_spans
+
+    gold, pred = chunk_spans(gold_labels), chunk_spans(pred_labels)
+    confusion = token_confusion(aligned(gold_labels, pred_labels))
+    by_type, tokens = entity_scores(gold, pred), token_scores(confusion)
+    parts = {"entities": (by_type, "type"), "entity_averages": (averages(by_type), "average"), "tokens": (tokens, "type"), "token_averages": (averages(tokens), "average"), "confusion": (confusion, "gold"), "errors": (error_accounting(error_taxonomy(gold, pred)), "category")}
+    out = None
+    for name, (rows, first) in parts.items():
+        rest = [c for c in rows.columns if c != first]
+        one = rows.agg(F.array_sort(F.collect_list(F.struct(first, *rest))).alias(name))  # a few rows each
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
+
+
+def sample_rows(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """``k`` rows at random, for looking at."""
+    return rows.orderBy(F.rand(seed)).limit(k)

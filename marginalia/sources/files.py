@@ -143,3 +143,21 @@ def write_review(unknown: DataFrame, path: str) -> None:
     out = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("k"), "doc_id", F.concat(F.lit("--- "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("n"), F.lit(" tokens) ---\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
     total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("d")).select(F.lit(None).cast("long").alias("k"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.concat(F.lit("Total: "), F.col("n"), F.lit(" tokens in "), F.col("d"), F.lit(" documents")).alias("value"))
     out.unionByName(total).orderBy(F.col("value").startswith("Total: "), F.col("k").asc_nulls_last(), "doc_id").select("value").write.text(path)
+
+
+def write_split(spark: SparkSession, source: str, out: str, seed: int = 42) -> dict:
+    """Split a folder's label files by a seeded shuffle of their names; the test files' texts and a manifest go to ``out``.
+
+    Only names come to the driver. The manifest is also returned.
+    """
+    import json
+
+    from marginalia.operators.corpus import split_by_shuffle
+
+    docs = whole_files(spark, source)
+    names = [r.file for r in docs.select("file").distinct().collect()]
+    parts = split_by_shuffle(names, seed)
+    manifest = {"seed": seed, "source_dir": source, "output_dir": out, **parts}
+    docs.where(F.col("file").isin(parts["test"])).withColumn("value", F.regexp_replace("value", r"\n\z", "")).write.partitionBy("file").text(f"{out}/test")
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{out}/manifest")
+    return manifest

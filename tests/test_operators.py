@@ -491,6 +491,45 @@ def test_resume(spark):
     assert sorted(r.doc_id for r in corpus.remaining(d, done, error="error").collect()) == [0, 2, 3, 4]
 
 
+def toy_model():
+    def find(text):
+        return [{"entity_group": "PER" if m[0][0] == "B" else "LOC", "word": m[0], "score": 0.123456, "start": m.start(), "end": m.end()} for m in re.finditer(r"\b[AB][a-z]+", text)]
+
+    return find
+
+
+def test_model_entities(spark):
+    import sys as _sys
+
+    from pyspark import cloudpickle
+
+    from marginalia.operators.models import run_model
+
+    cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+    long = "so *Bo and Anna met. " + "x y. " * 400 + "Bertil"
+    d = texts(spark, [long, None])
+    got = [(r.doc_id, r.ord, r.text, r.mapped_label, r.score, r.start) for r in run_model(d, toy_model).orderBy("ord").collect()]
+    plain = long.replace("*", "")
+    assert got == [(0, 0, "Bo", "Person", 0.1235, 3), (0, 1, "Anna", "Location", 0.1235, 10), (0, 2, "Bertil", "Person", 0.1235, plain.index("Bertil"))]
+
+
+def test_report_and_split(spark, tmp_path):
+    a, b = labelled(spark, "O B-Person I-Person O"), labelled(spark, "O B-Person O B-Location")
+    row = metrics.report(a, b).first()
+    assert [(x.type, x.tp, x.fp, x.fn) for x in row.entities] == [("Location", 0, 1, 0), ("Person", 0, 1, 1)]
+    assert {x.category for x in row.errors} == {"boundary_same_type", "pure_hallucination"}
+    assert metrics.sample_rows(a, 2).count() == 2
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(10):
+        (source / f"sdhk_{i}_silver.conll").write_text(f"t{i} O\n")
+    m = files.write_split(spark, str(source), str(tmp_path / "out"))
+    assert (len(m["train"]), len(m["val"]), len(m["test"])) == (8, 1, 1)
+    again = files.whole_files(spark, str(tmp_path / "out" / "test" / f"file={m['test'][0]}")).first().value
+    assert again == (source / m["test"][0]).read_text()
+    assert json.loads(next((tmp_path / "out" / "manifest").glob("part-*")).read_text())["seed"] == 42
+
+
 # plan, stream, contract
 
 
