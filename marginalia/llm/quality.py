@@ -86,7 +86,7 @@ def _count(text: Column, kind: str) -> Column:
 #: Wide of ordinary prose in any language written with letters; each catches a kind of junk.
 RULES = (
     Rule("base", lambda t, f: base_failed(f), lambda t, f: F.lit(1.0)),
-    Rule("word_length", lambda t, f: (f["word_chars"] > 14 * f["n_words"]) | (10 * f["word_chars"] < 20 * f["n_words"]), lambda t, f: F.lit(1.0)),
+    Rule("word_length", lambda t, f: (f["word_chars"] > 30 * f["n_words"]) | (10 * f["word_chars"] < 20 * f["n_words"]), lambda t, f: F.lit(1.0)),
     Rule("symbols", lambda t, f: 4 * f["n_symbols"] > f["n_words"], lambda t, f: F.lit(1.0)),
     Rule("duplicate_lines", lambda t, f: 2 * f["n_dup_lines"] > F.size(F.split(t, "\n", -1)), lambda t, f: F.length(t).cast("double")),
     Rule("shouting", lambda t, f: 2 * _count(t, r"\p{Lu}") > _count(t, r"\p{L}"), lambda t, f: 2.0 * F.length(t)),

@@ -19,7 +19,7 @@ g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     length(regexp_replace(t, '\P{L}', '', 'g')) AS letters, length(regexp_replace(t, '\P{Lu}', '', 'g')) AS upper,
     length(regexp_replace(t, '[^\pL\pM]', '', 'g')) AS alphas, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs, len(string_split(t, chr(10))) AS lines FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR word_chars > 14 * n_words OR 10 * word_chars < 20 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > lines
+  NOT (base_failed OR word_chars > 30 * n_words OR 10 * word_chars < 20 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > lines
     OR 2 * upper > letters OR 3 * bangs > n_words OR 2 * alphas < word_chars) AS kept
 FROM g
 """
