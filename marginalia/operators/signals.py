@@ -11,7 +11,7 @@ from marginalia.functions.lexicon import is_capitalised, is_patronymic, is_roman
 from marginalia.functions.similarity import indel_ratio
 from marginalia.functions.text import consonant_skeleton
 from marginalia.operators import gazetteer
-from marginalia.operators.tokens import with_neighbours, word_ngrams
+from marginalia.operators.tokens import beside, word_ngrams
 
 
 @dataclass(frozen=True)
@@ -33,23 +33,28 @@ def _in(c: Column, words: list[str]) -> Column:
     return F.coalesce(c.isin(*words), F.lit(False)) if words else F.lit(False)
 
 
-def capitals(tokens: DataFrame, lex: Lexicons) -> DataFrame:
-    """Word tokens with ``status`` (roman_numeral, sentence_initial, stop_first, stop_second, candidate; null without a capital) and ``label`` for candidates.
+def mark_capitals(tokens: DataFrame, lex: Lexicons) -> DataFrame:
+    """All tokens with ``status`` (roman_numeral, sentence_initial, stop_first, stop_second, candidate; null without a capital) and ``label`` for candidates.
 
     The tests come in this order. A candidate's type follows from its neighbours:
     locative before, patronymic itself or next, title before, administrative word
     after; else it is Unknown.
     """
-    words, t = with_neighbours(tokens), F.col("text")
-    status = F.when(~is_capitalised(t), None).when(is_roman(t), "roman_numeral").when(F.col("sentence_initial"), "sentence_initial")
+    rows, t = beside(tokens), F.col("text")
+    status = F.when(~F.col("is_word") | ~is_capitalised(t), None).when(is_roman(t), "roman_numeral").when(F.col("sentence_initial"), "sentence_initial")
     status = status.when(_in(t, lex.cap_first), "stop_first").when(_in(t, lex.cap_second), "stop_second").otherwise("candidate")
     before, after = F.lower("prev_word"), F.lower("next_word")
     kind = F.when(_in(before, lex.locatives), "Location").when(is_patronymic(t) | F.coalesce(is_patronymic(F.col("next_word")), F.lit(False)) | _in(before, lex.titles), "Person")
     kind = kind.when(_in(after, lex.admin_suffixes), "Location").otherwise("Unknown")
-    rows = words.withColumn("status", status)
+    rows = rows.withColumn("status", status)
     return rows.withColumn("label", F.when(F.col("status") == "candidate", kind))
 
 
+def capitals(tokens: DataFrame, lex: Lexicons) -> DataFrame:
+    """The word tokens of ``mark_capitals``."""
+    return mark_capitals(tokens, lex).where("is_word")
+
+
 def capitals_summary(found: DataFrame) -> DataFrame:
     """Counts of candidates by fate and type."""
     is_ = lambda c, v: F.count_if(F.col(c) == v)
@@ -60,30 +65,36 @@ def capitals_summary(found: DataFrame) -> DataFrame:
     )
 
 
-def name_lists(tokens: DataFrame, places: DataFrame, persons: DataFrame, lex: Lexicons, fuzzy: bool = True) -> DataFrame:
-    """Word tokens with ``stop`` and, unless stopped, the best hits in both lists and ``label, source, score, level``.
+def mark_names(tokens: DataFrame, places: DataFrame, persons: DataFrame, lex: Lexicons, fuzzy: bool = True) -> DataFrame:
+    """All tokens with ``stop`` and, unless stopped, ``label, source, score, level, conflict, name``; marks have none.
 
     Both hit: the higher score wins, a tie is a Location. A similar (not exact) hit
     counts only for a token that is capitalised and long enough itself.
     """
-    words = tokens.where("is_word").withColumn("word_lower", F.lower("text"))
+    rows = tokens.withColumn("_low", F.when(F.col("is_word"), F.lower("text")))
     blocked = [*lex.stop_first, *lex.stop_second]
     own = is_capitalised(F.col("text")) & (F.length("text") >= gazetteer.MIN_LENGTH)
-    for kind, names in (("loc", places), ("per", persons)):
-        hits = gazetteer.lookup(tokens, names, blocked, fuzzy).select("word_lower", F.struct("score", "level", "name").alias(kind))
-        words = words.join(hits, "word_lower", "left").withColumn(kind, F.when((F.col(f"{kind}.level") == "exact") | own, F.col(kind)))
-    words = words.withColumn("stop", stop_reason(F.col("text"), lex.stop_first or [""], lex.stop_second or [""], ("stop_first", "stop_second")))
-    loc, per = F.coalesce("loc.score", F.lit(-1.0)), F.coalesce("per.score", F.lit(-1.0))
+    for kind, names in (("_loc", places), ("_per", persons)):
+        hits = gazetteer.lookup(tokens, names, blocked, fuzzy).select(F.col("word_lower").alias("_low"), F.struct("score", "level", "name").alias(kind))
+        rows = rows.join(hits, "_low", "left").withColumn(kind, F.when((F.col(f"{kind}.level") == "exact") | own, F.col(kind)))
+    rows = rows.withColumn("stop", F.when(F.col("is_word"), stop_reason(F.col("text"), lex.stop_first or [""], lex.stop_second or [""], ("stop_first", "stop_second"))))
+    loc, per = F.coalesce("_loc.score", F.lit(-1.0)), F.coalesce("_per.score", F.lit(-1.0))
     hit = F.col("stop").isNull() & (F.greatest(loc, per) >= 0)
     place = loc >= per
-    return words.select(
-        "doc_id", "idx", "text", "stop", (F.col("loc.level") == "exact").alias("loc_exact"), (F.col("per.level") == "exact").alias("per_exact"),
-        F.when(hit, F.when(place, "Location").otherwise("Person")).alias("label"), F.when(hit, F.when(place, "places").otherwise("persons")).alias("source"),
-        F.when(hit, F.greatest(loc, per)).alias("score"), F.when(hit, F.when((F.col("loc.level") == "exact") | (F.col("per.level") == "exact"), "exact").otherwise("fuzzy")).alias("level"),
-        (hit & (loc >= 0) & (per >= 0)).alias("conflict"), F.when(hit, F.when(place, F.col("loc.name")).otherwise(F.col("per.name"))).alias("name"),
+    exact = lambda kind: F.col(f"{kind}.level") == "exact"
+    return rows.select(
+        *tokens.columns, "stop", exact("_loc").alias("loc_exact"), exact("_per").alias("per_exact"), F.when(hit, F.when(place, "Location").otherwise("Person")).alias("label"),
+        F.when(hit, F.when(place, "places").otherwise("persons")).alias("source"), F.when(hit, F.greatest(loc, per)).alias("score"),
+        F.when(hit, F.when(exact("_loc") | exact("_per"), "exact").otherwise("fuzzy")).alias("level"), (hit & (loc >= 0) & (per >= 0)).alias("conflict"),
+        F.when(hit, F.when(place, F.col("_loc.name")).otherwise(F.col("_per.name"))).alias("name"),
     )
 
 
+def name_lists(tokens: DataFrame, places: DataFrame, persons: DataFrame, lex: Lexicons, fuzzy: bool = True) -> DataFrame:
+    """The word tokens of ``mark_names``."""
+    return mark_names(tokens, places, persons, lex, fuzzy).where("is_word")
+
+
 def name_list_summary(found: DataFrame) -> DataFrame:
     """Matches, stopped exact hits, by list, conflicts, by level."""
     c = F.col

@@ -37,14 +37,22 @@ def is_stop(token: Column) -> Column:
     return token.isin(".", "!", "?")
 
 
-def with_neighbours(tokens: DataFrame) -> DataFrame:
-    """The word tokens with prev_word, next_word (marks between don't matter) and sentence_initial.
+def beside(tokens: DataFrame) -> DataFrame:
+    """All tokens; words get prev_word, next_word (marks between don't matter) and sentence_initial, marks get nulls.
 
-    Sentence-initial: no word before, or a stop since the last one.
+    Sentence-initial: no word before, or a stop since the last one. Words look at words
+    by a window over the document's words alone, which needs no exchange of its own.
     """
-    words = tokens.withColumn("stops", F.count_if(is_stop(F.col("text"))).over(so_far())).where("is_word")
-    words = words.withColumn("prev_word", F.lag("text").over(by_doc())).withColumn("next_word", F.lead("text").over(by_doc())).withColumn("before", F.lag("stops").over(by_doc()))
-    return words.withColumn("sentence_initial", F.col("prev_word").isNull() | (F.col("stops") > F.col("before"))).drop("stops", "before")
+    words = Window.partitionBy("doc_id", "is_word").orderBy("idx")
+    rows = tokens.withColumn("_stops", F.count_if(is_stop(F.col("text"))).over(so_far()))
+    rows = rows.withColumns({"prev_word": F.lag("text").over(words), "next_word": F.lead("text").over(words), "_before": F.lag("_stops").over(words)})
+    rows = rows.withColumn("sentence_initial", F.col("prev_word").isNull() | (F.col("_stops") > F.col("_before"))).drop("_stops", "_before")
+    return rows.withColumns({c: F.when(F.col("is_word"), F.col(c)) for c in ("prev_word", "next_word", "sentence_initial")})
+
+
+def with_neighbours(tokens: DataFrame) -> DataFrame:
+    """The word tokens, as ``beside`` gives them."""
+    return beside(tokens).where("is_word")
 
 
 def word_ngrams(tokens: DataFrame, n: int) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The whole way from documents to labelled tokens and spans, as one lazy plan."""
+"""The whole way from documents to labelled tokens and spans, as one lazy plan.
+
+Signals are columns beside the tokens, not tables to join back: names come by a lookup
+on the word, capitals by windows on the exchange that voting uses too.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +12,24 @@ from pyspark.sql import functions as F
 from marginalia.operators import signals as sg
 from marginalia.operators.spans import bio_spans
 from marginalia.operators.tokens import tokenize
-from marginalia.operators.voting import combine, vote
+from marginalia.operators.voting import vote
 
 
 def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = None, places: DataFrame | None = None, persons: DataFrame | None = None, fuzzy: bool = True, capitals: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Voted labels of every token. ``entities`` are found by whatever model the user runs; without them, or without name lists, those signals are silent."""
     tokens = tokenize(docs, id, text)
-    found = {
-        "s1": sg.project_entities(tokens, entities) if entities is not None else None,
-        "s2": sg.name_lists(tokens, places, persons, lex, fuzzy) if places is not None and persons is not None else None,
-        "s3": sg.capitals(tokens, lex) if capitals else None,
-    }
-    return vote(combine(tokens, found), lex)
+    rows, names = tokens, ["doc_id", "idx", "text", "is_word"]
+    found = {"s1": F.lit(None).cast("string"), "s2": F.lit(None).cast("string"), "s3": F.lit(None).cast("string")}
+    if entities is not None:
+        rows = rows.join(sg.project_entities(tokens, entities).select("doc_id", "idx", F.col("label").alias("s1")), ["doc_id", "idx"], "left")
+        found["s1"] = F.col("s1")
+    if places is not None and persons is not None:
+        rows = sg.mark_names(rows, places, persons, lex, fuzzy).withColumn("s2", F.col("label"))
+        found["s2"] = F.col("s2")
+    if capitals:
+        rows = sg.mark_capitals(rows, lex).withColumn("s3", F.col("label"))
+        found["s3"] = F.col("s3")
+    return vote(rows.select(*names, *[c.alias(n) for n, c in found.items()]), lex)
 
 
 def document_summary(voted: DataFrame, spans: DataFrame | None = None) -> DataFrame:
