@@ -28,7 +28,7 @@ from marginalia.llm.common import cut
 
 CAPACITY = 2048
 #: Words, and stems of words, that a worker takes up before it forgets those not met since the last time; characters that it encodes at a time.
-KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 200_000, 250_000, 2_000_000
+KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 150_000, 200_000, 2_000_000
 
 
 def _latin(text: str) -> bool:
@@ -69,18 +69,16 @@ class WordCoder:
         self.stems: dict[str, bytes] = {}
         self.old_stems: dict[str, bytes] = {}
 
-    @staticmethod
-    def _letters_only(form: dict):
-        """A tokenizer for lower-case Latin words, which the file's normaliser and splitting leave as they are, and which of its tokens end a word."""
-        from tokenizers import Tokenizer
+    def _letters_only(self, form: dict):
+        """Splitting for lower-case Latin words, which the file's normaliser and splitting leave as they are, and which tokens end a word."""
+        from tokenizers import pre_tokenizers
 
         rest, suffix = form["pre_tokenizer"]["pretokenizers"][1:], form["model"].get("end_of_word_suffix")
         if [x["type"] for x in rest] != ["ByteLevel"] or rest[0].get("use_regex") or rest[0].get("add_prefix_space") or form["model"]["type"] != "BPE" or not suffix:
             return None, None
-        plain = form | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
         ends = np.zeros(max(form["model"]["vocab"].values()) + 1, bool)
         ends[[i for t, i in form["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        return Tokenizer.from_str(json.dumps(plain)), ends
+        return pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]), ends
 
     def _encode_new(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each stem and its ids; words of lower-case Latin letters many at a time, parted where a token ends a word."""
@@ -89,9 +87,16 @@ class WordCoder:
             words = [p for p in stems if p.isalpha() and (p.isascii() or _latin(p)) and p == p.lower()]
             some = set(words)
             stems = [p for p in stems if p not in some]
-            for at in range(0, len(words), 5_000):
-                part = words[at : at + 5_000]
-                ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            own = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            found = []
+            try:
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, self.plain
+                for at in range(0, len(words), 5_000):
+                    part = words[at : at + 5_000]
+                    found.append((part, np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")))
+            finally:
+                self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = own
+            for part, ids in found:
                 edges, data = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
                 if len(edges) == len(part) + 1:
                     yield from ((p, data[i:j]) for p, i, j in zip(part, edges, edges[1:], strict=False))
@@ -118,18 +123,19 @@ class WordCoder:
     def _learn(self, words: list[str]) -> None:
         if len(self.stems) > KEPT_STEMS:
             self.old_stems, self.stems = self.stems, {}
-        stems, old = self.stems, self.old_stems
-        parts = [self._stem(w) for w in words]
-        missing = {p for pair in parts for p in pair if p not in stems}
+        stems, old, split = self.stems, self.old_stems, self._stem
+        parts = [split(w) for w in words]
         new = []
-        for p in missing:
+        for p in {p for p, _ in parts if p not in stems} | {p for _, p in parts if p not in stems}:
             ids = old.get(p)
             if ids is None:
                 new.append(p)
             else:
                 stems[p] = ids
         stems.update(self._encode_new(new))
-        self.known.update((w, stems[a] + stems[b]) for w, (a, b) in zip(words, parts, strict=True))
+        known = self.known
+        for w, (a, b) in zip(words, parts, strict=True):
+            known[w] = stems[a] + stems[b] if b else stems[a]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -139,15 +145,14 @@ class WordCoder:
         known, old, split = self.known, self.old, [self._ready(t) for t in texts]
         missing: set[str] = set()
         for words in split:
-            missing.update(words)
+            missing |= {w for w in words if w not in known}
         new = []
         for w in missing:
-            if w not in known:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
         self._learn(new)
         return [b"".join([known[w] for w in words]) for words in split]
 
@@ -261,7 +266,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_salt.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = parts.withColumn("rank", F.row_number().over(order)).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("rank") - 1).drop("salt", "base")
+    ranked = parts.withColumn("rank", F.row_number().over(order)).join(bases.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("rank") - 1).drop("salt", "base")
     names = [c for c in ranked.columns if c != "rank"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
 
