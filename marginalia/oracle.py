@@ -238,7 +238,7 @@ sg0 AS (SELECT t.text, {STOP} AS stop, CASE WHEN a.level = 'exact' OR ({CAPITAL}
 sig AS (SELECT *, CASE WHEN coalesce(ls, -1) >= coalesce(ps, -1) THEN 'Location' ELSE 'Person' END AS label FROM sg0 WHERE stop IS NULL AND (ls IS NOT NULL OR ps IS NOT NULL))""")
 add("gazetteer_signal_summary", """SELECT count(label) AS matches, count(*) FILTER (stop IS NOT NULL AND (l OR p)) AS stoplisted, count(*) FILTER (source = 'places') AS places, count(*) FILTER (source = 'persons') AS persons,
   count(*) FILTER (conflict) AS conflicts, count(label) AS exact, 0::BIGINT AS fuzzy FROM s2""", f"{TOK}, {NAMES}, {exact_signal()}")
-add("indel_ratio_pairs", f"SELECT name_lower, other, round({ratio('name_lower', 'other')}, 6) AS ratio FROM pairs WHERE other IS NOT NULL", f"{NAMES}, pairs AS (SELECT name_lower, lead(name_lower) OVER (PARTITION BY name_lower[1] ORDER BY name_lower) AS other FROM plc)")
+add("indel_ratio", f"SELECT name_lower, other, round({ratio('name_lower', 'other')}, 6) AS ratio FROM pairs WHERE other IS NOT NULL", f"{NAMES}, pairs AS (SELECT name_lower, lead(name_lower) OVER (PARTITION BY name_lower[1] ORDER BY name_lower) AS other FROM plc)")
 # entities
 ENT = pieces_of("ec", "conversations", "conv_id, turn", CLEAN) + r""",
 ew AS (SELECT conv_id, turn, idx, text, lead(text) OVER (PARTITION BY conv_id, turn ORDER BY idx) AS nxt FROM ec WHERE regexp_matches(text, '^[\p{L}\p{N}_]')),

@@ -297,14 +297,16 @@ def gazetteer_signal_summary(spark, d):
     return signals.name_list_summary(signals.name_lists(toks(spark, d), places, persons, LEX, fuzzy=False))
 
 
-@query
-def indel_ratio_pairs(spark, d):
+def _indel_ratio(spark, d):
     names = gazetteer.derive_names(load(spark, d, "benchmark")).select("name_lower")
     order = Window.partitionBy(F.substr("name_lower", F.lit(1), F.lit(1))).orderBy("name_lower")
     pairs = names.select("name_lower", F.lead("name_lower").over(order).alias("other")).where("other is not null")
     return pairs.select("name_lower", "other", F.round(indel_ratio(F.col("name_lower"), F.col("other")), 6).alias("ratio"))
 
 
+QUERIES["indel_ratio"] = _indel_ratio
+
+
 # entities
 
 
