@@ -120,7 +120,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, id:
     """
     v = F.col(vector)
     sound = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id).alias("vec_id"), F.when(sound, v).alias("v"))
+    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.when(sound, v).alias("v"))
     distinct = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", F.size("v").alias("dim"), "v"))
     bits, tables = tables_for(distinct.count(), cosine, recall)
     made = cut(signed(distinct, bits, tables))
