@@ -12,6 +12,8 @@ brought to the driver.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import gc
 import json
@@ -28,7 +30,7 @@ from marginalia.llm.common import cut
 
 CAPACITY = 2048
 #: Words, and stems of words, that a worker takes up before it forgets those not met since the last time; characters that it encodes at a time.
-KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 150_000, 200_000, 2_000_000
+KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 250_000, 300_000, 2_000_000
 
 
 def _latin(text: str) -> bool:
@@ -165,6 +167,13 @@ def _coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold in reserve back, so that an idle worker is small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_runs(batches: Iterable[pa.RecordBatch], chars: int = RUN_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Ids and whole texts (null: empty) of a table's first two columns, some ``chars`` at a time.
 
@@ -187,6 +196,7 @@ def text_runs(batches: Iterable[pa.RecordBatch], chars: int = RUN_CHARS) -> Iter
                 yield ids, texts
     finally:
         gc.enable()
+        release()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
