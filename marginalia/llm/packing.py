@@ -30,7 +30,7 @@ from marginalia.llm.common import cut
 
 CAPACITY = 2048
 #: Words, and stems of words, that a worker takes up before it forgets those not met since the last time; characters that it encodes at a time.
-KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 250_000, 300_000, 2_000_000
+KEPT_WORDS, KEPT_STEMS, RUN_CHARS = 150_000, 200_000, 1_500_000
 
 
 def _latin(text: str) -> bool:
