@@ -21,6 +21,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Characters that a random string is looked for in; any other ends a candidate.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+#: A stretch of a run has ended when its sum is this much below its best.
+DROP = 10.0
 #: Everyday words that ordinary identifiers are made of (samples for training only).
 ORDINARY = (
     "account active address amount article average background balance before begin between border buffer cache calendar callback "
@@ -42,8 +44,9 @@ ORDINARY = (
 def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """``text, random``: ``rows`` strings of either kind, made by rule from hashes, so always the same.
 
-    Random ones are base64, hex and mixed strings of 20 to 44 characters; ordinary ones
-    join 2 to 5 everyday words as snake, kebab, camel or path, some with a number.
+    Random ones are base64, hex and mixed strings of 20 to 44 characters, a fifth of them
+    of letters only; ordinary ones join 2 to 5 everyday words as snake, kebab, camel or
+    path, some with a number, and a fifth are long words or one character repeated.
     """
     i = F.col("i")
     pick = lambda k: F.get(F.split(F.lit(" ".join(ORDINARY)), " "), F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(ORDINARY))).cast("int"))
@@ -52,10 +55,14 @@ def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
     coded = F.base64(F.unhex(digest))
     by = lambda k, n: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n))
     random = cut_to(F.when(by(50, 8) == 0, digest).when(by(50, 8) == 1, F.upper(F.translate(coded, "+/=", "XQ"))).when(by(50, 8) < 5, F.translate(coded, "+/=", "xQ")).otherwise(coded))
+    letters = cut_to(F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("l"), i.cast("string")), 512))), "[^A-Za-z]", ""))
+    random = F.when(by(56, 5) > 0, random).when(by(57, 6) == 0, F.lower(letters)).when(by(57, 6) == 1, F.upper(letters)).otherwise(letters)
     words = F.slice(F.array(*[pick(k) for k in range(5)]), 1, (by(51, 4) + 2).cast("int"))
     camel = F.aggregate(words, F.lit(""), lambda acc, w: F.concat(acc, F.initcap(w)))
     plain = F.when(by(52, 4) == 0, F.array_join(words, "_")).when(by(52, 4) == 1, F.array_join(words, "-")).when(by(52, 4) == 2, camel).otherwise(F.array_join(words, "/"))
     plain = F.when(by(53, 3) == 0, F.concat(plain, by(54, 1000).cast("string"))).otherwise(plain)
+    same = cut_to(F.repeat(F.substr(F.lit(ALPHABET), (by(60, len(ALPHABET)) + 1).cast("int"), F.lit(1)), F.lit(44)))
+    plain = F.when(by(58, 5) > 0, plain).when(by(59, 4) == 0, same).otherwise(F.array_join(words, ""))
     plain = F.when(by(55, 10) == 0, F.upper(plain)).otherwise(plain)
     ids = spark.range(rows).select(F.col("id").alias("i"))
     return ids.select(random.alias("text"), F.lit(True).alias("random")).union(ids.select(plain, F.lit(False)))
@@ -102,24 +109,83 @@ def _spans(text: Column, pattern: str, hint: Column, kind: str, value_group: int
     return F.when(hint, let(F.regexp_extract_all(text, F.lit(tile), 0), place)).otherwise(none)
 
 
-def _looks_random(candidate: Column, ratios: Column, threshold: float) -> Column:
-    """Has a letter and a digit, and a log-likelihood ratio above ``threshold`` for each character."""
+def _stretches(scores: Column, least: int) -> Column:
+    """``s, e`` of the stretches of ``least`` or more characters with the greatest sums above 0, from left to right.
+
+    ``scores`` are those of a run's character pairs, less the threshold. The sum before
+    the stretch is the least so far, ``least - 1`` pairs or more behind; a stretch ends
+    where its sum was greatest once it has lost DROP since, and the next begins there.
+    """
+    items = F.transform(scores, lambda x, i: F.struct(x.alias("d"), F.coalesce(F.get(scores, i - (least - 1)), F.lit(0.0)).alias("behind"), (i + 1).alias("b")))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    start = F.struct(
+        F.lit(0.0).alias("p"), F.lit(0.0).alias("lag"), F.lit(float("inf")).alias("low"), F.lit(0).alias("at"), F.lit(0.0).alias("gain"),
+        F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0.0).alias("top"), F.lit(0).alias("base"), none.alias("out"),
+    )
+    put_out = lambda acc: F.when(acc["e"] > 0, F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), (acc["e"] + 1).alias("e"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        a = x["b"] - (least - 1)
+        moved = F.struct((acc["p"] + x["d"]).alias("p"), (acc["lag"] + x["behind"]).alias("lag"))
+
+        def lower(n: Column) -> Column:
+            is_low = (a >= acc["base"]) & (n["lag"] < acc["low"])
+            return let(F.struct(F.when(is_low, n["lag"]).otherwise(acc["low"]).alias("low"), F.when(is_low, a).otherwise(acc["at"]).alias("at")), lambda m: done(n, m))
+
+        def done(n: Column, m: Column) -> Column:
+            keep = [acc[c].alias(c) for c in ("base", "out")]
+            better = F.struct(n["p"].alias("p"), n["lag"].alias("lag"), m["low"].alias("low"), m["at"].alias("at"), (n["p"] - m["low"]).alias("gain"), m["at"].alias("s"), x["b"].alias("e"), n["p"].alias("top"), *keep)
+            over = F.struct(
+                n["p"].alias("p"), n["lag"].alias("lag"), F.lit(float("inf")).alias("low"), F.lit(0).alias("at"), F.lit(0.0).alias("gain"),
+                F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0.0).alias("top"), x["b"].alias("base"), put_out(acc).alias("out"),
+            )
+            same = F.struct(n["p"].alias("p"), n["lag"].alias("lag"), m["low"].alias("low"), m["at"].alias("at"), *[acc[c].alias(c) for c in ("gain", "s", "e", "top")], *keep)
+            return F.when(n["p"] - m["low"] > acc["gain"], better).when((acc["e"] > 0) & (n["p"] < acc["top"] - DROP), over).otherwise(same)
+
+        return let(moved, lower)
+
+    return F.aggregate(items, start, step, put_out)
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping or touching ``s, e`` as one, from left to right."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), grown).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int>>"), step)
+
+
+def _random_parts(run: Column, ratios: Column, least: int, threshold: float) -> Column:
+    """``s, e`` of what looks random in a run: all of it if its mean log-likelihood ratio is above ``threshold``, else its stretches above it, with the rest of the words they begin and end in; each holds a letter."""
     n = len(ALPHABET) + 1
+    has_letter = lambda s, e: F.substr(run, s + 1, e - s).rlike("[A-Za-z]")
+
+    def scores(c: Column) -> Column:
+        return F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.get(ratios, F.instr(F.lit(ALPHABET), x) * n + F.instr(F.lit(ALPHABET), F.get(c, i + 1))) - threshold)
 
-    def total(c: Column) -> Column:
-        pair = F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: F.get(ratios, F.instr(F.lit(ALPHABET), x) * n + F.instr(F.lit(ALPHABET), F.get(c, i + 1))))
-        return F.aggregate(pair, F.lit(0.0), lambda acc, x: acc + x) / F.size(pair)
+    def widened(x: Column) -> Column:
+        before, after = F.reverse(F.substr(run, F.lit(1), x["s"])), F.substr(run, x["e"] + 1)
+        more = lambda c: F.length(F.regexp_extract(c, "^[A-Za-z0-9+]*", 0))
+        return F.struct((x["s"] - more(before)).alias("s"), (x["e"] + more(after)).alias("e"))
 
-    mixed = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
-    return mixed & (let(F.filter(F.split(candidate, ""), lambda x: x != ""), total) > threshold)
+    def parts(d: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("s"), F.length(run).alias("e")))
+        return F.when(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x) > 0, whole).otherwise(_merged(F.transform(_stretches(d, least), widened)))
+
+    found = let(let(F.filter(F.split(run, ""), lambda x: x != ""), scores), parts)
+    return F.when(run.rlike("[A-Za-z]"), F.filter(found, lambda x: has_letter(x["s"], x["e"]))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text", into: str = "secrets", least: int = 20, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``into``: an array of struct(s, k, e), start and end in code points and index into KINDS, by s then k.
 
-    Base kinds are matched as given above. ``markov`` spans are runs of ``least`` or
-    more characters of ALPHABET that hold a letter and a digit, touch no base span,
-    and score over ``threshold`` a character. Null texts have none; all texts are
+    Base kinds are matched as given above. ``markov`` spans come from runs of ``least``
+    or more characters of ALPHABET that touch no base span: the whole run if it scores
+    over ``threshold`` a character, else its stretches of ``least`` or more characters
+    that do (a key behind a path), as far as ``/``, ``_``, ``-``, ``=`` or an end. Each holds a letter. Null texts have none; all texts are
     scanned whole. A column named ``into`` is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -133,7 +199,9 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", into: str = "
 
     def random(spans: Column) -> Column:
         apart = F.filter(spans, lambda x: ~F.exists(F.col(b), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-        return F.filter(apart, lambda x: _looks_random(F.substr(t, x["s"] + 1, x["e"] - x["s"]), table, threshold))
+        found = lambda x: _random_parts(F.substr(t, x["s"] + 1, x["e"] - x["s"]), table, least, threshold)
+        place = lambda x: lambda y: F.struct((x["s"] + y["s"]).alias("s"), x["k"].alias("k"), (x["s"] + y["e"]).alias("e"))
+        return F.flatten(F.transform(apart, lambda x: F.transform(found(x), place(x))))
 
     return made.withColumn(into, F.sort_array(F.concat(F.col(b), F.when(F.size(c) > 0, random(F.col(c))).otherwise(F.col(c))))).drop(b, c)
 
@@ -149,14 +217,6 @@ def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str =
     found = fresh(docs, "_secrets")
     made = scan(docs, ratios, text, found)
 
-    def merged(spans: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            last = F.element_at(acc, -1)
-            grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-            return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), grown).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-
-        return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int>>"), step)
-
     def rebuilt(spans: Column) -> Column:
         def of_chars(chars: Column) -> Column:
             begin = lambda i: F.coalesce(F.get(spans, i - 1)["e"], F.lit(0))
@@ -165,5 +225,5 @@ def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str =
 
         return let(F.split(F.col(text), ""), of_chars)
 
-    new = F.when(F.size(found) > 0, let(merged(F.col(found)), rebuilt)).otherwise(F.col(text))
+    new = F.when(F.size(found) > 0, let(_merged(F.col(found)), rebuilt)).otherwise(F.col(text))
     return made.withColumn(text, new).select(*docs.columns)

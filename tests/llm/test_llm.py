@@ -139,6 +139,27 @@ def test_secrets_tells_random_from_ordinary(spark, ratios):
     assert sum(right) / len(right) > 0.97
 
 
+def test_secrets_finds_keys_in_paths_and_of_letters(spark, ratios):
+    r, at, n = random.Random(7), lambda x: secrets.ALPHABET.find(x) + 1, len(secrets.ALPHABET) + 1
+    key = lambda k, chars=secrets.ALPHABET[:62]: "".join(r.choice(chars) for _ in range(k))
+    paths = [("/services/document/upload/content/", key(24), "") for _ in range(100)] + [("/services/document/upload/content/archive/storage/", key(32), "/file/name/of/the/document") for _ in range(100)]
+    letters = [("", key(32, secrets.ALPHABET[:52]), "") for _ in range(100)]
+    twice = [("document/", key(30) + "/services/document/upload/content" * 3 + "/" + key(30), "") for _ in range(20)]
+    plain = [("", s, "") for s in ("/".join(r.choice(secrets.ORDINARY) for _ in range(15)) for _ in range(100))] + [("", "x" * 3000, ""), ("", "=" * 60, ""), ("", "0123456789" * 3, "")]
+    rows = [(i, f"see {a}{b}{c} there") for i, (a, b, c) in enumerate(paths + letters + twice + plain)]
+    spans = {x.i: [(s.s - 4, s.e - 4) for s in x.secrets] for x in secrets.scan(spark.createDataFrame(rows, "i long, text string"), ratios).collect()}
+    covered = [sum(max(0, min(e, len(a) + len(b)) - max(s, len(a))) for s, e in spans[i]) >= 20 for i, (a, b, _) in enumerate(paths + letters)]
+    assert sum(covered) >= 0.95 * len(covered)
+    ends = [len(b) - 30 for _, b, _ in twice]
+    assert all(any(s <= begin and begin + 30 <= e for s, e in spans[300 + i]) for i, end in enumerate(ends) for begin in (9, 9 + end))
+    assert not any(spans[320 + i] for i in range(len(plain)))
+    for i, text in rows:  # a run has a span exactly if one of its stretches scores above the threshold
+        run = text.split()[1]
+        sums = list(itertools.accumulate((ratios[at(a) * n + at(b)] - 0.5 for a, b in itertools.pairwise(run)), initial=0.0))
+        best = max(sums[b] - low for b, low in zip(range(19, len(sums)), itertools.accumulate(sums, min)))  # noqa: B905
+        assert bool(spans[i]) == (best > 0 and re.search("[A-Za-z]", run) is not None)
+
+
 def test_secrets_redact(odd, none, ratios):
     got = {r.doc_id: r.text for r in secrets.redact(odd, ratios).collect()}
     assert got[13] == '[SECRET]" [SECRET] é🙂 password: x [SECRET]'
