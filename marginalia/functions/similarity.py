@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Longest string whose positions fit a long; a pair with the shorter one above goes through Arrow.
+#: Longest string whose positions fit a long; a pair with the shorter one above takes several longs.
 WIDEST = 62
 
 
@@ -28,31 +26,44 @@ def _lcs(short: Column, long: Column) -> Column:
     return _let(F.filter(F.split(short, ""), lambda c: c != ""), over)
 
 
-@F.pandas_udf(T.IntegerType())
-def _long_lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str, y: str) -> int:
-        at: dict[str, int] = {}
-        for k, c in enumerate(x):
-            at[c] = at.get(c, 0) | 1 << k
-        v = full = (1 << len(x)) - 1
-        for c in y:
-            u = v & at.get(c, 0)
-            v = ((v + u) | (v - u)) & full
-        return len(x) - v.bit_count()
+def _wide_lcs(short: Column, long: Column) -> Column:
+    """The same with the match bits in several longs of WIDEST bits each; sums carry over, and bits beyond ``short`` never match."""
+    one = F.lit(1).cast("long")
+    full = F.call_function("shiftleft", one, F.lit(WIDEST)) - 1
 
-    return pd.Series([one(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
+    def over(chars: Column) -> Column:
+        limbs = F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / WIDEST).cast("int"))
+        bit = lambda c: lambda acc, k: F.when(F.get(chars, k) == c, acc.bitwiseOR(F.call_function("shiftleft", one, k % WIDEST))).otherwise(acc)
+        places = lambda c: F.transform(limbs, lambda g: F.aggregate(F.sequence(g * WIDEST, F.least(g * WIDEST + WIDEST, F.size(chars)) - 1), F.lit(0).cast("long"), bit(c)))
+        masks = F.transform(F.filter(F.split(long, ""), lambda c: c != ""), places)
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("v"))
+
+        def step(v: Column, m: Column) -> Column:
+            def limb(acc: Column, g: Column) -> Column:
+                x = F.get(v, g)
+                hit = x.bitwiseAND(F.get(m, g))
+                total = x + hit + acc["carry"]
+                new = total.bitwiseOR(x - hit).bitwiseAND(full)
+                return F.struct(F.call_function("shiftright", total, F.lit(WIDEST)).alias("carry"), F.concat(acc["v"], F.array(new)).alias("v"))
+
+            return F.aggregate(limbs, start, limb, lambda acc: acc["v"])
+
+        left = F.aggregate(masks, F.transform(limbs, lambda g: full), step)
+        return F.aggregate(left, F.lit(0), lambda acc, x: acc + WIDEST - F.bit_count(x))
+
+    return _let(F.filter(F.split(short, ""), lambda c: c != ""), over)
 
 
 def indel_ratio(a: Column, b: Column, widest: int = WIDEST, long_strings: bool = False) -> Column:
     """0 to 100; 100 if both are empty, null for a null.
 
-    ``long_strings``: pairs whose shorter string is over ``widest`` go through an
-    Arrow function; without it they are null, and the plan stays free of Python.
+    ``long_strings``: pairs whose shorter string is over ``widest`` are worked out with
+    several longs; without it they are null.
     """
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     total = F.length(a) + F.length(b)
     narrow = F.when(F.length(short) <= widest, 200.0 * _lcs(short, long) / total)
-    wide = F.when(F.length(short) > widest, 200.0 * _long_lcs(short, long) / total) if long_strings else F.lit(None)
+    wide = F.when(F.length(short) > widest, 200.0 * _wide_lcs(short, long) / total) if long_strings else F.lit(None)
     return F.when(total == 0, 100.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(F.coalesce(narrow, wide))
 
 

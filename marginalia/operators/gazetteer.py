@@ -97,7 +97,7 @@ def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF) ->
     names = names.select("name_lower", letters_mask(F.col("name_lower")).alias("name_mask"), F.length("name_lower").cast("long").alias("len"))
     pairs = words.join(F.broadcast(names) if small else names, "len")
     pairs = pairs.where(may_reach(F.col("word_lower"), F.col("name_lower"), F.col("mask"), F.col("name_mask"), cutoff))
-    scored = pairs.select("word_lower", "name_lower", indel_ratio(F.col("word_lower"), F.col("name_lower")).alias("score")).where(F.col("score") >= cutoff)
+    scored = pairs.select("word_lower", "name_lower", indel_ratio(F.col("word_lower"), F.col("name_lower"), long_strings=True).alias("score")).where(F.col("score") >= cutoff)
     best = scored.groupBy("word_lower").agg(F.min(F.struct((-F.col("score")).alias("s"), "name_lower")).alias("b"))
     return best.select("word_lower", F.col("b.name_lower").alias("name_lower"), (-F.col("b.s")).alias("score"))
 

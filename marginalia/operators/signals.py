@@ -120,8 +120,8 @@ def entity_matches(tokens: DataFrame, entities: DataFrame, longest: int = 6, ske
     pairs = spans.join(own, "doc_id").where(F.col("span_len") <= F.col("words") + 1)
     # the ratio can't reach the cutoff if one side is too short for it
     can = lambda a, b, t: 200.0 * F.least(F.length(a), F.length(b)) >= t * (F.length(a) + F.length(b))
-    s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio(F.col("skel"), F.col("span_skel")))
-    s3 = F.when(can("low", "span_low", cutoff), indel_ratio(F.col("low"), F.col("span_low")))
+    s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio(F.col("skel"), F.col("span_skel"), long_strings=True))
+    s3 = F.when(can("low", "span_low", cutoff), indel_ratio(F.col("low"), F.col("span_low"), long_strings=True))
     found = pairs.withColumn("same", F.col("low") == F.col("span_low")).withColumn("s2", F.when(~F.col("same"), s2))
     found = found.withColumn("s3", F.when(~F.col("same") & ~F.coalesce(F.col("s2") >= skeleton_cutoff, F.lit(False)), s3))
     level = F.when(F.col("same"), 1).when(F.col("s2") >= skeleton_cutoff, 2).when(F.col("s3") >= cutoff, 3)

@@ -92,6 +92,23 @@ def test_indel_ratio(spark):
         assert r.r == pytest.approx(200 * lcs(r.a, r.b) / (len(r.a) + len(r.b)) if r.a or r.b else 100)
 
 
+def test_long_strings_are_compared(spark):
+    r = random.Random(5)
+    word = lambda k, chars="bcdfghklmnprstvz": "".join(r.choice(chars) for _ in range(k))
+    pairs = [(word(a, "abcd"), word(b, "abcd")) for a, b in ((62, 62), (63, 63), (63, 200), (124, 124), (125, 130), (186, 187), (300, 250))]
+    for x in spark.createDataFrame(pairs, "a string, b string").select("a", "b", indel_ratio(F.col("a"), F.col("b"), long_strings=True).alias("r")).collect():
+        assert x.r == pytest.approx(200 * lcs(x.a, x.b) / (len(x.a) + len(x.b)))
+    name = word(80)
+    best = gazetteer.best_similar(names(spark, name, "other"), spark.createDataFrame([(name[:40] + "ee" + name[41:],)], "word_lower string")).collect()
+    assert [(x.name_lower, x.score) for x in best] == [(name, pytest.approx(200 * 79 / 161))]
+    parts = [word(24) for _ in range(4)]
+    t = tokens.tokenize(texts(spark, ["See " + " ".join(p[:10] + "e" + p[10:] for p in parts) + " here", "See " + " ".join(p[:8] + "xxxxxxxx" + p[16:] for p in parts) + " here"]))
+    e = spark.createDataFrame([(i, 0, " ".join(parts), "Person") for i in (0, 1)], "doc_id long, ord int, text string, mapped_label string")
+    found = {x.doc_id: (x.level, x.span_len) for x in signals.entity_matches(t, e).where("rank = 1").collect()}
+    assert found == {0: (2, 4), 1: (3, 4)}
+    assert signals.unmatched_entities(t, e).count() == 0
+
+
 # windows and signals
 
 
