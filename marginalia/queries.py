@@ -7,6 +7,7 @@ Stand-ins: documents are editions; places and persons are the capitalised words
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,24 +49,24 @@ def lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return gazetteer.derive_names(load(spark, d, "benchmark")), gazetteer.derive_names(load(spark, d, "conversations"))
 
 
-def voted(spark: SparkSession, d: str, capitals: bool = True, names: bool = True) -> DataFrame:
-    """All signals that have inputs here: exact name lists and capitals."""
+def voted(spark: SparkSession, d: str, capitals: bool = True, names: bool = True, every: bool = False) -> DataFrame:
+    """Exact name lists and capitals, as in the SQL; ``every``: entities and similar names too, so all three signals."""
     places, persons = lists(spark, d) if names else (None, None)
-    return annotate(docs_of(spark, d), LEX, places=places, persons=persons, fuzzy=False, capitals=capitals)
+    return annotate(docs_of(spark, d), LEX, entities=entities(spark, d) if every else None, places=places, persons=persons, fuzzy=every, capitals=capitals)
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
-    return voted(spark, d)
+def gold(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return voted(spark, d, every=every)
 
 
-def pred(spark: SparkSession, d: str) -> DataFrame:
+def pred(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Labels that go wrong in every way: the lists change places, and one is short."""
     places, persons = lists(spark, d)
-    return annotate(docs_of(spark, d), LEX, places=persons.where("name_lower < 'm'"), persons=places, fuzzy=False)
+    return annotate(docs_of(spark, d), LEX, places=persons.where("name_lower < 'm'"), persons=places, fuzzy=every)
 
 
-def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.aligned(gold(spark, d), pred(spark, d))
+def labelled_pairs(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return metrics.aligned(gold(spark, d, every), pred(spark, d, every))
 
 
 def coder_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -342,33 +343,33 @@ def ner_text_chunks(spark, d):
 
 
 @query
-def vote_labels(spark, d):
-    return voted(spark, d).select("doc_id", "idx", "text", "label")
+def vote_labels(spark, d, every=False):
+    return voted(spark, d, every=every).select("doc_id", "idx", "text", "label")
 
 
 @query
-def vote_reasons(spark, d):
-    return voted(spark, d).groupBy("reason", "signals", "type_source", "type_disagreement").agg(F.count("*").alias("n"))
+def vote_reasons(spark, d, every=False):
+    return voted(spark, d, every=every).groupBy("reason", "signals", "type_source", "type_disagreement").agg(F.count("*").alias("n"))
 
 
 @query
-def signal_combinations(spark, d):
-    return voting.signal_combinations(voted(spark, d))
+def signal_combinations(spark, d, every=False):
+    return voting.signal_combinations(voted(spark, d, every=every))
 
 
 @query
-def vote_summary(spark, d):
-    return voting.vote_summary(voted(spark, d))
+def vote_summary(spark, d, every=False):
+    return voting.vote_summary(voted(spark, d, every=every))
 
 
 @query
-def review_unknown_tokens(spark, d):
-    return voting.review_unknown(voted(spark, d))
+def review_unknown_tokens(spark, d, every=False):
+    return voting.review_unknown(voted(spark, d, every=every))
 
 
 @query
-def doc_summary(spark, d):
-    return document_summary(voted(spark, d))
+def doc_summary(spark, d, every=False):
+    return document_summary(voted(spark, d, every=every))
 
 
 def _span_columns(rows: DataFrame) -> DataFrame:
@@ -376,18 +377,18 @@ def _span_columns(rows: DataFrame) -> DataFrame:
 
 
 @query
-def io_spans(spark, d):
-    return _span_columns(spans.io_spans(voted(spark, d)))
+def io_spans(spark, d, every=False):
+    return _span_columns(spans.io_spans(voted(spark, d, every=every)))
 
 
 @query
-def bio_spans(spark, d):
-    return _span_columns(spans.bio_spans(voted(spark, d)))
+def bio_spans(spark, d, every=False):
+    return _span_columns(spans.bio_spans(voted(spark, d, every=every)))
 
 
 @query
-def seqeval_spans(spark, d):
-    return _span_columns(spans.chunk_spans(voted(spark, d)))
+def seqeval_spans(spark, d, every=False):
+    return _span_columns(spans.chunk_spans(voted(spark, d, every=every)))
 
 
 @query
@@ -397,18 +398,18 @@ def io_to_bio(spark, d):
 
 
 @query
-def conll_emit(spark, d):
-    return spans.conll_documents(voted(spark, d)).select("doc_id", F.md5("value").alias("digest"), F.length("value").alias("n_chars"))
+def conll_emit(spark, d, every=False):
+    return spans.conll_documents(voted(spark, d, every=every)).select("doc_id", F.md5("value").alias("digest"), F.length("value").alias("n_chars"))
 
 
 @query
-def conll_read_sentences(spark, d):
-    return files.read_sentences(spans.conll_documents(voted(spark, d)))
+def conll_read_sentences(spark, d, every=False):
+    return files.read_sentences(spans.conll_documents(voted(spark, d, every=every)))
 
 
 @query
-def conll_parse_entities(spark, d):
-    rows = files.read_entities_form(spans.conll_documents(voted(spark, d)))
+def conll_parse_entities(spark, d, every=False):
+    rows = files.read_entities_form(spans.conll_documents(voted(spark, d, every=every)))
     return spans.sentence_spans(rows).select("doc_id", "sent_id", "type", "start_idx", "end_idx", "text")
 
 
@@ -416,8 +417,8 @@ def conll_parse_entities(spark, d):
 
 
 @query
-def metrics_entity(spark, d):
-    rows = metrics.entity_scores(spans.chunk_spans(gold(spark, d)), spans.chunk_spans(pred(spark, d)))
+def metrics_entity(spark, d, every=False):
+    rows = metrics.entity_scores(spans.chunk_spans(gold(spark, d, every)), spans.chunk_spans(pred(spark, d, every)))
     return _rounded(rows, "precision", "recall", "f1")
 
 
@@ -426,18 +427,18 @@ def _rounded(rows: DataFrame, *names: str) -> DataFrame:
 
 
 @query
-def metrics_entity_avg(spark, d):
-    return _rounded(metrics.averages(metrics.entity_scores(spans.chunk_spans(gold(spark, d)), spans.chunk_spans(pred(spark, d)))), "precision", "recall", "f1")
+def metrics_entity_avg(spark, d, every=False):
+    return _rounded(metrics.averages(metrics.entity_scores(spans.chunk_spans(gold(spark, d, every)), spans.chunk_spans(pred(spark, d, every)))), "precision", "recall", "f1")
 
 
 @query
-def metrics_token(spark, d):
-    return _rounded(metrics.token_scores(metrics.token_confusion(labelled_pairs(spark, d))), "precision", "recall", "f1", "accuracy")
+def metrics_token(spark, d, every=False):
+    return _rounded(metrics.token_scores(metrics.token_confusion(labelled_pairs(spark, d, every))), "precision", "recall", "f1", "accuracy")
 
 
 @query
-def metrics_token_avg(spark, d):
-    return _rounded(metrics.averages(metrics.token_scores(metrics.token_confusion(labelled_pairs(spark, d)))), "precision", "recall", "f1")
+def metrics_token_avg(spark, d, every=False):
+    return _rounded(metrics.averages(metrics.token_scores(metrics.token_confusion(labelled_pairs(spark, d, every)))), "precision", "recall", "f1")
 
 
 @query
@@ -501,6 +502,14 @@ def label_counts(spark, d):
     return metrics.label_counts(codings(spark, d), ["0", "1"]).withColumnsRenamed({"0": "n_0", "1": "n_1"})
 
 
+#: The same over the votes of all three signals, similar names among them; SQL is too slow for those, so they have none.
+EVERY_SIGNAL = (
+    vote_labels, vote_reasons, signal_combinations, vote_summary, review_unknown_tokens, doc_summary, io_spans, bio_spans, seqeval_spans, conll_emit, conll_read_sentences, conll_parse_entities,
+    metrics_entity, metrics_entity_avg, metrics_token, metrics_token_avg,
+)
+QUERIES |= {f"{f.__name__}_every_signal": partial(f, every=True) for f in EVERY_SIGNAL}
+
+
 # corpus
 
 

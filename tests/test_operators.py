@@ -236,6 +236,36 @@ def test_voting_equals_a_fold(spark):
     assert sum(total) == 2400
 
 
+def test_queries_of_every_signal(spark, sf):
+    from marginalia import queries as q
+
+    t = q.toks(spark, sf)
+    rows = {(r.doc_id, r.idx): [r, None, None, None] for r in t.collect()}
+    for k, df in enumerate((signals.project_entities(t, q.entities(spark, sf)), signals.name_lists(t, *q.lists(spark, sf), q.LEX), signals.capitals(t, q.LEX)), 1):
+        for r in df.where("label is not null").collect():
+            rows[r.doc_id, r.idx][k] = r.label
+    want, before, state = {}, None, None
+    for key in sorted(rows):
+        r, *labels = rows[key]
+        state = state if key[0] == before else None
+        before, kind, low = key[0], next((x for x in labels if x in ("Person", "Location")), None), r.text.lower()
+        if not r.is_word:
+            new = None
+        elif not any(labels):
+            new = "Person" if state == "Person" and re.search(lx.PATRONYMIC_VOTING, r.text) else None
+        else:
+            stripped = (kind == "Person" and low in q.LEX.title_words) or (kind == "Location" and low in q.LEX.place_prefixes)
+            new = None if stripped and state != kind else kind
+        want[key] = "O" if new is None else ("I-" if new == state else "B-") + new
+        state = new
+    got = {(r.doc_id, r.idx): r.label for r in q.QUERIES["vote_labels_every_signal"](spark, sf).collect()}
+    assert got == want
+    combined = {r.signals for r in q.QUERIES["signal_combinations_every_signal"](spark, sf).collect()}
+    assert any("signal_1" in c for c in combined)
+    assert {f"{f.__name__}_every_signal" for f in q.EVERY_SIGNAL} <= set(q.QUERIES)
+    assert q.QUERIES["doc_summary_every_signal"](spark, sf).columns == q.doc_summary(spark, sf).columns
+
+
 def labelled(spark, *sequences):
     rows = [(d, i, f"t{i}" if x != "." else ".", x != ".", "O" if x == "." else x) for d, seq in enumerate(sequences) for i, x in enumerate(seq.split())]
     return spark.createDataFrame(rows, "doc_id long, idx int, text string, is_word boolean, label string")
