@@ -250,6 +250,13 @@ def gazetteer_simple(spark, d):
     return gazetteer.simple(_lines(spark, d))
 
 
+@query
+def gazetteer_simple_sentences(spark, d):
+    """The same list from every sentence of every text, not only what stands before the first full stop."""
+    parts = load(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("pos", "line"))
+    return gazetteer.simple(parts.select(F.struct("item_id", "pos").alias("line_no"), "line"))
+
+
 @query
 def gazetteer_persons(spark, d):
     return gazetteer.persons(_rows(spark, d))

@@ -173,6 +173,20 @@ def test_gazetteers(spark):
     assert sorted(both.collect()) == [("a", "A", False), ("b", "B", False), ("c", "C", True)]
 
 
+def test_simple_names_of_all_sentences(spark, sf):
+    from marginalia.queries import QUERIES
+
+    want = {}
+    for r in sorted(spark.read.parquet(f"{sf}/benchmark.parquet").collect(), key=lambda r: r.item_id):
+        for part in r.text.split("."):
+            name = part.strip()
+            if len(name) > 1:
+                want.setdefault(name.lower(), name)
+    got = {r.name_lower: r.source_form for r in QUERIES["gazetteer_simple_sentences"](spark, sf).collect()}
+    assert got == want
+    assert len(got) > QUERIES["gazetteer_simple"](spark, sf).count()
+
+
 def test_entities(spark):
     d = texts(spark, ["the Erik, Jonsson and Erik Jonson of Upsala came"])
     e = spark.createDataFrame([(0, 0, "Erik Jonsson", "Person"), (0, 1, "Jonsson", "Location"), (0, 2, "Upsale", "Location"), (0, 3, "Zzzzzz", "Person")], "doc_id long, ord int, text string, mapped_label string")
