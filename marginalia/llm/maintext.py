@@ -34,9 +34,11 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements, roles and words of class or id that never hold an article's text.
-BOILER_TAGS = frozenset("nav footer aside form button select menu dialog head".split())
-BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Raw elements that a page is read on in if they aren't closed.
+MEDIA = frozenset("noscript template svg math canvas object audio video".split())
+#: Elements and roles that never hold an article's text; words of class or id, and forms, that seldom do.
+BOILER_TAGS = frozenset("nav footer aside button select menu dialog head".split())
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertisements adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr nav navbar navigation menu submenu breadcrumb "
     "breadcrumbs footer foot sidebar aside widget widgets masthead toolbar topbar pagination pager comment comments commentlist reply replies respond disqus share sharing social "
@@ -44,6 +46,12 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article articlebody content entry post story body main text maintext copy prose".split())
 WEIGHTS = {"bias": -1.2, "main": 3.0, "content": 1.6, "words": 1.6, "sentence": 0.7, "links": -4.0, "heading": 0.4, "item": -0.6}
+#: Costs of text in an element that such a word or a form marks, and in one that is also marked as content.
+MARKED, MIXED = 6.0, 1.0
+#: A marked element with more than this share of the page's text costs less, and nothing if it holds all of it.
+WRAPPER = 0.5
+#: Words before a word of class or id that only say what the page has.
+HAS = frozenset("has have with without no".split())
 #: Smoothness of neighbours in page order, and of neighbours in one container.
 NEXT_EDGE, SIBLING_EDGE = 0.6, 0.8
 
@@ -55,11 +63,13 @@ _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 class Frame:
     """An open element: what holds for all text in it, and a number to know it by."""
 
-    __slots__ = ("tag", "hard", "main", "content", "link", "heading", "item", "number", "depth", "up")
+    __slots__ = ("tag", "hard", "marks", "main", "content", "link", "heading", "item", "number", "depth", "up")
 
     def __init__(self, tag: str, up: Frame | None, number: int):
         self.tag, self.up, self.number = tag, up, number
         self.hard, self.main, self.content, self.link, self.heading, self.item, self.depth = (up.hard, up.main, up.content, up.link, up.heading, up.item, up.depth + 1) if up else (False, False, False, False, False, False, 0)
+        #: (number, cost) of the marked elements around and including this one.
+        self.marks: tuple[tuple[int, float], ...] = up.marks if up else ()
 
 
 class Block:
@@ -69,19 +79,19 @@ class Block:
         self.parts, self.frame, self.letters, self.linked = [], frame, 0, 0
 
 
-_seen: dict[str, tuple[bool, bool, bool]] = {}
+_seen: dict[str, tuple[bool, bool, bool, bool]] = {}
 
 
-def _says(attributes: str) -> tuple[bool, bool, bool]:
-    """Of a tag's attributes: boilerplate, content, header."""
+def _says(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Of a tag's attributes: never content, marked as boilerplate, content, header."""
     got = _seen.get(attributes)
     if got is None:
-        hard = content = header = False
+        hard = marked = content = header = False
         for name, *values in _ATTR.findall(attributes):
             name, value = name.lower(), next(filter(None, values), "")
             low = value.lower()
             if name == "role":
-                hard, content = hard or low in BOILER_ROLES, content or low in ("main", "article")
+                hard, marked, content = hard or low in BOILER_ROLES, marked or low == "form", content or low in ("main", "article")
             elif name == "itemprop":
                 content = content or low == "articlebody"
             elif name == "style":
@@ -91,20 +101,23 @@ def _says(attributes: str) -> tuple[bool, bool, bool]:
             elif name == "aria-hidden":
                 hard = hard or low == "true"
             else:
-                words = {w.lower() for w in _WORD.findall(value)}
-                hard = hard or not words.isdisjoint(BOILER_WORDS)
+                words: set[str] = set()
+                for name in value.split():
+                    parts = [w.lower() for w in _WORD.findall(name)]
+                    words.update(w for k, w in enumerate(parts) if HAS.isdisjoint(parts[:k]))
+                marked = marked or not words.isdisjoint(BOILER_WORDS)
                 content = content or not words.isdisjoint(CONTENT_WORDS)
                 header = header or "header" in words
         if len(_seen) > 20_000:
             _seen.clear()
-        got = _seen[attributes] = (hard, content, header)
+        got = _seen[attributes] = (hard, marked, content, header)
     return got
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in page order; text of raw elements isn't among them."""
     out: list[Block] = []
-    number = 0
+    number, unclosed = 0, set()
     top = root = Frame("", None, 0)
     block: Block | None = None
     at, match = 0, _TAG.search
@@ -163,8 +176,12 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path")):
             continue
         if tag in RAW:
-            m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = m.end() if m else len(html)
+            if tag not in unclosed:
+                m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                if m or tag not in MEDIA:
+                    at = m.end() if m else len(html)
+                else:
+                    unclosed.add(tag)
             continue
         number += 1
         top = Frame(tag, top, number)
@@ -178,11 +195,17 @@ def blocks(html: str) -> list[Block]:
             top.heading = True
         elif tag == "li":
             top.item = True
+        marked = content = False
         if attributes and tag != "a" and tag not in ("html", "body"):
-            hard, content, header = _says(attributes)
+            hard, marked, content, header = _says(attributes)
             if hard or (header and not (top.main or content)):
                 top.hard = True
-            top.content = top.content or content
+        if marked or tag == "form":
+            mixed = content or tag in ("article", "main")
+            if not mixed:
+                top.main = top.content = False
+            top.marks = (*top.marks, (number, MIXED if mixed else MARKED))
+        top.content = top.content or content
     return out
 
 
@@ -270,7 +293,15 @@ def main_text(html: str | None) -> str:
         if box in last and last[box] != i - 1:
             edges.append((last[box], i, SIBLING_EDGE))
         last[box] = i
-    gain = [-math.inf if b.frame.hard else evidence(b, t) for b, t in found]
+    held: dict[int, int] = {}
+    total = 0
+    for b, _ in found:
+        if not b.frame.hard:
+            total += b.letters - b.linked
+            for number, _ in b.frame.marks:
+                held[number] = held.get(number, 0) + b.letters - b.linked
+    cost = lambda f: sum(c * min(1.0, (1 - held[k] / max(total, 1)) / (1 - WRAPPER)) for k, c in f.marks)
+    gain = [-math.inf if b.frame.hard else evidence(b, t) - cost(b.frame) for b, t in found]
     return " ".join(t for (_, t), keep in zip(found, minimum_cut(gain, edges), strict=True) if keep)
 
 

@@ -342,6 +342,21 @@ def test_page_without_article_tags():
     assert maintext.main_text(page) == f"Title {text} Short one. {text}"
 
 
+def test_words_and_forms_do_not_veto_an_article():
+    text = "This is a long paragraph of the article, with many words, that goes on and on until it is done."
+    body = f"<h1>Title</h1><p>{text}<p>{text}"
+    rest = '<div class="sidebar"><p>Some words that stand beside the text here.</p></div><div class="ad">Buy now!</div><nav>Home</nav>'
+    for start, end in (
+        ('<div class="content has-sidebar">', "</div>"), ('<main class="with-banner">', "</main>"), ('<article class="post search-result">', "</article>"), ('<div class="page sidebar-left"><article>', "</article></div>"),
+        ("<main><video src=x>", "</main>"), ("<article><template>", "</article>"), ("<article><canvas><audio><object>", "</article>"),
+    ):
+        assert maintext.main_text(f"{start}{body}{end}{rest}") == f"Title {text} {text}", start
+    assert maintext.main_text(f'<body><form id="aspnetForm"><div class="content">{body}</div>{rest}</form>') == f"Title {text} {text}"
+    ad = f'<div class="ad"><p>{text} {text} {text}</p></div>'
+    assert maintext.main_text(f"<article class='post'><div class='entry-content'>{body}{ad}<p>{text}</div></article>") == f"Title {text} {text} {text}"
+    assert maintext.main_text(f'<div role="search"><article><p>{text}</article></div><main hidden><p>{text}</main>') == ""
+
+
 def test_minimum_cut_is_the_cheapest():
     for _ in range(200):
         n = RNG.randint(1, 8)
