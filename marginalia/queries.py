@@ -199,6 +199,15 @@ def word_ngrams(spark, d):
     return tokens.word_ngrams(toks(spark, d), 3).groupBy("ngram", "span_len").agg(F.count("*").alias("n")).where("n >= 5")
 
 
+@query
+def word_ngrams_by_document(spark, d):
+    """Every n-gram of each document, with how often it stands there and a digest of its spans' places."""
+    rows = tokens.word_ngrams(toks(spark, d), 3)
+    place = F.array_join(F.transform("token_indices", lambda x: x.cast("string")), "-")
+    found = rows.groupBy("doc_id", "ngram", "span_len").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("start_idx", place.alias("p")))).alias("at"))
+    return found.select("doc_id", "ngram", "span_len", "n", F.md5(F.array_join(F.transform("at", lambda x: x["p"]), ",")).alias("places"))
+
+
 @query
 def roman_numerals(spark, d):
     return toks(spark, d).where(F.col("is_word") & lx.is_roman(F.col("text"))).groupBy("text").agg(F.count("*").alias("n"))

@@ -204,6 +204,24 @@ def test_entities(spark):
             seen |= set(r.token_indices)
 
 
+def test_ngrams_with_their_places(spark, sf):
+    import hashlib
+
+    from marginalia import queries as q
+
+    words, want = {}, {}
+    for r in q.toks(spark, sf).where("is_word").orderBy("doc_id", "idx").collect():
+        words.setdefault(r.doc_id, []).append((r.idx, r.text))
+    for doc, seq in words.items():
+        for i in range(len(seq)):
+            for k in range(1, min(3, len(seq) - i) + 1):
+                part = seq[i : i + k]
+                want.setdefault((doc, " ".join(t for _, t in part), k), []).append("-".join(str(j) for j, _ in part))
+    got = {(r.doc_id, r.ngram, r.span_len): (r.n, r.places) for r in q.word_ngrams_by_document(spark, sf).collect()}
+    assert got == {key: (len(at), hashlib.md5(",".join(at).encode()).hexdigest()) for key, at in want.items()}
+    assert any(n < 5 for n, _ in got.values())
+
+
 # voting
 
 
