@@ -147,7 +147,7 @@ def sketch(texts: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for nodes, run in text_runs(batches, 1_000_000):
-            kept = [(n, b) for n, b in zip(nodes, map(shingler.bag, run), strict=True) if len(b[0])]
+            kept = [(n, b) for n, b in zip(nodes.to_pylist(), map(shingler.bag, run.to_pylist()), strict=True) if len(b[0])]
             if kept:
                 sigs = signatures([b for _, b in kept], BANDS * ROWS)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sigs).ravel()))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import spmodel
-from marginalia.llm.packing import _arrow, text_runs
+from marginalia.llm.packing import text_runs
 
 #: Chunks that a worker keeps the ids of.
 KEPT_CHUNKS = 1_000_000
@@ -107,21 +107,21 @@ def encode_decode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
     """``doc_id`` with ``ids`` array<int> and ``decoded`` string, or with their number and digests.
 
     Every text is encoded whole (null: empty, which has no ids); a row for each row of
-    ``docs``, repeated ones too. Other columns don't matter.
+    ``docs``, repeated ones too; an empty table stays empty. Ids may have any type;
+    other columns don't matter.
     """
     kind = docs.schema[id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for keys, texts in text_runs(batches, 1_000_000):
-            found = [(ids, written, coder.library.decode(ids)) for ids, written in coder.encode(texts)]
-            first = pa.array(keys, type=_arrow(kind))
+            found = [(ids, written, coder.library.decode(ids)) for ids, written in coder.encode(texts.to_pylist())]
             if digests:
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 columns = [pa.array([len(x[0]) for x in found], pa.int64()), pa.array([sha(x[1]) for x in found], pa.string()), pa.array([sha(x[2]) for x in found], pa.string())]
-                yield pa.RecordBatch.from_arrays([first, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([first, pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.string())], ["doc_id", "ids", "decoded"])
 
     rest = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.select(F.col(id), F.col(text)).mapInArrow(work, f"doc_id {kind}, {rest}")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import spmodel
-from marginalia.llm.packing import _arrow, text_runs
+from marginalia.llm.packing import text_runs
 
 #: Chunks that a worker keeps; what an unknown character scores below the least piece.
 KEPT_CHUNKS, UNKNOWN_PENALTY = 700_000, 10.0
@@ -95,13 +95,13 @@ def count_tokens(docs: DataFrame, path: str, convert: bool = False, id: str = "d
     """``doc_id, n_tokens``: how many ids the unigram model of the file gives each whole text (null: 0).
 
     ``convert``: read the vocabulary of another kind of file as a unigram model (see
-    spmodel.as_unigram). Repeated rows are counted each; an empty table stays empty.
+    spmodel.as_unigram). Repeated rows are counted each; an empty table stays empty; ids may have any type.
     """
     kind = docs.schema[id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, convert)
         for keys, texts in text_runs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, type=_arrow(kind)), pa.array(counter.counts(texts), pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(counter.counts(texts.to_pylist()), pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(id), F.col(text)).mapInArrow(work, f"doc_id {kind}, n_tokens long")

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,15 +254,73 @@ def test_packing(odd, docs, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
-def test_sweep_is_best_fit_decreasing():
+def opened(placed):
+    return len({first + i * step for _, _, n, first, _, step in placed for i in range(n)})
+
+
+def test_sweep_is_best_fit_decreasing(spark):
     for seed in range(30):
         r = np.random.default_rng(seed)
         lengths = np.minimum(2048, r.lognormal(5 + seed % 3, 1.3, 400).astype(int) + 1)
-        values, n = np.unique(lengths, return_counts=True)
-        plan, opened = packing.sweep(dict(zip(values.tolist(), n.tolist(), strict=True)))
-        assert opened == best_fit(lengths.tolist())
-        assert len({tuple(x[:2]) for x in plan.tolist()}) == len(plan)
-    assert packing.sweep({})[1] == 0
+        values, n = (x.tolist() for x in np.unique(lengths, return_counts=True))
+        placed, over, _ = packing.sweep([(v, 0, k) for v, k in zip(values, n, strict=True)], [], first_new=0)
+        assert not over
+        assert opened([(*x, 1) for x in placed]) == best_fit(lengths.tolist())
+        if seed % 10 == 0:  # in ranges and bands
+            counts = spark.createDataFrame(list(zip(values, n, strict=True)), "length long, n long")
+            placed = packing.placements(counts).select("size", "first", "n", "sequence", "offset").collect()
+            assert opened([(*x, len(packing.BANDS)) for x in placed]) <= best_fit(lengths.tolist())
+            ranks = collections.Counter((x["size"], x["first"] + i) for x in placed for i in range(x["n"]))
+            assert ranks == collections.Counter((v, i) for v, k in zip(values, n, strict=True) for i in range(k))
+            room = collections.defaultdict(list)
+            for x in placed:
+                for i in range(x["n"]):
+                    room[x["sequence"] + i * len(packing.BANDS)].append((x["offset"], x["size"]))
+            for x in room.values():
+                ends = list(itertools.accumulate((n for _, n in sorted(x)), initial=0))
+                assert [at for at, _ in sorted(x)] == ends[:-1]
+                assert ends[-1] <= 2048
+    assert packing.sweep([], [], first_new=0) == ([], [], [])
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tok, coder, r = Tokenizer.from_file(WORDS), packing.WordCoder(WORDS), random.Random(11)
+    assert coder.merger is not None
+    odd = "abc THE the 's't're'll 12\u00b2\u00aa\u00ba\u00b5\u00df\u00ff\u00d7\u00f7\u00bc \t\n\r\x0b\x0c\x85\xa0\xad\x1c\x1f .,;:!?-_#<|>\u00e9\u00c9\u0130\u0131\u017f\u1e30\u0307\u0301\u65e5\U0001f642\ufb01\u2019\u2026"
+    wide = odd + "".join(map(chr, range(0x250)))
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(60))) for _ in range(60_000)] + ["".join(r.choice(wide) for _ in range(r.randrange(40))) for _ in range(40_000)]
+    texts += [f"{a}{chr(i)}{m}{b}" for i in range(0x250) for m in ".,;:!?" for a, b in (("a", ""), ("", " x"))]
+    texts += ["", "hakk\u0130!", "<|endoftext|>", "a<|endoftext|>b c", "<|startoftext|>. hi", "a" * 5000, "ab" * 3000 + "!"]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        ids, n = coder.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in tok.encode_batch(part, add_special_tokens=False)]
+    packing.KEPT_WORDS, kept = 50, packing.KEPT_WORDS
+    try:  # a worker that forgets
+        ids, n = coder.encode(pa.array(texts[:50]))
+        assert ids.tolist() == [i for t in texts[:50] for i in tok.encode(t, add_special_tokens=False).ids]
+    finally:
+        packing.KEPT_WORDS = kept
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    docs_ = spark.createDataFrame([(1, "one two"), (2, None), (2, "three")], "i int, text string")
+    for kind in ("smallint", "int", "bigint", "decimal(20,3)", "date", "string", "double", "binary"):
+        id_ = F.date_from_unix_date("i") if kind == "date" else F.col("i").cast("string").cast(kind) if kind == "binary" else F.col("i").cast(kind)
+        table = docs_.select(id_.alias("doc_id"), "text")
+        assert packing.pack_documents(table, WORDS).schema["doc_id"].dataType == table.schema["doc_id"].dataType
+        assert sorted(r.length for r in packing.pack_documents(table, WORDS).collect()) == [1, 2, 3]
+        assert pieces.encode_decode(table, SP).count() == tokencount.count_tokens(table, SP, convert=True).count() == 3
+        pages = table.select("doc_id", F.col("doc_id").alias("url"), F.lit("<p>x</p>").alias("html"))
+        assert maintext.extract(pages, "doc_id").count() == 3
+    parts = spark.createDataFrame([(i, 0, 5, i) for i in range(20)], "doc_id long, piece int, length long, ids_crc32 long")
+    clashing = {k: F.lit(k) for k in ("salt", "rank", "base", "n", "_salt", "_rank", "_base", "_n", "size", "first", "kind", "sequence_id", "range")}
+    got = packing.pack(parts.withColumns(clashing))
+    assert got.columns == [*[c for c in parts.withColumns(clashing).columns if c != "sequence_id"], "sequence_id", "offset"]
+    assert all(r.salt == "salt" and r.rank == "rank" and r.base == "base" for r in got.collect())
+    assert sorted(r.offset for r in got.collect()) == [5 * i for i in range(20)]
 
 
 # 5
@@ -357,6 +416,47 @@ def test_words_and_forms_do_not_veto_an_article():
     assert maintext.main_text(f'<div role="search"><article><p>{text}</article></div><main hidden><p>{text}</main>') == ""
 
 
+def test_classifier_and_cut_on_pages_not_seen(spark, sf):
+    import html
+
+    weights, strength = model = maintext.trained()
+    assert all(abs(x) < 20 for x in weights)
+    found = [x for p in maintext.made_pages(400, 77) for x in maintext.labelled(p, model)]
+    truth = [t.startswith("yes") for t, _, _ in found]
+    alone, cut = (sum(x[k] != y for x, y in zip(found, truth, strict=True)) for k in (1, 2))
+    assert cut < alone < 0.03 * len(found)
+    assert sum(a != k for _, a, k in found) > 0  # blocks that the cut labels otherwise than the classifier
+    right = 0
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("html").collect()
+    for r in pages:  # the same pages without the tags that say where the article is
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+        right += maintext.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+    assert right >= 0.9 * len(pages)
+
+
+def test_logistic_fit_has_no_slope_left():
+    r = np.random.default_rng(3)
+    rows, labels = np.hstack([np.ones((200, 1)), r.standard_normal((200, 3))]), (r.random(200) < 0.4).astype(float)
+    w = maintext.fit(rows, labels)
+    cost = lambda w: np.log1p(np.exp(rows @ w)).sum() - labels @ rows @ w + 0.5 * w @ w
+    assert all(cost(w) <= cost(w + d) for d in 1e-3 * np.vstack([np.eye(4), -np.eye(4)]))
+    assert not maintext.fit(np.zeros((0, 4)), np.zeros(0)).any()
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    for unit in ('<a "', '<a x="', '<a ">"', "<div>", "<div></p>", "<li>", "<!--", "<", "<script>", "</script", "<span>x", "<td>", "<p>a", "<video>", "<a b='"):
+        began = time.process_time()
+        maintext.main_text(unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 2, unit
+    began = time.process_time()
+    maintext.main_text('<a "' * 250_000)
+    assert time.process_time() - began < 1
+    assert maintext.main_text("<article><p>One <a title=\"x > y\" href='a'>two</a> three.<p title=a\"b>Four.</article>") == "One two three. Four."
+
+
 def test_minimum_cut_is_the_cheapest():
     for _ in range(200):
         n = RNG.randint(1, 8)
