@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Roman numerals with an optional ordinal, endings of patronymics (two variants), letters of place names.
-ROMAN = "(?i)^[ivxlcdm]+(primo|secundo|tercio|quarto|quinto|sexto|septimo|octavo|nono)?$"
+ROMAN = "(?i)^[ivxlcdm]+(primo|secundo|tercio|quarto|quinto|sexto|septimo|octauo|nono)?$"
 PATRONYMIC = "(s?son|s?sons|dotter|dottir|dottor|dottær|dottærs)$"
 PATRONYMIC_VOTING = "(?i)(s?son|s?sons|dott[eä]r|dottir|dottor|dottærs?)$"
 PLACE_LETTERS = "a-zA-ZåäöæøþðẏÅÄÖÆØ"

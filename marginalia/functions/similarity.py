@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import let
+
 #: Longest string whose positions fit a long; a pair with the shorter one above takes several longs.
 WIDEST = 62
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _lcs(short: Column, long: Column) -> Column:
     """Bit-parallel: each character of ``long`` updates a row of match bits over ``short``."""
 
@@ -23,7 +21,7 @@ def _lcs(short: Column, long: Column) -> Column:
         step = lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v - v.bitwiseAND(m)).bitwiseAND(full)
         return F.size(chars) - F.bit_count(F.aggregate(masks, full, step))
 
-    return _let(F.filter(F.split(short, ""), lambda c: c != ""), over)
+    return let(F.filter(F.split(short, ""), lambda c: c != ""), over)
 
 
 def _wide_lcs(short: Column, long: Column) -> Column:
@@ -51,19 +49,15 @@ def _wide_lcs(short: Column, long: Column) -> Column:
         left = F.aggregate(masks, F.transform(limbs, lambda g: full), step)
         return F.aggregate(left, F.lit(0), lambda acc, x: acc + WIDEST - F.bit_count(x))
 
-    return _let(F.filter(F.split(short, ""), lambda c: c != ""), over)
-
+    return let(F.filter(F.split(short, ""), lambda c: c != ""), over)
 
-def indel_ratio(a: Column, b: Column, widest: int = WIDEST, long_strings: bool = False) -> Column:
-    """0 to 100; 100 if both are empty, null for a null.
 
-    ``long_strings``: pairs whose shorter string is over ``widest`` are worked out with
-    several longs; without it they are null.
-    """
+def indel_ratio(a: Column, b: Column, widest: int = WIDEST) -> Column:
+    """0 to 100; 100 if both are empty, null for a null. Exact at every length: pairs whose shorter string is over ``widest`` take several longs."""
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     total = F.length(a) + F.length(b)
     narrow = F.when(F.length(short) <= widest, 200.0 * _lcs(short, long) / total)
-    wide = F.when(F.length(short) > widest, 200.0 * _wide_lcs(short, long) / total) if long_strings else F.lit(None)
+    wide = F.when(F.length(short) > widest, 200.0 * _wide_lcs(short, long) / total)
     return F.when(total == 0, 100.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(F.coalesce(narrow, wide))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.functions.arrays import let, running
 
 SECTION_MARK = "--- SIDBRYTNING ---"
 DATE_HEAD = "datum:"
@@ -84,41 +85,65 @@ def body(section: Column) -> Column:
 def tagged_spans(rows: DataFrame, value: str = "body", tags: dict[str, str] | None = None) -> DataFrame:
     """``rows`` with ``plain`` (the text without tags) and ``labels``: array of struct(type, start, end) over it, end exclusive.
 
-    An opening tag sets the type, any closing tag ends it; tags don't nest.
+    An opening tag sets the type, any closing tag ends it; tags don't nest. The text
+    falls into tags and what stands between; what type a part has, and where it begins,
+    are running values over the parts.
     """
     tags = tags or {"persname": "Person", "placename": "Location"}
-    names = "|".join(tags)
+    names, kinds = "|".join(tags), F.array(*[F.lit(v) for v in tags.values()])
     parts = F.regexp_extract_all(F.col(value), F.lit(r"<[^>]+>|[^<]+|<"), 0)
-    of = lambda p: F.coalesce(*[F.when(p.rlike(f"(?i)^<{t}(\\s[^>]*)?>$"), F.lit(v)) for t, v in tags.items()])
-    closes = lambda p: p.rlike(f"(?i)^</({names})\\s*>$")
-    start = F.struct(F.lit("").alias("plain"), F.lit(None).cast("string").alias("now"), F.array().cast("array<struct<type:string,start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        opened, shut = of(p), closes(p)
-        at = F.length(acc["plain"])
-        grown = F.concat(acc["spans"], F.array(F.struct(acc["now"].alias("type"), at.alias("start"), (at + F.length(p)).alias("end"))))
-        tag = opened.isNotNull() | shut
-        return F.struct(
-            F.when(tag, acc["plain"]).otherwise(F.concat(acc["plain"], p)).alias("plain"), F.when(opened.isNotNull(), opened).when(shut, F.lit(None)).otherwise(acc["now"]).alias("now"),
-            F.when(~tag & acc["now"].isNotNull(), grown).otherwise(acc["spans"]).alias("spans"),
-        )
+    opens = lambda p: F.coalesce(*[F.when(p.rlike(f"(?i)^<{t}(\\s[^>]*)?>$"), F.lit(k + 1)) for k, t in enumerate(tags)])
+    # 0 ends a type, k begins the k-th, -1 is text
+    code = lambda p: F.coalesce(opens(p), F.when(p.rlike(f"(?i)^</({names})\\s*>$"), 0), F.lit(-1))
+
+    def of(item: Column) -> Column:
+        state = running(F.transform(item, lambda x: x["code"]), lambda x, y: F.when(y >= 0, y).otherwise(x), -1)
+        end = running(F.transform(item, lambda x: x["size"]), lambda x, y: x + y)
+        every = F.zip_with(F.arrays_zip(state.alias("state"), end.alias("end")), item, lambda a, b: F.struct(a["state"].alias("state"), a["end"].alias("end"), b["code"].alias("code"), b["size"].alias("size")))
+        typed = F.filter(every, lambda x: (x["code"] < 0) & (x["state"] > 0))
+        return F.transform(typed, lambda x: F.struct(F.element_at(kinds, x["state"]).alias("type"), (x["end"] - x["size"]).alias("start"), x["end"].alias("end")))
 
-    found = F.aggregate(parts, start, step)
-    return rows.withColumn("_t", found).withColumn("plain", F.col("_t.plain")).withColumn("labels", F.col("_t.spans")).drop("_t")
+    item = F.transform("_parts", lambda p: let(code(p), lambda c: F.struct(c.alias("code"), F.when(c < 0, F.length(p)).otherwise(0).alias("size"))))
+    out = rows.withColumn("_parts", parts)
+    return out.withColumn("plain", F.array_join(F.filter("_parts", lambda p: code(p) < 0), "")).withColumn("labels", let(item, of)).drop("_parts")
 
 
 def tagged_tokens(rows: DataFrame, id: str, value: str = "body") -> DataFrame:
     """``doc_id, idx, text, is_word, io``: tokens of the cleaned text, each with the label of its first character.
 
     Tags are taken out and signs cleaned as elsewhere, so the tokens are those of the
-    plain text; a token starts where it started before cleaning.
+    plain text; a token starts where it started before cleaning. Tokens and the ends and
+    starts of labels go through one window, by place: a token has the last label that
+    began and didn't end.
     """
     spans = tagged_spans(rows, value).select(F.col(id).alias("doc_id"), F.translate("plain", "º°", "  ").alias("plain"), "labels")
-    parts = spans.select("doc_id", "labels", F.posexplode(tx.pieces(F.col("plain"))).alias("idx", "piece")).withColumn("text", tx.token_of(F.col("piece")))
-    so_far = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = parts.withColumn("at", F.sum(F.length("piece")).over(so_far) - F.length("text"))
-    label = F.filter("labels", lambda s: (s["start"] <= F.col("at")) & (F.col("at") < s["end"]))
-    return parts.select("doc_id", "idx", "text", tx.is_word(F.col("text")).alias("is_word"), F.coalesce(F.get(label, F.lit(0))["type"], F.lit("O")).alias("io"))
+
+    def of(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda p: F.length(p)), lambda x, y: x + y)
+        return F.zip_with(pieces, ends, lambda p, e: let(tx.token_of(p), lambda t: F.struct((e - F.length(t)).alias("at"), t.alias("text"), F.lit(None).cast("string").alias("type"))))
+
+    found = let(tx.pieces(F.col("plain")), of)
+    marks = F.flatten(F.transform("labels", lambda s: F.array(F.struct(s["start"].alias("at"), F.lit(None).cast("string").alias("text"), s["type"].alias("type")), F.struct(s["end"].alias("at"), F.lit(None).cast("string").alias("text"), F.lit("O").alias("type")))))
+    events = spans.select("doc_id", F.explode(F.concat(marks, F.coalesce(found, F.array()))).alias("e")).select("doc_id", "e.*")
+    # where a label ends and another begins, the beginning counts; marks come before the token at their place
+    order = Window.partitionBy("doc_id").orderBy("at", F.col("text").isNotNull(), (F.col("type") != "O").cast("int"))
+    labelled = events.withColumn("io", F.last("type", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("text is not null")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
+    return labelled.select("doc_id", number.alias("idx"), "text", tx.is_word(F.col("text")).alias("is_word"), F.coalesce("io", F.lit("O")).alias("io"))
+
+
+def missing_inputs(ids: DataFrame, raw: DataFrame, editions: DataFrame, id: str = "doc_id", edition: str = "text") -> DataFrame:
+    """For every id of ``ids``: ``missing`` (no row in ``raw``) and ``without_edition`` (no text in ``editions``, or a blank one)."""
+    rows = ids.select(id).distinct().join(raw.select(id, F.lit(True).alias("_raw")).distinct(), id, "left").join(editions.select(id, F.col(edition).alias("_e")), id, "left")
+    return rows.select(id, F.col("_raw").isNull().alias("missing"), (F.coalesce(tx.strip(F.col("_e")), F.lit("")) == "").alias("without_edition"))
+
+
+def evaluation_inputs(ids: DataFrame, raw: DataFrame, editions: DataFrame, id: str = "doc_id", summary: str = "summary", edition: str = "text") -> DataFrame:
+    """``id, summary, edition`` for every id of ``ids``; fails where ``missing_inputs`` finds one missing."""
+    fails = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.col(id).cast("string"))).cast("string")
+    rows = missing_inputs(ids, raw, editions, id, edition).join(raw.select(id, F.coalesce(F.col(summary), F.lit("")).alias(summary)), id, "left").join(editions.select(id, F.col(edition).alias("_e")), id, "left")
+    text = F.when(F.col("missing"), fails("not among the raw documents")).when(F.col("without_edition"), fails("no edition text")).otherwise(F.col("_e"))
+    return rows.select(id, summary, text.alias("edition"))
 
 
 def adjudicate(owned: DataFrame, decisions: DataFrame, coders: int) -> DataFrame:
@@ -180,7 +205,12 @@ def overlapping_windows(rows: DataFrame, ids: str = "ids", length: int = 256, st
     """Each row's id array as windows that overlap by ``stride``; windows under ``least`` are dropped. Adds window_no and window."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - F.lit(stride) - 1, F.lit(0)), F.lit(length - stride))
     out = rows.select("*", F.posexplode(starts).alias("window_no", "_at")).withColumn("window", F.slice(ids, F.col("_at") + 1, length)).drop("_at")
-    return out.where(F.size("window") >= least)
+    return long_enough(out, "window", least)
+
+
+def long_enough(rows: DataFrame, ids: str = "ids", least: int = 7) -> DataFrame:
+    """Rows whose id array has ``least`` or more."""
+    return rows.where(F.size(ids) >= least)
 
 
 def hash_holdout(rows: DataFrame, *keys: str, share: float = 0.1) -> DataFrame:

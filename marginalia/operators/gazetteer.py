@@ -36,6 +36,17 @@ def places(lines: DataFrame, header: int = 32, admin_parts: list[str] | None = N
     return names.groupBy("name_lower").agg(F.coalesce(last, first).alias("source_form"))
 
 
+def place_statistics(lines: DataFrame, header: int = 32, admin_parts: list[str] | None = None, common: list[str] | None = None, admin: list[str] | None = None) -> DataFrame:
+    """Entries by what became of them: raw, kept, filtered out (administrative), and the names that ``places`` makes of those kept."""
+    entry = lines.where(F.col("line_no") >= header).select(F.lower(strip(F.col("line"))).alias("entry")).where("entry <> ''")
+    out = F.lit(False)
+    for part in admin_parts or []:
+        out = out | F.contains(F.col("entry"), F.lit(part))
+    counts = entry.agg(F.count("*").alias("raw"), F.count_if(~out).alias("kept"), F.count_if(out).alias("filtered_out"))
+    names = places(lines, header, admin_parts, common, admin).agg(F.count("*").alias("unique_names"))
+    return counts.join(F.broadcast(names))  # one row each
+
+
 def simple(lines: DataFrame) -> DataFrame:
     """``name_lower, source_form``: stripped lines longer than one character, first form wins."""
     rows = lines.select("line_no", strip(F.col("line")).alias("entry")).where(F.length("entry") > 1)
@@ -83,39 +94,67 @@ def derive_names(texts: DataFrame, text: str = "text", least: int = MIN_LENGTH)
     return words.groupBy(F.lower("w").alias("name_lower")).agg(F.min("w").alias("source_form"))
 
 
-def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def name_table(lists: dict[str, DataFrame]) -> DataFrame:
+    """``name_lower`` and, for each of ``lists``, a column that says whether it has the name. One row a name."""
+    every = None
+    for kind, names in lists.items():
+        rows = names.select("name_lower", F.lit(kind).alias("kind"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.groupBy("name_lower").agg(*[F.max(F.col("kind") == k).alias(k) for k in lists])
+
+
+def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kind: str | None = None) -> DataFrame:
     """``word_lower, name_lower, score``: for each distinct lower-cased word the most similar name from ``cutoff`` on, ties to the first in code-point order.
 
-    Words meet names by length: a word looks for every length that can reach the
+    With ``kind``, a column of ``names``, the most similar name of each kind, and that
+    column. Words meet names by length: a word looks for every length that can reach the
     cutoff. Lengths and letter masks then rule pairs out before the ratio is worked
-    out. Names up to a megabyte are broadcast, more are shuffled by length.
+    out. Names up to a megabyte are broadcast; more are dealt out in blocks of about
+    that size, and each word goes to all blocks, so tasks stay small and nothing is lost.
     """
     bound = 200.0 / cutoff - 1.0
+    by = [kind] if kind else []
     words = words.select("word_lower").distinct().withColumn("mask", letters_mask(F.col("word_lower")))
     words = words.withColumn("len", F.explode(F.sequence(F.ceil(F.length("word_lower") / bound - 1e-9), F.floor(F.length("word_lower") * bound + 1e-9))))
-    small = (names.agg(F.sum(F.octet_length("name_lower"))).first()[0] or 0) <= BROADCAST_NAMES
-    names = names.select("name_lower", letters_mask(F.col("name_lower")).alias("name_mask"), F.length("name_lower").cast("long").alias("len"))
-    pairs = words.join(F.broadcast(names) if small else names, "len")
+    blocks = -(-(names.agg(F.sum(F.octet_length("name_lower"))).first()[0] or 0) // BROADCAST_NAMES)
+    names = names.select("name_lower", *by, letters_mask(F.col("name_lower")).alias("name_mask"), F.length("name_lower").cast("long").alias("len"))
+    if blocks <= 1:
+        pairs = words.join(F.broadcast(names), "len")
+    else:
+        dealt = names.withColumn("block", F.pmod(F.xxhash64("name_lower"), F.lit(blocks)).cast("int"))
+        pairs = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1)))).join(dealt.hint("merge"), ["len", "block"])
     pairs = pairs.where(may_reach(F.col("word_lower"), F.col("name_lower"), F.col("mask"), F.col("name_mask"), cutoff))
-    scored = pairs.select("word_lower", "name_lower", indel_ratio(F.col("word_lower"), F.col("name_lower"), long_strings=True).alias("score")).where(F.col("score") >= cutoff)
-    best = scored.groupBy("word_lower").agg(F.min(F.struct((-F.col("score")).alias("s"), "name_lower")).alias("b"))
-    return best.select("word_lower", F.col("b.name_lower").alias("name_lower"), (-F.col("b.s")).alias("score"))
+    scored = pairs.select("word_lower", *by, "name_lower", indel_ratio(F.col("word_lower"), F.col("name_lower")).alias("score")).where(F.col("score") >= cutoff)
+    best = scored.groupBy("word_lower", *by).agg(F.min(F.struct((-F.col("score")).alias("s"), "name_lower")).alias("b"))
+    return best.select("word_lower", *by, F.col("b.name_lower").alias("name_lower"), (-F.col("b.s")).alias("score"))
 
 
-def lookup(tokens: DataFrame, names: DataFrame, blocked: list[str], fuzzy: bool = True, cutoff: float = CUTOFF) -> DataFrame:
-    """``word_lower, score, level, name`` for the distinct words of ``tokens`` (``doc_id, idx, text, is_word``) that a list has.
+def lookup_lists(tokens: DataFrame, lists: dict[str, DataFrame], blocked: list[str], cutoff: float = CUTOFF) -> DataFrame:
+    """``word_lower`` and, for each of ``lists``, a struct of score, level and name (null for none), for the distinct words of ``tokens`` (``doc_id, idx, text, is_word``) that a list has.
 
     Exact hits count whatever the case of the word. Words that stand capitalised
-    somewhere and have four letters are compared with the rest; the best name is then
+    somewhere and have four letters are compared with all names; the best name is then
     dropped if it is blocked or much longer or shorter, and no other takes its place.
-    Matching doesn't depend on the context, so it runs on distinct words.
+    Matching doesn't depend on the context, so it runs on distinct words, and on all
+    lists at once.
     """
     words = tokens.where("is_word").groupBy(F.lower("text").alias("word_lower")).agg(F.max(is_capitalised(F.col("text")) & (F.length("text") >= MIN_LENGTH)).alias("capital"))
-    exact = words.join(names.select(F.col("name_lower").alias("word_lower")), "word_lower").select("word_lower", F.lit(100.0).alias("score"), F.lit("exact").alias("level"), F.col("word_lower").alias("name"))
-    if not fuzzy:
-        return exact
-    rest = words.where("capital").join(names.select(F.col("name_lower").alias("word_lower")), "word_lower", "left_anti")
-    found = best_similar(names, rest, cutoff)
+    every = None
+    for kind, names in lists.items():
+        rows = names.select("name_lower", F.lit(kind).alias("kind"))
+        every = rows if every is None else every.unionByName(rows)
+    hit = lambda score, level, name: F.struct(score.alias("score"), F.lit(level).alias("level"), name.alias("name"))
+    exact = words.join(every, F.col("word_lower") == F.col("name_lower")).select("word_lower", "kind", hit(F.lit(100.0), "exact", F.col("word_lower")).alias("hit"))
+    found = best_similar(every, words.where("capital"), cutoff, "kind").where("word_lower <> name_lower")
     la, lb = F.length("word_lower"), F.length("name_lower")
     found = found.where((F.least(la, lb) / F.greatest(la, lb) >= MIN_SHARE) & (~F.col("name_lower").isin(*blocked) if blocked else F.lit(True)))
-    return exact.unionByName(found.select("word_lower", "score", F.lit("fuzzy").alias("level"), F.col("name_lower").alias("name")))
+    both = exact.unionByName(found.select("word_lower", "kind", hit(F.col("score"), "fuzzy", F.col("name_lower")).alias("hit")))
+    return both.groupBy("word_lower").agg(*[F.max(F.when(F.col("kind") == k, F.col("hit"))).alias(k) for k in lists])
+
+
+def lookup(tokens: DataFrame, names: DataFrame, blocked: list[str], fuzzy: bool = True, cutoff: float = CUTOFF) -> DataFrame:
+    """``word_lower, score, level, name`` for the distinct words of ``tokens`` that one list has, as ``lookup_lists`` finds them; without ``fuzzy`` exact names only."""
+    if fuzzy:
+        return lookup_lists(tokens, {"hit": names}, blocked, cutoff).select("word_lower", "hit.*")
+    words = tokens.where("is_word").select(F.lower("text").alias("word_lower")).distinct()
+    return words.join(names.select(F.col("name_lower").alias("word_lower")), "word_lower").select("word_lower", F.lit(100.0).alias("score"), F.lit("exact").alias("level"), F.col("word_lower").alias("name"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip_bio
@@ -26,9 +25,19 @@ def compare_spans(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, SPAN, "full_outer").select(*SPAN, F.coalesce("in_gold", F.lit(False)).alias("in_gold"), F.coalesce("in_pred", F.lit(False)).alias("in_pred"))
 
 
+def compare_ways(spans: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """The same of one table of spans with a column ``way``, by one aggregate and without a join."""
+    return spans.where(F.col("way").isin(gold, pred)).groupBy(*SPAN).agg(F.max(F.col("way") == gold).alias("in_gold"), F.max(F.col("way") == pred).alias("in_pred"))
+
+
 def entity_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """``type, tp, fp, fn, support, precision, recall, f1`` by type; exact span and type."""
-    both = compare_spans(gold, pred).groupBy("type").agg(F.count_if(F.col("in_gold") & F.col("in_pred")).alias("tp"), F.count_if(~F.col("in_gold")).alias("fp"), F.count_if(~F.col("in_pred")).alias("fn"))
+    return scores_of(compare_spans(gold, pred))
+
+
+def scores_of(compared: DataFrame) -> DataFrame:
+    """``entity_scores`` of compared spans."""
+    both = compared.groupBy("type").agg(F.count_if(F.col("in_gold") & F.col("in_pred")).alias("tp"), F.count_if(~F.col("in_gold")).alias("fp"), F.count_if(~F.col("in_pred")).alias("fn"))
     return both.select("type", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), *_f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -49,6 +58,12 @@ def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return both.select("doc_id", "idx", text.alias("text"), "gold", "pred")
 
 
+def aligned_ways(voted: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """``doc_id, idx, text, gold, pred`` of labels with a column ``way``: both stand on the same tokens, so one aggregate puts them side by side."""
+    of = lambda way: F.max(F.when(F.col("way") == way, F.col("label")))
+    return voted.where(F.col("way").isin(gold, pred)).groupBy("doc_id", "idx").agg(F.min("text").alias("text"), of(gold).alias("gold"), of(pred).alias("pred"))
+
+
 def misaligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """``doc_id, n``: tokens that are missing or differ on one side."""
     both = gold.select("doc_id", "idx", F.col("text").alias("gt")).join(pred.select("doc_id", "idx", F.col("text").alias("pt")), ["doc_id", "idx"], "full_outer")
@@ -61,30 +76,28 @@ def token_confusion(pairs: DataFrame) -> DataFrame:
 
 
 def token_scores(confusion: DataFrame, classes: tuple[str, ...] = ("Person", "Location")) -> DataFrame:
-    """``type, tp, fp, fn, support, precision, recall, f1, accuracy`` by class, O left out; accuracy with O."""
-    kinds = F.array(*[F.lit(c) for c in classes])
-    n, hit = F.col("n"), F.col("gold") == F.col("pred")
-    all_ = confusion.agg(ratio(F.sum(F.when(hit, n).otherwise(0)), F.sum(n)).alias("accuracy"))
-    rows = confusion.select("gold", "pred", "n", F.explode(kinds).alias("type"))
+    """``type, tp, fp, fn, support, precision, recall, f1, accuracy`` by class, O left out; accuracy with O. One aggregate over the confusion, none of which gives no rows."""
+    n, g, p = F.col("n"), F.col("gold"), F.col("pred")
     of = lambda cond: F.sum(F.when(cond, n).otherwise(0))
-    g, p = F.col("gold") == F.col("type"), F.col("pred") == F.col("type")
-    by = rows.groupBy("type").agg(of(g & p).alias("tp"), of(~g & p).alias("fp"), of(g & ~p).alias("fn"))
-    return by.select("type", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), *_f1(F.col("tp"), F.col("fp"), F.col("fn"))).join(F.broadcast(all_))  # one row beside two
+    rows = [F.struct(F.lit(c).alias("type"), of((g == c) & (p == c)).alias("tp"), of((g != c) & (p == c)).alias("fp"), of((g == c) & (p != c)).alias("fn")) for c in classes]
+    one = confusion.agg(F.array(*rows).alias("rows"), ratio(of(g == p), F.sum(n)).alias("accuracy"), F.sum(n).alias("all")).where("all is not null")
+    by = one.select(F.explode("rows").alias("r"), "accuracy").select("r.*", "accuracy")
+    return by.select("type", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("support"), *_f1(F.col("tp"), F.col("fp"), F.col("fn")), "accuracy")
 
 
 def class_accuracy(confusion: DataFrame, warn: float = 0.95) -> DataFrame:
     """``gold, accuracy, support, pred_o_share, mostly_o``: by gold class, with the share of O among all predictions."""
-    n = F.col("n")
-    share = confusion.agg(ratio(F.sum(F.when(F.col("pred") == "O", n).otherwise(0)), F.sum(n)).alias("pred_o_share"))
-    by = confusion.groupBy("gold").agg(ratio(F.sum(F.when(F.col("gold") == F.col("pred"), n).otherwise(0)), F.sum(n)).alias("accuracy"), F.sum(n).alias("support"))
-    return by.join(F.broadcast(share)).withColumn("mostly_o", F.col("pred_o_share") > warn)  # one row beside a few
+    n, every = F.col("n"), Window.partitionBy()  # over a row a class
+    by = confusion.groupBy("gold").agg(F.sum(F.when(F.col("gold") == F.col("pred"), n).otherwise(0)).alias("hit"), F.sum(n).alias("support"), F.sum(F.when(F.col("pred") == "O", n).otherwise(0)).alias("o"))
+    share = ratio(F.sum("o").over(every), F.sum("support").over(every))
+    out = by.select("gold", ratio(F.col("hit"), F.col("support")).alias("accuracy"), "support", share.alias("pred_o_share"))
+    return out.withColumn("mostly_o", F.col("pred_o_share") > warn)
 
 
 def distribution(rows: DataFrame, label: str = "label") -> DataFrame:
     """``label, n, share``: counts and percentages."""
     counts = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("label", "n", (100.0 * F.col("n") / F.col("total")).alias("share"))  # one row beside a few
+    return counts.select("label", "n", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))  # over a row a label
 
 
 def class_weights(labels: list[str], o_weight: float = 1.0, entity_weight: float = 5.0) -> dict[str, float]:
@@ -104,18 +117,24 @@ def krippendorff_alpha(codings: DataFrame) -> DataFrame:
 
 
 def pairwise_f1(spans: DataFrame, coders: list[str], by_type: bool = False) -> DataFrame:
-    """``coder_a, coder_b[, type], tp, n_a, n_b, precision, recall, f1`` for each pair of coders; 1 if both have no spans."""
+    """``coder_a, coder_b[, type], tp, n_a, n_b, precision, recall, f1`` for each pair of coders; 1 if both have no spans.
+
+    One aggregate finds the set of coders of each span; what follows runs on the counts
+    of the sets. Coders that aren't listed don't count.
+    """
     key = ["type"] if by_type else []
-    spans = spans.select("coder", *SPAN).distinct()
-    spark = spans.sparkSession
-    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(coders) for b in coders[i + 1 :]], "coder_a string, coder_b string")
-    if by_type:
-        pairs = pairs.withColumn("type", F.explode(F.array(F.lit("Person"), F.lit("Location"))))
-    counts = spans.groupBy("coder", *key).agg(F.count("*").alias("n"))
-    a, b = spans.withColumnRenamed("coder", "coder_a"), spans.withColumnRenamed("coder", "coder_b")
-    shared = a.join(b, SPAN).where("coder_a < coder_b").groupBy("coder_a", "coder_b", *key).agg(F.count("*").alias("tp"))
-    shared = shared.unionByName(shared.select(F.col("coder_b").alias("coder_a"), F.col("coder_a").alias("coder_b"), *key, "tp"))
-    out = pairs.join(shared, ["coder_a", "coder_b", *key], "left").join(counts.withColumnsRenamed({"coder": "coder_a", "n": "n_a"}), ["coder_a", *key], "left").join(counts.withColumnsRenamed({"coder": "coder_b", "n": "n_b"}), ["coder_b", *key], "left").na.fill(0, ["tp", "n_a", "n_b"])
+    of = {c: F.max(F.col("coder") == c).alias(f"c{i}") for i, c in enumerate(coders)}
+    sets = spans.where(F.col("coder").isin(coders)).groupBy(*SPAN).agg(*of.values()).groupBy(*key, *[f"c{i}" for i in range(len(coders))]).agg(F.count("*").alias("n"))
+    has = {c: F.col(f"c{i}") for i, c in enumerate(coders)}
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    pairs = [(a, b) for i, a in enumerate(coders) for b in coders[i + 1 :]]
+    kinds = ["Person", "Location"] if by_type else [None]
+    rows = []
+    for k in kinds:
+        own = F.lit(True) if k is None else F.col("type") == k
+        for a, b in pairs:
+            rows.append(F.struct(F.lit(a).alias("coder_a"), F.lit(b).alias("coder_b"), *([F.lit(k).alias("type")] if by_type else []), n(own & has[a] & has[b]).alias("tp"), n(own & has[a]).alias("n_a"), n(own & has[b]).alias("n_b")))
+    out = sets.agg(F.array(*rows).alias("p")).select(F.explode("p").alias("p")).select("p.*")
     tp, na, nb = F.col("tp"), F.col("n_a"), F.col("n_b")
     empty = (na + nb) == 0
     return out.select("coder_a", "coder_b", *key, "tp", "n_a", "n_b", F.when(empty, 1.0).otherwise(ratio(tp, nb)).alias("precision"), F.when(empty, 1.0).otherwise(ratio(tp, na)).alias("recall"), ratio(2.0 * tp, na + nb, 1.0).alias("f1"))
@@ -125,6 +144,7 @@ def label_counts(codings: DataFrame, labels: list[str]) -> DataFrame:
     return codings.groupBy("coder").pivot("label", labels).count().na.fill(0)
 
 
+#: What errors are called.
 CATEGORIES = ("type_confusion", "boundary_same_type", "boundary_and_type", "pure_miss", "pure_hallucination")
 
 
@@ -155,11 +175,13 @@ def _taxonomy(t: pd.DataFrame) -> pd.DataFrame:
 
 
 def error_taxonomy(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Each missed or invented span once, paired where they touch: ``doc_id, category`` and both spans.
+    """Each missed or invented span once, paired where they touch: ``doc_id, category`` and both spans."""
+    return taxonomy_of(compare_spans(gold, pred))
 
-    Greedy and in order within a document, so it runs as Python, on the erring spans only.
-    """
-    wrong = compare_spans(gold, pred).where("in_gold <> in_pred")
+
+def taxonomy_of(compared: DataFrame) -> DataFrame:
+    """``error_taxonomy`` of compared spans. Greedy and in order within a document, so it runs as Python, on the erring spans only."""
+    wrong = compared.where("in_gold <> in_pred")
     kind = wrong.schema["doc_id"].dataType.simpleString()
     return wrong.groupBy("doc_id").applyInPandas(_taxonomy, f"doc_id {kind}, category string, gold_type string, gold_start long, gold_end long, pred_type string, pred_start long, pred_end long")
 
@@ -172,8 +194,6 @@ def error_accounting(errors: DataFrame) -> DataFrame:
 
 def examples(errors: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` errors of each category."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("category").orderBy("doc_id", F.coalesce("gold_start", "pred_start"), F.coalesce("gold_end", "pred_end"), F.coalesce("gold_type", "pred_type"), "pred_type")
     return errors.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -186,8 +206,6 @@ def document_scores(pairs: DataFrame) -> DataFrame:
     )
 
 
-
-
 def report(gold_labels: DataFrame, pred_labels: DataFrame) -> DataFrame:
     """Everything about two labellings in one row of structs and arrays, ready for JSON: entities and tokens by type and on average, confusion, errors."""
     from marginalia.operators.spans import chunk_spans

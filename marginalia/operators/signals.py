@@ -11,7 +11,7 @@ from marginalia.functions.lexicon import is_capitalised, is_patronymic, is_roman
 from marginalia.functions.similarity import indel_ratio
 from marginalia.functions.text import consonant_skeleton
 from marginalia.operators import gazetteer
-from marginalia.operators.tokens import beside, word_ngrams
+from marginalia.operators.tokens import beside, spans_within
 
 
 @dataclass(frozen=True)
@@ -65,29 +65,54 @@ def capitals_summary(found: DataFrame) -> DataFrame:
     )
 
 
+def _named(rows: DataFrame, loc: Column, per: Column, lex: Lexicons, keep: list[str]) -> DataFrame:
+    """``rows`` with the verdict on each word's two hits (structs of score, level and name, null for none)."""
+    found = rows.select(*[F.col(c) for c in keep], loc.alias("_loc"), per.alias("_per"), F.when(F.col("is_word"), stop_reason(F.col("text"), lex.stop_first or [""], lex.stop_second or [""], ("stop_first", "stop_second"))).alias("stop"))
+    s_loc, s_per = F.coalesce("_loc.score", F.lit(-1.0)), F.coalesce("_per.score", F.lit(-1.0))
+    hit = F.col("stop").isNull() & (F.greatest(s_loc, s_per) >= 0)
+    place = s_loc >= s_per
+    exact = lambda kind: F.col(f"{kind}.level") == "exact"
+    return found.select(
+        *keep, "stop", exact("_loc").alias("loc_exact"), exact("_per").alias("per_exact"), F.when(hit, F.when(place, "Location").otherwise("Person")).alias("label"),
+        F.when(hit, F.when(place, "places").otherwise("persons")).alias("source"), F.when(hit, F.greatest(s_loc, s_per)).alias("score"),
+        F.when(hit, F.when(exact("_loc") | exact("_per"), "exact").otherwise("fuzzy")).alias("level"), (hit & (s_loc >= 0) & (s_per >= 0)).alias("conflict"),
+        F.when(hit, F.when(place, F.col("_loc.name")).otherwise(F.col("_per.name"))).alias("name"),
+    )
+
+
+def _keyed(tokens: DataFrame) -> DataFrame:
+    """Tokens with ``_low``, the word to look up; marks get keys that no name has, dealt over many, so that they don't meet in one task."""
+    deal = F.concat(F.lit("\n"), F.pmod(F.xxhash64("doc_id", "idx"), F.lit(4096)).cast("string"))
+    return tokens.withColumn("_low", F.when(F.col("is_word"), F.lower("text")).otherwise(deal))
+
+
 def mark_names(tokens: DataFrame, places: DataFrame, persons: DataFrame, lex: Lexicons, fuzzy: bool = True) -> DataFrame:
     """All tokens with ``stop`` and, unless stopped, ``label, source, score, level, conflict, name``; marks have none.
 
     Both hit: the higher score wins, a tie is a Location. A similar (not exact) hit
-    counts only for a token that is capitalised and long enough itself.
+    counts only for a token that is capitalised and long enough itself. Exact names
+    are looked up from the tokens at once; only similar ones need the distinct words.
     """
-    rows = tokens.withColumn("_low", F.when(F.col("is_word"), F.lower("text")))
-    blocked = [*lex.stop_first, *lex.stop_second]
+    if not fuzzy:
+        rows = _keyed(tokens).join(gazetteer.name_table({"_in_loc": places, "_in_per": persons}), F.col("_low") == F.col("name_lower"), "left")
+        hit = lambda c: F.when(F.col(c), F.struct(F.lit(100.0).alias("score"), F.lit("exact").alias("level"), F.col("_low").alias("name")))
+        return _named(rows, hit("_in_loc"), hit("_in_per"), lex, tokens.columns)
+    hits = gazetteer.lookup_lists(tokens, {"_loc": places, "_per": persons}, [*lex.stop_first, *lex.stop_second])
+    rows = _keyed(tokens).join(hits.withColumnRenamed("word_lower", "_low"), "_low", "left")
     own = is_capitalised(F.col("text")) & (F.length("text") >= gazetteer.MIN_LENGTH)
-    for kind, names in (("_loc", places), ("_per", persons)):
-        hits = gazetteer.lookup(tokens, names, blocked, fuzzy).select(F.col("word_lower").alias("_low"), F.struct("score", "level", "name").alias(kind))
-        rows = rows.join(hits, "_low", "left").withColumn(kind, F.when((F.col(f"{kind}.level") == "exact") | own, F.col(kind)))
-    rows = rows.withColumn("stop", F.when(F.col("is_word"), stop_reason(F.col("text"), lex.stop_first or [""], lex.stop_second or [""], ("stop_first", "stop_second"))))
-    loc, per = F.coalesce("_loc.score", F.lit(-1.0)), F.coalesce("_per.score", F.lit(-1.0))
-    hit = F.col("stop").isNull() & (F.greatest(loc, per) >= 0)
-    place = loc >= per
-    exact = lambda kind: F.col(f"{kind}.level") == "exact"
-    return rows.select(
-        *tokens.columns, "stop", exact("_loc").alias("loc_exact"), exact("_per").alias("per_exact"), F.when(hit, F.when(place, "Location").otherwise("Person")).alias("label"),
-        F.when(hit, F.when(place, "places").otherwise("persons")).alias("source"), F.when(hit, F.greatest(loc, per)).alias("score"),
-        F.when(hit, F.when(exact("_loc") | exact("_per"), "exact").otherwise("fuzzy")).alias("level"), (hit & (loc >= 0) & (per >= 0)).alias("conflict"),
-        F.when(hit, F.when(place, F.col("_loc.name")).otherwise(F.col("_per.name"))).alias("name"),
-    )
+    of = lambda kind: F.when((F.col(f"{kind}.level") == "exact") | own, F.col(kind))
+    return _named(rows, of("_loc"), of("_per"), lex, tokens.columns)
+
+
+def exact_labels(tokens: DataFrame, table: DataFrame, ways: dict[str, tuple[str, str]], lex: Lexicons) -> DataFrame:
+    """Tokens with a column for each of ``ways`` (column: names of the two list columns of ``table``, places and persons): the label of exact hits.
+
+    One look-up, in one ``gazetteer.name_table``, serves all ways.
+    """
+    rows = _keyed(tokens).join(table, F.col("_low") == F.col("name_lower"), "left")
+    stopped = stop_reason(F.col("text"), lex.stop_first or [""], lex.stop_second or [""], ("stop_first", "stop_second")).isNotNull()
+    label = lambda loc, per: F.when(F.col("is_word") & ~stopped, F.when(F.col(loc), "Location").when(F.col(per), "Person"))
+    return rows.select(*tokens.columns, *[label(*lists).alias(c) for c, lists in ways.items()])
 
 
 def name_lists(tokens: DataFrame, places: DataFrame, persons: DataFrame, lex: Lexicons, fuzzy: bool = True) -> DataFrame:
@@ -105,23 +130,23 @@ def name_list_summary(found: DataFrame) -> DataFrame:
     )
 
 
-def entity_matches(tokens: DataFrame, entities: DataFrame, longest: int = 6, skeleton_cutoff: float = 80.0, cutoff: float = 60.0) -> DataFrame:
+def entity_matches(tokens: DataFrame, entities: DataFrame, skeleton_cutoff: float = 80.0, cutoff: float = 60.0) -> DataFrame:
     """Every match of a document's entities (``doc_id, ord, text, mapped_label``) with spans of its words.
 
-    Spans have up to one word more than the entity. Level 1: equal but for case (100);
+    Spans have up to one word more than the entity, however long it is. Level 1: equal but for case (100);
     else level 2: consonants similar (entity with three or more); else level 3: similar.
     ``rank`` orders an entity's matches: level, equal numbers of words, score, shorter,
     earlier. Equal entities of a document are matched once.
     """
     own = entities.select("doc_id", F.col("text").alias("entity")).distinct()
     own = own.withColumn("words", F.size(F.split("entity", " +"))).withColumn("low", F.lower("entity")).withColumn("skel", consonant_skeleton(F.col("entity")))
-    spans = word_ngrams(tokens.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), longest + 1)
+    spans = spans_within(tokens, own.groupBy("doc_id").agg((F.max("words") + 1).alias("n")))
     spans = spans.withColumn("span_low", F.lower("ngram")).withColumn("span_skel", consonant_skeleton(F.col("ngram")))
     pairs = spans.join(own, "doc_id").where(F.col("span_len") <= F.col("words") + 1)
     # the ratio can't reach the cutoff if one side is too short for it
     can = lambda a, b, t: 200.0 * F.least(F.length(a), F.length(b)) >= t * (F.length(a) + F.length(b))
-    s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio(F.col("skel"), F.col("span_skel"), long_strings=True))
-    s3 = F.when(can("low", "span_low", cutoff), indel_ratio(F.col("low"), F.col("span_low"), long_strings=True))
+    s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio(F.col("skel"), F.col("span_skel")))
+    s3 = F.when(can("low", "span_low", cutoff), indel_ratio(F.col("low"), F.col("span_low")))
     found = pairs.withColumn("same", F.col("low") == F.col("span_low")).withColumn("s2", F.when(~F.col("same"), s2))
     found = found.withColumn("s3", F.when(~F.col("same") & ~F.coalesce(F.col("s2") >= skeleton_cutoff, F.lit(False)), s3))
     level = F.when(F.col("same"), 1).when(F.col("s2") >= skeleton_cutoff, 2).when(F.col("s3") >= cutoff, 3)
@@ -144,6 +169,12 @@ def unmatched_entities(tokens: DataFrame, entities: DataFrame, **options) -> Dat
     return entities.join(best, ["doc_id", "text"], "left_anti")
 
 
+def top_matches(matches: DataFrame, n: int = 10) -> DataFrame:
+    """``doc_id, entity, n_matches, best``: how many matches each entity has, and the first ``n`` by rank."""
+    item = F.when(F.col("rank") <= n, F.struct("rank", "level", "score", "span_len", "start_idx", "ngram"))
+    return matches.groupBy("doc_id", "entity").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_list(item)).alias("best"))
+
+
 def without_overlaps(matches: DataFrame) -> DataFrame:
     """Of each entity's matches, best first, those that share no token with a better one kept before; a fold over the ranked list."""
     kind = "array<struct<rank:int,token_indices:array<int>>>"

@@ -65,6 +65,14 @@ def word_ngrams(tokens: DataFrame, n: int) -> DataFrame:
     return spans.select("doc_id", "start_idx", "span_len", F.array_join(F.slice("w", 1, F.col("span_len")), " ").alias("ngram"), F.slice("at", 1, F.col("span_len")).alias("token_indices"))
 
 
+def spans_within(tokens: DataFrame, reach: DataFrame) -> DataFrame:
+    """As ``word_ngrams``, each document with its own greatest number of words: ``reach`` (``doc_id, n``); documents without one have no spans."""
+    words = tokens.where("is_word").join(reach, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("w"), F.first("n").alias("n"))
+    parts = words.select("doc_id", F.explode(F.transform("w", lambda _, i: F.slice("w", i + 1, F.col("n")))).alias("p"))
+    spans = parts.select("doc_id", F.element_at("p", 1)["idx"].alias("start_idx"), "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("span_len")).withColumn("p", F.slice("p", 1, F.col("span_len")))
+    return spans.select("doc_id", "start_idx", "span_len", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("ngram"), F.transform("p", lambda x: x["idx"]).alias("token_indices"))
+
+
 def resplit(tokens: DataFrame) -> DataFrame:
     """Tokens whose ordinal signs become spaces, split again; a label goes to every piece. ``doc_id, idx, text, label``, numbered anew."""
     parts = tokens.select("doc_id", F.col("idx").alias("old"), F.posexplode(F.transform(pieces(F.translate("text", "º°", "  ")), token_of)).alias("part", "text"), "label")

@@ -54,6 +54,26 @@ def vote(combined: DataFrame, lex: Lexicons) -> DataFrame:
     return rows.select("doc_id", "idx", "text", "is_word", label.alias("label"), reason.alias("reason"), present.alias("signals"), F.col("type").alias("resolved_type"), source.alias("type_source"), (F.col("is_word") & (votes > 1)).alias("type_disagreement"))
 
 
+def signal_details(entity: DataFrame | None = None, names: DataFrame | None = None, capitals: DataFrame | None = None) -> DataFrame:
+    """``doc_id, idx, signal_1, signal_2, signal_3``: what each signal says of a token, for the vote's log; null where it says nothing.
+
+    Of ``project_entities`` (label, place in the entity, level and score, and the
+    entity's number), ``name_lists`` (label, name, score, level) and ``capitals``
+    (label, status). Tokens without a signal have no row.
+    """
+    parts = (
+        (entity, ("label", "bio_position", "level", "score", "ord"), "label is not null"), (names, ("label", "name", "score", "level", "source"), "label is not null"),
+        (capitals, ("label", "status"), "label is not null"),
+    )
+    out = None
+    for name, (rows, columns, said) in zip(NAMES, parts, strict=True):
+        if rows is None:
+            continue
+        found = rows.where(said).select("doc_id", "idx", F.struct(*columns).alias(name))
+        out = found if out is None else out.join(found, ["doc_id", "idx"], "full_outer")
+    return out
+
+
 def signal_combinations(voted: DataFrame) -> DataFrame:
     return voted.where("reason = 'voted_entity'").groupBy("signals").agg(F.count("*").alias("n"))
 

@@ -1,13 +1,34 @@
-"""The queries of ``marginalia.queries`` in SQL for DuckDB, built from common table expressions."""
+"""The queries of ``marginalia.queries`` in SQL for DuckDB, built from common table expressions.
+
+Nothing here comes from the code that the queries run: patterns, letters and word lists
+are written down once more, so that a wrong one shows.
+"""
 
 from __future__ import annotations
 
-from marginalia.functions.lexicon import PATRONYMIC, PATRONYMIC_VOTING, ROMAN
-from marginalia.functions.text import ENTITIES, INVISIBLE, MIDDLE_DOT, ODD_SPACES, PIECE, QUOTES, VOWELS, WS
-from marginalia.queries import FRACTION_LEXICON, LEX
+from types import SimpleNamespace
 
 SQL: dict[str, str] = {}
 
+#: Fixed values, as text for RE2.
+ROMAN = "(?i)^[ivxlcdm]+(primo|secundo|tercio|quarto|quinto|sexto|septimo|octauo|nono)?$"
+PATRONYMIC = "(son|sson|sons|ssons|dotter|dottir|dottor|dottær|dottærs)$"
+PATRONYMIC_VOTING = "(?i)(son|sson|sons|ssons|dotter|dottär|dottir|dottor|dottær|dottærs)$"
+MIDDLE_DOT = "\u2027"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
+ODD_SPACES = "\u2006\u2007\u2008\u2009\u200a\u00a0"
+QUOTES = "\"\u201c\u201d\u201e\u00ab\u00bb'\u2018\u2019"
+VOWELS = "aeiouyåäöæøẏ"
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+WS = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PIECE = rf"[{WS}]*(?:[\p{{L}}\p{{N}}_\x{{300}}-\x{{36f}}]+|[^\p{{L}}\p{{N}}_\x{{300}}-\x{{36f}}{WS}])"
+#: Word lists of the queries.
+FRACTION_LEXICON = ["the", "of", "and", "de", "la", "en", "der", "die", "que", "le"]
+LEX = SimpleNamespace(
+    stop_first=["the", "that", "with"], stop_second=["und", "der", "die"], cap_first=["The", "And"], cap_second=["La", "De"], locatives=["in", "de", "of", "en"],
+    titles=["the", "la", "der", "el"], admin_suffixes=["of", "de", "und"], title_words=["the", "that", "la"], place_prefixes=["de", "en", "in"],
+)
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -67,17 +88,17 @@ def fraction(x: str) -> str:
     return f"CASE WHEN len({ws}) = 0 THEN 1.0 ELSE len(list_filter({ws}, lambda w: {within(sub('w', '[.,;:]+$'), FRACTION_LEXICON)}))::DOUBLE / len({ws}) END"
 
 
-def lcs(a: str, b: str) -> str:
+def lcs(a: str, b: str, kind: str = "BIGINT") -> str:
     """Length of the longest common subsequence; a is the shorter."""
-    full = f"((1::BIGINT << length({a})) - 1)"
-    mask = f"list_sum(list_transform(generate_series(0, length({a}) - 1), lambda k: CASE WHEN substring({a}, (k + 1)::INTEGER, 1) = c THEN (1::BIGINT << k) ELSE 0::BIGINT END))::BIGINT"
+    full = f"((1::{kind} << length({a})) - 1)"
+    mask = f"list_sum(list_transform(generate_series(0, length({a}) - 1), lambda k: CASE WHEN substring({a}, (k + 1)::INTEGER, 1) = c THEN (1::{kind} << k::{kind}) ELSE 0::{kind} END))::{kind}"
     return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {mask})), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
 
 
 def ratio(a: str, b: str) -> str:
     total = f"(length({a}) + length({b}))"
     s, g = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
-    return f"CASE WHEN {total} = 0 THEN 100.0 WHEN least(length({a}), length({b})) = 0 THEN 0.0 WHEN length({s}) <= 62 THEN 200.0 * {lcs(s, g)} / {total} END"
+    return f"CASE WHEN {total} = 0 THEN 100.0 WHEN least(length({a}), length({b})) = 0 THEN 0.0 WHEN length({s}) <= 62 THEN 200.0 * {lcs(s, g)} / {total} ELSE 200.0 * {lcs(s, g, 'HUGEINT')} / {total} END"
 
 
 def pieces_of(name: str, source: str, key: str, expr: str) -> str:
@@ -113,14 +134,15 @@ def exact_signal(name: str = "s2", places: str = "plc", persons: str = "per") ->
   FROM tok t LEFT JOIN {places} a ON lower(t.text) = a.name_lower LEFT JOIN {persons} b ON lower(t.text) = b.name_lower WHERE t.is_word))"""
 
 
-def vote(name: str, capitals: bool = True, names: str = "s2") -> str:
+def vote(name: str, capitals: bool = True, names: str = "s2", entities: str = "") -> str:
+    s1 = f"LEFT JOIN (SELECT doc_id, idx, label AS l1 FROM {entities}) USING (doc_id, idx)" if entities else ""
     s2 = f"LEFT JOIN (SELECT doc_id, idx, label AS l2 FROM {names} WHERE label IS NOT NULL) USING (doc_id, idx)" if names else ""
     s3 = "LEFT JOIN (SELECT doc_id, idx, label AS l3 FROM cap WHERE label IS NOT NULL) USING (doc_id, idx)" if capitals else ""
-    l2, l3 = ("l2" if names else "NULL::VARCHAR"), ("l3" if capitals else "NULL::VARCHAR")
+    l1, l2, l3 = ("l1" if entities else "NULL::VARCHAR"), ("l2" if names else "NULL::VARCHAR"), ("l3" if capitals else "NULL::VARCHAR")
     n = name
-    return f"""{n}a AS (SELECT tok.*, {l2} AS s2, {l3} AS s3 FROM tok {s2} {s3}),
-{n}b AS (SELECT *, CASE WHEN is_word THEN coalesce(CASE WHEN s2 <> 'Unknown' THEN s2 END, CASE WHEN s3 <> 'Unknown' THEN s3 END) END AS ty FROM {n}a),
-{n}c AS (SELECT *, CASE WHEN NOT is_word THEN 'not_word' WHEN s2 IS NULL AND s3 IS NULL THEN CASE WHEN regexp_matches(text, {q(PATRONYMIC_VOTING)}) THEN 'patronymic' ELSE 'no_signal' END WHEN ty IS NULL THEN 'unknown'
+    return f"""{n}a AS (SELECT tok.*, {l1} AS s1, {l2} AS s2, {l3} AS s3 FROM tok {s1} {s2} {s3}),
+{n}b AS (SELECT *, CASE WHEN is_word THEN coalesce(CASE WHEN s1 IN ('Person', 'Location') THEN s1 END, CASE WHEN s2 <> 'Unknown' THEN s2 END, CASE WHEN s3 <> 'Unknown' THEN s3 END) END AS ty FROM {n}a),
+{n}c AS (SELECT *, CASE WHEN NOT is_word THEN 'not_word' WHEN s1 IS NULL AND s2 IS NULL AND s3 IS NULL THEN CASE WHEN regexp_matches(text, {q(PATRONYMIC_VOTING)}) THEN 'patronymic' ELSE 'no_signal' END WHEN ty IS NULL THEN 'unknown'
   WHEN ty = 'Person' AND {within('lower(text)', LEX.title_words)} THEN 'title' WHEN ty = 'Location' AND {within('lower(text)', LEX.place_prefixes)} THEN 'prefix' ELSE 'entity' END AS c FROM {n}b),
 {n}d AS (SELECT *, CASE WHEN c IN ('patronymic', 'title') THEN 'Person' WHEN c = 'prefix' THEN 'Location' END AS keeps FROM {n}c),
 {n}e AS (SELECT *, sum((keeps IS NULL)::INTEGER) OVER (PARTITION BY doc_id ORDER BY idx) AS island FROM {n}d),
@@ -130,9 +152,9 @@ def vote(name: str, capitals: bool = True, names: str = "s2") -> str:
 {n} AS (SELECT doc_id, idx, text, is_word, CASE WHEN state IS NULL THEN 'O' WHEN bef = state THEN 'I-' || state ELSE 'B-' || state END AS label,
   CASE WHEN c = 'not_word' THEN 'not_word' WHEN c = 'patronymic' THEN CASE WHEN state IS NULL THEN 'no_signal' ELSE 'patronymic_continuation' END WHEN c = 'no_signal' THEN 'no_signal' WHEN c = 'unknown' THEN 'only_capitalisation_unknown_type'
     WHEN state IS NOT NULL THEN 'voted_entity' WHEN c = 'title' THEN 'title_stripped' ELSE 'location_prefix_stripped' END AS reason,
-  CASE WHEN is_word THEN concat_ws('+', CASE WHEN s2 IS NOT NULL THEN 'signal_2' END, CASE WHEN s3 IS NOT NULL THEN 'signal_3' END) ELSE '' END AS signals,
-  CASE WHEN is_word THEN CASE WHEN s2 IN ('Person', 'Location') THEN 'signal_2' WHEN s3 IN ('Person', 'Location') THEN 'signal_3' END END AS type_source,
-  coalesce(is_word AND s2 IN ('Person', 'Location') AND s3 IN ('Person', 'Location') AND s2 <> s3, false) AS type_disagreement FROM {n}h)"""
+  CASE WHEN is_word THEN concat_ws('+', CASE WHEN s1 IS NOT NULL THEN 'signal_1' END, CASE WHEN s2 IS NOT NULL THEN 'signal_2' END, CASE WHEN s3 IS NOT NULL THEN 'signal_3' END) ELSE '' END AS signals,
+  CASE WHEN is_word THEN CASE WHEN s1 IN ('Person', 'Location') THEN 'signal_1' WHEN s2 IN ('Person', 'Location') THEN 'signal_2' WHEN s3 IN ('Person', 'Location') THEN 'signal_3' END END AS type_source,
+  is_word AND len(list_distinct(list_filter([s1, s2, s3], lambda x: x IN ('Person', 'Location')))) > 1 AS type_disagreement FROM {n}h)"""
 
 
 BASE = f"{TOK},\n{NB},\n{CAP},\n{NAMES},\n{exact_signal()}"
@@ -154,8 +176,8 @@ def spans(name: str, rows: str, how: str, keys: str = "doc_id") -> str:
 {name}z AS (SELECT *, first_value(label) OVER (PARTITION BY {keys}, run ORDER BY idx) AS head FROM {name}y), {name} AS ({last} {name}z WHERE head LIKE 'B-%' GROUP BY {keys}, run)"""
 
 
-def add(name: str, select: str, ctes: str = "") -> None:
-    SQL[name] = (f"WITH {ctes}\n" if ctes else "") + select
+def add(name: str, select: str, ctes: str = "", recursive: bool = False) -> None:
+    SQL[name] = (f"WITH {'RECURSIVE ' * recursive}{ctes}\n" if ctes else "") + select
 
 
 # text
@@ -187,6 +209,9 @@ add("sentence_initial", "SELECT doc_id, idx, sentence_initial FROM nb", f"{TOK},
 add("word_ngrams", """SELECT ngram, span_len, count(*) AS n FROM (
   SELECT text AS ngram, 1 AS span_len FROM w UNION ALL SELECT text || ' ' || b, 2 FROM w WHERE b IS NOT NULL UNION ALL SELECT text || ' ' || b || ' ' || c, 3 FROM w WHERE c IS NOT NULL) GROUP BY ALL HAVING count(*) >= 5""",
     f"{TOK}, w AS (SELECT text, lead(text) OVER o AS b, lead(text, 2) OVER o AS c FROM tok WHERE is_word WINDOW o AS (PARTITION BY doc_id ORDER BY idx))")
+PLACES = "w AS (SELECT doc_id, idx, text, lead(text) OVER o AS b, lead(text, 2) OVER o AS c, lead(idx) OVER o AS ib, lead(idx, 2) OVER o AS ic FROM tok WHERE is_word WINDOW o AS (PARTITION BY doc_id ORDER BY idx))"
+add("word_ngrams_by_document", """SELECT doc_id, ngram, span_len, count(*) AS n, md5(string_agg(p, ',' ORDER BY idx)) AS places FROM (SELECT doc_id, idx, text AS ngram, 1 AS span_len, idx::VARCHAR AS p FROM w
+  UNION ALL SELECT doc_id, idx, text || ' ' || b, 2, idx || '-' || ib FROM w WHERE b IS NOT NULL UNION ALL SELECT doc_id, idx, text || ' ' || b || ' ' || c, 3, idx || '-' || ib || '-' || ic FROM w WHERE c IS NOT NULL) GROUP BY ALL""", f"{TOK}, {PLACES}")
 add("roman_numerals", f"SELECT text, count(*) AS n FROM tok WHERE is_word AND regexp_matches(text, {q(ROMAN)}) GROUP BY text", TOK)
 add("patronymic", f"SELECT * FROM (SELECT DISTINCT text, regexp_matches(lower(text), {q(PATRONYMIC)}) AS strict, regexp_matches(text, {q(PATRONYMIC_VOTING)}) AS voting FROM tok WHERE is_word) WHERE strict OR voting", TOK)
 add("cap_candidates", "SELECT doc_id, idx, text, status, label FROM cap WHERE status IS NOT NULL", f"{TOK}, {NB}, {CAP}")
@@ -196,12 +221,15 @@ add("cap_summary", """SELECT count(*) FILTER (status = 'candidate') AS candidate
 add("stoplist_reason", f"SELECT {STOP} AS reason, count(*) AS n FROM tok WHERE is_word GROUP BY 1", TOK)
 # name lists
 FIT = r"regexp_matches(w, '[a-zA-ZåäöæøþðẏÅÄÖÆØ]') AND NOT regexp_matches(w, '^[(\[]|^\.\.\.') AND NOT regexp_matches(w, '^[\p{Nd}–:°.-]+$') AND length(regexp_replace(w, '[^a-zA-ZåäöæøþðẏÅÄÖÆØ]', '', 'g')) >= 3"
+add("gazetteer_simple_sentences", "SELECT lower(e) AS name_lower, arg_min(e, item_id * 1000 + pos) AS source_form FROM l WHERE length(e) > 1 GROUP BY 1", f"l AS (SELECT item_id, pos, {strip('part')} AS e FROM (SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT item_id, string_split(text, '.') AS p FROM benchmark)))")
 add("gazetteer_places", "SELECT name_lower, coalesce(arg_max(entry, line_no) FILTER (n = 1), arg_min(entry, line_no * 100 + pos) FILTER (n > 1)) AS source_form FROM ok GROUP BY name_lower", f"""
 bw AS (SELECT item_id, unnest(s) AS w, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT item_id, string_split(text, ' ') AS s FROM benchmark)),
 ln AS (SELECT item_id * 1000 + pos AS line_no, {strip("CASE WHEN pos % 3 = 0 THEN w || ' ' || lower(w) || 'a' ELSE w END")} AS entry FROM bw),
 en AS (SELECT line_no, entry, {words('entry')} AS ws FROM ln WHERE line_no >= 32 AND entry <> '' AND strpos(lower(entry), 'qu') = 0),
 wd AS (SELECT line_no, entry, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM en),
 ok AS (SELECT *, lower(w) AS name_lower FROM wd WHERE {FIT} AND (n = 1 OR (n <= 4 AND length(w) > 2 AND lower(w) NOT IN ('the', 'and'))))""")
+add("gazetteer_place_statistics", """SELECT count(*) AS raw, count(*) FILTER (strpos(lower(entry), 'qu') = 0) AS kept, count(*) FILTER (strpos(lower(entry), 'qu') > 0) AS filtered_out, (SELECT count(DISTINCT name_lower) FROM ok) AS unique_names
+  FROM ln WHERE line_no >= 32 AND entry <> ''""", SQL["gazetteer_places"].split("SELECT name_lower, coalesce")[0].removeprefix("WITH ").strip())
 add("gazetteer_simple", "SELECT lower(e) AS name_lower, arg_min(e, item_id) AS source_form FROM l WHERE length(e) > 1 GROUP BY 1", f"l AS (SELECT item_id, {strip('string_split(text, chr(46))[1]')} AS e FROM benchmark)")
 PERSON = strip(sub(sub(sub(chain(strip("raw"), *[(c, "") for c in '±?()[]"']), "^[* ]+"), r"^\.\.\."), " +", " "))
 VARIANTS = f"""cells AS (SELECT conv_id * 1000 + turn AS row_no, unnest([0, 1]) AS field, unnest([role, text]) AS cell FROM conversations),
@@ -212,13 +240,17 @@ add("gazetteer_statistics", """SELECT count(*) AS raw, count(*) FILTER (name = '
   count(DISTINCT CASE WHEN length(name) > 1 AND name NOT LIKE '%-' THEN lower(name) END) AS unique_names FROM vn""", VARIANTS)
 add("gazetteer_merge", "SELECT name_lower, coalesce(a.source_form, b.source_form) AS source_form, a.name_lower IS NULL AS is_new FROM plc a FULL JOIN per b USING (name_lower)", NAMES)
 add("gazetteer_exact", "SELECT DISTINCT lower(text) AS word_lower FROM tok WHERE is_word AND lower(text) IN (SELECT name_lower FROM plc)", f"{TOK}, {NAMES}")
-BOUND = "length(word_lower) * 2 <= length(name_lower) * 3 AND length(name_lower) * 2 <= length(word_lower) * 3"
+
+
+def letters(x: str) -> str:
+    return f"list_reduce(list_transform(list_distinct(string_split({x}, '')), lambda c: 1::BIGINT << (unicode(c) % 61)), lambda m, n: m | n)"
 
 
 def similar(name: str, source: str, listed: str) -> str:
-    return f"""{name} AS (SELECT word_lower, arg_min(name_lower, (-score, name_lower)) AS name_lower, max(score) AS score FROM (
-  SELECT word_lower, name_lower, {ratio('word_lower', 'name_lower')} AS score FROM {source}, {listed} WHERE {BOUND}
-    AND len(list_filter(list_distinct(string_split(word_lower, '')), lambda c: strpos(name_lower, c) = 0)) + len(list_filter(list_distinct(string_split(name_lower, '')), lambda c: strpos(word_lower, c) = 0)) <= 0.2 * (length(word_lower) + length(name_lower)) + 1e-9
+    """Pairs whose letters differ too much can't reach 80: each bit that only one side has is a character that only one side has."""
+    return f"""{name}w AS MATERIALIZED (SELECT word_lower, {letters('word_lower')} AS wm, length(word_lower) AS wl FROM {source}), {name}n AS MATERIALIZED (SELECT name_lower, {letters('name_lower')} AS nm, length(name_lower) AS nl FROM {listed}),
+{name} AS MATERIALIZED (SELECT word_lower, arg_min(name_lower, (-score, name_lower)) AS name_lower, max(score) AS score FROM (
+  SELECT word_lower, name_lower, {ratio('word_lower', 'name_lower')} AS score FROM {name}w, {name}n WHERE wl * 2 <= nl * 3 AND nl * 2 <= wl * 3 AND bit_count(xor(wm, nm)) <= 0.2 * (wl + nl) + 1e-9
   ) WHERE score >= 80 GROUP BY word_lower)"""
 
 
@@ -243,15 +275,22 @@ add("indel_ratio", f"SELECT name_lower, other, round({ratio('name_lower', 'other
 ENT = pieces_of("ec", "conversations", "conv_id, turn", CLEAN) + r""",
 ew AS (SELECT conv_id, turn, idx, text, lead(text) OVER (PARTITION BY conv_id, turn ORDER BY idx) AS nxt FROM ec WHERE regexp_matches(text, '^[\p{L}\p{N}_]')),
 ent AS (SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, idx) - 1)::INTEGER AS ord, text || ' ' || nxt AS entity FROM ew WHERE regexp_matches(text, '^\p{Lu}') AND regexp_matches(nxt, '^\p{Lu}'))"""
-MATCH = f"""{TOK}, {ENT},
+MATCH_REST = f"""{ENT},
 ww AS (SELECT doc_id, idx, text AS a, lead(text) OVER o AS b, lead(text, 2) OVER o AS c, lead(idx) OVER o AS ib, lead(idx, 2) OVER o AS ic FROM tok WHERE is_word AND doc_id IN (SELECT doc_id FROM ent) WINDOW o AS (PARTITION BY doc_id ORDER BY idx)),
-sp AS (SELECT doc_id, idx AS start_idx, 1 AS span_len, a AS ngram, [idx] AS locs FROM ww UNION ALL SELECT doc_id, idx, 2, a || ' ' || b, [idx, ib] FROM ww WHERE b IS NOT NULL UNION ALL SELECT doc_id, idx, 3, a || ' ' || b || ' ' || c, [idx, ib, ic] FROM ww WHERE c IS NOT NULL),
+grams AS (SELECT doc_id, idx AS start_idx, 1 AS span_len, a AS ngram, [idx] AS locs FROM ww UNION ALL SELECT doc_id, idx, 2, a || ' ' || b, [idx, ib] FROM ww WHERE b IS NOT NULL UNION ALL SELECT doc_id, idx, 3, a || ' ' || b || ' ' || c, [idx, ib, ic] FROM ww WHERE c IS NOT NULL),
 own AS (SELECT DISTINCT doc_id, entity, lower(entity) AS low, {SKELETON('entity')} AS skel FROM ent),
-pr AS (SELECT sp.*, entity, low, skel, lower(ngram) AS sl, {SKELETON('ngram')} AS ss FROM sp JOIN own USING (doc_id)),
+pr AS (SELECT grams.*, entity, low, skel, lower(ngram) AS sl, {SKELETON('ngram')} AS ss FROM grams JOIN own USING (doc_id)),
 s2x AS (SELECT *, low = sl AS same, CASE WHEN low <> sl AND length(skel) >= 3 AND ss <> '' AND 200.0 * least(length(skel), length(ss)) >= 80 * (length(skel) + length(ss)) THEN {ratio('skel', 'ss')} END AS k2 FROM pr),
 s3x AS (SELECT *, CASE WHEN NOT same AND NOT coalesce(k2 >= 80, false) AND 200.0 * least(length(low), length(sl)) >= 60 * (length(low) + length(sl)) THEN {ratio('low', 'sl')} END AS k3 FROM s2x),
 lv AS (SELECT *, CASE WHEN same THEN 1 WHEN k2 >= 80 THEN 2 WHEN k3 >= 60 THEN 3 END AS level, CASE WHEN same THEN 100.0 WHEN k2 >= 80 THEN k2 ELSE k3 END AS score FROM s3x),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY level, (span_len <> 2)::INTEGER, score DESC, span_len, start_idx) AS rank FROM lv WHERE level IS NOT NULL)"""
+MATCH = f"{TOK}, {MATCH_REST}"
+add("entity_top_matches", """SELECT doc_id, entity, count(*) AS n_matches, md5(string_agg(rank || ':' || level || ':' || round(score * 1000000)::BIGINT || ':' || start_idx || ':' || span_len, ',' ORDER BY rank) FILTER (rank <= 10)) AS best FROM rk GROUP BY doc_id, entity""", MATCH)
+add("entity_matches_kept", "SELECT doc_id, entity, len(kept) AS kept, list_min(kept) AS best FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity ORDER BY step DESC) AS r FROM nms) WHERE r = 1", f"""{MATCH},
+rl AS (SELECT doc_id, entity, list(rank ORDER BY rank) AS ranks, list(locs ORDER BY rank) AS places FROM rk GROUP BY doc_id, entity),
+nms AS (SELECT doc_id, entity, 1 AS step, [ranks[1]] AS kept, places[1] AS used FROM rl
+  UNION ALL SELECT n.doc_id, n.entity, n.step + 1, CASE WHEN list_has_any(n.used, l.places[n.step + 1]) THEN n.kept ELSE list_append(n.kept, l.ranks[n.step + 1]) END,
+    CASE WHEN list_has_any(n.used, l.places[n.step + 1]) THEN n.used ELSE list_concat(n.used, l.places[n.step + 1]) END FROM nms n JOIN rl l USING (doc_id, entity) WHERE n.step < len(l.ranks))""", True)
 add("entity_projection_best", "SELECT doc_id, entity, level, round(score, 6) AS score, span_len, start_idx, ngram FROM rk WHERE rank = 1", MATCH)
 add("entity_first_writer", """SELECT doc_id, idx, CASE WHEN ord % 2 = 0 THEN 'Person' ELSE 'Location' END AS label, ord, CASE WHEN pos = 1 THEN 'B' ELSE 'I' END AS bio_position, level, round(score, 6) AS score FROM (
   SELECT doc_id, unnest(locs) AS idx, generate_subscripts(locs, 1) AS pos, ord, level, score FROM ent JOIN (SELECT * FROM rk WHERE rank = 1) USING (doc_id, entity)) QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY ord) = 1""", MATCH)
@@ -345,3 +384,62 @@ su AS (SELECT *, CASE WHEN sub_no = 1 THEN '##' || substring(text, 5) WHEN lengt
 add("first_subword_labels", "SELECT doc_id, idx, sub_no, subword, CASE WHEN sub_no = 1 THEN -100 ELSE CASE label WHEN 'O' THEN 0 WHEN 'B-Person' THEN 1 WHEN 'I-Person' THEN 2 WHEN 'B-Location' THEN 3 ELSE 4 END END AS label_id FROM su", SUBW)
 add("subword_regroup", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS word_no, text AS word FROM vp WHERE is_word", SUBW)
 add("decided_labels", "SELECT vec_id, (list_position(s, list_max(s)) - 1)::INTEGER AS predicted, label AS label_id FROM (SELECT vec_id, embedding[1:5] AS s, label FROM embeddings WHERE vec_id % 5 <> 0)")
+# errors: each miss takes the first fitting invention, kind by kind; a step takes one miss of a document
+FITS = "CASE phase WHEN 0 THEN x.s = todo[1].s AND x.e = todo[1].e AND x.t <> todo[1].t WHEN 1 THEN x.t = todo[1].t AND x.s <= todo[1].e AND todo[1].s <= x.e ELSE x.t <> todo[1].t AND x.s <= todo[1].e AND todo[1].s <= x.e END"
+ERRORS = f"""{CMP},
+wr AS (SELECT coalesce(g.doc_id, r.doc_id) AS doc_id, {{'t': coalesce(g.type, r.type), 's': coalesce(g.start_idx, r.start_idx)::BIGINT, 'e': coalesce(g.end_idx, r.end_idx)::BIGINT}} AS span, g.doc_id IS NOT NULL AS ing
+  FROM g FULL JOIN r ON g.doc_id = r.doc_id AND g.type = r.type AND g.start_idx = r.start_idx AND g.end_idx = r.end_idx WHERE g.doc_id IS NULL OR r.doc_id IS NULL),
+ls AS (SELECT doc_id, coalesce(list(span ORDER BY span) FILTER (ing), []) AS todo, coalesce(list(span ORDER BY span) FILTER (NOT ing), []) AS inv FROM wr GROUP BY doc_id),
+st AS (SELECT doc_id, 0 AS phase, 0 AS step, todo, todo[1:0] AS rest, inv, -1 AS hit, todo[1] AS hit_g, todo[1] AS hit_f FROM ls
+  UNION ALL SELECT doc_id, CASE WHEN len(todo) = 0 THEN phase + 1 ELSE phase END, step + 1, CASE WHEN len(todo) = 0 THEN rest ELSE todo[2:] END, CASE WHEN len(todo) = 0 THEN todo WHEN f IS NULL THEN list_append(rest, todo[1]) ELSE rest END,
+    CASE WHEN f IS NULL THEN inv ELSE list_filter(inv, lambda x: x <> f) END, CASE WHEN f IS NULL THEN -1 ELSE phase END, todo[1], f
+  FROM (SELECT *, CASE WHEN len(todo) > 0 THEN list_filter(inv, lambda x: {FITS})[1] END AS f FROM st WHERE phase < 3)),
+er AS (SELECT doc_id, ['type_confusion', 'boundary_same_type', 'boundary_and_type'][hit + 1] AS category, hit_g AS g, hit_f AS f FROM st WHERE hit >= 0
+  UNION ALL SELECT doc_id, 'pure_miss', unnest(todo), NULL FROM st WHERE phase = 3 UNION ALL SELECT doc_id, 'pure_hallucination', NULL, unnest(inv) FROM st WHERE phase = 3),
+err AS (SELECT doc_id, category, g.t AS gold_type, g.s AS gold_start, g.e AS gold_end, f.t AS pred_type, f.s AS pred_start, f.e AS pred_end FROM er)"""
+add("error_taxonomy", "SELECT * FROM err", ERRORS, True)
+add("error_accounting", "SELECT category, count(*) AS n, CASE WHEN category = 'pure_hallucination' THEN 0 ELSE count(*) END AS fn, CASE WHEN category = 'pure_miss' THEN 0 ELSE count(*) END AS fp FROM err GROUP BY category", ERRORS, True)
+add("error_examples", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id, coalesce(gold_start, pred_start), coalesce(gold_end, pred_end), coalesce(gold_type, pred_type), pred_type)::INTEGER AS rank FROM err) WHERE rank <= 5""", ERRORS, True)
+# chunks of a text: a step cuts one
+TAIL = "substring(text, (greatest(e - 200, pos) + 1)::BIGINT, least(200, e - pos))"
+BEHIND = lambda mark, n: f"length({TAIL}) - strpos(reverse({TAIL}), {q(mark[::-1])}) + {n}"
+CUT = f"CASE WHEN pos + 1500 >= n THEN e WHEN strpos({TAIL}, '. ') > 0 THEN greatest(e - 200, pos) + {BEHIND('. ', 1)} WHEN strpos({TAIL}, ' ') > 0 THEN greatest(e - 200, pos) + {BEHIND(' ', 1)} ELSE e END"
+add("ner_text_chunks", "SELECT doc_id, no::INTEGER AS chunk_no, pos::INTEGER AS chunk_start, (stop - pos)::INTEGER AS n_chars, md5(substring(text, (pos + 1)::BIGINT, stop - pos)) AS digest FROM ch WHERE no >= 0", f"""
+tx AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+ch AS (SELECT doc_id, -1 AS no, 0::BIGINT AS pos, 0::BIGINT AS stop, 0::BIGINT AS nxt FROM tx
+  UNION ALL SELECT doc_id, no + 1, pos, cut, CASE WHEN pos + 1500 >= n THEN n ELSE greatest(pos + 1, cut - 200) END FROM (SELECT *, {CUT} AS cut FROM (SELECT c.doc_id, c.no, c.nxt AS pos, least(c.nxt + 1500, n) AS e, n, text FROM ch c JOIN tx USING (doc_id) WHERE c.no < 0 OR c.nxt < n)))""".replace("FROM ch WHERE no >= 0", "FROM ch JOIN tx USING (doc_id) WHERE no >= 0"), True)
+SQL["ner_text_chunks"] = SQL["ner_text_chunks"].replace("FROM ch WHERE no >= 0", "FROM ch JOIN tx USING (doc_id) WHERE no >= 0")
+# sentences cut at O: a fold over a document's tokens, whose accumulator has the shape of its items
+FOLD = "{'first': %s, 'at': %s, 'used': %s, 'cut': %s, 'since': %s, 'out': %s, 'o': %s, 'size': %s}"
+NOTHING = "[]::STRUCT(a BIGINT, b BIGINT)[]"
+FULL, AT_O = "(acc.used > 0 AND acc.used + x.size > 254)", "(acc.used > 0 AND acc.used + x.size > 254 AND acc.cut > 0)"
+FIRST = f"(CASE WHEN {AT_O} THEN acc.cut WHEN {FULL} THEN acc.at ELSE acc.first END)"
+USED = f"(CASE WHEN {AT_O} THEN acc.since WHEN {FULL} THEN 0 ELSE acc.used END)"
+AGAIN = f"({USED} > 0 AND {USED} + x.size > 254)"
+FIRST2, USED2 = f"(CASE WHEN {AGAIN} THEN acc.at ELSE {FIRST} END)", f"(CASE WHEN {AGAIN} THEN 0 ELSE {USED} END)"
+OUT = f"list_concat(list_concat(acc.out, CASE WHEN {FULL} THEN [{{'a': acc.first, 'b': {FIRST}}}] ELSE {NOTHING} END), CASE WHEN {AGAIN} THEN [{{'a': {FIRST}, 'b': acc.at}}] ELSE {NOTHING} END)"
+O_HERE = f"(x.o AND acc.at > {FIRST2})"
+STEP = FOLD % (f"{FIRST2}::BIGINT", "(acc.at + 1)::BIGINT", f"({USED2} + x.size)::BIGINT", f"(CASE WHEN {O_HERE} THEN acc.at + 1 WHEN {FULL} OR {AGAIN} THEN -1 ELSE acc.cut END)::BIGINT", f"(CASE WHEN {O_HERE} THEN 0 ELSE CASE WHEN {FULL} OR {AGAIN} THEN {USED2} ELSE acc.since END + x.size END)::BIGINT", OUT, "false", "0::BIGINT")
+START = FOLD % ("0::BIGINT", "0::BIGINT", "0::BIGINT", "-1::BIGINT", "0::BIGINT", NOTHING, "false", "0::BIGINT")
+ITEM = FOLD % ("0::BIGINT", "0::BIGINT", "0::BIGINT", "-1::BIGINT", "0::BIGINT", NOTHING, "label = 'O'", "greatest(1, length(text))::BIGINT")
+add("o_boundary_chunks", "SELECT doc_id, (no - 1)::INTEGER AS chunk_no, c.a::INTEGER AS first_pos, c.b::INTEGER AS last_pos FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS no FROM ck)", f"""{V},
+tl AS (SELECT doc_id, list({ITEM} ORDER BY idx) AS items, sum(greatest(1, length(text))) AS total FROM v GROUP BY doc_id),
+fd AS (SELECT doc_id, total, len(items) AS n, list_reduce(list_prepend({START}, items), lambda acc, x: {STEP}) AS f FROM tl),
+ck AS (SELECT doc_id, CASE WHEN total <= 254 THEN [{{'a': 0::BIGINT, 'b': n}}] ELSE list_append(f.out, {{'a': f.first, 'b': f.at}}) END AS chunks FROM fd)""")
+
+
+# votes on all three signals, similar names among them
+def fuzzy_signal(name: str, places: str, persons: str) -> str:
+    own = f"{CAPITAL} AND length(t.text) >= 4"
+    side = lambda k: f"CASE WHEN {k}.level = 'exact' OR ({own.replace('text,', 't.text,')}) THEN {k}.score END"
+    return f"""{name} AS (SELECT doc_id, idx, CASE WHEN coalesce(ls, -1) >= coalesce(ps, -1) THEN 'Location' ELSE 'Person' END AS label FROM (
+  SELECT t.doc_id, t.idx, {STOP.replace('text', 't.text')} AS stop, {side('a')} AS ls, {side('b')} AS ps FROM tok t LEFT JOIN {places} a ON lower(t.text) = a.word_lower LEFT JOIN {persons} b ON lower(t.text) = b.word_lower WHERE t.is_word)
+  WHERE stop IS NULL AND (ls IS NOT NULL OR ps IS NOT NULL))"""
+
+
+CLAIMS = """s1 AS (SELECT doc_id, idx, CASE WHEN ord % 2 = 0 THEN 'Person' ELSE 'Location' END AS label FROM (SELECT doc_id, unnest(locs) AS idx, ord FROM ent JOIN (SELECT * FROM rk WHERE rank = 1) USING (doc_id, entity)) QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY ord) = 1)"""
+BASE_EVERY = f"{TOK},\n{NB},\n{CAP},\n{NAMES},\n{MATCH_REST},\n{CLAIMS},\n{CAPWORDS}, {HITS('hl', 'plc')}, {HITS('hp', 'per')},\n{fuzzy_signal('s2', 'hl', 'hp')}"
+V_EVERY = f"{BASE_EVERY},\n{vote('v', entities='s1')}"
+GP_EVERY = f"{V_EVERY}, per_lo AS (SELECT * FROM per WHERE name_lower < 'm'), {HITS('ho', 'per_lo')},\n{fuzzy_signal('s2p', 'ho', 'hl')},\n{vote('vp', names='s2p')}"
+for _name in ("vote_labels", "vote_reasons", "signal_combinations", "vote_summary", "review_unknown_tokens", "doc_summary", "io_spans", "bio_spans", "seqeval_spans", "conll_emit", "conll_read_sentences", "conll_parse_entities", "metrics_entity", "metrics_entity_avg", "metrics_token", "metrics_token_avg"):
+    SQL[f"{_name}_every_signal"] = SQL[_name].replace(GP, GP_EVERY).replace(V, V_EVERY)

@@ -6,6 +6,8 @@ on the word, capitals by windows on the exchange that voting uses too.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,40 @@ def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = Non
     return vote(rows.select(*names, *[c.alias(n) for n, c in found.items()]), lex)
 
 
+@dataclass(frozen=True)
+class Way:
+    """How one annotation of several looks names up: the list columns of the name table that are its places and its persons (none: that signal is silent), and whether capitals count."""
+
+    places: str | None = None
+    persons: str | None = None
+    capitals: bool = True
+
+
+def annotate_ways(docs: DataFrame, lex: sg.Lexicons, table: DataFrame, ways: dict[str, Way], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Voted labels of every token in several ways (exact names of a ``gazetteer.name_table``, capitals), with a column ``way``.
+
+    Tokens, names and capitals are worked out once; only the vote runs for each way.
+    """
+    named = {n: w for n, w in ways.items() if w.places and w.persons}
+    column = {n: f"_names_{i}" for i, n in enumerate(named)}
+    rows = tokenize(docs, id, text)
+    if named:
+        rows = sg.exact_labels(rows, table, {column[n]: (w.places, w.persons) for n, w in named.items()}, lex)
+    if any(w.capitals for w in ways.values()):
+        rows = sg.mark_capitals(rows, lex)
+    none = F.lit(None).cast("string")
+    sides = [F.struct(F.lit(n).alias("way"), (F.col(column[n]) if n in named else none).alias("s2"), (F.col("label") if w.capitals else none).alias("s3")) for n, w in ways.items()]
+    rows = rows.select("doc_id", "idx", "text", "is_word", F.explode(F.array(*sides)).alias("w"))
+    voted = vote(rows.select(F.struct("w.way", "doc_id").alias("doc_id"), "idx", "text", "is_word", none.alias("s1"), F.col("w.s2").alias("s2"), F.col("w.s3").alias("s3")), lex)
+    return voted.withColumn("way", F.col("doc_id.way")).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def by_way(voted: DataFrame, decode) -> DataFrame:
+    """Spans of ``annotate_ways`` by a decoder that takes one document's tokens, with the column ``way``."""
+    found = decode(voted.withColumn("doc_id", F.struct("way", "doc_id")).drop("way"))
+    return found.withColumn("way", F.col("doc_id.way")).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
 def document_summary(voted: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_words, n_person, n_location``: tokens, and spans by type (each begins with a B, so one aggregate does)."""
     begins = lambda kind: F.count_if(F.col("is_word") & (F.col("label") == f"B-{kind}"))

@@ -16,7 +16,7 @@ from marginalia.functions import lexicon as lx
 from marginalia.functions import text as tx
 from marginalia.functions.similarity import indel_ratio
 from marginalia.operators import corpus, gazetteer, metrics, signals, spans, tokens, voting
-from marginalia.plans.annotate import annotate, document_summary
+from marginalia.plans.annotate import Way, annotate, annotate_ways, by_way, document_summary
 from marginalia.sources import files
 
 LEX = signals.Lexicons(
@@ -66,16 +66,30 @@ def pred(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
 
 
 def labelled_pairs(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return metrics.aligned(gold(spark, d, every), pred(spark, d, every))
+    return metrics.aligned(gold(spark, d, True), pred(spark, d, True)) if every else metrics.aligned_ways(both_ways(spark, d))
+
+
+def name_table(spark: SparkSession, d: str) -> DataFrame:
+    """All names with the lists that have them; ``short`` is the part of the persons that the prediction knows."""
+    places, persons = lists(spark, d)
+    return gazetteer.name_table({"places": places, "persons": persons}).withColumn("short", F.col("persons") & (F.col("name_lower") < "m"))
+
+
+def both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Gold and prediction (as ``gold`` and ``pred`` without ``every``) over the same tokens."""
+    return annotate_ways(docs_of(spark, d), LEX, name_table(spark, d), {"gold": Way("places", "persons"), "pred": Way("short", "places")})
+
+
+def compared(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    if every:
+        return metrics.compare_spans(spans.chunk_spans(gold(spark, d, True)), spans.chunk_spans(pred(spark, d, True)))
+    return metrics.compare_ways(by_way(both_ways(spark, d), spans.chunk_spans))
 
 
 def coder_spans(spark: SparkSession, d: str) -> DataFrame:
-    coders = {"a": voted(spark, d), "b": voted(spark, d, names=False), "c": voted(spark, d, capitals=False)}
-    out = None
-    for name, rows in coders.items():
-        found = spans.io_spans(rows).select(F.lit(name).alias("coder"), *metrics.SPAN)
-        out = found if out is None else out.unionByName(found)
-    return out
+    ways = {"a": Way("places", "persons"), "b": Way(), "c": Way("places", "persons", capitals=False)}
+    found = by_way(annotate_ways(docs_of(spark, d), LEX, name_table(spark, d), ways), spans.io_spans)
+    return found.select(F.col("way").alias("coder"), *metrics.SPAN)
 
 
 def codings(spark: SparkSession, d: str) -> DataFrame:
@@ -247,11 +261,19 @@ def _rows(spark, d):
     return load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_no"), F.array("role", "text").alias("fields"))
 
 
+def _place_lines(spark, d):
+    short = load(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("k"), F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    return short.select((F.col("k") * 1000 + F.col("pos")).alias("line_no"), F.when(F.col("pos") % 3 == 0, F.concat("w", F.lit(" "), F.lower("w"), F.lit("a"))).otherwise(F.col("w")).alias("line"))
+
+
 @query
 def gazetteer_places(spark, d):
-    short = load(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("k"), F.posexplode(F.split("text", " ")).alias("pos", "w"))
-    lines = short.select((F.col("k") * 1000 + F.col("pos")).alias("line_no"), F.when(F.col("pos") % 3 == 0, F.concat("w", F.lit(" "), F.lower("w"), F.lit("a"))).otherwise(F.col("w")).alias("line"))
-    return gazetteer.places(lines, 32, ["qu"], ["the"], ["and"])
+    return gazetteer.places(_place_lines(spark, d), 32, ["qu"], ["the"], ["and"])
+
+
+@query
+def gazetteer_place_statistics(spark, d):
+    return gazetteer.place_statistics(_place_lines(spark, d), 32, ["qu"], ["the"], ["and"])
 
 
 @query
@@ -329,25 +351,32 @@ QUERIES["indel_ratio"] = _indel_ratio
 
 @query
 def entity_projection_best(spark, d):
-    best = signals.entity_matches(toks(spark, d), entities(spark, d), longest=2).where("rank = 1")
+    best = signals.entity_matches(toks(spark, d), entities(spark, d)).where("rank = 1")
     return best.select("doc_id", "entity", "level", F.round("score", 6).alias("score"), "span_len", "start_idx", "ngram")
 
 
 @query
 def entity_first_writer(spark, d):
-    found = signals.project_entities(toks(spark, d), entities(spark, d), longest=2)
+    found = signals.project_entities(toks(spark, d), entities(spark, d))
     return found.select("doc_id", "idx", "label", "ord", "bio_position", "level", F.round("score", 6).alias("score"))
 
 
 @query
 def entity_matches_kept(spark, d):
-    kept = signals.without_overlaps(signals.entity_matches(toks(spark, d), entities(spark, d), longest=2))
+    kept = signals.without_overlaps(signals.entity_matches(toks(spark, d), entities(spark, d)))
     return kept.groupBy("doc_id", "entity").agg(F.count("*").alias("kept"), F.min("rank").alias("best"))
 
 
+@query
+def entity_top_matches(spark, d):
+    found = signals.top_matches(signals.entity_matches(toks(spark, d), entities(spark, d)))
+    item = lambda x: F.concat_ws(":", x["rank"].cast("string"), x["level"].cast("string"), F.round(x["score"] * 1000000).cast("long").cast("string"), x["start_idx"].cast("string"), x["span_len"].cast("string"))
+    return found.select("doc_id", "entity", "n_matches", F.md5(F.array_join(F.transform("best", item), ",")).alias("best"))
+
+
 @query
 def entity_unmatched(spark, d):
-    return signals.unmatched_entities(toks(spark, d), entities(spark, d), longest=2).select("doc_id", "ord", "text")
+    return signals.unmatched_entities(toks(spark, d), entities(spark, d)).select("doc_id", "ord", "text")
 
 
 @query
@@ -434,8 +463,7 @@ def conll_parse_entities(spark, d, every=False):
 
 @query
 def metrics_entity(spark, d, every=False):
-    rows = metrics.entity_scores(spans.chunk_spans(gold(spark, d, every)), spans.chunk_spans(pred(spark, d, every)))
-    return _rounded(rows, "precision", "recall", "f1")
+    return _rounded(metrics.scores_of(compared(spark, d, every)), "precision", "recall", "f1")
 
 
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
@@ -444,7 +472,7 @@ def _rounded(rows: DataFrame, *names: str) -> DataFrame:
 
 @query
 def metrics_entity_avg(spark, d, every=False):
-    return _rounded(metrics.averages(metrics.entity_scores(spans.chunk_spans(gold(spark, d, every)), spans.chunk_spans(pred(spark, d, every)))), "precision", "recall", "f1")
+    return _rounded(metrics.averages(metrics.scores_of(compared(spark, d, every))), "precision", "recall", "f1")
 
 
 @query
@@ -474,7 +502,7 @@ def class_distribution(spark, d):
 
 @query
 def error_taxonomy(spark, d):
-    return metrics.error_taxonomy(spans.chunk_spans(gold(spark, d)), spans.chunk_spans(pred(spark, d)))
+    return metrics.taxonomy_of(compared(spark, d))
 
 
 @query
@@ -518,7 +546,7 @@ def label_counts(spark, d):
     return metrics.label_counts(codings(spark, d), ["0", "1"]).withColumnsRenamed({"0": "n_0", "1": "n_1"})
 
 
-#: The same over the votes of all three signals, similar names among them; SQL is too slow for those, so they have none.
+#: The same over the votes of all three signals, similar names among them.
 EVERY_SIGNAL = (
     vote_labels, vote_reasons, signal_combinations, vote_summary, review_unknown_tokens, doc_summary, io_spans, bio_spans, seqeval_spans, conll_emit, conll_read_sentences, conll_parse_entities,
     metrics_entity, metrics_entity_avg, metrics_token, metrics_token_avg,
@@ -550,8 +578,8 @@ def resume_anti_join(spark, d):
 
 @query
 def gold_join(spark, d):
-    rows = load(spark, d, "labels").join(docs_of(spark, d), "doc_id", "left")
-    return rows.select("doc_id", F.col("text").isNull().alias("missing"), (F.coalesce(tx.strip(F.col("text")), F.lit("")) == "").alias("without_edition"))
+    docs = docs_of(spark, d)
+    return corpus.missing_inputs(load(spark, d, "labels"), docs, docs).select("doc_id", "missing", "without_edition")
 
 
 @query
@@ -622,7 +650,7 @@ def overlap_windows(spark, d):
 
 @query
 def chunk_min_len(spark, d):
-    return _ids(spark, d).where(F.size("ids") >= 7).select("doc_id", F.size("ids").alias("n"))
+    return corpus.long_enough(_ids(spark, d)).select("doc_id", F.size("ids").alias("n"))
 
 
 @query

@@ -148,7 +148,8 @@ def write_review(unknown: DataFrame, path: str) -> None:
 def write_split(spark: SparkSession, source: str, out: str, seed: int = 42) -> dict:
     """Split a folder's label files by a seeded shuffle of their names; the test files' texts and a manifest go to ``out``.
 
-    Only names come to the driver. The manifest is also returned.
+    Only names come to the driver, where the shuffle's generator is; the test files are
+    found by a join with theirs. The manifest is also returned.
     """
     import json
 
@@ -158,6 +159,7 @@ def write_split(spark: SparkSession, source: str, out: str, seed: int = 42) -> d
     names = [r.file for r in docs.select("file").distinct().collect()]
     parts = split_by_shuffle(names, seed)
     manifest = {"seed": seed, "source_dir": source, "output_dir": out, **parts}
-    docs.where(F.col("file").isin(parts["test"])).withColumn("value", F.regexp_replace("value", r"\n\z", "")).write.partitionBy("file").text(f"{out}/test")
+    test = spark.createDataFrame([(name,) for name in parts["test"]], "file string")
+    docs.join(test, "file", "left_semi").withColumn("value", F.regexp_replace("value", r"\n\z", "")).write.partitionBy("file").text(f"{out}/test")
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{out}/manifest")
     return manifest

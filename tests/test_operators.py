@@ -84,10 +84,16 @@ def lcs(a, b):
     return row[-1]
 
 
+def test_roman_numerals(spark):
+    for ordinal in ("", "primo", "secundo", "tercio", "quarto", "quinto", "sexto", "septimo", "octauo", "nono"):
+        assert spark.range(1).select(lx.is_roman(F.lit(f"Mccclxxx{ordinal}"))).first()[0], ordinal
+    assert not spark.range(1).select(lx.is_roman(F.lit("xoctavo"))).first()[0]
+
+
 def test_indel_ratio(spark):
     pairs = [("ab", "ba"), ("abc", "abc"), ("", ""), ("", "a"), ("é🙂a", "a🙂é")] + [("".join(RNG.choices("abcd", k=RNG.randrange(12))), "".join(RNG.choices("abcd", k=RNG.randrange(70)))) for _ in range(200)]
     pairs.append(("ab" * 40, "ba" * 45))
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", indel_ratio(F.col("a"), F.col("b"), long_strings=True).alias("r")).collect()
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", indel_ratio(F.col("a"), F.col("b")).alias("r")).collect()
     for r in rows:
         assert r.r == pytest.approx(200 * lcs(r.a, r.b) / (len(r.a) + len(r.b)) if r.a or r.b else 100)
 
@@ -96,7 +102,7 @@ def test_long_strings_are_compared(spark):
     r = random.Random(5)
     word = lambda k, chars="bcdfghklmnprstvz": "".join(r.choice(chars) for _ in range(k))
     pairs = [(word(a, "abcd"), word(b, "abcd")) for a, b in ((62, 62), (63, 63), (63, 200), (124, 124), (125, 130), (186, 187), (300, 250))]
-    for x in spark.createDataFrame(pairs, "a string, b string").select("a", "b", indel_ratio(F.col("a"), F.col("b"), long_strings=True).alias("r")).collect():
+    for x in spark.createDataFrame(pairs, "a string, b string").select("a", "b", indel_ratio(F.col("a"), F.col("b")).alias("r")).collect():
         assert x.r == pytest.approx(200 * lcs(x.a, x.b) / (len(x.a) + len(x.b)))
     name = word(80)
     best = gazetteer.best_similar(names(spark, name, "other"), spark.createDataFrame([(name[:40] + "ee" + name[41:],)], "word_lower string")).collect()
@@ -169,6 +175,7 @@ def test_gazetteers(spark):
     rows = spark.createDataFrame([(0, ["Erik, *Erik ,x", "Jo-,"]), (1, ["ERIK", ""])], "row_no long, fields array<string>")
     assert gazetteer.persons(rows).collect() == [("erik", "Erik")]
     assert gazetteer.person_statistics(rows).first() == (7, 2, 1, 1, 1)
+    assert gazetteer.place_statistics(lines, 1, ["län"], ["stora"], ["the"]).first() == (8, 7, 1, 3)
     both = gazetteer.merge(names(spark, "A", "B"), names(spark, "b", "C"))
     assert sorted(both.collect()) == [("a", "A", False), ("b", "B", False), ("c", "C", True)]
 
@@ -204,6 +211,68 @@ def test_entities(spark):
             seen |= set(r.token_indices)
 
 
+def test_entities_of_any_length(spark):
+    nine = "Anna Bertil Cecilia David Erik Filip Gustav Helga Ivar"
+    d = texts(spark, [f"so {nine.replace('David', 'Davit')} came and Erik Filip", "Bo and Erik"])
+    e = spark.createDataFrame([(0, 0, nine, "Person"), (0, 1, "Erik Filip", "Person"), (1, 0, "Erik", "Person")], "doc_id long, ord int, text string, mapped_label string")
+    t = tokens.tokenize(d)
+    found = signals.entity_matches(t, e)
+    best = {(r.doc_id, r.entity): (r.level, r.span_len, r.start_idx) for r in found.where("rank = 1").collect()}
+    assert best == {(0, nine): (2, 9, 1), (0, "Erik Filip"): (1, 2, 5), (1, "Erik"): (1, 1, 2)}
+    spans_ = tokens.spans_within(t, spark.createDataFrame([(0, 10), (1, 2)], "doc_id long, n int"))
+    same = tokens.word_ngrams(t, 10)
+    key = lambda df: sorted((r.doc_id, r.start_idx, r.span_len, r.ngram, tuple(r.token_indices)) for r in df.collect())
+    assert key(spans_) == [x for x in key(same) if x[0] == 0 or x[2] <= 2]
+    top = {(r.doc_id, r.entity): r for r in signals.top_matches(found, 3).collect()}
+    every = {}
+    for r in found.collect():
+        every.setdefault((r.doc_id, r.entity), []).append(r.rank)
+    assert {k: (r.n_matches, [x["rank"] for x in r.best]) for k, r in top.items()} == {k: (len(v), sorted(v)[:3]) for k, v in every.items()}
+
+
+def test_many_names_are_dealt_in_blocks(spark, monkeypatch):
+    make = lambda: "".join(RNG.choices("abcde", k=RNG.randrange(4, 10)))
+    words, listed = spark.createDataFrame([(make(),) for _ in range(60)], "word_lower string"), names(spark, *{make() for _ in range(80)})
+    small = sorted(gazetteer.best_similar(listed, words).collect())
+    monkeypatch.setattr(gazetteer, "BROADCAST_NAMES", 100)
+    assert sorted(gazetteer.best_similar(listed, words).collect()) == small
+
+
+def test_lists_looked_up_together_equal_one_by_one(spark):
+    t = tokens.tokenize(texts(spark, ["so Upsala, Jonas and Jonass upsala The Vi vi bro Bro Brok"]))
+    lists = {"a": names(spark, "Upsala", "Brok"), "b": names(spark, "Jonass", "bro", "Upsale")}
+    both = {r.word_lower: r for r in gazetteer.lookup_lists(t, lists, ["upsale"]).collect()}
+    for k, listed in lists.items():
+        one = {r.word_lower: (r.score, r.level, r.name) for r in gazetteer.lookup(t, listed, ["upsale"]).where("score is not null").collect()}
+        assert {w: tuple(r[k]) for w, r in both.items() if r[k]} == one
+    exact = {r.word_lower for r in gazetteer.lookup(t, lists["b"], [], fuzzy=False).collect()}
+    assert exact == {"jonass", "bro"}
+
+
+def test_ways_equal_annotations_apart(spark, sf):
+    from marginalia import queries as q
+    from marginalia.plans.annotate import by_way
+
+    both = q.both_ways(spark, sf)
+    for way, apart in (("gold", q.gold(spark, sf)), ("pred", q.pred(spark, sf))):
+        assert sorted(both.where(F.col("way") == way).select("doc_id", "idx", "text", "label").collect()) == sorted(apart.select("doc_id", "idx", "text", "label").collect())
+    key = lambda df: sorted(map(tuple, df.select(*metrics.SPAN, "in_gold", "in_pred").collect()))
+    apart = metrics.compare_spans(spans.chunk_spans(q.gold(spark, sf)), spans.chunk_spans(q.pred(spark, sf)))
+    assert key(metrics.compare_ways(by_way(both, spans.chunk_spans))) == key(apart)
+    assert sorted(metrics.aligned_ways(both).collect()) == sorted(metrics.aligned(q.gold(spark, sf), q.pred(spark, sf)).collect())
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_plans_read_their_tables_once(spark, sf):
+    from marginalia import queries as q
+
+    for name, most in (("vote_labels", 3), ("bio_spans", 3), ("doc_summary", 3), ("metrics_entity", 3), ("metrics_token", 3), ("pairwise_f1", 3), ("pairwise_f1_by_type", 3), ("error_taxonomy", 3)):
+        assert scans(q.QUERIES[name](spark, sf)) <= most, name
+
+
 def test_ngrams_with_their_places(spark, sf):
     import hashlib
 
@@ -375,6 +444,40 @@ def test_tagged_tokens(spark):
     assert got == [("so", "O"), ("Bo", "Person"), ("Jonsson", "Person"), ("<", "O"), ("i", "O"), (">", "O"), ("i", "O"), ("<", "O"), ("/", "O"), ("i", "O"), (">", "O"), ("Å", "Location"), ("bo", "Location"), (".", "O")]
 
 
+def brute_tags(body):
+    plain, now, out = "", None, []
+    for p in re.findall(r"<[^>]+>|[^<]+|<", body):
+        kind = next((v for t, v in (("persname", "Person"), ("placename", "Location")) if re.match(rf"(?i)^<{t}(\s[^>]*)?>$", p)), None)
+        if kind:
+            now = kind
+        elif re.match(r"(?i)^</(persname|placename)\s*>$", p):
+            now = None
+        else:
+            if now:
+                out.append((now, len(plain), len(plain) + len(p)))
+            plain += p
+    return plain, out
+
+
+def test_tagged_spans_equal_a_fold(spark):
+    pick = ["<persname>", "</persname>", "<placename x='1'>", "</placename >", "<i>", "<", "a b", "º x", "é🙂", " ", "Bo."]
+    bodies = ["".join(RNG.choices(pick, k=RNG.randrange(40))) for _ in range(60)] + ["", "<persname>Bo</persname> i " * 3000]
+    d = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, body string").withColumn("_parts2", F.lit(1))
+    for r in corpus.tagged_spans(d).collect():
+        plain, want = brute_tags(r.body)
+        assert (r.plain, [tuple(x) for x in r.labels]) == (plain, want)
+    got = {}
+    for r in corpus.tagged_tokens(d, "doc_id").orderBy("doc_id", "idx").collect():
+        got.setdefault(r.doc_id, []).append((r.idx, r.text, r.io))
+    kinds = re.compile("[\u0300-\u036f\\w]+|[^\\w\\s]")
+    for i, body in enumerate(bodies):
+        plain, labels = brute_tags(body)
+        of = {at: kind for kind, s, e in labels for at in range(s, e)}
+        want = [(m[0], of.get(m.start(), "O")) for m in kinds.finditer(plain.replace("º", " ").replace("°", " "))]
+        assert [x[1:] for x in got.get(i, [])] == want
+        assert [x[0] for x in got.get(i, [])] == list(range(len(want)))
+
+
 def test_review_and_json(spark, tmp_path):
     rows = spark.createDataFrame([("10", "Bo", 2, 5), ("9", "Erik", 1, 0), ("9", "Anna", 3, 4)], "doc_id string, text string, n long, first_idx int")
     files.write_review(rows, str(tmp_path / "review"))
@@ -449,6 +552,41 @@ def test_pairwise_f1(spark):
     assert metrics.pairwise_f1(rows, ["a", "b"], by_type=True).count() == 2
 
 
+def test_pairwise_f1_equals_sets(spark):
+    coders = {c: {(RNG.randrange(3), *x) for x in random_spans(30)} for c in "abcd"}
+    rows = spark.createDataFrame([(c, *x) for c, s in coders.items() for x in s for _ in range(2)], "coder string, doc_id long, type string, start_idx int, end_idx int")
+    for r in metrics.pairwise_f1(rows, list("abcd")).collect():
+        a, b = coders[r.coder_a], coders[r.coder_b]
+        assert (r.tp, r.n_a, r.n_b) == (len(a & b), len(a), len(b))
+        assert r.f1 == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+    for r in metrics.pairwise_f1(rows, list("abc"), by_type=True).collect():
+        a, b = ({x for x in coders[c] if x[1] == r.type} for c in (r.coder_a, r.coder_b))
+        assert (r.tp, r.n_a, r.n_b) == (len(a & b), len(a), len(b))
+
+
+def test_inputs_of_an_evaluation(spark):
+    raw = spark.createDataFrame([("1", "s"), ("2", None), ("3", "t")], "doc_id string, summary string")
+    editions = spark.createDataFrame([("1", "text"), ("2", " more "), ("3", "  ")], "doc_id string, text string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id string")
+    assert sorted(corpus.evaluation_inputs(ids("1", "2"), raw, editions).collect()) == [("1", "s", "text"), ("2", "", " more ")]
+    for i, what in (("3", "no edition text: 3"), ("4", "not among the raw documents: 4")):
+        with pytest.raises(Exception, match=what):
+            corpus.evaluation_inputs(ids("1", i), raw, editions).collect()
+
+
+def test_details_of_signals(spark):
+    t = tokens.tokenize(texts(spark, ["so Upsala and Bo Jonsson came"]))
+    e = spark.createDataFrame([(0, 0, "Bo Jonsson", "Person")], "doc_id long, ord int, text string, mapped_label string")
+    lex = signals.Lexicons()
+    rows = {r.idx: r for r in voting.signal_details(signals.project_entities(t, e), signals.name_lists(t, names(spark, "Upsala"), names(spark, "Jonsso"), lex), signals.capitals(t, lex)).collect()}
+    assert rows[1].signal_1 is None
+    assert tuple(rows[1].signal_2) == ("Location", "upsala", 100.0, "exact", "places")
+    assert tuple(rows[4].signal_1) == ("Person", "I", 1, 100.0, 0)
+    assert rows[4].signal_2.level == "fuzzy"
+    assert tuple(rows[3].signal_3) == ("Person", "candidate")
+    assert set(rows) == {1, 3, 4}
+
+
 def test_alignment(spark):
     a = labelled(spark, "O B-Person O")
     b = a.withColumn("text", F.when(F.col("idx") == 1, "other").otherwise(F.col("text")))
