@@ -82,6 +82,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "inner", deals: int = 8) -> DataFrame:
+    """``many`` joined with ``few``, which has a row for each key, where one key may have a great share of ``many``.
+
+    Rows of ``many`` are dealt by a hash of ``by``, and those of ``few`` go to all deals,
+    so no task gets all rows of a key.
+    """
+    deal = "_deal"
+    while deal in many.columns or deal in few.columns:
+        deal += "_"
+    dealt = many.withColumn(deal, F.pmod(F.xxhash64(*by), F.lit(deals)).cast("int"))
+    every = few.withColumn(deal, F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    return dealt.join(every.hint("merge"), [*on, deal], how).drop(deal)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, GAPS), "")
 
