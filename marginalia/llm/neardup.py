@@ -1,10 +1,11 @@
 """Near duplicates of texts: BagMinHash signatures of word-shingle multisets, bands, exact check, components.
 
-Texts that are equal are one from the start, so groups of copies cost one signature.
-Band buckets are first reduced to their least member, and every other member is held
-against that one only; buckets in which members of different classes remain are then
-looked through in blocks, with signatures deciding which pairs get an exact check, and
-only links between classes leave a block.
+Texts that are equal are one from the start: a task signs each text once, however many
+copies it meets, and what tasks sign twice becomes one before the bands. Band buckets are
+first reduced to their least member, and every other member is held against that one
+only; buckets in which members of different classes remain are then looked through in
+blocks, by signatures alone. Only members with a promising partner there get their
+texts for an exact check, and only links between classes leave a block.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, cut, discard, fresh
+from marginalia.llm.common import components, cut, discard, fresh, spread_join
 from marginalia.llm.packing import text_runs
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -27,6 +28,8 @@ BANDS, ROWS = 24, 6
 HOPELESS = 0.65
 #: Members of a bucket that one task compares with each other at a time.
 BLOCK = 512
+#: Texts that a task remembers to have signed.
+SIGNED = 500_000
 _ONE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -142,12 +145,16 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def sketch(texts: DataFrame) -> DataFrame:
-    """``node`` and ``text`` to ``node, sig, bands``: one byte of each register, and a key for each band; texts without words give no row."""
+    """``node`` and ``text`` to ``node, sig, bands``: one byte of each register, and a key for each band; texts without words give no row, and copies within a task one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, signed = Shingler(), set()
         for nodes, run in text_runs(batches, 1_000_000):
-            kept = [(n, b) for n, b in zip(nodes.to_pylist(), map(shingler.bag, run.to_pylist()), strict=True) if len(b[0])]
+            if len(signed) > SIGNED:
+                signed.clear()
+            names = nodes.to_pylist()
+            new = [i for i, n in enumerate(names) if not (n in signed or signed.add(n))]
+            kept = [(names[i], b) for i, b in zip(new, map(shingler.bag, run.take(pa.array(new, pa.int64())).to_pylist()), strict=True) if len(b[0])]
             if kept:
                 sigs = signatures([b for _, b in kept], BANDS * ROWS)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sigs).ravel()))
@@ -186,55 +193,80 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
-def _bucket_links(left: DataFrame) -> DataFrame:
-    """``a, b``: links that join the classes of a bucket's members, as far as exact checks find them.
-
-    ``left``: ``k, band, node, class, sig, bands, text``, k the number of the band. Large
-    buckets are dealt out in blocks, each pair of blocks to a task of its own. A task
-    checks pairs of different classes, the most promising first, and passes on only
-    links that join two; a pair is checked in the first band that brings it together.
+def _promising(k: int, sigs: np.ndarray, keys: np.ndarray, names: np.ndarray, one: np.ndarray, other: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some members at a time: their numbers, how far each pair's signatures agree, and which pairs to check: of different classes, near enough, met in no earlier band."""
+    for some in np.array_split(one, len(one) // 32 + 1):
+        agree = (sigs[some][:, None, :] == sigs[other][None, :, :]).mean(axis=2)
+        near = (agree >= HOPELESS) & (names[some][:, None] != names[other][None, :]) & ~(keys[some][:, None, :k] == keys[other][None, :, :k]).any(axis=2)
+        if same:
+            near &= some[:, None] < other[None, :]
+        yield some, agree, near
+
+
+def _block_of(t: pa.Table) -> tuple:
+    k, p, q, own = t.column("k")[0].as_py(), t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("own").to_numpy()
+    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    names = pd.factorize(pd.Series(t.column("class").to_pylist()))[0]
+    return k, sigs, keys, names, np.flatnonzero(own == p), np.flatnonzero(own == q), p == q
+
+
+def _members(t: pa.Table) -> pa.Table:
+    """The members of a pair of blocks that have a promising partner in it."""
+    block, found = _block_of(t), np.zeros(t.num_rows, bool)
+    for some, _, near in _promising(*block):
+        found[some] |= near.any(axis=1)
+        found[block[5]] |= near.any(axis=0)
+    return t.select(["k", "band", "p", "q", "own", "class", "node"]).filter(pa.array(found))
+
+
+def _links(t: pa.Table) -> pa.Table:
+    """``a, b``: links that join the classes of a pair of blocks, the most promising pairs checked first."""
+    block = _block_of(t)
+    names, other = block[3], block[5]
+    pairs = [np.zeros((3, 0))]
+    for some, agree, near in _promising(*block):
+        i, j = np.nonzero(near)
+        pairs.append(np.stack([-agree[i, j], some[i], other[j]]))
+    found = np.concatenate(pairs, axis=1)
+    found = found[:, np.argsort(found[0], kind="stable")]
+    up, bags, links, nodes, texts, shingler = list(range(len(names))), {}, [], t.column("node"), t.column("text"), Shingler()
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in bags:
+            bags[i] = shingler.bag(texts[i].as_py())
+        return bags[i]
+
+    for i, j in zip(found[1].astype(int).tolist(), found[2].astype(int).tolist(), strict=True):
+        x, y = root(int(names[i])), root(int(names[j]))
+        if x != y and weighted_jaccard(bag(i), bag(j)) >= SIMILARITY:
+            up[x] = y
+            links.append((nodes[i].as_py(), nodes[j].as_py()))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def _bucket_links(named: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: links between classes that a bucket's members (``k, band, node, class``) have, as far as exact checks find them.
+
+    Buckets of several classes are dealt out in blocks by their size, each pair of
+    blocks to a task of its own. The sizes are added up before the shuffle, and go to
+    several deals of a band, so that no task gets all of a large one.
     """
-    blocks = left.groupBy("band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
-    dealt = left.join(blocks.hint("merge"), "band").withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    sizes = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2")
+    sizes = sizes.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("n"))
+    dealt = spread_join(named, sizes, ["band"], ["node"]).withColumn("own", F.pmod(F.xxhash64("node"), "n").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("k", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "class", "sig", "bands", "text")
-
-    def block(t: pa.Table) -> pa.Table:
-        k, p, q, own = t.column("k")[0].as_py(), t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("own").to_numpy()
-        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)[:, :k]
-        names = pd.factorize(pd.Series(t.column("class").to_pylist()))[0]
-        one, other = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        pairs = []
-        for some in np.array_split(one, len(one) // 32 + 1):
-            agree = (sigs[some][:, None, :] == sigs[other][None, :, :]).mean(axis=2)
-            near = (agree >= HOPELESS) & (names[some][:, None] != names[other][None, :]) & ~(keys[some][:, None, :] == keys[other][None, :, :]).any(axis=2)
-            if p == q:
-                near &= some[:, None] < other[None, :]
-            i, j = np.nonzero(near)
-            pairs.append(np.stack([-agree[i, j], some[i], other[j]]))
-        found = np.concatenate(pairs, axis=1)
-        found = found[:, np.argsort(found[0], kind="stable")]
-        up, bags, links, nodes, texts, shingler = list(range(len(names))), {}, [], t.column("node"), t.column("text"), Shingler()
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
-            if i not in bags:
-                bags[i] = shingler.bag(texts[i].as_py())
-            return bags[i]
-
-        for i, j in zip(found[1].astype(int).tolist(), found[2].astype(int).tolist(), strict=True):
-            x, y = root(int(names[i])), root(int(names[j]))
-            if x != y and weighted_jaccard(bag(i), bag(j)) >= SIMILARITY:
-                up[x] = y
-                links.append((nodes[i].as_py(), nodes[j].as_py()))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
-
-    return dealt.groupBy("k", "band", "p", "q").applyInArrow(block, "a binary, b binary")
+    dealt = dealt.select("k", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "node")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+    signed = dealt.join(sketches.hint("merge"), "node")
+    members = cut(signed.groupBy("k", "band", "p", "q").applyInArrow(_members, kinds))
+    whole = members.join(sketches.hint("merge"), "node").join(texts.hint("merge"), "node")
+    return whole.groupBy("k", "band", "p", "q").applyInArrow(_links, "a binary, b binary")
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,18 +294,17 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     tried = cut(members.where("a <> node").select("a", F.col("node").alias("b")).distinct())
     roots = cut(components(verified(_hopeful(tried, sigs), chosen)))
     named = members.select("k", "band", "node").join(roots.hint("merge"), "node", "left").select("k", "band", "node", F.coalesce("root", "node").alias("class"))
-    mixed = named.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("band")
-    left = named.join(mixed.hint("merge"), "band").join(sketches.hint("merge"), "node").join(chosen.hint("merge"), "node")
-    more = cut(_bucket_links(left.select("k", "band", "node", "class", "sig", "bands", "text")))
+    more = cut(_bucket_links(named, sketches, chosen))
     if not more.isEmpty():
         roots = cut(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)))
     for done in (sketches, members, chosen, tried, more):
         discard(done)
-    named = cut(nodes.join(roots.hint("merge"), "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
-    found = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
-    by_node = named.select("node", "root").join(found.hint("merge"), "root").select("node", "class_id", "n_class")
-    out = rows.join(by_node.hint("merge"), "node", "left")
-    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    linked = cut(nodes.join(roots.hint("merge"), "node"))
+    found = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_class"))
+    copies = nodes.where("n > 1").join(roots.select("node").hint("merge"), "node", "left_anti").select("node", F.col("least").alias("class_id"), F.col("n").alias("n_class"))
+    by_node = spread_join(linked.select("node", "root"), found, ["root"], ["node"]).select("node", "class_id", "n_class").unionByName(copies)
+    out = spread_join(rows, by_node, ["node"], ["doc_id"], "left")  # rows that are alone find none
+    class_id = F.when(F.col("n_class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     out = out.select("doc_id", class_id, F.coalesce("n_class", F.lit(1)).alias("n_class"))
     return out.select("doc_id", "class_id", "n_class", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
