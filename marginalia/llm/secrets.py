@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import running
 from marginalia.llm.common import fresh, let
 
 #: The base kinds in their order, pattern, least length of the part that counts.
@@ -95,15 +96,9 @@ def _spans(text: Column, pattern: str, hint: Column, kind: str, value_group: int
     def place(tiles: Column) -> Column:
         size = lambda a: F.transform(a, lambda x: F.length(x))
         matches, values = F.regexp_extract_all(text, F.lit(tile), 2), F.regexp_extract_all(text, F.lit(tile), 2 + value_group)
-        item = F.arrays_zip(size(tiles).alias("t"), size(matches).alias("m"), size(values).alias("v"))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["end"] + x["t"]
-            span = F.struct((end - x["m"]).alias("s"), F.lit(KINDS.index(kind)).alias("k"), end.alias("e"))
-            return F.struct(end.alias("end"), F.when(x["v"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(item, start, step, lambda acc: acc["out"])
+        ends = running(size(tiles), lambda x, y: x + y)
+        item = F.arrays_zip(ends.alias("e"), size(matches).alias("m"), size(values).alias("v"))
+        return F.transform(F.filter(item, lambda x: x["v"] >= least), lambda x: F.struct((x["e"] - x["m"]).alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
 
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     return F.when(hint, let(F.regexp_extract_all(text, F.lit(tile), 0), place)).otherwise(none)
@@ -148,14 +143,27 @@ def _stretches(scores: Column, least: int) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """Overlapping or touching ``s, e`` as one, from left to right."""
+    """Overlapping or touching ``s, e`` as one, from left to right: one begins where no span before reaches, and ends where the next begins at last."""
+
+    def of(reach: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(reach) - 1), lambda i: (i == 0) | (F.get(spans, i)["s"] > F.get(reach, i - 1)))
+        end = lambda at, j: F.get(reach, F.coalesce(F.get(at, j + 1), F.size(reach)) - 1)
+        return let(opens, lambda at: F.transform(at, lambda i, j: F.struct(F.get(spans, i)["s"].alias("s"), end(at, j).alias("e"))))
+
+    ends = running(F.transform(spans, lambda x: x["e"]), lambda x, y: F.greatest(x, y))
+    return F.when(F.size(spans) > 0, let(ends, of)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]), grown).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
 
-    return F.aggregate(spans, F.array().cast("array<struct<s:int,e:int>>"), step)
+def _apart(spans: Column, others: Column, some: int = 256) -> Column:
+    """The ``spans`` (sorted, disjoint) that overlap none of ``others``; some at a time are held against what overlaps any of them."""
+    overlap = lambda s, e: lambda y: (y["s"] < e) & (s < y["e"])
+
+    def of(part: Column) -> Column:
+        near = F.filter(others, overlap(F.element_at(part, 1)["s"], F.element_at(part, -1)["e"]))
+        return let(near, lambda n: F.filter(part, lambda x: ~F.exists(n, overlap(x["s"], x["e"]))))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / some).cast("int")), lambda i: F.slice(spans, i * some + 1, some))
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(parts, of))).otherwise(spans)
 
 
 def _random_parts(run: Column, ratios: Column, least: int, threshold: float) -> Column:
@@ -185,8 +193,10 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", into: str = "
     Base kinds are matched as given above. ``markov`` spans come from runs of ``least``
     or more characters of ALPHABET that touch no base span: the whole run if it scores
     over ``threshold`` a character, else its stretches of ``least`` or more characters
-    that do (a key behind a path), as far as ``/``, ``_``, ``-``, ``=`` or an end. Each holds a letter. Null texts have none; all texts are
-    scanned whole. A column named ``into`` is replaced.
+    that do (a key behind a path), as far as ``/``, ``_``, ``-``, ``=`` or an end. Each
+    holds a letter. Null and empty texts have none; all texts are scanned whole.
+    Repeated rows get equal spans; an empty table stays empty. A column named ``into``
+    is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     run = rf"[A-Za-z0-9+/_=-]{{{least},}}"
@@ -198,10 +208,9 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", into: str = "
     made = docs.withColumn(b, base).withColumn(c, _spans(t, run, t.rlike(run), "markov"))
 
     def random(spans: Column) -> Column:
-        apart = F.filter(spans, lambda x: ~F.exists(F.col(b), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
         found = lambda x: _random_parts(F.substr(t, x["s"] + 1, x["e"] - x["s"]), table, least, threshold)
         place = lambda x: lambda y: F.struct((x["s"] + y["s"]).alias("s"), x["k"].alias("k"), (x["s"] + y["e"]).alias("e"))
-        return F.flatten(F.transform(apart, lambda x: F.transform(found(x), place(x))))
+        return F.flatten(F.transform(_apart(spans, F.col(b)), lambda x: F.transform(found(x), place(x))))
 
     return made.withColumn(into, F.sort_array(F.concat(F.col(b), F.when(F.size(c) > 0, random(F.col(c))).otherwise(F.col(c))))).drop(b, c)
 
@@ -213,7 +222,11 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ratios: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``scan`` replaced by ``mark`` (overlapping or touching spans by one), columns as they were."""
+    """``docs`` with every span of ``scan`` replaced by ``mark`` (overlapping or touching spans by one), columns as they were.
+
+    Texts without secrets stay as they are, null and empty ones too; repeated rows are
+    all changed alike; an empty table stays empty.
+    """
     found = fresh(docs, "_secrets")
     made = scan(docs, ratios, text, found)
 
