@@ -5,7 +5,11 @@ n-grams it holds, with their counts, to buckets of the hash range, sorted and pa
 as differences; a bucket adds up the counts of all blocks and answers each block in
 the order it asked. So neither the vocabulary nor a common n-gram is ever in one task:
 a bucket holds a bounded range of hashes, and an n-gram once for each block at most.
-Words and n-grams stand for their 64-bit hashes.
+A block sends a row to each bucket, so beyond GROWS_FROM bytes of text both grow with
+the root of the input (to GROWS_BY times, as far as a worker's memory goes): rows then
+keep their length, and their number grows as the n-grams do. Every block and every
+bucket is a partition of its own, so tasks don't grow with the input. Words and n-grams
+stand for their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from marginalia.llm.neardup import mix
 
 #: Bytes of text of a block, n-grams asked for in a bucket, least number of blocks.
 BLOCK_BYTES, BUCKET_GRAMS, LEAST_BLOCKS = 8_000_000, 1_000_000, 16
+#: Bytes of text from which blocks and buckets grow, and by how much at most.
+GROWS_FROM, GROWS_BY = 50_000_000_000, 8.0
 #: One in so many learning documents is set aside while the weights are learned.
 FOLDS = 8
 #: Steps of an octave to which probabilities are rounded for learning weights (not for scores).
@@ -117,8 +123,9 @@ def _requests(buckets: dict[int, int]):
             keys, at = np.unique(grams, return_inverse=True)
             counts = np.bincount(at, learns, len(keys)).astype("<u8")
             found, edges = _bucket_edges(keys, buckets[order])
-            rows += [(block, fold, order, int(k), packed(keys[i:j]), narrow(counts[i:j])) for k, i, j in zip(found, edges[:-1], edges[1:], strict=True)]
-        return pa.Table.from_pylist([dict(zip(("block", "fold", "order", "bucket", "hashes", "counts"), r, strict=True)) for r in rows], pa.schema([("block", pa.int64()), ("fold", pa.bool_()), ("order", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
+            before = 0 if order == 2 else buckets[2]
+            rows += [(before + int(k), block, fold, order, int(k), packed(keys[i:j]), narrow(counts[i:j])) for k, i, j in zip(found, edges[:-1], edges[1:], strict=True)]
+        return pa.Table.from_pylist([dict(zip(("slot", "block", "fold", "order", "bucket", "hashes", "counts"), r, strict=True)) for r in rows], pa.schema([("slot", pa.int32()), ("block", pa.int32()), ("fold", pa.bool_()), ("order", pa.int32()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     return work
 
@@ -134,7 +141,7 @@ def _answers(t: pa.Table) -> pa.Table:
     aside = np.bincount(at, every * np.repeat(fold, [len(x) for x in hashes]), len(keys)).astype("<u8")
     edges = np.cumsum([0, *(len(x) for x in hashes)])
     rows = [(b, order, k, narrow(total[at[i:j]]), narrow(aside[at[i:j]]) if f else b"") for b, k, f, i, j in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), fold, edges[:-1], edges[1:], strict=True)]
-    names, kinds = ("block", "order", "bucket", "total", "aside"), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    names, kinds = ("block", "order", "bucket", "total", "aside"), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
     sums = [[int(total.sum()), int((total > 0).sum()), int(aside.sum())] if order == 1 else [0, 0, 0], *[[0, 0, 0]] * (len(rows) - 1)]
     return pa.table({**dict(zip(names, arrays, strict=True)), **{n: pa.array([s[i] for s in sums], pa.int64()) for i, n in enumerate(("tokens", "words", "aside_tokens"))}})
@@ -231,6 +238,12 @@ def _scores(totals: Totals, weights: np.ndarray, kind: pa.DataType):
     return work
 
 
+def sizes_for(size: int) -> tuple[int, dict[int, int]]:
+    """Blocks, and buckets by order, for so many bytes of text."""
+    grown = min(GROWS_BY, max(1.0, math.sqrt(size / GROWS_FROM)))
+    return max(LEAST_BLOCKS, math.ceil(size / (BLOCK_BYTES * grown))), {order: max(1, math.ceil(size / per_gram / (BUCKET_GRAMS * grown))) for order, per_gram in ((2, 6), (1, 60))}
+
+
 def score(docs: DataFrame, held_out: Column, aside: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
@@ -240,29 +253,31 @@ def score(docs: DataFrame, held_out: Column, aside: Column, id: str = "doc_id",
     learned by expectation-maximisation on the learning rows where ``aside`` is true,
     with their own counts deleted. base_score adds one to unigram counts. Both are sums
     of log10. Null texts are empty: one token, the end. Repeated rows count and are
-    scored each; no learning rows: counts of 0. Empty table: empty.
+    scored each (rows of one id and text share a block); no learning rows: counts of 0.
+    Empty table: empty.
     """
     kind = docs.schema[id].dataType
     held = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), held.alias("held_out"), (~held & F.coalesce(aside, F.lit(False))).alias("fold"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out")), F.count_if("fold")).first()
-    blocks = max(LEAST_BLOCKS, math.ceil((size[0] or 0) / BLOCK_BYTES))
+    blocks, buckets = sizes_for(size[0] or 0)
     apart = max(LEAST_BLOCKS // 4, blocks // FOLDS)
-    buckets = {2: max(1, math.ceil((size[0] or 0) / 6 / BUCKET_GRAMS)), 1: max(1, math.ceil((size[0] or 0) / 60 / BUCKET_GRAMS))}
     deal = F.xxhash64("doc_id", "text")
-    rows = rows.withColumn("block", F.when(F.col("fold"), blocks + F.pmod(deal, F.lit(apart))).otherwise(F.pmod(deal, F.lit(blocks))))
-    asked = rows.groupBy("block").applyInArrow(_requests(buckets), "block long, fold boolean, order int, bucket long, hashes binary, counts binary")
-    answered = cut(asked.groupBy("order", "bucket").applyInArrow(_answers, "block long, order int, bucket long, total binary, aside binary, tokens long, words long, aside_tokens long"))
+    rows = rows.withColumn("block", F.when(F.col("fold"), blocks + F.pmod(deal, F.lit(apart))).otherwise(F.pmod(deal, F.lit(blocks))).cast("int"))
+    dealt = rows.repartitionById(blocks + apart, "block")
+    asked = dealt.groupBy("block").applyInArrow(_requests(buckets), "slot int, block int, fold boolean, order int, bucket long, hashes binary, counts binary")
+    answered = cut(asked.repartitionById(sum(buckets.values()), "slot").groupBy("slot").applyInArrow(_answers, "block int, order int, bucket long, total binary, aside binary, tokens long, words long, aside_tokens long"))
     sums = answered.agg(F.sum("tokens"), F.sum("words"), F.sum("aside_tokens")).first()
     totals = Totals(size[1], sums[0] or 0, sums[1] or 0, size[2], sums[2] or 0)
     answers = answered.select("block", "order", "bucket", "total", "aside")
-    folded = rows.where("fold").groupBy("block").cogroup(answers.where(F.col("block") >= blocks).groupBy("block"))
+    by_block = lambda df, n, first=0: df.withColumn("block", F.col("block") - F.lit(first)).repartitionById(n, "block").groupBy("block")
+    folded = by_block(rows.where("fold"), apart, blocks).cogroup(by_block(answers.where(F.col("block") >= blocks), apart, blocks))
     events = folded.applyInArrow(_events(totals), "b long, q2 long, q1 long, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))
     learned = events.toPandas().to_numpy(dtype=np.int64).reshape(-1, 4)  # bounded: 65 buckets x rounded estimates
     weights = learn_weights(learned[np.lexsort(learned.T[::-1])], totals.words)
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    out = dealt.groupBy("block").cogroup(by_block(answers, blocks + apart)).applyInArrow(
         _scores(totals, weights, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out
