@@ -38,4 +38,30 @@ left_over AS (
 SELECT doc_id, n_removed, length(new)::BIGINT AS n_chars, sha256(new) AS text_sha256 FROM left_over
 """
 
-SQL = {"op1_quality_rules": OP1, "op9_line_dedup": OP9}
+OP5 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS k, CASE WHEN embedding IS NULL OR len(embedding) = 0 OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))) OR list_bool_and(list_transform(embedding, lambda x: x = 0)) THEN NULL
+    ELSE embedding::DOUBLE[] END AS e FROM embeddings
+),
+link AS (SELECT a.k, b.k AS other, b.vec_id AS other_id FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(k, node) AS (SELECT k, k FROM v UNION SELECT r.k, l.other FROM reach r JOIN link l ON l.k = r.node),
+least AS (SELECT r.k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.node GROUP BY r.k)
+SELECT vec_id, (SELECT count(*) FROM link l WHERE l.k = v.k) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least USING (k)
+"""
+
+OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS k, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+bag AS (
+  SELECT k, shingle, count(*) AS c FROM (SELECT k, array_to_string(ws[i : i + least(5, len(ws)) - 1], ' ') AS shingle FROM (SELECT k, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)) GROUP BY ALL
+),
+size AS (SELECT k, sum(c) AS n FROM bag GROUP BY k),
+link AS (
+  SELECT k, other FROM (SELECT a.k, b.k AS other, sum(least(a.c, b.c)) AS both_n FROM bag a JOIN bag b ON a.shingle = b.shingle AND a.k <> b.k GROUP BY ALL) p
+  JOIN size x USING (k) JOIN size y ON y.k = p.other WHERE both_n >= 0.8 * (x.n + y.n - both_n)
+),
+reach(k, node) AS (SELECT k, k FROM d UNION SELECT r.k, l.other FROM reach r JOIN link l ON l.k = r.node),
+class AS (SELECT r.k, min(d.doc_id) AS class_id, count(*) AS n_class FROM reach r JOIN d ON d.k = r.node GROUP BY r.k)
+SELECT doc_id, class_id, n_class, doc_id = class_id AS kept FROM d JOIN class USING (k)
+"""
+
+SQL = {"op1_quality_rules": OP1, "op5_embedding_near_dedup": OP5, "op7_minhash_near_dedup": OP7, "op9_line_dedup": OP9}

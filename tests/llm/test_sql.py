@@ -10,7 +10,8 @@ from marginalia.llm.sql import SQL
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     cur = con.execute(SQL[name])
     names = [c[0] for c in cur.description]
