@@ -18,6 +18,9 @@ INVISIBLE = "­​‌‍﻿"
 ODD_SPACES = "      "
 QUOTES = "\"“”„«»'‘’"
 VOWELS = "aeiouyåäöæøẏ"
+#: What a transcription's HTML hides, and its two kinds of notes.
+HIDDEN = r'(?s)<span class="hidden"[^>]*>.*?</span></span>'
+NOTES = (r'<sup[^>]*class="note"[^>]*>[^<]*</sup>', r'<sup[^>]*data-target="#not-[^"]*"[^>]*>[^<]*</sup>')
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
@@ -62,8 +65,8 @@ def _plain(c: Column) -> Column:
 
 def transcription_clean(c: Column) -> Column:
     """Edition HTML as text: no hidden spans, notes, tags or parentheses; paragraphs stay apart."""
-    c = F.regexp_replace(c, r'(?s)<span class="hidden"[^>]*>.*?</span></span>', "")
-    c = F.regexp_replace(c, r'<sup[^>]*class="note"[^>]*>[^<]*</sup>|<sup[^>]*data-target="#not-[^"]*"[^>]*>[^<]*</sup>', "")
+    for pattern in (HIDDEN, *NOTES):
+        c = F.regexp_replace(c, pattern, "")
     c = F.replace(F.translate(c, "\r\n", "  "), F.lit("<p>"), F.lit("\n\n"))
     c = F.regexp_replace(F.replace(F.regexp_replace(c, "<[^>]+>", ""), F.lit(" *) "), F.lit(" ")), r"\([^)]*\)", "")
     c = F.translate(c, "[]", "")
@@ -116,6 +119,16 @@ def label_bucket(c: Column) -> Column:
     return F.when(c.isin("Person", "Location"), "entities").when(c == "Organization", "org").otherwise("misc")
 
 
+def drop_asterisks(c: Column) -> Column:
+    """As a model's input: null as empty."""
+    return F.replace(F.coalesce(c, F.lit("")), F.lit("*"), F.lit(""))
+
+
+def numeric_order(c: Column) -> list[Column]:
+    """To order ids by: numbers first and by size, then the rest as text."""
+    return [c.try_cast("bigint").asc_nulls_last(), c]
+
+
 def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9._-]", "_")
 

@@ -104,6 +104,11 @@ def class_weights(labels: list[str], o_weight: float = 1.0, entity_weight: float
     return {x: o_weight if x == "O" else entity_weight for x in labels}
 
 
+def weight_of(label: Column, o_weight: float = 1.0, entity_weight: float = 5.0) -> Column:
+    """The weight of a label, as ``class_weights`` gives it."""
+    return F.when(label == "O", o_weight).otherwise(entity_weight)
+
+
 def krippendorff_alpha(codings: DataFrame) -> DataFrame:
     """``alpha, n_units, n_values``: nominal agreement of ``item_id, coder, label``; items with one coding don't count, no disagreement expected is 1."""
     counts = codings.where("label is not null").groupBy("item_id", "label").agg(F.count("*").alias("n"))
@@ -223,5 +228,6 @@ def report(gold_labels: DataFrame, pred_labels: DataFrame) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """``k`` rows at random, for looking at."""
-    return rows.orderBy(F.rand(seed)).limit(k)
+    """``k`` rows for looking at: those whose values have the least hashes with the seed, so always the same ones."""
+    values = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns])
+    return rows.orderBy(F.md5(values)).limit(k)

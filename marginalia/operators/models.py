@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import label_bucket, mapped_label
+from marginalia.functions.text import drop_asterisks, label_bucket, mapped_label
 from marginalia.operators.corpus import merge_chunk_entities, text_windows
 
 Model = Callable[[str], Iterable[Mapping]]
@@ -23,7 +23,7 @@ def run_model(docs: DataFrame, load: Callable[[], Model], id: str = "doc_id", te
     are rounded to four places; ``ord`` numbers a document's entities from its start.
     """
     kind = docs.schema[id].dataType.simpleString()
-    chunks = text_windows(docs.select(F.col(id).alias("doc_id"), F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("*"), F.lit("")).alias("text")))
+    chunks = text_windows(docs.select(F.col(id).alias("doc_id"), drop_asterisks(F.col(text)).alias("text")))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()

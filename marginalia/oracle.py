@@ -384,6 +384,18 @@ su AS (SELECT *, CASE WHEN sub_no = 1 THEN '##' || substring(text, 5) WHEN lengt
 add("first_subword_labels", "SELECT doc_id, idx, sub_no, subword, CASE WHEN sub_no = 1 THEN -100 ELSE CASE label WHEN 'O' THEN 0 WHEN 'B-Person' THEN 1 WHEN 'I-Person' THEN 2 WHEN 'B-Location' THEN 3 ELSE 4 END END AS label_id FROM su", SUBW)
 add("subword_regroup", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS word_no, text AS word FROM vp WHERE is_word", SUBW)
 add("decided_labels", "SELECT vec_id, (list_position(s, list_max(s)) - 1)::INTEGER AS predicted, label AS label_id FROM (SELECT vec_id, embedding[1:5] AS s, label FROM embeddings WHERE vec_id % 5 <> 0)")
+# files, order and samples
+add("conll_flatten", f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INTEGER AS idx, text, label FROM se WHERE text <> '{MIDDLE_DOT}'", f"{V}, {SENT}")
+add("conll_merge", f"SELECT (doc_id % 2)::INTEGER AS file_no, doc_id, count(DISTINCT sent) AS sentences, count(*) AS tokens FROM se WHERE text <> '{MIDDLE_DOT}' GROUP BY doc_id", f"{V}, {SENT}")
+add("label_files_latest", "SELECT doc_id::VARCHAR AS doc_id, 'sdhk_' || doc_id || '_silver.conll' AS file FROM documents")
+add("label_files_verified", "SELECT DISTINCT doc_id::VARCHAR AS doc_id FROM documents")
+add("gold_edition_texts", f"SELECT doc_id::VARCHAR AS doc_id, md5({CLEAN}) AS digest FROM documents WHERE text IS NOT NULL")
+add("review_texts", """SELECT doc_id, sum(n)::BIGINT AS n, md5('--- ' || doc_id || ' (' || sum(n) || ' tokens) ---' || chr(10) || string_agg('  ' || text || CASE WHEN n > 1 THEN '  (x' || n || ')' ELSE '' END, chr(10) ORDER BY first_idx) || chr(10)) AS digest
+  FROM (SELECT doc_id, text, count(*) AS n, min(idx) AS first_idx FROM v WHERE reason = 'only_capitalisation_unknown_type' GROUP BY doc_id, text) GROUP BY doc_id""", V)
+add("numeric_order", "SELECT id, row_number() OVER (PARTITION BY length(id) ORDER BY try_cast(id AS BIGINT) NULLS LAST, id)::INTEGER AS place FROM (SELECT CASE WHEN page_id % 5 = 0 THEN 'x' || page_id ELSE page_id::VARCHAR END AS id FROM pages)")
+add("drop_asterisks", "SELECT doc_id, md5(replace(coalesce(text, ''), '*', '')) AS digest FROM documents")
+add("class_weights", "SELECT DISTINCT label, CASE label WHEN 'O' THEN 1.0 ELSE 5.0 END::DOUBLE AS weight FROM v", V)
+add("sample_rows", "SELECT doc_id, quality FROM labels ORDER BY md5('42|' || doc_id || '|' || quality) LIMIT 20")
 # errors: each miss takes the first fitting invention, kind by kind; a step takes one miss of a document
 FITS = "CASE phase WHEN 0 THEN x.s = todo[1].s AND x.e = todo[1].e AND x.t <> todo[1].t WHEN 1 THEN x.t = todo[1].t AND x.s <= todo[1].e AND todo[1].s <= x.e ELSE x.t <> todo[1].t AND x.s <= todo[1].e AND todo[1].s <= x.e END"
 ERRORS = f"""{CMP},

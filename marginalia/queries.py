@@ -458,9 +458,72 @@ def conll_parse_entities(spark, d, every=False):
     return spans.sentence_spans(rows).select("doc_id", "sent_id", "type", "start_idx", "end_idx", "text")
 
 
+@query
+def conll_flatten(spark, d):
+    return files.flatten(files.read_sentences(spans.conll_documents(voted(spark, d))))
+
+
+@query
+def conll_merge(spark, d):
+    """Sentences of two tables, documents with even and with odd ids, one after the other."""
+    read = files.read_sentences(spans.conll_documents(voted(spark, d)))
+    return files.merge([read.where("doc_id % 2 = 0"), read.where("doc_id % 2 = 1")]).groupBy("file_no", "doc_id").agg(F.count_distinct("sent_id").alias("sentences"), F.count("*").alias("tokens"))
+
+
+def _label_files(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, "gold").when(F.col("doc_id") % 3 == 1, "silver").otherwise("edition")
+    rows = docs_of(spark, d).select(F.explode(F.array(F.concat(F.lit("sdhk_"), F.col("doc_id"), F.lit("_"), kind, F.lit(".conll")), F.concat(F.lit("sdhk_"), F.col("doc_id"), F.lit("_silver.conll")), F.concat(F.lit("notes "), F.col("doc_id"), F.lit(".conll")))).alias("file"), "text")
+    return rows.withColumnRenamed("text", "value")
+
+
+@query
+def label_files_latest(spark, d):
+    return files.discover(_label_files(spark, d)).select("doc_id", "file")
+
+
+@query
+def label_files_verified(spark, d):
+    return files.verified_ids(_label_files(spark, d))
+
+
+@query
+def gold_edition_texts(spark, d):
+    """Of sections that two files have, the later file's."""
+    rows = _tagged(spark, d).withColumn("charter_id", F.col("doc_id").cast("string")).withColumn("body", corpus.body(F.col("section")))
+    early = rows.where("doc_id % 2 = 0").withColumn("body", F.lit("old")).withColumn("file", F.lit("a1"))
+    parts = files.merge([early, rows.withColumn("file", F.lit("a2"))]).withColumn("section_no", F.col("doc_id"))
+    return files.section_texts(parts).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def review_texts(spark, d):
+    return files.review_texts(review_unknown_tokens(spark, d)).select("doc_id", "n", F.md5("value").alias("digest"))
+
+
+@query
+def numeric_order(spark, d):
+    ids = load(spark, d, "pages").select(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("x"), F.col("page_id"))).otherwise(F.col("page_id").cast("string")).alias("id"))
+    return ids.select("id", F.row_number().over(Window.partitionBy(F.length("id")).orderBy(*tx.numeric_order(F.col("id")))).alias("place"))
+
+
+@query
+def drop_asterisks(spark, d):
+    return docs_of(spark, d).select("doc_id", F.md5(tx.drop_asterisks(F.col("text"))).alias("digest"))
+
+
 # metrics
 
 
+@query
+def class_weights(spark, d):
+    return voted(spark, d).select("label").distinct().select("label", metrics.weight_of(F.col("label")).alias("weight"))
+
+
+@query
+def sample_rows(spark, d):
+    return metrics.sample_rows(load(spark, d, "labels").select("doc_id", "quality"), 20)
+
+
 @query
 def metrics_entity(spark, d, every=False):
     return _rounded(metrics.scores_of(compared(spark, d, every)), "precision", "recall", "f1")
@@ -587,6 +650,14 @@ def deterministic_split(spark, d):
     return corpus.split_by_hash(docs_of(spark, d))
 
 
+@query
+def seeded_split(spark, d):
+    """Names of a bounded list (the nations, as the files of a folder) by the seeded shuffle, which runs on the driver."""
+    names = [r.n_name for r in load(spark, d, "nation").select("n_name").collect()]
+    rows = [(n, part) for part, some in corpus.split_by_shuffle(names).items() for n in some]
+    return spark.createDataFrame(rows, "name string, split string")
+
+
 @query
 def hash_holdout(spark, d):
     return corpus.hash_holdout(load(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "split")

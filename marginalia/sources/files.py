@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import MIDDLE_DOT, WS, clean_text, split_words, strip
+from marginalia.functions.text import MIDDLE_DOT, WS, clean_text, numeric_order, split_words, strip
 from marginalia.operators.corpus import sections
 from marginalia.operators.spans import conll_documents
 from marginalia.operators.tokens import edition_texts
@@ -115,9 +115,13 @@ def annotator_sections(spark: SparkSession, path: str) -> DataFrame:
 
 def gold_editions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``doc_id, text`` of annotators' sections, tags taken out and cleaned; a later file's text replaces an earlier one's."""
+    return section_texts(merge([annotator_sections(spark, p) for p in paths]))
+
+
+def section_texts(parts: DataFrame) -> DataFrame:
+    """The same of sections (``file_no, file, section_no, charter_id, body``)."""
     from marginalia.operators.corpus import tagged_spans
 
-    parts = merge([annotator_sections(spark, p) for p in paths])
     plain = tagged_spans(parts, "body")
     latest = F.max_by("plain", F.struct("file_no", "file", "section_no"))
     return plain.groupBy(F.col("charter_id").alias("doc_id")).agg(latest.alias("plain")).select("doc_id", clean_text(F.col("plain")).alias("text"))
@@ -136,13 +140,18 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
-def write_review(unknown: DataFrame, path: str) -> None:
-    """Unknown capitalised tokens by document (in the order of numeric ids where they are numbers), then totals."""
+def review_texts(unknown: DataFrame) -> DataFrame:
+    """``doc_id, n, value``: each document's unknown capitalised tokens as text, by first sight."""
     rows = unknown.withColumn("line", F.concat(F.lit("  "), F.col("text"), F.when(F.col("n") > 1, F.concat(F.lit("  (x"), F.col("n"), F.lit(")"))).otherwise("")))
     docs = rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first_idx", "line"))).alias("l"))
-    out = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("k"), "doc_id", F.concat(F.lit("--- "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("n"), F.lit(" tokens) ---\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
-    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("d")).select(F.lit(None).cast("long").alias("k"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.concat(F.lit("Total: "), F.col("n"), F.lit(" tokens in "), F.col("d"), F.lit(" documents")).alias("value"))
-    out.unionByName(total).orderBy(F.col("value").startswith("Total: "), F.col("k").asc_nulls_last(), "doc_id").select("value").write.text(path)
+    return docs.select("doc_id", "n", F.concat(F.lit("--- "), F.col("doc_id").cast("string"), F.lit(" ("), F.col("n"), F.lit(" tokens) ---\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
+
+
+def write_review(unknown: DataFrame, path: str) -> None:
+    """The texts of ``review_texts`` (in the order of numeric ids where they are numbers), then totals."""
+    docs = review_texts(unknown)
+    total = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("d")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("n"), F.concat(F.lit("Total: "), F.col("n"), F.lit(" tokens in "), F.col("d"), F.lit(" documents")).alias("value"))
+    docs.unionByName(total).orderBy(F.col("doc_id").isNull(), *numeric_order(F.col("doc_id"))).select("value").write.text(path)
 
 
 def write_split(spark: SparkSession, source: str, out: str, seed: int = 42) -> dict:

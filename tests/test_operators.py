@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import re
 import shutil
@@ -412,6 +413,29 @@ def test_conll_readers_differ(spark):
     assert [r.idx for r in files.flatten(files.read_sentences(d)).orderBy("idx").collect()] == [0, 1, 2]
 
 
+#: Of four folders of label files: files, tokens, middle dots among them, and tokens by label (B- and I-Person, B- and I-Location, O).
+GOLDEN = (
+    (417, 116_023, 5_560, 5_066, 2_719, 4_773, 836, 102_629), (75, 20_609, 1_314, 849, 468, 890, 146, 18_256),
+    (43, 11_830, 326, 550, 300, 542, 90, 10_348), (23, 6_695, 528, 307, 187, 235, 41, 5_925),
+)
+
+
+@pytest.mark.skipif("LABEL_FOLDERS" not in os.environ, reason="LABEL_FOLDERS names no folders (four, parted by colons) of label files")
+def test_label_files_of_a_corpus(spark):
+    for folder, want in zip(os.environ["LABEL_FOLDERS"].split(":"), GOLDEN, strict=True):
+        found = files.whole_files(spark, folder + "/*.conll").withColumnRenamed("file", "doc_id")
+        rows = files.read_entities_form(found)
+        n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        dots = rows.where(F.col("text") == "\u2027").count()
+        assert (found.count(), sum(n.values()), dots, *(n[x] for x in ("B-Person", "I-Person", "B-Location", "I-Location", "O"))) == want
+        assert files.read_sentences(found).count() == want[1] - dots
+        spans_ = spans.chunk_spans(rows).groupBy("type").count().collect()
+        assert {r.type: r["count"] for r in spans_} == {"Person": n["B-Person"], "Location": n["B-Location"]}
+    names_ = [p.name for p in Path(os.environ["LABEL_FOLDERS"].split(":")[0]).glob("*.conll")]
+    shipped = json.loads(next(Path(os.environ["LABEL_FOLDERS"].split(":")[2]).glob("*.json")).read_text())
+    assert corpus.split_by_shuffle(names_, shipped["seed"]) == {k: shipped[k] for k in ("train", "val", "test")}
+
+
 def test_file_readers(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"Id": 7, "Edition": " a‧b "}, {"Id": "8", "Edition": ""}]))
     assert files.charter_editions(spark, str(tmp_path / "c.json")).collect() == [("7", "ab")]
