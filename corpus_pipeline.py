@@ -1,4 +1,8 @@
-"""A corpus from documents to packed sequences, in stages that each take what the one before kept."""
+"""A corpus from documents to packed sequences, in stages that each take what the one before kept.
+
+Every stage takes any table with ``doc_id`` and ``text`` and, but for the last, returns
+its columns, extra ones too, whatever their names. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,31 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a rule rejects."""
+    """Without the documents that a rule rejects, null and empty texts among them. Rows that repeat are all kept or all gone."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that repeat; a text of only such lines is left empty."""
+    """Every document, without the lines that repeat; a text of only such lines is left empty, and null texts stay null.
+
+    Of rows with one id and text none counts as a later one.
+    """
     return _sized(linededup.dedup_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, the one with the least id; texts without words, null ones too, all stay. Of repeated rows one stays."""
     show_workers(spark)
     return neardup.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with a mark in place of each secret."""
+    """Every document, with a mark in place of each secret; texts without one, null and empty ones too, are as they were. Repeated rows change alike."""
     return _sized(secrets.redact(docs, secrets.train_markov(secrets.labelled_samples(spark))))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of every document's token pieces in sequences of 2048."""
+    """The places of every document's token pieces in sequences of 2048; null and empty texts have one piece of one token, and repeated rows their own places."""
     import public_tokenizers
 
     show_workers(spark)
