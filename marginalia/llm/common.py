@@ -7,7 +7,9 @@ bringing an edge to the driver.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,15 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut a lineage.
 
     Read from the session. Only a purely local session (tests) may have none: then
-    a temporary folder is made and set.
+    a temporary folder is made, and removed when the session's process ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="marginalia-")
-        _OWN[spark.sparkContext.applicationId] = found
+        found = _OWN.get(spark.sparkContext.applicationId)
+        if not found:
+            found = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marginalia-")
+            atexit.register(shutil.rmtree, found, True)
     return found.rstrip("/")
 
 
