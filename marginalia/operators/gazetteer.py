@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.arrays import let
 from marginalia.functions.lexicon import is_capitalised, is_place_word
 from marginalia.functions.similarity import indel_ratio, letters_mask, may_reach
 from marginalia.functions.text import split_words, strip
 
 #: Defaults: least ratio, least token length, least share of the shorter length; words of an entry.
 CUTOFF, MIN_LENGTH, MIN_SHARE, MAX_WORDS = 80.0, 4, 0.7, 4
-#: A name list up to this many bytes of names is broadcast; a longer one is shuffled by length.
-BROADCAST_NAMES = 1_000_000
+#: A name list up to this many bytes is broadcast and met by length; a longer one is met by what names and words have in common.
+BROADCAST_NAMES = 20_000
+#: Most keys that a word may have for that; words of lengths that would have more meet names by length, in blocks of this many bytes.
+MOST_KEYS, BLOCK_NAMES = 1_000, 1_000_000
 
 
 def places(lines: DataFrame, header: int = 32, admin_parts: list[str] | None = None, common: list[str] | None = None, admin: list[str] | None = None) -> DataFrame:
@@ -103,27 +108,84 @@ def name_table(lists: dict[str, DataFrame]) -> DataFrame:
     return every.groupBy("name_lower").agg(*[F.max(F.col("kind") == k).alias(k) for k in lists])
 
 
-def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kind: str | None = None) -> DataFrame:
-    """``word_lower, name_lower, score``: for each distinct lower-cased word the most similar name from ``cutoff`` on, ties to the first in code-point order.
+def _needed(la: Column, lb: Column, cutoff: float) -> Column:
+    """Letters that two strings of these lengths must have in common, in order, for the ratio to reach the cutoff."""
+    return F.ceil(cutoff / 200.0 * (la + lb) - 1e-9).cast("int")
 
-    With ``kind``, a column of ``names``, the most similar name of each kind, and that
-    column. Words meet names by length: a word looks for every length that can reach the
-    cutoff. Lengths and letter masks then rule pairs out before the ratio is worked
-    out. Names up to a megabyte are broadcast; more are dealt out in blocks of about
-    that size, and each word goes to all blocks, so tasks stay small and nothing is lost.
-    """
+
+def _least_needed(n: int, cutoff: float) -> int:
+    """The same with the shortest string that can reach it."""
+    return math.ceil(cutoff / 200.0 * (n + math.ceil(n / (200.0 / cutoff - 1.0) - 1e-9)) - 1e-9)
+
+
+def longest_keyed(cutoff: float, most: int | None = None) -> int:
+    """The greatest length up to which a word has at most ``most`` subsequences that are long enough to be needed."""
+    n = 1
+    while n < 64 and sum(math.comb(n + 1, k) for k in range(_least_needed(n + 1, cutoff), n + 2)) <= (MOST_KEYS if most is None else most):
+        n += 1
+    return n
+
+
+def _subsequences(word: Column, longest: int, cutoff: float) -> Column:
+    """All that is left of a word when so many letters go that it can still reach the cutoff, each once."""
+    spare = F.get(F.array(*[F.lit(n - _least_needed(n, cutoff) if n else 0) for n in range(longest + 1)]), F.length(word))
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+
+    def grown(levels: list[Column], k: int) -> Column:
+        if k == max(n - _least_needed(n, cutoff) for n in range(1, longest + 1)):
+            return F.concat(*levels)
+        none = F.array().cast("array<string>")
+        return let(F.when(spare > k, F.array_distinct(F.flatten(F.transform(levels[-1], less)))).otherwise(none), lambda x: grown([*levels, x], k + 1))
+
+    return let(F.array(word), lambda x: grown([x], 0))
+
+
+def _pairs_by_letters(words: DataFrame, names: DataFrame, by: list[str], longest: int, cutoff: float) -> DataFrame:
+    """Pairs (once each) of words and names up to a length that have as many letters in common, in order, as the cutoff needs: those letters are the key."""
+    short = lambda df, c: df.where(F.length(c).between(1, longest))
+    one = short(words, "word_lower").select("word_lower", F.explode(_subsequences(F.col("word_lower"), longest, cutoff)).alias("key"))
+    other = short(names, "name_lower").select("name_lower", *by, F.explode(_subsequences(F.col("name_lower"), longest, cutoff)).alias("key"))
+    met = one.join(other, "key").where(F.length("key") == _needed(F.length("word_lower"), F.length("name_lower"), cutoff))
+    return met.select("word_lower", "name_lower", *by).distinct()
+
+
+def _pairs_by_length(words: DataFrame, names: DataFrame, by: list[str], cutoff: float, blocks: int) -> DataFrame:
+    """Pairs whose lengths and letter masks let them reach the cutoff; ``blocks`` 1: names are broadcast."""
     bound = 200.0 / cutoff - 1.0
-    by = [kind] if kind else []
-    words = words.select("word_lower").distinct().withColumn("mask", letters_mask(F.col("word_lower")))
+    words = words.withColumn("mask", letters_mask(F.col("word_lower")))
     words = words.withColumn("len", F.explode(F.sequence(F.ceil(F.length("word_lower") / bound - 1e-9), F.floor(F.length("word_lower") * bound + 1e-9))))
-    blocks = -(-(names.agg(F.sum(F.octet_length("name_lower"))).first()[0] or 0) // BROADCAST_NAMES)
     names = names.select("name_lower", *by, letters_mask(F.col("name_lower")).alias("name_mask"), F.length("name_lower").cast("long").alias("len"))
     if blocks <= 1:
         pairs = words.join(F.broadcast(names), "len")
     else:
         dealt = names.withColumn("block", F.pmod(F.xxhash64("name_lower"), F.lit(blocks)).cast("int"))
-        pairs = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1)))).join(dealt.hint("merge"), ["len", "block"])
-    pairs = pairs.where(may_reach(F.col("word_lower"), F.col("name_lower"), F.col("mask"), F.col("name_mask"), cutoff))
+        pairs = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt.hint("merge"), ["len", "block"])
+    return pairs.where(may_reach(F.col("word_lower"), F.col("name_lower"), F.col("mask"), F.col("name_mask"), cutoff)).select("word_lower", "name_lower", *by)
+
+
+def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kind: str | None = None) -> DataFrame:
+    """``word_lower, name_lower, score``: for each distinct lower-cased word the most similar name from ``cutoff`` on, ties to the first in code-point order.
+
+    With ``kind``, a column of ``names``, the most similar name of each kind, and that
+    column. A short list of names is broadcast and met by length, with letter masks to
+    rule pairs out. With a long one, words and names meet in the letters that they must
+    have in common, in order, to reach the cutoff: no such pair is missed, and others
+    hardly meet. Words too long for that many keys (over 12 letters at a cutoff of 80)
+    meet by length, dealt out in blocks of names.
+    """
+    by = [kind] if kind else []
+    words = words.select("word_lower").distinct()
+    names = names.select("name_lower", *by)
+    size = names.agg(F.sum(F.octet_length("name_lower"))).first()[0] or 0
+    if size <= BROADCAST_NAMES:
+        pairs = _pairs_by_length(words, names, by, cutoff, 1)
+    else:
+        longest = longest_keyed(cutoff)
+        long = (F.length("word_lower") > longest) | (F.length("name_lower") > longest)
+        # one side may be short where the other is long, as far as lengths can reach the cutoff
+        reach = F.lit(longest) / (200.0 / cutoff - 1.0)
+        far = _pairs_by_length(words.where(F.length("word_lower") > reach), names.where(F.length("name_lower") > reach), by, cutoff, max(2, -(-size // BLOCK_NAMES))).where(long)
+        pairs = _pairs_by_letters(words, names, by, longest, cutoff).unionByName(far)
     scored = pairs.select("word_lower", *by, "name_lower", indel_ratio(F.col("word_lower"), F.col("name_lower")).alias("score")).where(F.col("score") >= cutoff)
     best = scored.groupBy("word_lower", *by).agg(F.min(F.struct((-F.col("score")).alias("s"), "name_lower")).alias("b"))
     return best.select("word_lower", *by, F.col("b.name_lower").alias("name_lower"), (-F.col("b.s")).alias("score"))

@@ -231,12 +231,22 @@ def test_entities_of_any_length(spark):
     assert {k: (r.n_matches, [x["rank"] for x in r.best]) for k, r in top.items()} == {k: (len(v), sorted(v)[:3]) for k, v in every.items()}
 
 
-def test_many_names_are_dealt_in_blocks(spark, monkeypatch):
-    make = lambda: "".join(RNG.choices("abcde", k=RNG.randrange(4, 10)))
-    words, listed = spark.createDataFrame([(make(),) for _ in range(60)], "word_lower string"), names(spark, *{make() for _ in range(80)})
+@pytest.mark.parametrize("most", [1_000, 40, 1])
+def test_long_lists_lose_nothing(spark, monkeypatch, most):
+    make = lambda: "".join(RNG.choices("abcde\u00e5\U0001f642", k=RNG.randrange(1, 18)))
+    base = [make() for _ in range(80)]
+    near = ["".join(RNG.choice([c, c, c, c, c, "", "x"]) for c in b) for b in base for _ in range(2)]
+    words, listed = spark.createDataFrame([(w,) for w in {*near, *(make() for _ in range(40))} - {""}], "word_lower string"), names(spark, *base)
     small = sorted(gazetteer.best_similar(listed, words).collect())
+    assert any(len(r.word_lower) > 12 for r in small)
     monkeypatch.setattr(gazetteer, "BROADCAST_NAMES", 100)
+    monkeypatch.setattr(gazetteer, "BLOCK_NAMES", 300)
+    monkeypatch.setattr(gazetteer, "MOST_KEYS", most)
     assert sorted(gazetteer.best_similar(listed, words).collect()) == small
+    assert gazetteer.longest_keyed(80.0, 1_000) == 12
+    kinds = listed.select("name_lower", F.when(F.length("name_lower") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    apart = [(r.word_lower, k, r.name_lower, r.score) for k in ("even", "odd") for r in gazetteer.best_similar(kinds.where(F.col("kind") == k), words).collect()]
+    assert sorted(map(tuple, gazetteer.best_similar(kinds, words, kind="kind").collect())) == sorted(apart)
 
 
 def test_lists_looked_up_together_equal_one_by_one(spark):
