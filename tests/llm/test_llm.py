@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from marginalia.functions.arrays import running
 from marginalia.llm import common, linededup, lm, maintext, neardup, packing, pieces, quality, secrets, spmodel, tokencount, vectordup
 from marginalia.llm import queries as q
 
@@ -99,6 +100,27 @@ def test_quality_edges(odd, none):
     assert [r.name for r in quality.plan_cascade(none)] == [r.name for r in quality.RULES]
 
 
+def test_quality_cascade_follows_the_sample(spark, docs, monkeypatch):
+    rows = quality.measured(docs)
+    assert 0 < len(rows) <= quality.SAMPLE_ROWS
+    assert all(ns > 0 for r in rows for ns, _ in r)
+    names = [r.name for r in quality.RULES]
+    times = {n: sorted(r[i][0] for r in rows)[len(rows) // 2] for i, n in enumerate(names)}
+    assert times["repeated_words"] > 3 * times["few_words"]  # measured: the windows take long
+    made = [[(10, False), (90, True), (10, True)], [(10, False), (90, True), (10, True)], [(10, True), (90, True), (10, False)]]
+    monkeypatch.setattr(quality, "measured", lambda *a: made)
+    three = quality.RULES[:3]
+    # the third rejects 2 for 10; of what it leaves the first rejects 1 for 10, which leaves nothing to the second
+    assert quality.plan_cascade(docs, rules=three) == [three[2], three[0], three[1]]
+
+
+def test_quality_keeps_what_it_judges_good(odd, docs):
+    for table in (odd, docs):
+        kept = sorted(pairs(quality.keep_good(table)), key=str)
+        assert kept == sorted(((r.doc_id, r.text) for r in quality.judge(table).where("verdict.kept").collect()), key=str)
+        assert kept == sorted(pairs(quality.keep_good(table, rules=quality.RULES[::-1])), key=str)
+
+
 # 2
 
 
@@ -161,6 +183,41 @@ def test_secrets_finds_keys_in_paths_and_of_letters(spark, ratios):
         assert bool(spans[i]) == (best > 0 and re.search("[A-Za-z]", run) is not None)
 
 
+def test_secrets_in_linear_time(spark, ratios):
+    import time
+
+    one = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    texts = {n: " ".join(one(i) for i in range(n)) for n in (2_000, 16_000)}
+    took = {}
+    for n, t in texts.items():
+        rows = spark.createDataFrame([(t,)], "text string")
+        secrets.scan(rows, ratios).select(F.size("secrets")).collect()
+        began = time.time()
+        got = secrets.scan(rows, ratios).select("secrets").first()[0]
+        took[n] = time.time() - began
+        assert [(x.s, x.k, x.e) for x in got] == [(33 * i, 2, 33 * i + 32) for i in range(n)]
+    assert took[16_000] < 16 * took[2_000] + 1
+    assert secrets.redact(spark.createDataFrame([(texts[16_000],)], "text string"), ratios).first()[0] == " ".join(["[SECRET]"] * 16_000)
+
+
+def test_running_and_merged(spark):
+    r = random.Random(6)
+    for n in (0, 1, 255, 256, 257, 700):
+        values = [r.randrange(100) for _ in range(n)]
+        spans = sorted((s, s + r.randrange(1, 12)) for s in (r.randrange(3 * n) for _ in range(n)))
+        row = spark.createDataFrame([(values, spans)], "v array<int>, s array<struct<s:int,e:int>>")
+        got = row.select(running(F.col("v"), lambda x, y: x + y), running(F.col("v"), lambda x, y: F.greatest(x, y)), secrets._merged(F.col("s"))).first()
+        assert list(got[0]) == list(itertools.accumulate(values))
+        assert list(got[1]) == list(itertools.accumulate(values, max))
+        want = []
+        for s, e in spans:
+            if want and want[-1][1] >= s:
+                want[-1] = (want[-1][0], max(want[-1][1], e))
+            else:
+                want.append((s, e))
+        assert [tuple(x) for x in got[2]] == want
+
+
 def test_secrets_redact(odd, none, ratios):
     got = {r.doc_id: r.text for r in secrets.redact(odd, ratios).collect()}
     assert got[13] == '[SECRET]" [SECRET] é🙂 password: x [SECRET]'
@@ -179,7 +236,7 @@ def test_pieces_equal_the_library(odd, docs, none):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=SP)
-    for table in (odd, docs.limit(60)):
+    for table in (odd, docs):
         want = sorted(((i, tuple(lib.encode(t or "")), lib.decode(lib.encode(t or ""))) for i, t in pairs(table)), key=str)
         assert sorted(((r.doc_id, tuple(r.ids), r.decoded) for r in pieces.encode_decode(table, SP).collect()), key=str) == want
     assert pieces.encode_decode(none, SP).count() == 0
@@ -194,6 +251,25 @@ def test_pieces_agenda_on_random_texts():
     assert not coder.differs
 
 
+def test_agendas_in_step_equal_heaps(monkeypatch):
+    coder = pieces.PieceCoder(spmodel.read(SP))
+    letters = [p for p in coder.ids if len(p) == 1 and p != "\n"]
+    chunks = ["".join(RNG.choices(letters[:40] + letters, k=RNG.randrange(1, 33))) for _ in range(3000)] + [p for p in list(coder.ids)[:2000] if "\n" not in p]
+    ids, n = coder.merge_in_step(chunks)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [coder.merge(c) for c in chunks]
+    pairs_ = [(a, b) for a in RNG.sample(sorted(coder.ids), 300) for b in letters[:30]]
+    made, order = coder.table.find(*(np.array([coder.ids[p[k]] for p in pairs_], np.int32) for k in (0, 1)))
+    assert made.tolist() == [coder.ids.get(a + b, pieces.NONE) for a, b in pairs_]
+    known = sorted({(o, coder.minus[a + b]) for o, (a, b) in zip(order.tolist(), pairs_, strict=True) if a + b in coder.ids})
+    assert [x for _, x in known] == sorted(x for _, x in known)
+    monkeypatch.setattr(pieces, "KEPT_CHUNKS", 10)  # a worker that forgets, and one that finds the library differ
+    texts = ["".join(RNG.choice("ab the\n\u2581é🙂 .\t") for _ in range(60)) for _ in range(20)]
+    for t in texts:
+        assert next(coder.encode([t]))[0] == coder.library.encode(t)
+    coder.differs.update(coder.known)
+    assert [x[0] for x in coder.encode([texts[-1]])] == [coder.library.encode(texts[-1])]
+
+
 def test_token_counts_equal_the_library(odd, docs, none):
     import sentencepiece
 
@@ -357,8 +433,40 @@ def test_vectors(spark, sf):
     assert vectordup.link(df.limit(0)).count() == 0
 
 
-def test_vectors_hot_bucket_in_blocks(spark, monkeypatch):
+def test_vectors_of_the_table(spark, sf):
+    """All links of the table against brute force, whatever the sketches cover."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r for r in vectordup.link(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()}
+    assert sum(got[r.vec_id].n_links for r in rows) >= 0.999 * near.sum()
+    assert all(got[r.vec_id].n_links <= n for r, n in zip(rows, near.sum(axis=1), strict=True))
+
+
+def test_sketches_know_earlier_tables():
+    r = np.random.default_rng(4)
+    for bits, tables in ((4, 9), (7, 17), (21, 20), (60, 40)):
+        sides = r.random((40, max(bits * tables, 192))) < 0.5
+        sides[20:] = sides[:20] ^ (r.random((20, sides.shape[1])) < 0.05)
+        words = np.packbits(sides, axis=1, bitorder="little")[:, :24].copy().view("<u8")
+        for table in range(tables):
+            covered = [slice(k * bits, (k + 1) * bits) for k in range(min(table, 192 // bits))]
+            want = {(i, j) for i, a in enumerate(sides) for j, b in enumerate(sides) if i < j and (a[:192] ^ b[:192]).sum() <= 50 and not any((a[c] == b[c]).all() for c in covered)}
+            got = [x for a, b in vectordup._near(np.arange(40), np.arange(40), words, table, bits, 50, True) for x in zip(a.tolist(), b.tolist(), strict=True)]
+            assert sorted(got) == sorted(want)
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.0, 1.0])]
+    got = vectordup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_vectors_hot_bucket_in_blocks(spark, monkeypatch, broadcast):
     monkeypatch.setattr(vectordup, "BLOCK", 16)
+    monkeypatch.setattr(vectordup, "BROADCAST_BUCKETS", broadcast)
     r = np.random.default_rng(2)
     x = r.standard_normal(12)
     rows = [(i, (x + 0.01 * r.standard_normal(12)).tolist()) for i in range(90)]
@@ -543,6 +651,43 @@ def test_signatures_estimate_weighted_jaccard():
 # 8
 
 
+def brute_weights(events, distinct):
+    """Expectation-maximisation event by event; a context bucket starts from equal weights, and all buckets' weights count as one event in it."""
+    third = [1 / 3, 1 / 3, 1 / 3]
+
+    def parts(event, w):
+        _, q2, q1 = event
+        p = [0.0 if q2 < 0 else 2 ** (-q2 / lm.STEPS), 0.0 if q1 < 0 else 2 ** (-q1 / lm.STEPS), 1 / (distinct + 1)]
+        whole = sum(a * b for a, b in zip(p, w, strict=True))
+        return [a * b / whole for a, b in zip(p, w, strict=True)]
+
+    def step(some, of, prior):
+        sums = list(prior)
+        for e, n in some:
+            for k, x in enumerate(parts(e, of)):
+                sums[k] += n * x
+        return [x / sum(sums) for x in sums]
+
+    every = third
+    for _ in range(lm.ROUNDS if events else 0):
+        every = step(events.items(), every, [0.0, 0.0, 0.0])
+    out = {b: [0.0, 0.5, 0.5] if b == 0 else third for b in range(65)}
+    for b in out if events else ():
+        own, prior = [(e, n) for e, n in events.items() if e[0] == b], [0.0 if b == 0 else every[0], every[1], every[2]]
+        for _ in range(lm.ROUNDS):
+            out[b] = step(own, out[b], prior)
+    return out
+
+
+def test_lm_blocks_grow_with_the_root():
+    for size in (10**8, 10**10, 10**12, 10**14):
+        blocks, buckets = lm.sizes_for(size)
+        assert blocks * buckets[2] <= size / 6 * 0.3  # rows: fewer than n-grams
+        assert size / blocks <= 8 * lm.BLOCK_BYTES
+        assert size / 6 / buckets[2] <= 8 * lm.BUCKET_GRAMS
+    assert lm.sizes_for(0) == (lm.LEAST_BLOCKS, {2: 1, 1: 1})
+
+
 def test_lm_scores(odd, docs):
     for table in (odd, docs):
         rows = pairs(table)
@@ -568,7 +713,7 @@ def test_lm_scores(odd, docs):
             for x, y in zip([0, *t], t, strict=False) if a else ():
                 c = u2[x]
                 events[1 + math.floor(math.log2(c)) if c else 0, level(b2[x, y] / max(c, 1)), level(u2[y] / max(t2, 1))] += 1
-        weights = lm.learn_weights(np.array([(*k, n) for k, n in sorted(events.items())], dtype=np.int64).reshape(-1, 4), distinct)
+        weights = brute_weights(events, distinct)
         want = []
         for (d, _), t, h in zip(rows, tokens, held, strict=True):
             score = 0.0
