@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import starts_between
+
 #: Roman numerals with an optional ordinal, endings of patronymics (two variants), letters of place names.
 ROMAN = "(?i)^[ivxlcdm]+(primo|secundo|tercio|quarto|quinto|sexto|septimo|octauo|nono)?$"
 PATRONYMIC = "(s?son|s?sons|dotter|dottir|dottor|dottær|dottærs)$"
@@ -17,7 +19,7 @@ def is_roman(word: Column) -> Column:
 
 
 def is_capitalised(word: Column) -> Column:
-    return word.rlike(r"^\p{IsUppercase}")
+    return F.when(starts_between(word, "A", "Z"), True).when(word < "\x80", False).otherwise(word.rlike(r"^\p{IsUppercase}"))
 
 
 def is_patronymic(word: Column) -> Column:

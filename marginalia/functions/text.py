@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode strips it, and word characters, for regular expressions of Java and RE2.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WORD = r"\p{L}\p{N}_"
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
 MARKED = WORD + r"\x{300}-\x{36f}"
 TOKEN = rf"[{MARKED}]+|[^{MARKED}{WS}]"
 #: A token with the white space before it; pieces tile a text that ends without white space.
@@ -38,12 +38,23 @@ def pieces(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(PIECE), 0)
 
 
+def tokens_in(c: Column) -> Column:
+    """The tokens alone, where their places don't matter."""
+    return F.regexp_extract_all(c, F.lit(f"(?:{TOKEN})"), 0)
+
+
 def token_of(piece: Column) -> Column:
     return F.regexp_replace(piece, rf"^[{WS}]+", "")
 
 
+def starts_between(c: Column, first: str, last: str) -> Column:
+    """Whether a string starts with an ASCII character from ``first`` to ``last``: a comparison of bytes."""
+    return (c >= first) & (c < chr(ord(last) + 1))
+
+
 def is_word(token: Column) -> Column:
-    return token.rlike(IS_WORD)
+    plain = starts_between(token, "a", "z") | starts_between(token, "A", "Z") | starts_between(token, "0", "9")
+    return F.when(plain, True).otherwise(token.rlike(IS_WORD))
 
 
 def consonant_skeleton(c: Column) -> Column:

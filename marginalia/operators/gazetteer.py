@@ -92,9 +92,9 @@ def merge(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def derive_names(texts: DataFrame, text: str = "text", least: int = MIN_LENGTH) -> DataFrame:
     """A list of the capitalised words of texts: ``name_lower, source_form``, least form in code-point order."""
-    from marginalia.functions.text import is_word, pieces, token_of
+    from marginalia.functions.text import is_word, tokens_in
 
-    words = texts.select(F.explode(pieces(F.col(text))).alias("piece")).select(token_of(F.col("piece")).alias("w"))
+    words = texts.select(F.explode(tokens_in(F.col(text))).alias("w"))
     words = words.where(is_word(F.col("w")) & is_capitalised(F.col("w")) & (F.length("w") >= least))
     return words.groupBy(F.lower("w").alias("name_lower")).agg(F.min("w").alias("source_form"))
 

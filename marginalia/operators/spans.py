@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip_bio
-from marginalia.operators.tokens import by_doc, so_far
+from marginalia.operators.tokens import DOC, by_doc, so_far
 
 
-def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column) -> DataFrame:
+def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column, keys: tuple[str, ...] = DOC) -> DataFrame:
     """Rows from each opening on, as spans; rows where ``keep`` is false belong to none."""
-    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(so_far())).withColumn("_type", label).where(keep)
+    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(so_far(keys))).withColumn("_type", label).where(keep)
     item = F.struct("idx", "text")
-    spans = rows.groupBy("doc_id", "_run").agg(F.first("_type").alias("any_type"), F.min_by("_type", "idx").alias("type"), F.array_sort(F.collect_list(item)).alias("t"))
-    return spans.select("doc_id", "type", F.element_at("t", 1)["idx"].alias("start_idx"), F.element_at("t", -1)["idx"].alias("end_idx"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), F.transform("t", lambda x: x["idx"]).alias("token_indices"))
+    spans = rows.groupBy(*keys, "_run").agg(F.first("_type").alias("any_type"), F.min_by("_type", "idx").alias("type"), F.array_sort(F.collect_list(item)).alias("t"))
+    return spans.select(*keys, "type", F.element_at("t", 1)["idx"].alias("start_idx"), F.element_at("t", -1)["idx"].alias("end_idx"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), F.transform("t", lambda x: x["idx"]).alias("token_indices"))
 
 
-def io_spans(rows: DataFrame) -> DataFrame:
-    """Maximal runs of one label that isn't O; neighbours of one type merge."""
+def io_spans(rows: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
+    """Maximal runs of one label that isn't O; neighbours of one type merge. ``keys`` tell sequences apart."""
     io = strip_bio(F.col("label"))
-    opens = ~F.coalesce(F.lag(io).over(by_doc()) == io, F.lit(False))
-    return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io)
+    opens = ~F.coalesce(F.lag(io).over(by_doc(keys)) == io, F.lit(False))
+    return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io, keys)
 
 
 def bio_spans(rows: DataFrame, words_only: bool = True) -> DataFrame:
@@ -39,11 +39,11 @@ def sentence_spans(rows: DataFrame) -> DataFrame:
     return spans.select("doc_id.doc_id", "doc_id.sent_id", "type", "start_idx", "end_idx", "text", "token_indices")
 
 
-def chunk_spans(rows: DataFrame) -> DataFrame:
-    """The lenient reading for metrics: an I after O or after another type opens a span."""
+def chunk_spans(rows: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
+    """The lenient reading for metrics: an I after O or after another type opens a span. ``keys`` tell sequences apart."""
     io = strip_bio(F.col("label"))
-    opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(F.lag(io).over(by_doc()) == io, F.lit(False)))
-    return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io)
+    opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(F.lag(io).over(by_doc(keys)) == io, F.lit(False)))
+    return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io, keys)
 
 
 def io_to_bio(rows: DataFrame, io: str = "io") -> DataFrame:

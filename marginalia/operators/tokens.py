@@ -5,30 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import MIDDLE_DOT, clean_text, is_word, pieces, token_of
+from marginalia.functions.text import MIDDLE_DOT, clean_text, is_word, pieces, token_of, tokens_in
 
 
-def by_doc() -> WindowSpec:
+#: What tells one sequence of tokens from another.
+DOC = ("doc_id",)
+
+
+def by_doc(keys: tuple[str, ...] = DOC) -> WindowSpec:
     """A document's tokens in order."""
-    return Window.partitionBy("doc_id").orderBy("idx")
+    return Window.partitionBy(*keys).orderBy("idx")
 
 
-def so_far() -> WindowSpec:
+def so_far(keys: tuple[str, ...] = DOC) -> WindowSpec:
     """A document's tokens up to this one."""
-    return by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return by_doc(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: bool = True) -> DataFrame:
-    """``doc_id, idx, text, is_word``: tokens in order; null and blank texts have none."""
+def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: bool = True, keyed: bool = False) -> DataFrame:
+    """``doc_id, idx, text, is_word``: tokens in order; null and blank texts have none.
+
+    ``keyed``: documents are dealt by id before they fall into tokens, so that windows
+    and groups by document need no exchange of the tokens.
+    """
     source = clean_text(F.col(text)) if clean else F.col(text)
-    rows = docs.select(F.col(id).alias("doc_id"), F.posexplode(pieces(source)).alias("idx", "piece"))
-    rows = rows.withColumn("text", token_of(F.col("piece")))
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text))
+    rows = rows.repartition("doc_id") if keyed else rows
+    rows = rows.select("doc_id", F.posexplode(tokens_in(source)).alias("idx", "text"))
     return rows.select("doc_id", "idx", "text", is_word(F.col("text")).alias("is_word"))
 
 
 def tokenize_with_offsets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``tokenize``, with ``start`` and ``end`` in code points of the cleaned text; pieces tile it, so ends are running sums."""
-    rows = docs.select(F.col(id).alias("doc_id"), F.posexplode(pieces(clean_text(F.col(text)))).alias("idx", "piece"))
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text)).repartition("doc_id").select("doc_id", F.posexplode(pieces(clean_text(F.col(text)))).alias("idx", "piece"))
     rows = rows.withColumn("text", token_of(F.col("piece"))).withColumn("end", F.sum(F.length("piece")).over(so_far()).cast("int"))
     return rows.select("doc_id", "idx", "text", (F.col("end") - F.length("text")).alias("start"), "end", is_word(F.col("text")).alias("is_word"))
 

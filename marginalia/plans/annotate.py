@@ -18,7 +18,7 @@ from marginalia.operators.voting import vote
 
 def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = None, places: DataFrame | None = None, persons: DataFrame | None = None, fuzzy: bool = True, capitals: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Voted labels of every token. ``entities`` are found by whatever model the user runs; without them, or without name lists, those signals are silent."""
-    tokens = tokenize(docs, id, text)
+    tokens = tokenize(docs, id, text, keyed=True)
     rows, names = tokens, ["doc_id", "idx", "text", "is_word"]
     found = {"s1": F.lit(None).cast("string"), "s2": F.lit(None).cast("string"), "s3": F.lit(None).cast("string")}
     if entities is not None:
@@ -33,6 +33,10 @@ def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = Non
     return vote(rows.select(*names, *[c.alias(n) for n, c in found.items()]), lex)
 
 
+#: What tells the sequences of ``annotate_ways`` apart.
+WAYS = ("doc_id", "way")
+
+
 @dataclass(frozen=True)
 class Way:
     """How one annotation of several looks names up: the list columns of the name table that are its places and its persons (none: that signal is silent), and whether capitals count."""
@@ -49,7 +53,7 @@ def annotate_ways(docs: DataFrame, lex: sg.Lexicons, table: DataFrame, ways: dic
     """
     named = {n: w for n, w in ways.items() if w.places and w.persons}
     column = {n: f"_names_{i}" for i, n in enumerate(named)}
-    rows = tokenize(docs, id, text)
+    rows = tokenize(docs, id, text, keyed=True)
     if named:
         rows = sg.exact_labels(rows, table, {column[n]: (w.places, w.persons) for n, w in named.items()}, lex)
     if any(w.capitals for w in ways.values()):
@@ -57,14 +61,7 @@ def annotate_ways(docs: DataFrame, lex: sg.Lexicons, table: DataFrame, ways: dic
     none = F.lit(None).cast("string")
     sides = [F.struct(F.lit(n).alias("way"), (F.col(column[n]) if n in named else none).alias("s2"), (F.col("label") if w.capitals else none).alias("s3")) for n, w in ways.items()]
     rows = rows.select("doc_id", "idx", "text", "is_word", F.explode(F.array(*sides)).alias("w"))
-    voted = vote(rows.select(F.struct("w.way", "doc_id").alias("doc_id"), "idx", "text", "is_word", none.alias("s1"), F.col("w.s2").alias("s2"), F.col("w.s3").alias("s3")), lex)
-    return voted.withColumn("way", F.col("doc_id.way")).withColumn("doc_id", F.col("doc_id.doc_id"))
-
-
-def by_way(voted: DataFrame, decode) -> DataFrame:
-    """Spans of ``annotate_ways`` by a decoder that takes one document's tokens, with the column ``way``."""
-    found = decode(voted.withColumn("doc_id", F.struct("way", "doc_id")).drop("way"))
-    return found.withColumn("way", F.col("doc_id.way")).withColumn("doc_id", F.col("doc_id.doc_id"))
+    return vote(rows.select("doc_id", "w.way", "idx", "text", "is_word", none.alias("s1"), F.col("w.s2").alias("s2"), F.col("w.s3").alias("s3")), lex, WAYS)
 
 
 def document_summary(voted: DataFrame) -> DataFrame:

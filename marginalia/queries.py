@@ -16,7 +16,7 @@ from marginalia.functions import lexicon as lx
 from marginalia.functions import text as tx
 from marginalia.functions.similarity import indel_ratio
 from marginalia.operators import corpus, gazetteer, metrics, signals, spans, tokens, voting
-from marginalia.plans.annotate import Way, annotate, annotate_ways, by_way, document_summary
+from marginalia.plans.annotate import WAYS, Way, annotate, annotate_ways, document_summary
 from marginalia.sources import files
 
 LEX = signals.Lexicons(
@@ -41,8 +41,8 @@ def docs_of(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", "text")
 
 
-def toks(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.tokenize(docs_of(spark, d))
+def toks(spark: SparkSession, d: str, keyed: bool = False) -> DataFrame:
+    return tokens.tokenize(docs_of(spark, d), keyed=keyed)
 
 
 def lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -83,12 +83,12 @@ def both_ways(spark: SparkSession, d: str) -> DataFrame:
 def compared(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     if every:
         return metrics.compare_spans(spans.chunk_spans(gold(spark, d, True)), spans.chunk_spans(pred(spark, d, True)))
-    return metrics.compare_ways(by_way(both_ways(spark, d), spans.chunk_spans))
+    return metrics.compare_ways(spans.chunk_spans(both_ways(spark, d), WAYS))
 
 
 def coder_spans(spark: SparkSession, d: str) -> DataFrame:
     ways = {"a": Way("places", "persons"), "b": Way(), "c": Way("places", "persons", capitals=False)}
-    found = by_way(annotate_ways(docs_of(spark, d), LEX, name_table(spark, d), ways), spans.io_spans)
+    found = spans.io_spans(annotate_ways(docs_of(spark, d), LEX, name_table(spark, d), ways), WAYS)
     return found.select(F.col("way").alias("coder"), *metrics.SPAN)
 
 
@@ -192,7 +192,7 @@ def token_resplit(spark, d):
 
 @query
 def detokenize(spark, d):
-    return tokens.detokenize(toks(spark, d))
+    return tokens.detokenize(toks(spark, d, True))
 
 
 # windows and predicates
@@ -200,23 +200,23 @@ def detokenize(spark, d):
 
 @query
 def neighbour_words(spark, d):
-    return tokens.with_neighbours(toks(spark, d)).select("doc_id", "idx", "text", "prev_word", "next_word")
+    return tokens.with_neighbours(toks(spark, d, True)).select("doc_id", "idx", "text", "prev_word", "next_word")
 
 
 @query
 def sentence_initial(spark, d):
-    return tokens.with_neighbours(toks(spark, d)).select("doc_id", "idx", "sentence_initial")
+    return tokens.with_neighbours(toks(spark, d, True)).select("doc_id", "idx", "sentence_initial")
 
 
 @query
 def word_ngrams(spark, d):
-    return tokens.word_ngrams(toks(spark, d), 3).groupBy("ngram", "span_len").agg(F.count("*").alias("n")).where("n >= 5")
+    return tokens.word_ngrams(toks(spark, d, True), 3).groupBy("ngram", "span_len").agg(F.count("*").alias("n")).where("n >= 5")
 
 
 @query
 def word_ngrams_by_document(spark, d):
     """Every n-gram of each document, with how often it stands there and a digest of its spans' places."""
-    rows = tokens.word_ngrams(toks(spark, d), 3)
+    rows = tokens.word_ngrams(toks(spark, d, True), 3)
     place = F.array_join(F.transform("token_indices", lambda x: x.cast("string")), "-")
     found = rows.groupBy("doc_id", "ngram", "span_len").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("start_idx", place.alias("p")))).alias("at"))
     return found.select("doc_id", "ngram", "span_len", "n", F.md5(F.array_join(F.transform("at", lambda x: x["p"]), ",")).alias("places"))
@@ -236,12 +236,12 @@ def patronymic(spark, d):
 
 @query
 def cap_candidates(spark, d):
-    return signals.capitals(toks(spark, d), LEX).where("status is not null").select("doc_id", "idx", "text", "status", "label")
+    return signals.capitals(toks(spark, d, True), LEX).where("status is not null").select("doc_id", "idx", "text", "status", "label")
 
 
 @query
 def cap_summary(spark, d):
-    return signals.capitals_summary(signals.capitals(toks(spark, d), LEX))
+    return signals.capitals_summary(signals.capitals(toks(spark, d, True), LEX))
 
 
 @query

@@ -262,14 +262,14 @@ def test_lists_looked_up_together_equal_one_by_one(spark):
 
 def test_ways_equal_annotations_apart(spark, sf):
     from marginalia import queries as q
-    from marginalia.plans.annotate import by_way
+    from marginalia.plans.annotate import WAYS
 
     both = q.both_ways(spark, sf)
     for way, apart in (("gold", q.gold(spark, sf)), ("pred", q.pred(spark, sf))):
         assert sorted(both.where(F.col("way") == way).select("doc_id", "idx", "text", "label").collect()) == sorted(apart.select("doc_id", "idx", "text", "label").collect())
     key = lambda df: sorted(map(tuple, df.select(*metrics.SPAN, "in_gold", "in_pred").collect()))
     apart = metrics.compare_spans(spans.chunk_spans(q.gold(spark, sf)), spans.chunk_spans(q.pred(spark, sf)))
-    assert key(metrics.compare_ways(by_way(both, spans.chunk_spans))) == key(apart)
+    assert key(metrics.compare_ways(spans.chunk_spans(both, WAYS))) == key(apart)
     assert sorted(metrics.aligned_ways(both).collect()) == sorted(metrics.aligned(q.gold(spark, sf), q.pred(spark, sf)).collect())
 
 
@@ -788,6 +788,9 @@ def test_one_exchange_for_the_windows(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     plan = signals.capitals(tokens.tokenize(d), signals.Lexicons())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    keyed = signals.capitals(tokens.tokenize(d, keyed=True), signals.Lexicons())._jdf.queryExecution().executedPlan().toString()
+    assert keyed.count("Exchange hashpartitioning") == 1
+    assert keyed.index("Generate") < keyed.index("Exchange hashpartitioning")  # texts are dealt, not tokens
     assert "Python" not in annotate(d, signals.Lexicons())._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
