@@ -112,7 +112,7 @@ def split_words(c: Column) -> Column:
 def lexicon_fraction(c: Column, lexicon: list[str]) -> Column:
     """Share of lower-cased words that are in the lexicon once closing marks are cut; 1 for a text without words."""
     words = split_words(F.lower(c))
-    known = F.filter(words, lambda w: F.regexp_replace(w, "[.,;:]+$", "").isin(*lexicon) if lexicon else F.lit(False))
+    known = F.filter(words, lambda w: F.rtrim(w, F.lit(".,;:")).isin(*lexicon) if lexicon else F.lit(False))
     return F.when(F.size(words) == 0, 1.0).otherwise(F.size(known) / F.size(words))
 
 
