@@ -37,7 +37,7 @@ KEPT_WORDS, RUN_CHARS = 250_000, 2_000_000
 #: Longer words are left to the library, whose merging stays fast on them.
 LONGEST = 400
 #: Lower ends of the bands of sizes, as shares of the capacity; tasks that a band's range is dealt to.
-BANDS, RANGES = (1 / 2, 1 / 4, 1 / 8, 1 / 32, 0), 8
+BANDS, RANGES = (1 / 2, 1 / 8, 0), 8
 #: Kinds of runs.
 DOCUMENT, GAP, PLACED = 0, 1, 2
 
