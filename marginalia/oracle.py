@@ -207,7 +207,7 @@ add("detokenize", "SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS text FRO
 add("neighbour_words", "SELECT doc_id, idx, text, prev_word, next_word FROM nb", f"{TOK}, {NB}")
 add("sentence_initial", "SELECT doc_id, idx, sentence_initial FROM nb", f"{TOK}, {NB}")
 add("word_ngrams", """SELECT ngram, span_len, count(*) AS n FROM (
-  SELECT text AS ngram, 1 AS span_len FROM w UNION ALL SELECT text || ' ' || b, 2 FROM w WHERE b IS NOT NULL UNION ALL SELECT text || ' ' || b || ' ' || c, 3 FROM w WHERE c IS NOT NULL) GROUP BY ALL HAVING count(*) >= 5""",
+  SELECT text AS ngram, 1 AS span_len FROM w UNION ALL SELECT text || ' ' || b, 2 FROM w WHERE b IS NOT NULL UNION ALL SELECT text || ' ' || b || ' ' || c, 3 FROM w WHERE c IS NOT NULL) GROUP BY ALL""",
     f"{TOK}, w AS (SELECT text, lead(text) OVER o AS b, lead(text, 2) OVER o AS c FROM tok WHERE is_word WINDOW o AS (PARTITION BY doc_id ORDER BY idx))")
 PLACES = "w AS (SELECT doc_id, idx, text, lead(text) OVER o AS b, lead(text, 2) OVER o AS c, lead(idx) OVER o AS ib, lead(idx, 2) OVER o AS ic FROM tok WHERE is_word WINDOW o AS (PARTITION BY doc_id ORDER BY idx))"
 add("word_ngrams_by_document", """SELECT doc_id, ngram, span_len, count(*) AS n, md5(string_agg(p, ',' ORDER BY idx)) AS places FROM (SELECT doc_id, idx, text AS ngram, 1 AS span_len, idx::VARCHAR AS p FROM w
@@ -221,7 +221,6 @@ add("cap_summary", """SELECT count(*) FILTER (status = 'candidate') AS candidate
 add("stoplist_reason", f"SELECT {STOP} AS reason, count(*) AS n FROM tok WHERE is_word GROUP BY 1", TOK)
 # name lists
 FIT = r"regexp_matches(w, '[a-zA-ZåäöæøþðẏÅÄÖÆØ]') AND NOT regexp_matches(w, '^[(\[]|^\.\.\.') AND NOT regexp_matches(w, '^[\p{Nd}–:°.-]+$') AND length(regexp_replace(w, '[^a-zA-ZåäöæøþðẏÅÄÖÆØ]', '', 'g')) >= 3"
-add("gazetteer_simple_sentences", "SELECT lower(e) AS name_lower, arg_min(e, item_id * 1000 + pos) AS source_form FROM l WHERE length(e) > 1 GROUP BY 1", f"l AS (SELECT item_id, pos, {strip('part')} AS e FROM (SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT item_id, string_split(text, '.') AS p FROM benchmark)))")
 add("gazetteer_places", "SELECT name_lower, coalesce(arg_max(entry, line_no) FILTER (n = 1), arg_min(entry, line_no * 100 + pos) FILTER (n > 1)) AS source_form FROM ok GROUP BY name_lower", f"""
 bw AS (SELECT item_id, unnest(s) AS w, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT item_id, string_split(text, ' ') AS s FROM benchmark)),
 ln AS (SELECT item_id * 1000 + pos AS line_no, {strip("CASE WHEN pos % 3 = 0 THEN w || ' ' || lower(w) || 'a' ELSE w END")} AS entry FROM bw),
@@ -230,7 +229,7 @@ wd AS (SELECT line_no, entry, len(ws) AS n, unnest(ws) AS w, generate_subscripts
 ok AS (SELECT *, lower(w) AS name_lower FROM wd WHERE {FIT} AND (n = 1 OR (n <= 4 AND length(w) > 2 AND lower(w) NOT IN ('the', 'and'))))""")
 add("gazetteer_place_statistics", """SELECT count(*) AS raw, count(*) FILTER (strpos(lower(entry), 'qu') = 0) AS kept, count(*) FILTER (strpos(lower(entry), 'qu') > 0) AS filtered_out, (SELECT count(DISTINCT name_lower) FROM ok) AS unique_names
   FROM ln WHERE line_no >= 32 AND entry <> ''""", SQL["gazetteer_places"].split("SELECT name_lower, coalesce")[0].removeprefix("WITH ").strip())
-add("gazetteer_simple", "SELECT lower(e) AS name_lower, arg_min(e, item_id) AS source_form FROM l WHERE length(e) > 1 GROUP BY 1", f"l AS (SELECT item_id, {strip('string_split(text, chr(46))[1]')} AS e FROM benchmark)")
+add("gazetteer_simple", "SELECT lower(e) AS name_lower, arg_min(e, (item_id, pos)) AS source_form FROM l WHERE length(e) > 1 GROUP BY 1", f"l AS (SELECT item_id, pos, {strip('part')} AS e FROM (SELECT item_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT item_id, string_split(text, '.') AS p FROM benchmark)))")
 PERSON = strip(sub(sub(sub(chain(strip("raw"), *[(c, "") for c in '±?()[]"']), "^[* ]+"), r"^\.\.\."), " +", " "))
 VARIANTS = f"""cells AS (SELECT conv_id * 1000 + turn AS row_no, unnest([0, 1]) AS field, unnest([role, text]) AS cell FROM conversations),
 vs AS (SELECT row_no, field, unnest(s) AS raw, generate_subscripts(s, 1) AS variant FROM (SELECT row_no, field, string_split(cell, ',') AS s FROM cells)),

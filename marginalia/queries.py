@@ -210,7 +210,7 @@ def sentence_initial(spark, d):
 
 @query
 def word_ngrams(spark, d):
-    return tokens.word_ngrams(toks(spark, d, True), 3).groupBy("ngram", "span_len").agg(F.count("*").alias("n")).where("n >= 5")
+    return tokens.word_ngrams(toks(spark, d, True), 3).groupBy("ngram", "span_len").agg(F.count("*").alias("n"))
 
 
 @query
@@ -254,7 +254,9 @@ def stoplist_reason(spark, d):
 
 
 def _lines(spark, d):
-    return load(spark, d, "benchmark").select((F.col("item_id") * 10).cast("int").alias("line_no"), F.substring_index("text", ".", 1).alias("line"))
+    """Every sentence of every text, numbered by item and place."""
+    parts = load(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("pos", "line"))
+    return parts.select(F.struct("item_id", "pos").alias("line_no"), "line")
 
 
 def _rows(spark, d):
@@ -281,13 +283,6 @@ def gazetteer_simple(spark, d):
     return gazetteer.simple(_lines(spark, d))
 
 
-@query
-def gazetteer_simple_sentences(spark, d):
-    """The same list from every sentence of every text, not only what stands before the first full stop."""
-    parts = load(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("pos", "line"))
-    return gazetteer.simple(parts.select(F.struct("item_id", "pos").alias("line_no"), "line"))
-
-
 @query
 def gazetteer_persons(spark, d):
     return gazetteer.persons(_rows(spark, d))
