@@ -367,18 +367,21 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     step.
     """
     n = len(gain)
-    gain, near = list(gain), [[] for _ in gain]
-    for i, j, w in edges:
-        near[i].append((j, w))
-        near[j].append((i, w))
-    weight = [sum(w for _, w in x) for x in near]
+    gain, near, weight = list(gain), [[] for _ in gain], [0.0] * n
+    for e in edges:
+        i, j, w = e
+        near[i].append(e)
+        near[j].append(e)
+        weight[i] += w
+        weight[j] += w
     label: list[bool | None] = [None] * n
     waiting = deque(range(n))
     while waiting:
         i = waiting.popleft()
         if label[i] is None and (gain[i] >= weight[i] or -gain[i] > weight[i]):
             label[i] = gain[i] >= weight[i]
-            for j, w in near[i]:
+            for a, b, w in near[i]:
+                j = a + b - i
                 if label[j] is None:
                     weight[j] -= w
                     gain[j] += w if label[i] else -w
@@ -386,7 +389,8 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
     rest = [i for i in range(n) if label[i] is None]
     room: dict[int, dict[int, float]] = {i: {} for i in rest}
     for i in rest:
-        for j, w in near[i]:
+        for a, b, w in near[i]:
+            j = a + b - i
             if label[j] is None:
                 room[i][j] = room[i].get(j, 0.0) + w
     sink = {i: max(0.0, -gain[i]) for i in rest}
