@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import linededup, lm, maintext, neardup, packing, pieces, quality, secrets, tokencount, vectordup
+from marginalia.llm import linededup, lm, maintext, neardup, packing, pieces, quality, resample, secrets, tokencount, topk, vectordup, whitening
 from marginalia.llm.common import table
 
 
@@ -73,4 +73,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_sentencepiece, op4_best_fit_packing, op5_embedding_near_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_lm_scoring, op9_line_dedup, op10_token_counts)}
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_sentencepiece, op4_best_fit_packing, op5_embedding_near_dedup, op6_html_extraction, op7_minhash_near_dedup, op8_lm_scoring, op9_line_dedup, op10_token_counts, op11_exact_topk, op12_embedding_whitening, op13_importance_resampling)}

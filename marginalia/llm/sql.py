@@ -64,4 +64,39 @@ class AS (SELECT r.k, min(d.doc_id) AS class_id, count(*) AS n_class FROM reach
 SELECT doc_id, class_id, n_class, doc_id = class_id AS kept FROM d JOIN class USING (k)
 """
 
-SQL = {"op1_quality_rules": OP1, "op5_embedding_near_dedup": OP5, "op7_minhash_near_dedup": OP7, "op9_line_dedup": OP9}
+OP11 = r"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::DOUBLE) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)
+),
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+t AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM t WHERE rank <= 20
+"""
+
+OP13 = r"""
+WITH RECURSIVE step(i, r, c) AS (
+  SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, r + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE r < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS k FROM step WHERE r = 8),
+d AS (SELECT 0 AS kind, doc_id, row_number() OVER () AS n, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT kind, n, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d),
+h AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+b AS (
+  SELECT word, xor(4294967295, list_reduce([4294967295] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, x: xor(k[(xor(a, x) & 255) + 1], a >> 8))) % 10000 AS bucket
+  FROM h, crc
+),
+f AS (SELECT kind, n, bucket FROM w JOIN b USING (word)),
+c AS (SELECT i AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000) r(i) LEFT JOIN (SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM f GROUP BY bucket) ON bucket = i),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+x AS (SELECT n, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE kind = 0 GROUP BY n),
+y AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN x USING (n) WHERE kind = 0
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= floor(10 * able / 100) THEN k END AS rank FROM r
+"""
+
+SQL = {"op1_quality_rules": OP1, "op5_embedding_near_dedup": OP5, "op7_minhash_near_dedup": OP7, "op9_line_dedup": OP9, "op11_exact_topk": OP11, "op13_importance_resampling": OP13}

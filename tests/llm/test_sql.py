@@ -10,10 +10,10 @@ from marginalia.llm.sql import SQL
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     cur = con.execute(SQL[name])
     names = [c[0] for c in cur.description]
     assert sorted(names) == sorted(df.columns)
-    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(cur.fetchall())
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(cur.fetchall(), key=repr)
