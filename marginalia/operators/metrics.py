@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip_bio
+from marginalia.operators.pairing import pair_errors
 
 SPAN = ["doc_id", "type", "start_idx", "end_idx"]
 
@@ -149,46 +149,14 @@ def label_counts(codings: DataFrame, labels: list[str]) -> DataFrame:
     return codings.groupBy("coder").pivot("label", labels).count().na.fill(0)
 
 
-#: What errors are called.
-CATEGORIES = ("type_confusion", "boundary_same_type", "boundary_and_type", "pure_miss", "pure_hallucination")
-
-
-def _taxonomy(t: pd.DataFrame) -> pd.DataFrame:
-    """Sort a sequence's misses and inventions, then let each miss take the first fitting invention, kind by kind."""
-    spans = sorted(zip(t["type"], t["start_idx"], t["end_idx"], t["in_gold"], strict=True))
-    missed, invented = [s for s in spans if s[3]], [s for s in spans if not s[3]]
-    rows: list[tuple] = []
-    tests = (
-        lambda g, f: g[1:3] == f[1:3] and g[0] != f[0],
-        lambda g, f: g[0] == f[0] and g[1] <= f[2] and f[1] <= g[2],
-        lambda g, f: g[0] != f[0] and g[1] <= f[2] and f[1] <= g[2],
-    )
-    for name, fits in zip(CATEGORIES, tests, strict=False):
-        rest = []
-        for g in missed:
-            f = next((x for x in invented if fits(g, x)), None)
-            if f is None:
-                rest.append(g)
-            else:
-                invented.remove(f)
-                rows.append((name, *g[:3], *f[:3]))
-        missed = rest
-    rows += [("pure_miss", *g[:3], None, None, None) for g in missed] + [("pure_hallucination", None, None, None, *f[:3]) for f in invented]
-    out = pd.DataFrame(rows, columns=["category", "gold_type", "gold_start", "gold_end", "pred_type", "pred_start", "pred_end"])
-    out.insert(0, "doc_id", t["doc_id"].iloc[0])
-    return out.astype({c: "Int64" for c in ("gold_start", "gold_end", "pred_start", "pred_end")})
-
-
 def error_taxonomy(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Each missed or invented span once, paired where they touch: ``doc_id, category`` and both spans."""
     return taxonomy_of(compare_spans(gold, pred))
 
 
 def taxonomy_of(compared: DataFrame) -> DataFrame:
-    """``error_taxonomy`` of compared spans. Greedy and in order within a document, so it runs as Python, on the erring spans only."""
-    wrong = compared.where("in_gold <> in_pred")
-    kind = wrong.schema["doc_id"].dataType.simpleString()
-    return wrong.groupBy("doc_id").applyInPandas(_taxonomy, f"doc_id {kind}, category string, gold_type string, gold_start long, gold_end long, pred_type string, pred_start long, pred_end long")
+    """``error_taxonomy`` of compared spans."""
+    return pair_errors(compared.where("in_gold <> in_pred"))
 
 
 def error_accounting(errors: DataFrame) -> DataFrame:

@@ -557,6 +557,43 @@ def test_error_taxonomy(spark):
     assert metrics.examples(errors, 2).groupBy("category").count().agg(F.max("count")).first()[0] <= 2
 
 
+def tiled(types, length, gap=0.3):
+    """Spans side by side, as a decoder gives them."""
+    at, out = RNG.randrange(3), []
+    while at < length:
+        end = at + RNG.choice([0, 0, 1, 2, 5])
+        if RNG.random() > gap:
+            out.append((RNG.choice(types), at, end))
+        at = end + 1
+    return out
+
+
+def test_error_pairs_of_dense_and_tangled_documents(spark):
+    gold, pred, want = [], [], []
+    for d in range(120):
+        types = ["Person", "Location", "Org"][: 1 + d % 3]
+        g, p = tiled(types, 60, d % 4 / 5), tiled(types, 60, d % 5 / 6)
+        if d % 10 == 0:
+            p += random_spans(3)
+        gold += [(d, *x) for x in g]
+        pred += [(d, *x) for x in p]
+        want += [(d, n, *(x or (None,) * 3), *(y or (None,) * 3)) for n, x, y in greedy(g, sorted(set(p)))]
+    kinds = "doc_id long, type string, start_idx int, end_idx int"
+    errors = metrics.error_taxonomy(spark.createDataFrame(gold, kinds), spark.createDataFrame(pred, kinds))
+    assert sorted(map(str, map(tuple, errors.collect()))) == sorted(map(str, want))
+    none = spark.createDataFrame([], kinds)
+    assert metrics.error_taxonomy(none, none).collect() == []
+
+
+def test_error_pairs_of_a_very_long_document(spark):
+    """100,000 spans that all hang together: each miss overlaps the invention before and the one after it."""
+    n = F.lit(1).cast("long")
+    side = lambda by: spark.range(50_000).select(n.alias("doc_id"), F.lit("Person").alias("type"), (F.col("id") * 4 + by).alias("start_idx"), (F.col("id") * 4 + by + 2).alias("end_idx"))
+    got = metrics.error_taxonomy(side(2), side(0))
+    assert [tuple(r) for r in got.groupBy("category").agg(F.count("*"), F.max(F.col("pred_start") - F.col("gold_start"))).collect()] == [("boundary_same_type", 50_000, -2)]
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+
+
 def test_alpha(spark):
     same = spark.createDataFrame([(i, c, "x") for i in range(5) for c in "ab"], "item_id long, coder string, label string")
     assert metrics.krippendorff_alpha(same).first().alpha == 1.0
