@@ -4,8 +4,8 @@ A block is a range of the vectors in an order that brings similar ones together;
 has the greatest and the least of each component (what a query can get from a term at
 most) and its vectors as a forward index. Blocks lie in shards of SHARD blocks, whose
 bounds come from the same maxima. Each query first searches the shard that it lies in,
-which gives it a score to beat; then it goes to the shards whose bound reaches that
-score. Equal vectors are one throughout, with the k + 1 least of their ids, as no other
+which gives it a score to beat; then the FIRST shards with the best bounds, which raise
+that score; then all others whose bound still reaches it. Equal vectors are one throughout, with the k + 1 least of their ids, as no other
 of them can be among the k best of any query.
 """
 
@@ -27,8 +27,10 @@ K, SCALE = 20, 64
 BLOCK, SHARD, PARTITIONS = 64, 64, 10_000
 #: Vectors drawn by hash that the order of all others goes by; it has no say in the result.
 PIVOTS = 64
-#: Queries, and shards, whose bounds a task works out at a time.
-TOGETHER = 4096
+#: Shards that a query goes to before all others.
+FIRST = 8
+#: Queries that a shard takes at a time; queries, and shards, whose bounds a task works out at a time.
+TOGETHER, QUERIES, SHARDS = 4096, 1024, 256
 #: Components beyond this stand for themselves no longer.
 MOST = 2**40
 FAR = 2**63 - 1
@@ -202,11 +204,12 @@ def _hopeful(queries: pa.Table, shards: pa.Table) -> pa.Table:
             of = lambda t, c, at: matrix(t.column(c).take(pa.array(at)).combine_chunks())
             low, top = of(shards, "low", b), of(shards, "top", b)
             for some in np.array_split(a, len(a) // 1024 + 1):
-                reach = bounds(of(queries, "x", some), low, top) >= beat[some][:, None]
+                most = bounds(of(queries, "x", some), low, top)
+                reach = most >= beat[some][:, None]
                 reach &= home[some][:, None] != ids[b][None, :]
                 i, j = np.nonzero(reach)
-                out.append(queries.select(["q", "beat", "x"]).take(pa.array(some[i])).append_column("shard", pa.array(ids[b[j]])))
-    names = {"q": pa.int64(), "beat": pa.int64(), "x": pa.list_(pa.int64()), "shard": pa.int64()}
+                out.append(queries.select(["q", "beat", "x"]).take(pa.array(some[i])).append_column("shard", pa.array(ids[b[j]])).append_column("bound", pa.array(most[i, j])))
+    names = {"q": pa.int64(), "beat": pa.int64(), "x": pa.list_(pa.int64()), "shard": pa.int64(), "bound": pa.int64()}
     return pa.concat_tables([t.cast(pa.schema(names.items())) for t in out]) if out else pa.schema(names.items()).empty_table()
 
 
@@ -238,6 +241,14 @@ def index(vectors: DataFrame) -> DataFrame:
     return ranged.mapInArrow(_blocks, INDEX)
 
 
+def _visited(pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """``q, score, least, vec``: what the shards of ``pairs`` (``q, beat, x, shard``) have that reaches the score to beat; a shard with many queries is dealt over tasks."""
+    parts = pairs.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("parts"))
+    going = spread_join(pairs.select("q", "beat", "x", "shard"), parts, ["shard"], ["q"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).drop("parts")
+    there = blocks.join(parts.hint("merge"), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return going.groupBy("shard", "part").cogroup(there.groupBy("shard", "part")).applyInArrow(_away(k), "q long, score long, least long, vec long")
+
+
 def search(vectors: DataFrame, asked: Column, k: int = K, scale: int = SCALE, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of all other rows for each row that ``asked`` (of its id, as ``vec_id``) marks; all, if there are fewer.
 
@@ -264,27 +275,28 @@ def search(vectors: DataFrame, asked: Column, k: int = K, scale: int = SCALE, id
 
     own = "q long, dim int, home long, beat long, x array<long>, score array<long>, least array<long>, vec array<long>"
     started = cut(blocks.groupBy("shard", "dim").applyInArrow(_at_home(k + 1), own))
-    lots = lambda n: max(1, -(-n // TOGETHER))
-    q_lots, s_lots = lots(started.count()), lots(shards.count())
+    q_lots, s_lots = (max(1, -(-df.count() // some)) for df, some in ((started, QUERIES), (shards, SHARDS)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     lot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = started.select("q", "dim", "home", "beat", "x", lot("q", q_lots).alias("a"), every(s_lots).alias("b"))
     right = shards.select("*", lot("shard", s_lots).alias("b"), every(q_lots).alias("a"))
-    pairs = cut(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_hopeful, "q long, beat long, x array<long>, shard long"))
-    parts = pairs.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("parts"))
-    going = spread_join(pairs, parts, ["shard"], ["q"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).drop("parts")
-    there = blocks.join(parts.hint("merge"), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    away = going.groupBy("shard", "part").cogroup(there.groupBy("shard", "part")).applyInArrow(_away(k + 1), "q long, score long, least long, vec long")
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_hopeful, "q long, beat long, x array<long>, shard long, bound long")
+    pairs = cut(pairs.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "shard"))))
     here = started.select("q", F.explode(F.arrays_zip("score", "least", "vec")).alias("f")).select("q", "f.*")
     better = Window.partitionBy("q").orderBy(F.desc("score"), "least", "vec")
-    found = here.unionByName(away).withColumn("nth", F.row_number().over(better)).where(F.col("nth") <= k + 1).select("q", "vec", "score")
+    best = lambda found: found.withColumn("nth", F.row_number().over(better)).where(F.col("nth") <= k + 1)
+    near = cut(best(here.unionByName(_visited(pairs.where(F.col("nth") <= FIRST), blocks, k + 1))).drop("nth"))
+    raised = near.groupBy("q").agg(F.when(F.count("*") > k, F.min("score")).alias("beat"))
+    late = pairs.where(F.col("nth") > FIRST).drop("beat").join(raised.hint("merge"), "q").withColumn("beat", F.coalesce("beat", F.lit(-FAR)))
+    late = cut(late.where(F.col("bound") >= F.col("beat")))
+    found = best(near.unionByName(_visited(late, blocks, k + 1))).select("q", "vec", "score")
 
     listed = spread_join(found, named.select("vec", "members"), ["vec"], ["q"]).select("q", "score", F.explode("members").alias("m"))
     last = Window.partitionBy("q").orderBy(F.desc("score"), "m.none", "m.vec_id", "m.row")
     ranked = listed.withColumn("nth", F.row_number().over(last)).where(F.col("nth") <= k + 1)
     lists = ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("nth", F.col("m.vec_id").alias("vec_id"), F.col("m.row").alias("row"), "score"))).alias("best"))
     by_key = cut(lists.join(named.select(F.col("vec").alias("q"), *key).hint("merge"), "q").drop("q"))
-    for done in (built, started, pairs):
+    for done in (built, started, pairs, near, late):
         discard(done)
     asking = spread_join(rows.where("asked").select(F.col("vec_id").alias("query_id"), "row", *key), by_key, key, ["row"])
     others = F.slice(F.filter("best", lambda m: m["row"] != F.col("row")), 1, k)

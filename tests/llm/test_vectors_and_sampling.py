@@ -61,7 +61,8 @@ def odd_vectors():
 def test_topk_equals_brute_force(spark, odd_vectors, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 8)
     monkeypatch.setattr(topk, "SHARD", 4)
-    monkeypatch.setattr(topk, "TOGETHER", 16)
+    for name, some in (("TOGETHER", 16), ("QUERIES", 7), ("SHARDS", 3), ("FIRST", 1)):
+        monkeypatch.setattr(topk, name, some)
     df = vectors(spark, odd_vectors)
     assert topk_rows(topk.search(df, F.col("vec_id") % 20 == 0, k=5)) == brute_topk(odd_vectors, 5, lambda i: i % 20 == 0)
 
