@@ -33,14 +33,15 @@ def _in(c: Column, words: list[str]) -> Column:
     return F.coalesce(c.isin(*words), F.lit(False)) if words else F.lit(False)
 
 
-def mark_capitals(tokens: DataFrame, lex: Lexicons) -> DataFrame:
+def mark_capitals(tokens: DataFrame, lex: Lexicons, segment: int | None = None) -> DataFrame:
     """All tokens with ``status`` (roman_numeral, sentence_initial, stop_first, stop_second, candidate; null without a capital) and ``label`` for candidates.
 
     The tests come in this order. A candidate's type follows from its neighbours:
     locative before, patronymic itself or next, title before, administrative word
-    after; else it is Unknown.
+    after; else it is Unknown. With ``segment``, documents are dealt out in segments of
+    so many tokens.
     """
-    rows, t = beside(tokens), F.col("text")
+    rows, t = beside(tokens, segment), F.col("text")
     status = F.when(~F.col("is_word") | ~is_capitalised(t), None).when(is_roman(t), "roman_numeral").when(F.col("sentence_initial"), "sentence_initial")
     status = status.when(_in(t, lex.cap_first), "stop_first").when(_in(t, lex.cap_second), "stop_second").otherwise("candidate")
     before, after = F.lower("prev_word"), F.lower("next_word")

@@ -6,42 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip_bio
+from marginalia.operators.segments import carried, segmented
 from marginalia.operators.tokens import DOC, by_doc, so_far
 
 
-def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column, keys: tuple[str, ...] = DOC) -> DataFrame:
-    """Rows from each opening on, as spans; rows where ``keep`` is false belong to none."""
-    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(so_far(keys))).withColumn("_type", label).where(keep)
+def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column, keys: tuple[str, ...] = DOC, run: Column | None = None) -> DataFrame:
+    """Rows from each opening on, as spans; rows where ``keep`` is false belong to none. ``run``: what tells the openings apart, if that is known."""
+    rows = rows.withColumn("_run", F.sum(opens.cast("int")).over(so_far(keys)) if run is None else run).withColumn("_type", label).where(keep)
     item = F.struct("idx", "text")
     spans = rows.groupBy(*keys, "_run").agg(F.first("_type").alias("any_type"), F.min_by("_type", "idx").alias("type"), F.array_sort(F.collect_list(item)).alias("t"))
     return spans.select(*keys, "type", F.element_at("t", 1)["idx"].alias("start_idx"), F.element_at("t", -1)["idx"].alias("end_idx"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), F.transform("t", lambda x: x["idx"]).alias("token_indices"))
 
 
-def io_spans(rows: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
-    """Maximal runs of one label that isn't O; neighbours of one type merge. ``keys`` tell sequences apart."""
+def _long_runs(rows: DataFrame, opens: Column, keep: Column, label: Column, keys: tuple[str, ...], segment: int) -> DataFrame:
+    """``_runs`` in segments: ``opens`` may look at ``_last``, the label before; a run goes by the place where it opened."""
+    rows = carried(segmented(rows, segment), {"_last": F.col("label")}, keys=keys)
+    opened = F.when(opens, F.col("idx"))
+    rows = carried(rows, {"_open": opened}, keys=keys)
+    return _runs(rows, opens, keep, label, keys, F.coalesce(opened, F.col("_open")))
+
+
+def io_spans(rows: DataFrame, keys: tuple[str, ...] = DOC, segment: int | None = None) -> DataFrame:
+    """Maximal runs of one label that isn't O; neighbours of one type merge. ``keys`` tell sequences apart; ``segment``: tokens that are dealt together, none for whole sequences."""
     io = strip_bio(F.col("label"))
+    if segment:
+        return _long_runs(rows, ~F.coalesce(strip_bio(F.col("_last")) == io, F.lit(False)), io != "O", io, keys, segment)
     opens = ~F.coalesce(F.lag(io).over(by_doc(keys)) == io, F.lit(False))
     return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io, keys)
 
 
-def bio_spans(rows: DataFrame, words_only: bool = True) -> DataFrame:
-    """B opens, I goes on whatever its type, O closes; an I without a span is dropped. Marks are looked through with ``words_only``."""
+def bio_spans(rows: DataFrame, words_only: bool = True, segment: int | None = None) -> DataFrame:
+    """B opens, I goes on whatever its type, O closes; an I without a span is dropped. Marks are looked through with ``words_only``. ``segment`` as for ``io_spans``."""
     rows = rows.where("is_word") if words_only else rows
     closes = F.startswith("label", F.lit("B-")) | (F.col("label") == "O")
+    if segment:
+        closed = F.when(closes, F.struct("idx", "label"))
+        rows = carried(segmented(rows, segment), {"_close": closed}).withColumn("_close", F.coalesce(closed, F.col("_close")))
+        return _runs(rows.where(F.startswith("_close.label", F.lit("B-"))), closes, F.lit(True), strip_bio(F.col("label")), run=F.col("_close.idx"))
     rows = rows.withColumn("_run", F.sum(closes.cast("int")).over(so_far())).withColumn("_head", F.first("label").over(Window.partitionBy("doc_id", "_run").orderBy("idx")))
     return _runs(rows.where(F.startswith("_head", F.lit("B-"))).drop("_run"), F.startswith("label", F.lit("B-")), F.lit(True), strip_bio(F.col("label")))
 
 
-def sentence_spans(rows: DataFrame) -> DataFrame:
+def sentence_spans(rows: DataFrame, segment: int | None = None) -> DataFrame:
     """As ``bio_spans`` over all rows, and a sentence's end closes too; ``rows`` have ``sent_id``."""
     keyed = rows.select(F.struct("doc_id", "sent_id").alias("doc_id"), "idx", "text", "label")
-    spans = bio_spans(keyed, words_only=False)
+    spans = bio_spans(keyed, words_only=False, segment=segment)
     return spans.select("doc_id.doc_id", "doc_id.sent_id", "type", "start_idx", "end_idx", "text", "token_indices")
 
 
-def chunk_spans(rows: DataFrame, keys: tuple[str, ...] = DOC) -> DataFrame:
-    """The lenient reading for metrics: an I after O or after another type opens a span. ``keys`` tell sequences apart."""
+def chunk_spans(rows: DataFrame, keys: tuple[str, ...] = DOC, segment: int | None = None) -> DataFrame:
+    """The lenient reading for metrics: an I after O or after another type opens a span. ``keys`` and ``segment`` as for ``io_spans``."""
     io = strip_bio(F.col("label"))
+    if segment:
+        opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(strip_bio(F.col("_last")) == io, F.lit(False)))
+        return _long_runs(rows, opens, io != "O", io, keys, segment)
     opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(F.lag(io).over(by_doc(keys)) == io, F.lit(False)))
     return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io, keys)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import MIDDLE_DOT, clean_text, is_word, pieces, token_of, tokens_in
+from marginalia.operators.segments import SEGMENT, carried, segmented
 
 
 #: What tells one sequence of tokens from another.
@@ -46,12 +47,19 @@ def is_stop(token: Column) -> Column:
     return token.isin(".", "!", "?")
 
 
-def beside(tokens: DataFrame) -> DataFrame:
+def beside(tokens: DataFrame, segment: int | None = None) -> DataFrame:
     """All tokens; words get prev_word, next_word (marks between don't matter) and sentence_initial, marks get nulls.
 
     Sentence-initial: no word before, or a stop since the last one. Words look at words
     by a window over the document's words alone, which needs no exchange of its own.
+    With ``segment``, documents are dealt out in segments of so many tokens.
     """
+    if segment:
+        word, stop = F.when(F.col("is_word"), F.struct("idx", "text")), F.when(is_stop(F.col("text")), F.col("idx"))
+        rows = carried(segmented(tokens, segment), {"_prev": word, "_stop": stop}, {"_next": word})
+        first = F.col("_prev").isNull() | F.coalesce(F.col("_stop") > F.col("_prev.idx"), F.lit(False))
+        found = {"prev_word": F.col("_prev.text"), "next_word": F.col("_next.text"), "sentence_initial": first}
+        return rows.withColumns({c: F.when(F.col("is_word"), v) for c, v in found.items()}).drop("_prev", "_stop", "_next", SEGMENT)
     words = Window.partitionBy("doc_id", "is_word").orderBy("idx")
     rows = tokens.withColumn("_stops", F.count_if(is_stop(F.col("text"))).over(so_far()))
     rows = rows.withColumns({"prev_word": F.lag("text").over(words), "next_word": F.lead("text").over(words), "_before": F.lag("_stops").over(words)})
@@ -59,9 +67,9 @@ def beside(tokens: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("is_word"), F.col(c)) for c in ("prev_word", "next_word", "sentence_initial")})
 
 
-def with_neighbours(tokens: DataFrame) -> DataFrame:
+def with_neighbours(tokens: DataFrame, segment: int | None = None) -> DataFrame:
     """The word tokens, as ``beside`` gives them."""
-    return beside(tokens).where("is_word")
+    return beside(tokens, segment).where("is_word")
 
 
 def word_ngrams(tokens: DataFrame, n: int) -> DataFrame:

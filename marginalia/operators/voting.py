@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.lexicon import continues_person
+from marginalia.operators.segments import SEGMENT, entry_states, function, segmented
 from marginalia.operators.signals import Lexicons
 from marginalia.operators.tokens import DOC, by_doc, so_far
 
@@ -21,14 +22,28 @@ def combine(tokens: DataFrame, signals: dict[str, DataFrame | None]) -> DataFram
     return tokens
 
 
-def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC) -> DataFrame:
+#: The states of the vote.
+STATES = (None, "Person", "Location")
+
+
+def _function(kept: Column, given: Column) -> Column:
+    """What a token does to the state: a keeper lets its own type stand, others set theirs."""
+    keeps = {t: function([i if s == t else 0 for i, s in enumerate(STATES)]) for t in STATES[1:]}
+    sets = {t: function([i] * len(STATES)) for i, t in enumerate(STATES)}
+    does = F.when(kept == "Person", keeps["Person"]).when(kept == "Location", keeps["Location"])
+    return does.when(given == "Person", sets["Person"]).when(given == "Location", sets["Location"]).otherwise(sets[None])
+
+
+def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC, segment: int | None = None) -> DataFrame:
     """``doc_id, idx, text, is_word, label, reason, signals, resolved_type, type_source, type_disagreement``.
 
     Each token either sets the state (a type, or none) or keeps one type if it stands:
     an unsignalled patronymic keeps a person, a title word typed Person and a prefix
     typed Location keep their own. A run of keepers takes the state that was set before
     it as long as all agree with it. A label begins with I where the state goes on.
-    ``keys`` tell sequences apart where a document has several.
+    ``keys`` tell sequences apart where a document has several. With ``segment``,
+    sequences are dealt out in segments of so many tokens, each of which begins in the
+    state that those before it lead to.
     """
     low = F.lower("text")
     typed = lambda c: F.when(F.col(c).isin("Person", "Location"), F.col(c))
@@ -37,13 +52,21 @@ def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC) -> Dat
     in_ = lambda words: low.isin(*words) if words else F.lit(False)
     rows = combined.withColumn("type", F.when(F.col("is_word"), kind)).withColumn("case", F.when(~F.col("is_word"), "not_word").when(~any_signal, F.when(continues_person(F.col("text")), "patronymic").otherwise("no_signal")).when(kind.isNull(), "unknown").when((kind == "Person") & in_(lex.title_words), "title").when((kind == "Location") & in_(lex.place_prefixes), "prefix").otherwise("entity"))
     rows = rows.withColumn("keeps", F.when(F.col("case").isin("patronymic", "title"), "Person").when(F.col("case") == "prefix", "Location"))
+    set_to = F.when(F.col("keeps").isNull() & (F.col("case") == "entity"), F.col("type"))
+    entry = F.lit(None).cast("string")
+    sequence = keys
+    if segment:
+        rows = entry_states(segmented(rows.withColumn("_does", _function(F.col("keeps"), set_to)), segment), F.col("_does"), len(STATES), keys=keys)
+        entry, keys = F.get(F.array(*[F.lit(s) for s in STATES]), F.col("entry")), (*keys, SEGMENT)
     rows = rows.withColumn("island", F.sum(F.col("keeps").isNull().cast("int")).over(so_far(keys)))
     in_island = Window.partitionBy(*keys, "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    given = F.first(F.struct(F.when(F.col("keeps").isNull() & (F.col("case") == "entity"), F.col("type")).alias("t"))).over(in_island)["t"]
-    rows = rows.withColumn("given", given)
+    given = F.first(F.struct(set_to.alias("t"))).over(in_island)["t"]
+    rows = rows.withColumn("given", F.when(F.col("island") == 0, entry).otherwise(given))
     broken = F.sum((F.col("keeps").isNotNull() & ~F.coalesce(F.col("keeps") == F.col("given"), F.lit(False))).cast("int")).over(in_island)
     rows = rows.withColumn("state", F.when(broken == 0, F.col("given")))
     before = F.lag("state").over(by_doc(keys))
+    if segment:
+        before = F.when(F.row_number().over(by_doc(keys)) == 1, entry).otherwise(before)
     label = F.when(F.col("state").isNull(), "O").otherwise(F.concat(F.when(F.coalesce(before == F.col("state"), F.lit(False)), "I-").otherwise("B-"), F.col("state")))
     reason = (
         F.when(F.col("case") == "not_word", "not_word").when(F.col("case") == "patronymic", F.when(F.col("state").isNull(), "no_signal").otherwise("patronymic_continuation")).when(F.col("case") == "no_signal", "no_signal")
@@ -52,7 +75,7 @@ def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC) -> Dat
     present = F.when(F.col("is_word"), F.concat_ws("+", *[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in zip(SIGNALS, NAMES, strict=True)])).otherwise("")
     votes = F.size(F.array_distinct(F.filter(F.array(*SIGNALS), lambda x: x.isin("Person", "Location"))))
     source = F.when(F.col("is_word"), F.coalesce(*[F.when(typed(c).isNotNull(), F.lit(n)) for c, n in zip(SIGNALS, NAMES, strict=True)]))
-    return rows.select(*keys, "idx", "text", "is_word", label.alias("label"), reason.alias("reason"), present.alias("signals"), F.col("type").alias("resolved_type"), source.alias("type_source"), (F.col("is_word") & (votes > 1)).alias("type_disagreement"))
+    return rows.select(*sequence, "idx", "text", "is_word", label.alias("label"), reason.alias("reason"), present.alias("signals"), F.col("type").alias("resolved_type"), source.alias("type_source"), (F.col("is_word") & (votes > 1)).alias("type_disagreement"))
 
 
 def signal_details(entity: DataFrame | None = None, names: DataFrame | None = None, capitals: DataFrame | None = None) -> DataFrame:

@@ -16,9 +16,12 @@ from marginalia.operators.tokens import tokenize
 from marginalia.operators.voting import vote
 
 
-def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = None, places: DataFrame | None = None, persons: DataFrame | None = None, fuzzy: bool = True, capitals: bool = True, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Voted labels of every token. ``entities`` are found by whatever model the user runs; without them, or without name lists, those signals are silent."""
-    tokens = tokenize(docs, id, text, keyed=True)
+def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = None, places: DataFrame | None = None, persons: DataFrame | None = None, fuzzy: bool = True, capitals: bool = True, id: str = "doc_id", text: str = "text", segment: int | None = None) -> DataFrame:
+    """Voted labels of every token. ``entities`` are found by whatever model the user runs; without them, or without name lists, those signals are silent.
+
+    With ``segment``, documents are dealt out in segments of so many tokens once they are tokens.
+    """
+    tokens = tokenize(docs, id, text, keyed=not segment)
     rows, names = tokens, ["doc_id", "idx", "text", "is_word"]
     found = {"s1": F.lit(None).cast("string"), "s2": F.lit(None).cast("string"), "s3": F.lit(None).cast("string")}
     if entities is not None:
@@ -28,9 +31,9 @@ def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = Non
         rows = sg.mark_names(rows, places, persons, lex, fuzzy).withColumn("s2", F.col("label"))
         found["s2"] = F.col("s2")
     if capitals:
-        rows = sg.mark_capitals(rows, lex).withColumn("s3", F.col("label"))
+        rows = sg.mark_capitals(rows, lex, segment).withColumn("s3", F.col("label"))
         found["s3"] = F.col("s3")
-    return vote(rows.select(*names, *[c.alias(n) for n, c in found.items()]), lex)
+    return vote(rows.select(*names, *[c.alias(n) for n, c in found.items()]), lex, segment=segment)
 
 
 #: What tells the sequences of ``annotate_ways`` apart.

@@ -612,6 +612,46 @@ EVERY_SIGNAL = (
 QUERIES |= {f"{f.__name__}_every_signal": partial(f, every=True) for f in EVERY_SIGNAL}
 
 
+# the same in segments of a thousand tokens, for documents of any length
+
+SEGMENT = 1000
+
+
+def _in_segments(spark, d):
+    places, persons = lists(spark, d)
+    return annotate(docs_of(spark, d), LEX, places=places, persons=persons, fuzzy=False, segment=SEGMENT)
+
+
+@query
+def sentence_initial_by_segments(spark, d):
+    return tokens.with_neighbours(toks(spark, d), SEGMENT).select("doc_id", "idx", "sentence_initial")
+
+
+@query
+def neighbour_words_by_segments(spark, d):
+    return tokens.with_neighbours(toks(spark, d), SEGMENT).select("doc_id", "idx", "text", "prev_word", "next_word")
+
+
+@query
+def vote_labels_by_segments(spark, d):
+    return _in_segments(spark, d).select("doc_id", "idx", "text", "label")
+
+
+@query
+def io_spans_by_segments(spark, d):
+    return _span_columns(spans.io_spans(_in_segments(spark, d), segment=SEGMENT))
+
+
+@query
+def bio_spans_by_segments(spark, d):
+    return _span_columns(spans.bio_spans(_in_segments(spark, d), segment=SEGMENT))
+
+
+@query
+def seqeval_spans_by_segments(spark, d):
+    return _span_columns(spans.chunk_spans(_in_segments(spark, d), segment=SEGMENT))
+
+
 # corpus
 
 

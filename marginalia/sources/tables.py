@@ -1,0 +1,36 @@
+"""Tables between two steps of a job, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: The folders that purely local sessions got, by application.
+_OWN: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _OWN.get(spark.sparkContext.applicationId)
+        if not found:
+            found = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marginalia-steps-")
+            atexit.register(shutil.rmtree, found, True)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: what reads it several times works it out once, and lost executors lose nothing of it."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import lexicon as lx
 from marginalia.functions import text as tx
 from marginalia.functions.similarity import indel_ratio
-from marginalia.operators import corpus, gazetteer, metrics, signals, spans, tokens, voting
+from marginalia.operators import corpus, gazetteer, metrics, segments, signals, spans, tokens, voting
 from marginalia.plans.annotate import annotate
 from marginalia.sources import files
 from marginalia.streaming.annotate import annotate_stream
@@ -851,3 +851,46 @@ def test_the_rest_works_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert q and s and set(s) <= set(q) and not [x for x in q if x.startswith('op1')]; import marginalia.queries"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={"PATH": __import__("os").environ["PATH"]})
+
+
+# segments
+
+
+def test_segments_change_nothing(spark):
+    """Neighbours, votes and spans of documents in segments of a few tokens equal those of whole ones."""
+    names = ["Anna", "Erik", "Stad", "de", "la", "x", "Jonsson", "Ersdotter", "og", ".", ",", "‧"]
+    texts = [(i, " ".join(RNG.choice(names) for _ in range(RNG.randrange(60)))) for i in range(40)] + [(None, " ".join(names * 3)), (90, None), (91, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    toks = tokens.tokenize(docs)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for size in (1, 7, 1000):
+        assert rows(tokens.beside(toks, size).select(*tokens.beside(toks).columns)) == rows(tokens.beside(toks))
+    pick = lambda *c: F.get(F.array(*map(F.lit, c)), F.pmod(F.xxhash64("doc_id", "idx", "text"), F.lit(len(c))).cast("int"))
+    marked = toks.withColumns({"s1": pick("Person", None, None, "Location", None), "s2": pick(None, "Person", None), "s3": pick(None, None, None, "Unknown", None, None, None)})
+    lex = signals.Lexicons(title_words=["la", "og", "anna"], place_prefixes=["de", "stad"])
+    whole = voting.vote(marked, lex)
+    assert whole.where("label like 'I-%'").count() > 20
+    for size in (1, 3, 1000):
+        parts = voting.vote(marked, lex, segment=size)
+        assert parts.columns == whole.columns and rows(parts) == rows(whole)
+    labels = marked.withColumn("label", pick("O", "B-Person", "I-Person", "B-Location", "I-Location", "O"))
+    for decode in (spans.io_spans, spans.bio_spans, spans.chunk_spans):
+        assert rows(decode(labels, segment=3)) == rows(decode(labels))
+    sentences = labels.withColumn("sent_id", F.floor(F.col("idx") / 5))
+    assert rows(spans.sentence_spans(sentences, segment=2)) == rows(spans.sentence_spans(sentences))
+    every = [segments.function(list(f)) for f in itertools.product(range(3), repeat=3)]
+    pairs = spark.createDataFrame([(f, g) for f in every for g in every], "f int, g int").select("f", "g", segments.then(F.col("f"), F.col("g"), 3).alias("h")).collect()
+    at = lambda f, s: f // 3**s % 3
+    assert all(at(r.h, s) == at(r.g, at(r.f, s)) for r in pairs for s in range(3))
+
+
+def test_one_long_document_meets_in_no_task(spark):
+    """Only summaries are dealt by document; its tokens are dealt by segment too."""
+    n = 30_000
+    toks = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("idx"), F.lit("w").alias("text"), F.lit(True).alias("is_word"))
+    marked = toks.withColumns({"s1": F.when(F.col("idx") == 0, "Person"), "s2": F.lit(None).cast("string"), "s3": F.lit(None).cast("string")}).withColumn("text", F.when(F.col("idx") > 0, "Jonsson").otherwise("Anna"))
+    voted = voting.vote(marked, signals.Lexicons(), segment=1000)
+    assert {r.label: r["count"] for r in voted.groupBy("label").count().collect()} == {"B-Person": 1, "I-Person": n - 1}
+    plan = voted._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
+    assert any("_segment" in b for b in by) and sum("_segment" not in b and "_of_1" not in b for b in by) <= 1
