@@ -61,14 +61,26 @@ def indel_ratio(a: Column, b: Column, widest: int = WIDEST) -> Column:
     return F.when(total == 0, 100.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(F.coalesce(narrow, wide))
 
 
-def letters_mask(word: Column) -> Column:
-    """A long with a bit for each character's code modulo 61."""
-    bits = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 61))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+#: Bits of a bag of letters, in two longs.
+BAG = 124
 
 
-def may_reach(a: Column, b: Column, mask_a: Column, mask_b: Column, ratio: float) -> Column:
-    """False only if the Indel ratio can't reach ``ratio``: by lengths, and by characters that only one side has."""
-    la, lb = F.length(a), F.length(b)
-    apart = F.bit_count(mask_a.bitwiseXOR(mask_b))
-    return (200.0 * F.least(la, lb) >= ratio * (la + lb)) & ((la + lb - apart) * 100.0 >= ratio * (la + lb))
+def bag(word: Column) -> Column:
+    """A struct of two longs with a bit for each character and how many of it came before (the first a, the second a), by a hash of both."""
+
+    def of(chars: Column) -> Column:
+        times = lambda c: F.greatest(F.length(word) - F.length(F.replace(word, c, F.lit(""))), F.lit(1))
+        places = F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(F.sequence(F.lit(1), times(c)), lambda k: (F.ascii(c) * 37 + k * 29) % BAG)))
+        half = lambda at, low: F.aggregate(F.filter(at, lambda p: (p >= low) & (p < low + BAG // 2)), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p - low)))
+        return let(places, lambda at: F.struct(half(at, 0).alias("a"), half(at, BAG // 2).alias("b")))
+
+    return let(F.filter(F.split(word, ""), lambda c: c != ""), of)
+
+
+def bag_may_reach(la: Column, lb: Column, bag_a: Column, bag_b: Column, ratio: float) -> Column:
+    """False only if the Indel ratio of words of these lengths can't reach ``ratio``: by lengths, and by letters, counted, that only one side has.
+
+    Letters that share a bit only make the sides look more alike.
+    """
+    apart = F.bit_count(bag_a["a"].bitwiseXOR(bag_b["a"])) + F.bit_count(bag_a["b"].bitwiseXOR(bag_b["b"]))
+    return (200.0 * F.least(la, lb) >= ratio * (la + lb) - 1e-9) & ((la + lb - apart) * 100.0 >= ratio * (la + lb) - 1e-9)

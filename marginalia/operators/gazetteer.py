@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let
 from marginalia.functions.lexicon import is_capitalised, is_place_word
-from marginalia.functions.similarity import indel_ratio, letters_mask, may_reach
+from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio
 from marginalia.functions.text import split_words, strip
 
 #: Defaults: least ratio, least token length, least share of the shorter length; words of an entry.
 CUTOFF, MIN_LENGTH, MIN_SHARE, MAX_WORDS = 80.0, 4, 0.7, 4
 #: A name list up to this many bytes is broadcast and met by length; a longer one is met by what names and words have in common.
 BROADCAST_NAMES = 20_000
+#: A table of names up to this many bytes goes to every task that looks words up; beyond it, words go to the names.
+BROADCAST_TABLE = 8_000_000
 #: Most keys that a word may have for that; words of lengths that would have more meet names by length, in blocks of this many bytes.
 MOST_KEYS, BLOCK_NAMES = 1_000, 1_000_000
 
@@ -108,6 +110,16 @@ def name_table(lists: dict[str, DataFrame]) -> DataFrame:
     return every.groupBy("name_lower").agg(*[F.max(F.col("kind") == k).alias(k) for k in lists])
 
 
+def with_names(rows: DataFrame, table: DataFrame, word: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (``name_table``) for their ``word``, null where it isn't a name.
+
+    The size of the table is asked first: a small one is broadcast, so the rows stay
+    where they are.
+    """
+    size = table.agg(F.sum(F.octet_length("name_lower") + F.lit(16))).first()[0] or 0
+    return rows.join(F.broadcast(table) if size <= BROADCAST_TABLE else table, F.col(word) == F.col("name_lower"), "left")
+
+
 def _needed(la: Column, lb: Column, cutoff: float) -> Column:
     """Letters that two strings of these lengths must have in common, in order, for the ratio to reach the cutoff."""
     return F.ceil(cutoff / 200.0 * (la + lb) - 1e-9).cast("int")
@@ -150,24 +162,24 @@ def _pairs_by_letters(words: DataFrame, names: DataFrame, by: list[str], longest
 
 
 def _pairs_by_length(words: DataFrame, names: DataFrame, by: list[str], cutoff: float, blocks: int) -> DataFrame:
-    """Pairs whose lengths and letter masks let them reach the cutoff; ``blocks`` 1: names are broadcast."""
+    """Pairs whose lengths and letters let them reach the cutoff; ``blocks`` 1: names are broadcast."""
     bound = 200.0 / cutoff - 1.0
-    words = words.withColumn("mask", letters_mask(F.col("word_lower")))
+    words = words.withColumn("bag", bag(F.col("word_lower")))
     words = words.withColumn("len", F.explode(F.sequence(F.ceil(F.length("word_lower") / bound - 1e-9), F.floor(F.length("word_lower") * bound + 1e-9))))
-    names = names.select("name_lower", *by, letters_mask(F.col("name_lower")).alias("name_mask"), F.length("name_lower").cast("long").alias("len"))
+    names = names.select("name_lower", *by, bag(F.col("name_lower")).alias("name_bag"), F.length("name_lower").cast("long").alias("len"))
     if blocks <= 1:
         pairs = words.join(F.broadcast(names), "len")
     else:
         dealt = names.withColumn("block", F.pmod(F.xxhash64("name_lower"), F.lit(blocks)).cast("int"))
         pairs = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt.hint("merge"), ["len", "block"])
-    return pairs.where(may_reach(F.col("word_lower"), F.col("name_lower"), F.col("mask"), F.col("name_mask"), cutoff)).select("word_lower", "name_lower", *by)
+    return pairs.where(bag_may_reach(F.length("word_lower"), F.length("name_lower"), F.col("bag"), F.col("name_bag"), cutoff)).select("word_lower", "name_lower", *by)
 
 
 def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kind: str | None = None) -> DataFrame:
     """``word_lower, name_lower, score``: for each distinct lower-cased word the most similar name from ``cutoff`` on, ties to the first in code-point order.
 
     With ``kind``, a column of ``names``, the most similar name of each kind, and that
-    column. A short list of names is broadcast and met by length, with letter masks to
+    column. A short list of names is broadcast and met by length, with bags of letters to
     rule pairs out. With a long one, words and names meet in the letters that they must
     have in common, in order, to reach the cutoff: no such pair is missed, and others
     hardly meet. Words too long for that many keys (over 12 letters at a cutoff of 80)

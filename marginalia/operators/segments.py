@@ -5,34 +5,34 @@ What a row needs from before its segment is either the last value of some kind
 the first, each segment hands on its own last value; for the second, each becomes a
 function from state to state, and functions compose, whatever the state at the start
 is. Only these summaries, one row a segment, are put in order by sequence; the rows of
-a segment stay apart.
+a segment stay where they are, so one exchange by segment serves all steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let, running
-from marginalia.sources.tables import written
 
-#: The number of a row's segment.
+#: A row's segment: the keys of its sequence and ``n``, the number of the segment.
 SEGMENT = "_segment"
 
 
-def segmented(rows: DataFrame, size: int) -> DataFrame:
-    """``rows`` as a written table with the number of their segment, ``size`` places of ``idx`` each."""
-    return written(rows.withColumn(SEGMENT, F.floor(F.col("idx") / size)))
+def segmented(rows: DataFrame, size: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``rows`` with their segment, ``size`` places of ``idx`` each, unless they have one for these keys."""
+    if SEGMENT in rows.columns and rows.schema[SEGMENT].dataType.names == [*keys, "n"]:
+        return rows
+    return rows.withColumn(SEGMENT, F.struct(*keys, F.floor(F.col("idx") / size).alias("n")))
 
 
-def _with(rows: DataFrame, summaries: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows with the columns of their segment's summary; sequences may have null keys."""
-    on, own = [*keys, SEGMENT], [f"_of_{i}" for i in range(len(keys) + 1)]
-    renamed = summaries.withColumnsRenamed(dict(zip(on, own, strict=True)))
-    same = F.lit(True)
-    for a, b in zip(on, own, strict=True):
-        same = same & rows[a].eqNullSafe(renamed[b])
-    return rows.join(renamed, same, "left").drop(*own)
+def in_order(keys: tuple[str, ...], way=F.asc) -> WindowSpec:
+    """The summaries of a sequence's segments."""
+    return Window.partitionBy(*[F.col(f"{SEGMENT}.{k}") for k in keys]).orderBy(way(f"{SEGMENT}.n"))
+
+
+def past(order: WindowSpec) -> WindowSpec:
+    return order.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def carried(rows: DataFrame, before: dict[str, Column], after: dict[str, Column] | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -41,14 +41,11 @@ def carried(rows: DataFrame, before: dict[str, Column], after: dict[str, Column]
     rows = rows.withColumns({f"_v_{n}": v for n, v in (before | after).items()})
     at = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col("idx"))
     own = [F.max_by(f"_v_{n}", at(n)).alias(n) for n in before] + [F.min_by(f"_v_{n}", at(n)).alias(n) for n in after]
-    past = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
-    by, within = Window.partitionBy(*keys), Window.partitionBy(*keys, SEGMENT)
     last = lambda c, w: F.last(c, ignorenulls=True).over(past(w))
     ways = [*((n, F.asc) for n in before), *((n, F.desc) for n in after)]
-    summaries = rows.groupBy(*keys, SEGMENT).agg(*own)
-    summaries = summaries.select(*keys, SEGMENT, *[last(n, by.orderBy(way(SEGMENT))).alias(f"_c_{n}") for n, way in ways])
-    rows = _with(rows, summaries, keys)
-    rows = rows.withColumns({n: F.coalesce(last(f"_v_{n}", within.orderBy(way("idx"))), F.col(f"_c_{n}")) for n, way in ways})
+    summaries = rows.groupBy(SEGMENT).agg(*own).select(SEGMENT, *[last(n, in_order(keys, way)).alias(f"_c_{n}") for n, way in ways])
+    rows = rows.join(summaries, SEGMENT, "left")
+    rows = rows.withColumns({n: F.coalesce(last(f"_v_{n}", Window.partitionBy(SEGMENT).orderBy(way("idx"))), F.col(f"_c_{n}")) for n, way in ways})
     return rows.drop(*[f"_{x}_{n}" for n, _ in ways for x in "vc"])
 
 
@@ -75,9 +72,10 @@ def entry_states(rows: DataFrame, does: Column, states: int, start: int = 0, key
     """``rows`` (of ``segmented``) with ``entry``, the state in which their segment begins; ``does`` is each row's ``function``."""
     same = function(list(range(states)))
     step = lambda f, g: then(f, g, states)
-    parts = rows.groupBy(*keys, SEGMENT).agg(F.sort_array(F.collect_list(F.struct("idx", does.alias("f")))).alias("t"))
-    parts = parts.select(*keys, SEGMENT, F.aggregate(F.transform("t", lambda x: x["f"]), F.lit(same), step).alias("f"))
-    lists = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(SEGMENT, "f"))).alias("t"))
-    reached = lambda all_: F.transform("t", lambda x, i: F.struct(x[SEGMENT].alias(SEGMENT), image(F.coalesce(F.get(all_, i - 1), F.lit(same)), F.lit(start), states).alias("entry")))
-    entries = lists.select(*keys, F.explode(let(running(F.transform("t", lambda x: x["f"]), step, same), reached)).alias("e")).select(*keys, "e.*")
-    return _with(rows, entries, keys)
+    parts = rows.groupBy(SEGMENT).agg(F.sort_array(F.collect_list(F.struct("idx", does.alias("f")))).alias("t"))
+    parts = parts.select(SEGMENT, F.aggregate(F.transform("t", lambda x: x["f"]), F.lit(same), step).alias("f"))
+    key = [F.col(f"{SEGMENT}.{k}").alias(f"_key_{i}") for i, k in enumerate(keys)]
+    lists = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(f"{SEGMENT}.n").alias("n"), SEGMENT, "f"))).alias("t"))
+    reached = lambda every: F.transform("t", lambda x, i: F.struct(x[SEGMENT].alias(SEGMENT), image(F.coalesce(F.get(every, i - 1), F.lit(same)), F.lit(start), states).alias("entry")))
+    entries = lists.select(F.explode(let(running(F.transform("t", lambda x: x["f"]), step, same), reached)).alias("e")).select("e.*")
+    return rows.join(entries, SEGMENT, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.lexicon import is_capitalised, is_patronymic, is_roman, stop_reason
-from marginalia.functions.similarity import indel_ratio
+from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio
 from marginalia.functions.text import consonant_skeleton
 from marginalia.operators import gazetteer
 from marginalia.operators.tokens import beside, spans_within
@@ -95,7 +95,7 @@ def mark_names(tokens: DataFrame, places: DataFrame, persons: DataFrame, lex: Le
     are looked up from the tokens at once; only similar ones need the distinct words.
     """
     if not fuzzy:
-        rows = _keyed(tokens).join(gazetteer.name_table({"_in_loc": places, "_in_per": persons}), F.col("_low") == F.col("name_lower"), "left")
+        rows = gazetteer.with_names(_keyed(tokens), gazetteer.name_table({"_in_loc": places, "_in_per": persons}), "_low")
         hit = lambda c: F.when(F.col(c), F.struct(F.lit(100.0).alias("score"), F.lit("exact").alias("level"), F.col("_low").alias("name")))
         return _named(rows, hit("_in_loc"), hit("_in_per"), lex, tokens.columns)
     hits = gazetteer.lookup_lists(tokens, {"_loc": places, "_per": persons}, [*lex.stop_first, *lex.stop_second])
@@ -110,7 +110,7 @@ def exact_labels(tokens: DataFrame, table: DataFrame, ways: dict[str, tuple[str,
 
     One look-up, in one ``gazetteer.name_table``, serves all ways.
     """
-    rows = _keyed(tokens).join(table, F.col("_low") == F.col("name_lower"), "left")
+    rows = gazetteer.with_names(_keyed(tokens), table, "_low")
     stopped = stop_reason(F.col("text"), lex.stop_first or [""], lex.stop_second or [""], ("stop_first", "stop_second")).isNotNull()
     label = lambda loc, per: F.when(F.col("is_word") & ~stopped, F.when(F.col(loc), "Location").when(F.col(per), "Person"))
     return rows.select(*tokens.columns, *[label(*lists).alias(c) for c, lists in ways.items()])
@@ -140,12 +140,13 @@ def entity_matches(tokens: DataFrame, entities: DataFrame, skeleton_cutoff: floa
     earlier. Equal entities of a document are matched once.
     """
     own = entities.select("doc_id", F.col("text").alias("entity")).distinct()
-    own = own.withColumn("words", F.size(F.split("entity", " +"))).withColumn("low", F.lower("entity")).withColumn("skel", consonant_skeleton(F.col("entity")))
+    bags = lambda low, skel: {f"{c}_bag": bag(F.col(c)) for c in (low, skel)}
+    own = own.withColumn("words", F.size(F.split("entity", " +"))).withColumn("low", F.lower("entity")).withColumn("skel", consonant_skeleton(F.col("entity"))).withColumns(bags("low", "skel"))
     spans = spans_within(tokens, own.groupBy("doc_id").agg((F.max("words") + 1).alias("n")))
-    spans = spans.withColumn("span_low", F.lower("ngram")).withColumn("span_skel", consonant_skeleton(F.col("ngram")))
+    spans = spans.withColumn("span_low", F.lower("ngram")).withColumn("span_skel", consonant_skeleton(F.col("ngram"))).withColumns(bags("span_low", "span_skel"))
     pairs = spans.join(own, "doc_id").where(F.col("span_len") <= F.col("words") + 1)
-    # the ratio can't reach the cutoff if one side is too short for it
-    can = lambda a, b, t: 200.0 * F.least(F.length(a), F.length(b)) >= t * (F.length(a) + F.length(b))
+    # hardly a tenth of the pairs have lengths, and letters in common, that let the ratio reach the cutoff
+    can = lambda a, b, t: bag_may_reach(F.length(a), F.length(b), F.col(f"{a}_bag"), F.col(f"{b}_bag"), t)
     s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio(F.col("skel"), F.col("span_skel")))
     s3 = F.when(can("low", "span_low", cutoff), indel_ratio(F.col("low"), F.col("span_low")))
     found = pairs.withColumn("same", F.col("low") == F.col("span_low")).withColumn("s2", F.when(~F.col("same"), s2))

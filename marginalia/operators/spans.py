@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import strip_bio
-from marginalia.operators.segments import carried, segmented
+from marginalia.operators.segments import SEGMENT, carried, in_order, past, segmented
 from marginalia.operators.tokens import DOC, by_doc, so_far
 
 
@@ -18,19 +20,30 @@ def _runs(rows: DataFrame, opens: Column, keep: Column, label: Column, keys: tup
     return spans.select(*keys, "type", F.element_at("t", 1)["idx"].alias("start_idx"), F.element_at("t", -1)["idx"].alias("end_idx"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), F.transform("t", lambda x: x["idx"]).alias("token_indices"))
 
 
-def _long_runs(rows: DataFrame, opens: Column, keep: Column, label: Column, keys: tuple[str, ...], segment: int) -> DataFrame:
-    """``_runs`` in segments: ``opens`` may look at ``_last``, the label before; a run goes by the place where it opened."""
-    rows = carried(segmented(rows, segment), {"_last": F.col("label")}, keys=keys)
-    opened = F.when(opens, F.col("idx"))
-    rows = carried(rows, {"_open": opened}, keys=keys)
-    return _runs(rows, opens, keep, label, keys, F.coalesce(opened, F.col("_open")))
+def _long_runs(rows: DataFrame, opens: Callable[[Column, Column], Column], keep: Column, label: Column, keys: tuple[str, ...], segment: int) -> DataFrame:
+    """``_runs`` in segments; ``opens`` looks at the label before (null for none) and the label. A run goes by the place where it opened.
+
+    Whether a segment's first row opens a run follows from the last label of the segment
+    before, which its summary knows, so summaries are put in order once.
+    """
+    rows, within = segmented(rows, segment, keys), Window.partitionBy(SEGMENT).orderBy("idx")
+    rows = rows.withColumns({"_before": F.lag("label").over(within), "_first": F.row_number().over(within) == 1})
+    inside = F.when(~F.col("_first") & opens(F.col("_before"), F.col("label")), F.col("idx"))
+    ends = rows.groupBy(SEGMENT).agg(F.min("idx").alias("at"), F.min_by("label", "idx").alias("head"), F.max_by("label", "idx").alias("tail"), F.max(inside).alias("last"))
+    ends = ends.withColumn("_tail", F.lag("tail").over(in_order(keys)))
+    opened = F.coalesce("last", F.when(opens(F.col("_tail"), F.col("head")), F.col("at")))
+    ends = ends.withColumn("_open", F.last(opened, ignorenulls=True).over(past(in_order(keys)))).select(SEGMENT, "_tail", "_open")
+    rows = rows.join(ends, SEGMENT, "left").withColumn("_before", F.when(F.col("_first"), F.col("_tail")).otherwise(F.col("_before")))
+    opening = F.when(opens(F.col("_before"), F.col("label")), F.col("idx"))
+    up_to = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _runs(rows, keep, keep, label, keys, F.coalesce(F.last(opening, ignorenulls=True).over(up_to), F.col("_open")))
 
 
 def io_spans(rows: DataFrame, keys: tuple[str, ...] = DOC, segment: int | None = None) -> DataFrame:
     """Maximal runs of one label that isn't O; neighbours of one type merge. ``keys`` tell sequences apart; ``segment``: tokens that are dealt together, none for whole sequences."""
     io = strip_bio(F.col("label"))
     if segment:
-        return _long_runs(rows, ~F.coalesce(strip_bio(F.col("_last")) == io, F.lit(False)), io != "O", io, keys, segment)
+        return _long_runs(rows, lambda a, b: ~F.coalesce(strip_bio(a) == strip_bio(b), F.lit(False)), io != "O", io, keys, segment)
     opens = ~F.coalesce(F.lag(io).over(by_doc(keys)) == io, F.lit(False))
     return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io, keys)
 
@@ -58,8 +71,8 @@ def chunk_spans(rows: DataFrame, keys: tuple[str, ...] = DOC, segment: int | Non
     """The lenient reading for metrics: an I after O or after another type opens a span. ``keys`` and ``segment`` as for ``io_spans``."""
     io = strip_bio(F.col("label"))
     if segment:
-        opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(strip_bio(F.col("_last")) == io, F.lit(False)))
-        return _long_runs(rows, opens, io != "O", io, keys, segment)
+        begins = lambda a, b: (b != "O") & (F.startswith(b, F.lit("B-")) | ~F.coalesce(strip_bio(a) == strip_bio(b), F.lit(False)))
+        return _long_runs(rows, begins, io != "O", io, keys, segment)
     opens = (io != "O") & (F.startswith("label", F.lit("B-")) | ~F.coalesce(F.lag(io).over(by_doc(keys)) == io, F.lit(False)))
     return _runs(rows.withColumn("_opens", opens), F.col("_opens"), io != "O", io, keys)
 

@@ -23,14 +23,23 @@ def so_far(keys: tuple[str, ...] = DOC) -> WindowSpec:
     return by_doc(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: bool = True, keyed: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: bool = True, keyed: bool = False, segment: int | None = None) -> DataFrame:
     """``doc_id, idx, text, is_word``: tokens in order; null and blank texts have none.
 
     ``keyed``: documents are dealt by id before they fall into tokens, so that windows
-    and groups by document need no exchange of the tokens.
+    and groups by document need no exchange of the tokens. ``segment``: they fall into
+    segments of so many tokens first, which are dealt out, and tokens have theirs.
     """
     source = clean_text(F.col(text)) if clean else F.col(text)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text))
+    if segment:
+        every = rows.select("doc_id", tokens_in(source).alias("every")).where(F.size("every") > 0)
+        starts = F.sequence(F.lit(0), F.floor((F.size("every") - 1) / segment).cast("int"))
+        parts = every.select("doc_id", F.explode(F.transform(starts, lambda n: F.struct(n.cast("long").alias("n"), F.slice("every", n * segment + 1, segment).alias("some")))).alias("p"))
+        parts = parts.select(F.struct("doc_id", "p.n").alias(SEGMENT), F.col("p.some").alias("some")).repartition(SEGMENT)
+        rows = parts.select(SEGMENT, F.posexplode("some").alias("at", "text"))
+        rows = rows.select(f"{SEGMENT}.doc_id", (F.col(f"{SEGMENT}.n") * segment + F.col("at")).cast("int").alias("idx"), "text", SEGMENT)
+        return rows.select("doc_id", "idx", "text", is_word(F.col("text")).alias("is_word"), SEGMENT)
     rows = rows.repartition("doc_id") if keyed else rows
     rows = rows.select("doc_id", F.posexplode(tokens_in(source)).alias("idx", "text"))
     return rows.select("doc_id", "idx", "text", is_word(F.col("text")).alias("is_word"))
@@ -52,14 +61,14 @@ def beside(tokens: DataFrame, segment: int | None = None) -> DataFrame:
 
     Sentence-initial: no word before, or a stop since the last one. Words look at words
     by a window over the document's words alone, which needs no exchange of its own.
-    With ``segment``, documents are dealt out in segments of so many tokens.
+    With ``segment``, documents are dealt out in segments of so many tokens, and rows have theirs.
     """
     if segment:
         word, stop = F.when(F.col("is_word"), F.struct("idx", "text")), F.when(is_stop(F.col("text")), F.col("idx"))
         rows = carried(segmented(tokens, segment), {"_prev": word, "_stop": stop}, {"_next": word})
         first = F.col("_prev").isNull() | F.coalesce(F.col("_stop") > F.col("_prev.idx"), F.lit(False))
         found = {"prev_word": F.col("_prev.text"), "next_word": F.col("_next.text"), "sentence_initial": first}
-        return rows.withColumns({c: F.when(F.col("is_word"), v) for c, v in found.items()}).drop("_prev", "_stop", "_next", SEGMENT)
+        return rows.withColumns({c: F.when(F.col("is_word"), v) for c, v in found.items()}).drop("_prev", "_stop", "_next")
     words = Window.partitionBy("doc_id", "is_word").orderBy("idx")
     rows = tokens.withColumn("_stops", F.count_if(is_stop(F.col("text"))).over(so_far()))
     rows = rows.withColumns({"prev_word": F.lag("text").over(words), "next_word": F.lead("text").over(words), "_before": F.lag("_stops").over(words)})

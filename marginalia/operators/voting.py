@@ -43,7 +43,7 @@ def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC, segmen
     it as long as all agree with it. A label begins with I where the state goes on.
     ``keys`` tell sequences apart where a document has several. With ``segment``,
     sequences are dealt out in segments of so many tokens, each of which begins in the
-    state that those before it lead to.
+    state that those before it lead to; rows have their segment.
     """
     low = F.lower("text")
     typed = lambda c: F.when(F.col(c).isin("Person", "Location"), F.col(c))
@@ -53,11 +53,10 @@ def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC, segmen
     rows = combined.withColumn("type", F.when(F.col("is_word"), kind)).withColumn("case", F.when(~F.col("is_word"), "not_word").when(~any_signal, F.when(continues_person(F.col("text")), "patronymic").otherwise("no_signal")).when(kind.isNull(), "unknown").when((kind == "Person") & in_(lex.title_words), "title").when((kind == "Location") & in_(lex.place_prefixes), "prefix").otherwise("entity"))
     rows = rows.withColumn("keeps", F.when(F.col("case").isin("patronymic", "title"), "Person").when(F.col("case") == "prefix", "Location"))
     set_to = F.when(F.col("keeps").isNull() & (F.col("case") == "entity"), F.col("type"))
-    entry = F.lit(None).cast("string")
-    sequence = keys
+    entry, out = F.lit(None).cast("string"), [*keys]
     if segment:
-        rows = entry_states(segmented(rows.withColumn("_does", _function(F.col("keeps"), set_to)), segment), F.col("_does"), len(STATES), keys=keys)
-        entry, keys = F.get(F.array(*[F.lit(s) for s in STATES]), F.col("entry")), (*keys, SEGMENT)
+        rows = entry_states(segmented(rows.withColumn("_does", _function(F.col("keeps"), set_to)), segment, keys), F.col("_does"), len(STATES), keys=keys)
+        entry, keys, out = F.get(F.array(*[F.lit(s) for s in STATES]), F.col("entry")), (SEGMENT,), [SEGMENT, *keys]
     rows = rows.withColumn("island", F.sum(F.col("keeps").isNull().cast("int")).over(so_far(keys)))
     in_island = Window.partitionBy(*keys, "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     given = F.first(F.struct(set_to.alias("t"))).over(in_island)["t"]
@@ -75,7 +74,7 @@ def vote(combined: DataFrame, lex: Lexicons, keys: tuple[str, ...] = DOC, segmen
     present = F.when(F.col("is_word"), F.concat_ws("+", *[F.when(F.col(c).isNotNull(), F.lit(n)) for c, n in zip(SIGNALS, NAMES, strict=True)])).otherwise("")
     votes = F.size(F.array_distinct(F.filter(F.array(*SIGNALS), lambda x: x.isin("Person", "Location"))))
     source = F.when(F.col("is_word"), F.coalesce(*[F.when(typed(c).isNotNull(), F.lit(n)) for c, n in zip(SIGNALS, NAMES, strict=True)]))
-    return rows.select(*sequence, "idx", "text", "is_word", label.alias("label"), reason.alias("reason"), present.alias("signals"), F.col("type").alias("resolved_type"), source.alias("type_source"), (F.col("is_word") & (votes > 1)).alias("type_disagreement"))
+    return rows.select(*out, "idx", "text", "is_word", label.alias("label"), reason.alias("reason"), present.alias("signals"), F.col("type").alias("resolved_type"), source.alias("type_source"), (F.col("is_word") & (votes > 1)).alias("type_disagreement"))
 
 
 def signal_details(entity: DataFrame | None = None, names: DataFrame | None = None, capitals: DataFrame | None = None) -> DataFrame:

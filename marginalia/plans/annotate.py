@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators import signals as sg
+from marginalia.operators.segments import SEGMENT
 from marginalia.operators.tokens import tokenize
 from marginalia.operators.voting import vote
 
@@ -19,10 +20,10 @@ from marginalia.operators.voting import vote
 def annotate(docs: DataFrame, lex: sg.Lexicons, entities: DataFrame | None = None, places: DataFrame | None = None, persons: DataFrame | None = None, fuzzy: bool = True, capitals: bool = True, id: str = "doc_id", text: str = "text", segment: int | None = None) -> DataFrame:
     """Voted labels of every token. ``entities`` are found by whatever model the user runs; without them, or without name lists, those signals are silent.
 
-    With ``segment``, documents are dealt out in segments of so many tokens once they are tokens.
+    With ``segment``, documents are dealt out in segments of so many tokens, which the rows name.
     """
-    tokens = tokenize(docs, id, text, keyed=not segment)
-    rows, names = tokens, ["doc_id", "idx", "text", "is_word"]
+    tokens = tokenize(docs, id, text, keyed=True, segment=segment)
+    rows, names = tokens, ["doc_id", "idx", "text", "is_word", *([SEGMENT] if segment else [])]
     found = {"s1": F.lit(None).cast("string"), "s2": F.lit(None).cast("string"), "s3": F.lit(None).cast("string")}
     if entities is not None:
         rows = rows.join(sg.project_entities(tokens, entities).select("doc_id", "idx", F.col("label").alias("s1")), ["doc_id", "idx"], "left")

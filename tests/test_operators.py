@@ -864,6 +864,9 @@ def test_segments_change_nothing(spark):
     toks = tokens.tokenize(docs)
     rows = lambda df: sorted(map(str, df.collect()))
     for size in (1, 7, 1000):
+        dealt = tokens.tokenize(docs, segment=size)
+        assert rows(dealt.drop("_segment")) == rows(toks)
+        assert rows(tokens.beside(dealt, size).select(*tokens.beside(toks).columns)) == rows(tokens.beside(toks))
         assert rows(tokens.beside(toks, size).select(*tokens.beside(toks).columns)) == rows(tokens.beside(toks))
     pick = lambda *c: F.get(F.array(*map(F.lit, c)), F.pmod(F.xxhash64("doc_id", "idx", "text"), F.lit(len(c))).cast("int"))
     marked = toks.withColumns({"s1": pick("Person", None, None, "Location", None), "s2": pick(None, "Person", None), "s3": pick(None, None, None, "Unknown", None, None, None)})
@@ -871,7 +874,7 @@ def test_segments_change_nothing(spark):
     whole = voting.vote(marked, lex)
     assert whole.where("label like 'I-%'").count() > 20
     for size in (1, 3, 1000):
-        parts = voting.vote(marked, lex, segment=size)
+        parts = voting.vote(marked, lex, segment=size).drop("_segment")
         assert parts.columns == whole.columns and rows(parts) == rows(whole)
     labels = marked.withColumn("label", pick("O", "B-Person", "I-Person", "B-Location", "I-Location", "O"))
     for decode in (spans.io_spans, spans.bio_spans, spans.chunk_spans):
@@ -893,4 +896,55 @@ def test_one_long_document_meets_in_no_task(spark):
     assert {r.label: r["count"] for r in voted.groupBy("label").count().collect()} == {"B-Person": 1, "I-Person": n - 1}
     plan = voted._jdf.queryExecution().executedPlan().toString()
     by = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
-    assert any("_segment" in b for b in by) and sum("_segment" not in b and "_of_1" not in b for b in by) <= 1
+    assert any("_segment" in b for b in by) and sum("_segment" not in b for b in by) <= 1
+
+
+# fewer comparisons
+
+
+def test_bags_of_letters_lose_no_pair(spark):
+    from marginalia.functions.similarity import bag, bag_may_reach
+
+    letters = "aabcdeé日x "
+    words = sorted({"".join(RNG.choice(letters) for _ in range(RNG.choice([0, 1, 3, 8, 9, 20, 70]))) for _ in range(60)} | {"aaaa", "aaaaa", "abab", "baba"})
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    one, other = df.select(F.col("w").alias("a"), bag(F.col("w")).alias("x")), df.select(F.col("w").alias("b"), bag(F.col("w")).alias("y"))
+    for cutoff in (60.0, 80.0):
+        pairs = one.crossJoin(other).select(indel_ratio(F.col("a"), F.col("b")).alias("r"), bag_may_reach(F.length("a"), F.length("b"), F.col("x"), F.col("y"), cutoff).alias("may"))
+        counts = pairs.agg(F.count_if((F.col("r") >= cutoff) & ~F.col("may")).alias("lost"), F.count_if("may").alias("may"), F.count("*").alias("n")).first()
+        assert counts.lost == 0 and counts.may < 0.5 * counts.n
+
+
+def test_a_tenth_of_the_pairs_of_spans_and_entities_is_compared(spark, sf, monkeypatch):
+    """Counted where the filter stands; without it the matches are the same."""
+    from marginalia import queries as q
+
+    found = lambda: signals.entity_matches(q.toks(spark, sf), q.entities(spark, sf))
+    with_filter = sorted(map(str, found().collect()))
+    every = []
+    real = signals.bag_may_reach
+
+    def counted(la, lb, a, b, t):
+        every.append(real(la, lb, a, b, t))
+        return F.lit(True)
+
+    monkeypatch.setattr(signals, "bag_may_reach", counted)
+    assert sorted(map(str, found().collect())) == with_filter and len(with_filter) > 20
+    own = q.entities(spark, sf).select("doc_id", F.lower("text").alias("low")).distinct().withColumn("words", F.size(F.split("low", " +")))
+    spans_ = tokens.spans_within(q.toks(spark, sf), own.groupBy("doc_id").agg((F.max("words") + 1).alias("n")))
+    from marginalia.functions.similarity import bag
+
+    pairs = spans_.withColumn("span_low", F.lower("ngram")).join(own, "doc_id").where(F.col("span_len") <= F.col("words") + 1)
+    may = real(F.length("low"), F.length("span_low"), bag(F.col("low")), bag(F.col("span_low")), 60.0)
+    n, compared = pairs.agg(F.count("*"), F.count_if(may)).first()
+    assert compared < 0.12 * n
+
+
+def test_large_name_tables_are_joined(spark, sf, monkeypatch):
+    from marginalia import queries as q
+
+    rows = lambda: sorted(map(str, q.QUERIES["gazetteer_signal"](spark, sf).collect()))
+    near = rows()
+    assert "Broadcast" in q.QUERIES["gazetteer_signal"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(gazetteer, "BROADCAST_TABLE", 0)
+    assert rows() == near
