@@ -61,20 +61,48 @@ def indel_ratio(a: Column, b: Column, widest: int = WIDEST) -> Column:
     return F.when(total == 0, 100.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(F.coalesce(narrow, wide))
 
 
+def match_bits(word: Column, widest: int = WIDEST) -> Column:
+    """What ``indel_ratio_of`` needs of a word: its length, and for each character a long with the bits of its places; null over ``widest``."""
+
+    def of(chars: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        bit = lambda c: lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero)
+        places = lambda c: F.aggregate(F.transform(chars, bit(c)), zero, lambda acc, x: acc.bitwiseOR(x))
+        distinct = F.array_distinct(chars)
+        return F.struct(F.size(chars).alias("n"), F.map_from_arrays(distinct, F.transform(distinct, places)).alias("at"))
+
+    return F.when(F.length(word) <= widest, let(F.filter(F.split(word, ""), lambda c: c != ""), of))
+
+
+def indel_ratio_of(a: Column, bits: Column, b: Column) -> Column:
+    """``indel_ratio`` of ``a``, whose ``match_bits`` are known, and ``b``: a step a character of ``b``."""
+    zero, total = F.lit(0).cast("long"), F.length(a) + F.length(b)
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), bits["n"]) - 1
+    masks = F.transform(F.filter(F.split(b, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(bits["at"], c), zero))
+    row = F.aggregate(masks, full, lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v - v.bitwiseAND(m)).bitwiseAND(full))
+    near = F.when(total == 0, 100.0).otherwise(200.0 * (bits["n"] - F.bit_count(row)) / total)
+    return F.when(bits.isNotNull(), near).otherwise(indel_ratio(a, b))
+
+
 #: Bits of a bag of letters, in two longs.
 BAG = 124
 
 
 def bag(word: Column) -> Column:
-    """A struct of two longs with a bit for each character and how many of it came before (the first a, the second a), by a hash of both."""
+    """A struct of two longs with a bit for each character and how many of it came before (the first a, the second a), by a hash of both.
+
+    Never null (a null word has no letters): Spark asks of what a join compares whether
+    it is null, and would work the bags out for that alone, long before the join.
+    """
+    none = F.lit(0).cast("long")
 
     def of(chars: Column) -> Column:
         times = lambda c: F.greatest(F.length(word) - F.length(F.replace(word, c, F.lit(""))), F.lit(1))
         places = F.flatten(F.transform(F.array_distinct(chars), lambda c: F.transform(F.sequence(F.lit(1), times(c)), lambda k: (F.ascii(c) * 37 + k * 29) % BAG)))
         half = lambda at, low: F.aggregate(F.filter(at, lambda p: (p >= low) & (p < low + BAG // 2)), F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p - low)))
-        return let(places, lambda at: F.struct(half(at, 0).alias("a"), half(at, BAG // 2).alias("b")))
+        return let(places, lambda at: F.struct(F.coalesce(half(at, 0), none).alias("a"), F.coalesce(half(at, BAG // 2), none).alias("b")))
 
-    return let(F.filter(F.split(word, ""), lambda c: c != ""), of)
+    return F.coalesce(let(F.filter(F.split(word, ""), lambda c: c != ""), of), F.struct(none.alias("a"), none.alias("b")))
 
 
 def bag_may_reach(la: Column, lb: Column, bag_a: Column, bag_b: Column, ratio: float) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.arrays import let
 from marginalia.functions.lexicon import is_capitalised, is_place_word
-from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio
+from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio_of, match_bits
 from marginalia.functions.text import split_words, strip
 
 #: Defaults: least ratio, least token length, least share of the shorter length; words of an entry.
@@ -153,26 +153,26 @@ def _subsequences(word: Column, longest: int, cutoff: float) -> Column:
 
 
 def _pairs_by_letters(words: DataFrame, names: DataFrame, by: list[str], longest: int, cutoff: float) -> DataFrame:
-    """Pairs (once each) of words and names up to a length that have as many letters in common, in order, as the cutoff needs: those letters are the key."""
+    """Pairs (once each, with the name's ``bits``) of words and names up to a length that have as many letters in common, in order, as the cutoff needs: those letters are the key."""
     short = lambda df, c: df.where(F.length(c).between(1, longest))
     one = short(words, "word_lower").select("word_lower", F.explode(_subsequences(F.col("word_lower"), longest, cutoff)).alias("key"))
     other = short(names, "name_lower").select("name_lower", *by, F.explode(_subsequences(F.col("name_lower"), longest, cutoff)).alias("key"))
     met = one.join(other, "key").where(F.length("key") == _needed(F.length("word_lower"), F.length("name_lower"), cutoff))
-    return met.select("word_lower", "name_lower", *by).distinct()
+    return met.select("word_lower", "name_lower", *by).distinct().withColumn("bits", match_bits(F.col("name_lower")))
 
 
 def _pairs_by_length(words: DataFrame, names: DataFrame, by: list[str], cutoff: float, blocks: int) -> DataFrame:
-    """Pairs whose lengths and letters let them reach the cutoff; ``blocks`` 1: names are broadcast."""
+    """Pairs, with the name's ``bits``, whose lengths and letters let them reach the cutoff; ``blocks`` 1: names are broadcast."""
     bound = 200.0 / cutoff - 1.0
     words = words.withColumn("bag", bag(F.col("word_lower")))
     words = words.withColumn("len", F.explode(F.sequence(F.ceil(F.length("word_lower") / bound - 1e-9), F.floor(F.length("word_lower") * bound + 1e-9))))
-    names = names.select("name_lower", *by, bag(F.col("name_lower")).alias("name_bag"), F.length("name_lower").cast("long").alias("len"))
+    names = names.select("name_lower", *by, match_bits(F.col("name_lower")).alias("bits"), bag(F.col("name_lower")).alias("name_bag"), F.length("name_lower").cast("long").alias("len"))
     if blocks <= 1:
         pairs = words.join(F.broadcast(names), "len")
     else:
         dealt = names.withColumn("block", F.pmod(F.xxhash64("name_lower"), F.lit(blocks)).cast("int"))
         pairs = words.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt.hint("merge"), ["len", "block"])
-    return pairs.where(bag_may_reach(F.length("word_lower"), F.length("name_lower"), F.col("bag"), F.col("name_bag"), cutoff)).select("word_lower", "name_lower", *by)
+    return pairs.where(bag_may_reach(F.length("word_lower"), F.length("name_lower"), F.col("bag"), F.col("name_bag"), cutoff)).select("word_lower", "name_lower", *by, "bits")
 
 
 def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kind: str | None = None) -> DataFrame:
@@ -186,7 +186,9 @@ def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kin
     meet by length, dealt out in blocks of names.
     """
     by = [kind] if kind else []
-    words = words.select("word_lower").distinct()
+    spark = words.sparkSession
+    # few bytes and much work: dealt over all cores, which the size of the words alone wouldn't call for
+    words = words.select("word_lower").distinct().repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     names = names.select("name_lower", *by)
     size = names.agg(F.sum(F.octet_length("name_lower"))).first()[0] or 0
     if size <= BROADCAST_NAMES:
@@ -198,7 +200,7 @@ def best_similar(names: DataFrame, words: DataFrame, cutoff: float = CUTOFF, kin
         reach = F.lit(longest) / (200.0 / cutoff - 1.0)
         far = _pairs_by_length(words.where(F.length("word_lower") > reach), names.where(F.length("name_lower") > reach), by, cutoff, max(2, -(-size // BLOCK_NAMES))).where(long)
         pairs = _pairs_by_letters(words, names, by, longest, cutoff).unionByName(far)
-    scored = pairs.select("word_lower", *by, "name_lower", indel_ratio(F.col("word_lower"), F.col("name_lower")).alias("score")).where(F.col("score") >= cutoff)
+    scored = pairs.select("word_lower", *by, "name_lower", indel_ratio_of(F.col("name_lower"), F.col("bits"), F.col("word_lower")).alias("score")).where(F.col("score") >= cutoff)
     best = scored.groupBy("word_lower", *by).agg(F.min(F.struct((-F.col("score")).alias("s"), "name_lower")).alias("b"))
     return best.select("word_lower", *by, F.col("b.name_lower").alias("name_lower"), (-F.col("b.s")).alias("score"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.lexicon import is_capitalised, is_patronymic, is_roman, stop_reason
-from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio
+from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio_of, match_bits
 from marginalia.functions.text import consonant_skeleton
 from marginalia.operators import gazetteer
 from marginalia.operators.tokens import beside, spans_within
@@ -141,14 +141,14 @@ def entity_matches(tokens: DataFrame, entities: DataFrame, skeleton_cutoff: floa
     """
     own = entities.select("doc_id", F.col("text").alias("entity")).distinct()
     bags = lambda low, skel: {f"{c}_bag": bag(F.col(c)) for c in (low, skel)}
-    own = own.withColumn("words", F.size(F.split("entity", " +"))).withColumn("low", F.lower("entity")).withColumn("skel", consonant_skeleton(F.col("entity"))).withColumns(bags("low", "skel"))
+    own = own.withColumn("words", F.size(F.split("entity", " +"))).withColumn("low", F.lower("entity")).withColumn("skel", consonant_skeleton(F.col("entity"))).withColumns(bags("low", "skel") | {f"{c}_bits": match_bits(F.col(c)) for c in ("low", "skel")})
     spans = spans_within(tokens, own.groupBy("doc_id").agg((F.max("words") + 1).alias("n")))
     spans = spans.withColumn("span_low", F.lower("ngram")).withColumn("span_skel", consonant_skeleton(F.col("ngram"))).withColumns(bags("span_low", "span_skel"))
     pairs = spans.join(own, "doc_id").where(F.col("span_len") <= F.col("words") + 1)
     # hardly a tenth of the pairs have lengths, and letters in common, that let the ratio reach the cutoff
     can = lambda a, b, t: bag_may_reach(F.length(a), F.length(b), F.col(f"{a}_bag"), F.col(f"{b}_bag"), t)
-    s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio(F.col("skel"), F.col("span_skel")))
-    s3 = F.when(can("low", "span_low", cutoff), indel_ratio(F.col("low"), F.col("span_low")))
+    s2 = F.when((F.length("skel") >= 3) & (F.col("span_skel") != "") & can("skel", "span_skel", skeleton_cutoff), indel_ratio_of(F.col("skel"), F.col("skel_bits"), F.col("span_skel")))
+    s3 = F.when(can("low", "span_low", cutoff), indel_ratio_of(F.col("low"), F.col("low_bits"), F.col("span_low")))
     found = pairs.withColumn("same", F.col("low") == F.col("span_low")).withColumn("s2", F.when(~F.col("same"), s2))
     found = found.withColumn("s3", F.when(~F.col("same") & ~F.coalesce(F.col("s2") >= skeleton_cutoff, F.lit(False)), s3))
     level = F.when(F.col("same"), 1).when(F.col("s2") >= skeleton_cutoff, 2).when(F.col("s3") >= cutoff, 3)

@@ -903,12 +903,14 @@ def test_one_long_document_meets_in_no_task(spark):
 
 
 def test_bags_of_letters_lose_no_pair(spark):
-    from marginalia.functions.similarity import bag, bag_may_reach
+    from marginalia.functions.similarity import bag, bag_may_reach, indel_ratio_of, match_bits
 
     letters = "aabcdeé日x "
     words = sorted({"".join(RNG.choice(letters) for _ in range(RNG.choice([0, 1, 3, 8, 9, 20, 70]))) for _ in range(60)} | {"aaaa", "aaaaa", "abab", "baba"})
     df = spark.createDataFrame([(w,) for w in words], "w string")
     one, other = df.select(F.col("w").alias("a"), bag(F.col("w")).alias("x")), df.select(F.col("w").alias("b"), bag(F.col("w")).alias("y"))
+    both = one.crossJoin(other).select(indel_ratio(F.col("a"), F.col("b")).alias("r"), indel_ratio_of(F.col("a"), match_bits(F.col("a"), 9), F.col("b")).alias("s"), indel_ratio_of(F.col("a"), match_bits(F.col("a")), F.col("b")).alias("t"))
+    assert both.where("r <> s or r <> t or s is null or t is null").count() == 0
     for cutoff in (60.0, 80.0):
         pairs = one.crossJoin(other).select(indel_ratio(F.col("a"), F.col("b")).alias("r"), bag_may_reach(F.length("a"), F.length("b"), F.col("x"), F.col("y"), cutoff).alias("may"))
         counts = pairs.agg(F.count_if((F.col("r") >= cutoff) & ~F.col("may")).alias("lost"), F.count_if("may").alias("may"), F.count("*").alias("n")).first()
