@@ -201,11 +201,17 @@ def chunk_at_o(sentences: DataFrame, budget: int, tokens: str = "t") -> DataFram
     return sentences.withColumn("chunks", F.when(total <= budget, whole).otherwise(cut))
 
 
-def overlapping_windows(rows: DataFrame, ids: str = "ids", length: int = 256, stride: int = 128, least: int = 7) -> DataFrame:
-    """Each row's id array as windows that overlap by ``stride``; windows under ``least`` are dropped. Adds window_no and window."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - F.lit(stride) - 1, F.lit(0)), F.lit(length - stride))
-    out = rows.select("*", F.posexplode(starts).alias("window_no", "_at")).withColumn("window", F.slice(ids, F.col("_at") + 1, length)).drop("_at")
-    return long_enough(out, "window", least)
+def overlapping_windows(rows: DataFrame, ids: str = "ids", length: int = 256, stride: int = 128, least: int = 7, special: int = 2) -> DataFrame:
+    """Each row's id array as windows that overlap by ``stride``. Adds window_no and window.
+
+    ``length`` and ``least`` count the ``special`` ids that a model puts around each
+    window, which ``ids`` don't have: a window holds that many fewer, and windows under
+    ``least`` are dropped.
+    """
+    room = length - special
+    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - F.lit(stride) - 1, F.lit(0)), F.lit(room - stride))
+    out = rows.select("*", F.posexplode(starts).alias("window_no", "_at")).withColumn("window", F.slice(ids, F.col("_at") + 1, room)).drop("_at")
+    return long_enough(out, "window", least - special)
 
 
 def long_enough(rows: DataFrame, ids: str = "ids", least: int = 7) -> DataFrame:
@@ -240,32 +246,54 @@ def regroup_subwords(rows: DataFrame, special: tuple[str, ...] = ("[CLS]", "[SEP
     return parts.select("doc_id", "word_no", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("word"))
 
 
+#: Characters of the blocks that long texts are read in.
+TEXT_BLOCK = 16_384
+
+
 def text_windows(rows: DataFrame, text: str = "text", size: int = 1500, back: int = 200) -> DataFrame:
     """``rows`` as ``chunk_no, chunk_start, chunk``: texts over ``size`` cut behind the last ``". "`` (else space) of the last ``back`` characters, the next one starting ``back`` before the cut.
 
     Where one ends depends on the one before, so the cuts are a fold over at most as
-    many steps as the text has strides.
+    many steps as the text has strides. A step looks at two blocks of the text, so the
+    time grows with the text, and chunks leave the fold as they are, not as places that
+    are looked up in the text once more.
     """
     t = F.col(text)
     stride = size - 2 * back
-    kind = "array<struct<start:int,end:int>>"
+    block = max(TEXT_BLOCK, size)
+    kind = "array<struct<start:int,chunk:string>>"
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / block).cast("int")), lambda i: F.substr(t, i * block + 1, F.lit(block)))
     start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("done"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, _: Column) -> Column:
-        end = F.least(acc["pos"] + size, F.length(t))
-        tail = F.substr(t, F.greatest(end - back, acc["pos"]) + 1, F.least(F.lit(back), end - acc["pos"]))
-        behind = lambda mark: F.length(tail) - F.instr(F.reverse(tail), mark[::-1])  # noqa: E731  place behind the last mark, less what follows it
-        found = F.when(F.instr(F.reverse(tail), " .") > 0, behind(". ") - 1 + 2).when(F.instr(F.reverse(tail), " ") > 0, behind(" ") + 1)
-        last = acc["pos"] + size >= F.length(t)
-        stop = F.when(last | found.isNull(), end).otherwise(F.greatest(end - back, acc["pos"]) + found)
-        after = F.when(last, F.length(t)).otherwise(F.greatest(acc["pos"] + 1, stop - back))
-        out = F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), stop.alias("end"))))
-        return F.when(acc["done"], acc).otherwise(F.struct(after.alias("pos"), last.alias("done"), out.alias("out")))
-
-    steps = F.sequence(F.lit(0), F.ceil(F.length(t) / F.lit(stride)).cast("int"))
-    cuts = F.when(F.length(t) <= size, F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end")))).otherwise(F.aggregate(steps, start, step, lambda a: a["out"]))
-    out = rows.select("*", F.posexplode(cuts).alias("chunk_no", "_c"))
-    return out.withColumn("chunk_start", F.col("_c.start")).withColumn("chunk", F.substr(t, F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start"))).drop("_c")
+    def cuts(whole_text: Column) -> Column:
+        parts, all_ = whole_text["parts"], whole_text["n"]
+
+        def step(acc: Column, _: Column) -> Column:
+            nth = F.floor(acc["pos"] / block).cast("int")
+            here = F.concat(F.get(parts, nth), F.coalesce(F.get(parts, nth + 1), F.lit("")))
+            return F.when(acc["done"], acc).otherwise(let(F.substr(here, acc["pos"] - nth * block + 1, F.lit(size)), lambda piece: _cut(acc, piece)))
+
+        def _cut(acc: Column, piece: Column) -> Column:
+            n = F.length(piece)
+            last = acc["pos"] + size >= all_
+            skip = F.greatest(n - back, F.lit(0))
+
+            def with_tail(tail: Column) -> Column:
+                dot, space = F.instr(tail, " ."), F.instr(tail, " ")  # in the tail from behind
+                stop = F.when(last, n).when(dot > 0, n - dot + 1).when(space > 0, n - space + 1).otherwise(n)
+                return let(stop, lambda s: F.struct(
+                    F.when(last, all_).otherwise(acc["pos"] + F.greatest(F.lit(1), s - back)).alias("pos"), last.alias("done"),
+                    F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), F.substr(piece, F.lit(1), s).alias("chunk")))).alias("out"),
+                ))
+
+            return let(F.reverse(F.substr(piece, skip + 1, n - skip)), with_tail)
+
+        steps = F.sequence(F.lit(0), F.ceil(all_ / F.lit(stride)).cast("int"))
+        return F.aggregate(steps, start, step, lambda a: a["out"])
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), t.alias("chunk")))
+    out = rows.select("*", F.posexplode(F.when(F.length(t) <= size, whole).otherwise(let(F.struct(blocks.alias("parts"), F.length(t).alias("n")), cuts))).alias("chunk_no", "_c"))
+    return out.withColumn("chunk_start", F.col("_c.start")).withColumn("chunk", F.col("_c.chunk")).drop("_c")
 
 
 def merge_chunk_entities(found: DataFrame) -> DataFrame:

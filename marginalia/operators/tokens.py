@@ -23,6 +23,11 @@ def so_far(keys: tuple[str, ...] = DOC) -> WindowSpec:
     return by_doc(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` in as many parts as the session has for shuffles: texts are small beside the tokens that they fall into, so parts aren't put together by the size of the texts."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: bool = True, keyed: bool = False, segment: int | None = None) -> DataFrame:
     """``doc_id, idx, text, is_word``: tokens in order; null and blank texts have none.
 
@@ -36,11 +41,12 @@ def tokenize(docs: DataFrame, id: str = "doc_id", text: str = "text", clean: boo
         every = rows.select("doc_id", tokens_in(source).alias("every")).where(F.size("every") > 0)
         starts = F.sequence(F.lit(0), F.floor((F.size("every") - 1) / segment).cast("int"))
         parts = every.select("doc_id", F.explode(F.transform(starts, lambda n: F.struct(n.cast("long").alias("n"), F.slice("every", n * segment + 1, segment).alias("some")))).alias("p"))
-        parts = parts.select(F.struct("doc_id", "p.n").alias(SEGMENT), F.col("p.some").alias("some")).repartition(SEGMENT)
+        parts = parts.select(F.struct("doc_id", "p.n").alias(SEGMENT), F.col("p.some").alias("some"))
+        parts = dealt(parts, SEGMENT)
         rows = parts.select(SEGMENT, F.posexplode("some").alias("at", "text"))
         rows = rows.select(f"{SEGMENT}.doc_id", (F.col(f"{SEGMENT}.n") * segment + F.col("at")).cast("int").alias("idx"), "text", SEGMENT)
         return rows.select("doc_id", "idx", "text", is_word(F.col("text")).alias("is_word"), SEGMENT)
-    rows = rows.repartition("doc_id") if keyed else rows
+    rows = dealt(rows, "doc_id") if keyed else rows
     rows = rows.select("doc_id", F.posexplode(tokens_in(source)).alias("idx", "text"))
     return rows.select("doc_id", "idx", "text", is_word(F.col("text")).alias("is_word"))
 

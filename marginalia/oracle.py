@@ -199,7 +199,7 @@ add("edition_texts", f"SELECT doc_id, replace(t, '{MIDDLE_DOT}', '') AS text FRO
 RAWLABEL = "CASE event_id % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Location' WHEN 2 THEN 'Organization' ELSE 'MISC' END"
 add("ner_label_map", f"SELECT event_id, {RAWLABEL} AS mapped_label, CASE event_id % 4 WHEN 2 THEN 'org' WHEN 3 THEN 'misc' ELSE 'entities' END AS bucket, round(value, 4) AS score FROM events")
 add("safe_names", "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages")
-add("perplexity", "SELECT event_id, round(CASE WHEN value / 10 < 100 THEN exp(least(value / 100, 50.0)) ELSE -1.0 END, 4) AS ppl FROM events")
+add("perplexity", "SELECT event_id, CASE WHEN value < 100 THEN format('{:.6e}', exp(value)) ELSE 'inf' END AS ppl FROM events")
 add("token_resplit", f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY old, idx) - 1)::INTEGER AS idx, text, CASE WHEN old % 7 = 0 THEN 'B-Person' ELSE 'O' END AS label FROM rs""",
     TOK + ",\nsrc AS (SELECT doc_id, idx AS old, CASE WHEN idx % 7 = 0 THEN text || 'º' || text ELSE text END AS text FROM tok),\n" + pieces_of("rs", "src", "doc_id, old", "translate(text, 'º°', '  ')"))
 add("detokenize", "SELECT doc_id, string_agg(text, ' ' ORDER BY idx) AS text FROM tok GROUP BY doc_id", TOK)
@@ -376,13 +376,13 @@ TAGL = "CASE WHEN i % 11 = 3 THEN 'Person' WHEN i % 13 = 5 THEN 'Location' ELSE
 add("inline_tags_to_labels", r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY old, idx) - 1)::INTEGER AS idx, text, regexp_matches(text, '^[\p{L}\p{N}_]') AS is_word, io FROM tp",
     f"{TAGW}, tx AS (SELECT doc_id, i AS old, translate(w, 'º°', '  ') AS w, {TAGL} AS io FROM tw), {pieces_of('tp', 'tx', 'doc_id, old, io', 'w')}")
 IDS = "ids AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS a FROM documents)"
-add("overlap_windows", """SELECT doc_id, k::INTEGER AS window_no, len(w)::INTEGER AS n, list_sum(w)::BIGINT AS total FROM (SELECT doc_id, k, a[k * 128 + 1 : k * 128 + 256] AS w FROM (SELECT doc_id, a, unnest(generate_series(0, greatest(len(a) - 129, 0) // 128)) AS k FROM ids)) WHERE len(w) >= 7""", IDS)
+add("overlap_windows", """SELECT doc_id, k::INTEGER AS window_no, len(w)::INTEGER AS n, list_sum(w)::BIGINT AS total FROM (SELECT doc_id, k, a[k * 126 + 1 : k * 126 + 254] AS w FROM (SELECT doc_id, a, unnest(generate_series(0, greatest(len(a) - 129, 0) // 126)) AS k FROM ids)) WHERE len(w) + 2 >= 7""", IDS)
 add("chunk_min_len", "SELECT doc_id, len(a)::INTEGER AS n FROM ids WHERE len(a) >= 7", IDS)
 SUBW = f"""{TOK}, {NB}, {CAP}, {vote('vp', names='')}, sw AS (SELECT doc_id, idx, label, text, unnest(CASE WHEN length(text) > 4 THEN [0, 1] ELSE [0] END) AS sub_no FROM vp WHERE is_word),
 su AS (SELECT *, CASE WHEN sub_no = 1 THEN '##' || substring(text, 5) WHEN length(text) > 4 THEN substring(text, 1, 4) ELSE text END AS subword FROM sw)"""
 add("first_subword_labels", "SELECT doc_id, idx, sub_no, subword, CASE WHEN sub_no = 1 THEN -100 ELSE CASE label WHEN 'O' THEN 0 WHEN 'B-Person' THEN 1 WHEN 'I-Person' THEN 2 WHEN 'B-Location' THEN 3 ELSE 4 END END AS label_id FROM su", SUBW)
 add("subword_regroup", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS word_no, text AS word FROM vp WHERE is_word", SUBW)
-add("decided_labels", "SELECT vec_id, (list_position(s, list_max(s)) - 1)::INTEGER AS predicted, label AS label_id FROM (SELECT vec_id, embedding[1:5] AS s, label FROM embeddings WHERE vec_id % 5 <> 0)")
+add("decided_labels", "SELECT vec_id, (list_position(s, list_max(s)) - 1)::INTEGER AS predicted, label AS label_id FROM (SELECT vec_id, embedding AS s, label FROM embeddings WHERE vec_id % 5 <> 0)")
 # files, order and samples
 add("conll_flatten", f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INTEGER AS idx, text, label FROM se WHERE text <> '{MIDDLE_DOT}'", f"{V}, {SENT}")
 add("conll_merge", f"SELECT (doc_id % 2)::INTEGER AS file_no, doc_id, count(DISTINCT sent) AS sentences, count(*) AS tokens FROM se WHERE text <> '{MIDDLE_DOT}' GROUP BY doc_id", f"{V}, {SENT}")
@@ -420,6 +420,15 @@ tx AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT N
 ch AS (SELECT doc_id, -1 AS no, 0::BIGINT AS pos, 0::BIGINT AS stop, 0::BIGINT AS nxt FROM tx
   UNION ALL SELECT doc_id, no + 1, pos, cut, CASE WHEN pos + 1500 >= n THEN n ELSE greatest(pos + 1, cut - 200) END FROM (SELECT *, {CUT} AS cut FROM (SELECT c.doc_id, c.no, c.nxt AS pos, least(c.nxt + 1500, n) AS e, n, text FROM ch c JOIN tx USING (doc_id) WHERE c.no < 0 OR c.nxt < n)))""".replace("FROM ch WHERE no >= 0", "FROM ch JOIN tx USING (doc_id) WHERE no >= 0"), True)
 SQL["ner_text_chunks"] = SQL["ner_text_chunks"].replace("FROM ch WHERE no >= 0", "FROM ch JOIN tx USING (doc_id) WHERE no >= 0")
+# a model's entities: words of each chunk with their places
+SQL["model_entities"] = SQL["ner_text_chunks"].replace("tx AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL)", "tx AS (SELECT doc_id, replace(text, '*', '') AS text, length(replace(text, '*', '')) AS n FROM documents WHERE text IS NOT NULL)")
+_at = SQL["model_entities"].rindex("SELECT doc_id, no::INTEGER AS chunk_no")
+SQL["model_entities"] = SQL["model_entities"][:_at] + r"""
+, wd AS (SELECT doc_id, no, pos, unnest(w) AS w, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, no, pos, string_split(substring(text, (pos + 1)::BIGINT, stop - pos), ' ') AS w FROM ch JOIN tx USING (doc_id) WHERE no >= 0)),
+pl AS (SELECT doc_id, w, pos + sum(length(w) + 1) OVER (PARTITION BY doc_id, no ORDER BY i) - length(w) - 1 AS s FROM wd),
+en AS (SELECT DISTINCT doc_id, w, s FROM pl WHERE regexp_full_match(w, '[A-Z][a-z]{6,}'))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s, s + length(w)) - 1)::INTEGER AS ord, w AS text, CASE WHEN length(w) % 2 = 0 THEN 'PER' ELSE 'LOC' END AS ner_label,
+  CASE WHEN length(w) % 2 = 0 THEN 'Person' ELSE 'Location' END AS mapped_label, 'entities' AS bucket, round(0.5 + length(w) / 128, 4) AS score, s::INTEGER AS start_at, (s + length(w))::INTEGER AS end_at FROM en"""
 # sentences cut at O: a fold over a document's tokens, whose accumulator has the shape of its items
 FOLD = "{'first': %s, 'at': %s, 'used': %s, 'cut': %s, 'since': %s, 'out': %s, 'o': %s, 'size': %s}"
 NOTHING = "[]::STRUCT(a BIGINT, b BIGINT)[]"

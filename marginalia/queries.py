@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import lexicon as lx
 from marginalia.functions import text as tx
 from marginalia.functions.similarity import indel_ratio
-from marginalia.operators import corpus, gazetteer, metrics, signals, spans, tokens, voting
+from marginalia.operators import corpus, gazetteer, metrics, models, signals, spans, tokens, voting
 from marginalia.plans.annotate import WAYS, Way, annotate, annotate_ways, document_summary
 from marginalia.sources import files
 
@@ -181,7 +181,9 @@ def safe_names(spark, d):
 
 @query
 def perplexity(spark, d):
-    return load(spark, d, "events").select("event_id", F.round(F.when(F.col("value") / 10 < 100, tx.perplexity(F.least(F.col("value") / 100, F.lit(50.0)))).otherwise(-1.0), 4).alias("ppl"))
+    """Values as losses, those of 100 and more among them, whose perplexity is infinite; written with seven digits."""
+    ppl = tx.perplexity(F.col("value"))
+    return load(spark, d, "events").select("event_id", F.when(ppl == float("inf"), "inf").otherwise(F.format_string("%.6e", ppl)).alias("ppl"))
 
 
 @query
@@ -379,6 +381,25 @@ def ner_text_chunks(spark, d):
     return corpus.text_windows(docs_of(spark, d)).select("doc_id", "chunk_no", "chunk_start", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
+def long_capitalised(texts):
+    """A model that answers alike wherever it runs: plain capitalised words of seven letters or more, persons if their number is even."""
+    out = []
+    for text in texts:
+        found, at = [], 0
+        for word in text.split(" "):
+            if len(word) > 6 and word.isascii() and word.isalpha() and word[0].isupper() and word[1:].islower():
+                found.append({"entity_group": "PER" if len(word) % 2 == 0 else "LOC", "word": word, "score": 0.5 + len(word) / 128, "start": at, "end": at + len(word)})
+            at += len(word) + 1
+        out.append(found)
+    return out
+
+
+@query
+def model_entities(spark, d):
+    found = models.run_model(docs_of(spark, d).where("text is not null"), models.broadcast_model(spark, long_capitalised), batch=32)
+    return found.withColumnsRenamed({"start": "start_at", "end": "end_at"})
+
+
 # voting and spans
 
 
@@ -773,5 +794,5 @@ def subword_regroup(spark, d):
 
 @query
 def decided_labels(spark, d):
-    rows = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("scores"), F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("label")).alias("label_id"))
+    rows = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("scores"), F.when(F.col("vec_id") % 5 == 0, -100).otherwise(F.col("label")).alias("label_id"))
     return corpus.decided_labels(rows).select("vec_id", "predicted", "label_id")
