@@ -956,3 +956,54 @@ def test_large_name_tables_are_joined(spark, sf, monkeypatch):
     assert "Broadcast" in q.QUERIES["gazetteer_signal"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(gazetteer, "BROADCAST_TABLE", 0)
     assert rows() == near
+
+
+# label files as a data source
+
+
+def test_label_files_in_ranges_of_bytes(spark, tmp_path):
+    """Whatever the ranges, rows are those of the readers of whole files."""
+    from marginalia.sources import conll
+
+    conll.register(spark)
+    line = lambda: RNG.choice(["Anna B-Person", "i\tO", "‧ O", "a b I-Person", "", "", "  ", "alone", "Växjö B-Location  ", "\tO", " x"])
+    for i in range(6):
+        end = "\r\n" if i == 3 else "\n"
+        (tmp_path / f"sdhk_{i // 2}_{'gold' if i % 2 else 'silver'}.conll").write_bytes(("﻿" * (i == 1) + end.join(line() for _ in range(40)) + end * (i % 3)).encode())
+    (tmp_path / "sdhk_9_gold.conll").write_text("")
+    (tmp_path / "notes.txt").write_text("no label file")
+    docs = files.whole_files(spark, f"{tmp_path}/*.conll").withColumnRenamed("file", "doc_id")
+    want = {}
+    for form, rows in (("sentences", files.read_sentences(docs)), ("entities", files.read_entities_form(docs).withColumn("pos", F.col("idx")))):
+        of = {}
+        for r in rows.orderBy("doc_id", "sent_id", "pos").collect():
+            of.setdefault((r.doc_id, r.sent_id), []).append((r.text, r.label))
+        want[form] = sorted((k[0], v) for k, v in of.items())
+    for form, split in itertools.product(want, (7, 50, 1_000_000)):
+        got = {}
+        df = spark.read.format("conll").option("form", form).option("split", split).load(str(tmp_path))
+        for r in df.orderBy("file", "sent_at", "pos").collect():
+            got.setdefault((r.file, r.sent_at), []).append((r.text, r.label))
+        assert sorted((k[0], v) for k, v in got.items()) == want[form], (form, split)
+    one = spark.read.format("conll").load(str(tmp_path)).where("file = 'sdhk_1_gold.conll'")
+    assert {r.file for r in one.collect()} == {"sdhk_1_gold.conll"}
+    latest = spark.read.format("conll").option("latest", "true").load(str(tmp_path))
+    assert {r.file for r in latest.select("file").distinct().collect()} == {f"sdhk_{i}_silver.conll" for i in range(3)}
+    assert spark.read.format("conll").load(str(tmp_path / "sdhk_9_gold.conll")).collect() == []
+
+
+def test_label_files_as_a_stream(spark, tmp_path):
+    from marginalia.sources import conll
+
+    conll.register(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a_1_gold.conll").write_text("Anna B-Person\n")
+
+    def run():
+        q = spark.readStream.format("conll").load(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["Anna"]
+    (tmp_path / "in" / "a_2_gold.conll").write_text("Erik B-Person\n")
+    assert run() == ["Anna", "Erik"] == run()
