@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.functions.arrays import let, running
+from marginalia.operators.segments import SEGMENT, in_order, past
 
 SECTION_MARK = "--- SIDBRYTNING ---"
 DATE_HEAD = "datum:"
@@ -167,38 +168,87 @@ def manifest(adjudicated: DataFrame) -> DataFrame:
     return adjudicated.rollup("coder").agg(F.count_if(F.col("kind") == "unique").alias("unique_items"), F.count_if(F.col("kind") == "adjudicated").alias("adjudicated_items"), F.count("*").alias("total"))
 
 
+def _next_cuts(words: Column, budget: int) -> Column:
+    """For each word of array<struct<label, size>> where a chunk that begins with it ends, exclusive.
+
+    That is behind the last O, other than the chunk's first word, before the first word
+    over the budget; without such an O, at that word. Sums of sizes are searched in
+    steps of powers of two, as a chunk has at most ``budget`` words.
+    """
+    cost = F.transform(words, lambda x: F.greatest(F.lit(1), F.least(F.coalesce(x["size"], F.lit(1)), F.lit(budget + 1))).cast("long"))
+    sums = F.concat(F.array(F.lit(0).cast("long")), running(cost, lambda a, x: a + x, kind="long"))
+    last_o = running(F.transform(words, lambda x, i: F.when(x["label"] == "O", i).otherwise(-1)), lambda a, x: F.greatest(a, x), -1)
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(budget.bit_length()))])
+
+    def cut(v: Column, i: Column) -> Column:
+        full = F.aggregate(steps, i, lambda at, k: F.when(F.get(v["sums"], at + k) <= F.get(v["sums"], i) + budget, at + k).otherwise(at), lambda at: F.greatest(at, i + 1))
+        o = lambda j: F.get(v["last_o"], j - 1)
+        return let(full, lambda j: F.when((j < F.size(v["sums"]) - 1) & (o(j) > i), o(j) + 1).otherwise(j))
+
+    return let(F.struct(sums.alias("sums"), last_o.alias("last_o")), lambda v: F.transform(words, lambda _, i: cut(v, i)))
+
+
+def _doubled(cuts: Column, stop: Column, start: Column) -> Column:
+    """The places ``reached`` from ``start`` on by going from cut to cut, those before ``stop`` in order, and, for each place, the first one from ``stop`` on that it leads to (``exit``).
+
+    Jumps are doubled, and with them the places reached, so as many rounds do as
+    ``stop`` has binary digits, however many cuts there are.
+    """
+    jump = F.transform(cuts, lambda x, i: F.when(i >= stop, i).otherwise(x))
+    first = F.struct(jump.alias("exit"), F.filter(F.array(start.cast("int")), lambda x: x < stop).alias("reached"))
+
+    def twice(acc: Column, _: Column) -> Column:
+        on = lambda x: F.coalesce(F.get(acc["exit"], x), x)
+        return F.struct(F.transform(acc["exit"], on).alias("exit"), F.concat(acc["reached"], F.filter(F.transform(acc["reached"], on), lambda x: x < stop)).alias("reached"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(stop))), first, twice)
+
+
 def chunk_at_o(sentences: DataFrame, budget: int, tokens: str = "t") -> DataFrame:
     """``sentences`` with ``chunks``: array of struct(first, last) word positions, last exclusive.
 
     ``tokens`` is array<struct<label, size>>. A sentence over the budget is filled up to
     it and cut after the last O that isn't the chunk's first word, or else where it is
-    full; a word larger than the budget makes a chunk of its own.
+    full; a word larger than the budget makes a chunk of its own. Sizes under 1 and null
+    ones count as 1; a sentence without words is one empty chunk, a null one null.
     """
     t = F.col(tokens)
-    cost = lambda x: F.greatest(F.lit(1), x["size"])
-    total = F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc + cost(x))
-    kind = "array<struct<first:int,last:int>>"
-    start = F.struct(*[F.lit(0).alias(n) for n in ("first", "at")], F.lit(0).cast("long").alias("used"), F.lit(-1).alias("cut"), F.lit(0).cast("long").alias("since"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + cost(x) > budget)
-        at_o = full & (acc["cut"] > 0)
-        # cut behind the last O: what came since stays and may itself be full with the next word
-        first = F.when(at_o, acc["cut"]).when(full, acc["at"]).otherwise(acc["first"])
-        used = F.when(at_o, acc["since"]).when(full, F.lit(0).cast("long")).otherwise(acc["used"])
-        out = F.when(full, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), first.alias("last"))))).otherwise(acc["out"])
-        again = (used > 0) & (used + cost(x) > budget)
-        out = F.when(again, F.concat(out, F.array(F.struct(first.alias("first"), acc["at"].alias("last"))))).otherwise(out)
-        first, used = F.when(again, acc["at"]).otherwise(first), F.when(again, F.lit(0).cast("long")).otherwise(used)
-        o_here = (x["label"] == "O") & (acc["at"] > first)
-        return F.struct(
-            first.alias("first"), (acc["at"] + 1).alias("at"), (used + cost(x)).alias("used"), F.when(o_here, acc["at"] + 1).when(full | again, F.lit(-1)).otherwise(acc["cut"]).alias("cut"),
-            F.when(o_here, F.lit(0).cast("long")).otherwise(F.when(full | again, used).otherwise(acc["since"]) + cost(x)).alias("since"), out.alias("out"),
-        )
-
-    whole = F.array(F.struct(F.lit(0).alias("first"), F.size(t).alias("last")))
-    cut = F.aggregate(t, start, step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["at"].alias("last")))))
-    return sentences.withColumn("chunks", F.when(total <= budget, whole).otherwise(cut))
+    chunk = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    cut = let(_next_cuts(t, budget), lambda c: F.transform(_doubled(c, F.size(t), F.lit(0))["reached"], lambda i: chunk(i, F.get(c, i))))
+    return sentences.withColumn("chunks", F.when(F.size(t) == 0, F.array(chunk(F.lit(0), F.lit(0)))).when(t.isNotNull(), cut))
+
+
+def chunk_rows_at_o(words: DataFrame, budget: int, segment: int = 8192, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys, chunk_no, first, last``: the chunks of ``chunk_at_o`` for words as rows (``idx`` from 0 without gaps, ``label``, ``size``).
+
+    A sequence may be of any length: a task gets ``segment`` words and the ``budget`` that
+    follow. As a chunk has at most ``budget`` words, a segment is entered at one of its
+    first ``budget``, so each becomes a table from these places to those where the next one
+    is entered; only the tables are put in order by sequence.
+    """
+    segment = max(segment, budget)
+    if SEGMENT in words.columns:
+        words = words.drop(SEGMENT)
+    n = F.floor(F.col("idx") / segment)
+    ahead = F.when((n > 0) & (F.col("idx") % segment < budget), F.array(n, n - 1)).otherwise(F.array(n))
+    rows = words.select(*keys, "idx", "label", "size", F.explode(ahead).alias("n"))
+    rows = rows.select(F.struct(*keys, "n").alias(SEGMENT), F.struct("idx", "label", "size").alias("w"))
+    parts = rows.groupBy(SEGMENT).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    own = F.least(F.size("w"), F.lit(segment))
+    parts = parts.select(SEGMENT, own.alias("own"), _next_cuts(F.col("w"), budget).alias("cuts"))
+
+    tables = parts.select(SEGMENT, F.transform(F.slice(_doubled(F.col("cuts"), F.col("own"), F.lit(0))["exit"], 1, budget), lambda x: x - segment).alias("f"))
+    key = [F.col(f"{SEGMENT}.{k}").alias(f"_key_{i}") for i, k in enumerate(keys)]
+    lists = tables.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(f"{SEGMENT}.n").alias("n"), SEGMENT, "f"))).alias("t"))
+    start = F.struct(F.lit(0).alias("entry"), F.array().cast("array<int>").alias("out"))
+    entries = F.aggregate("t", start, lambda acc, x: F.struct(F.get(x["f"], acc["entry"]).alias("entry"), F.concat(acc["out"], F.array(acc["entry"])).alias("out")), lambda acc: acc["out"])
+    entered = lists.select(F.explode(F.arrays_zip(F.transform("t", lambda x: x[SEGMENT]).alias("s"), entries.alias("entry"))).alias("e")).select(F.col("e.s").alias(SEGMENT), F.col("e.entry").alias("entry"))
+
+    parts = parts.join(entered, SEGMENT).withColumn("reached", _doubled(F.col("cuts"), F.col("own"), F.col("entry"))["reached"])
+    counts = parts.select(SEGMENT, F.coalesce(F.sum(F.size("reached")).over(past(in_order(keys))), F.lit(0)).alias("before"))
+    out = parts.join(counts, SEGMENT).select(SEGMENT, "before", "cuts", F.posexplode("reached").alias("nth", "at"))
+    base = F.col(f"{SEGMENT}.n") * segment
+    return out.select(*[F.col(f"{SEGMENT}.{k}").alias(k) for k in keys], (F.col("before") + F.col("nth")).alias("chunk_no"), (base + F.col("at")).alias("first"), (base + F.get("cuts", F.col("at"))).alias("last"))
 
 
 def overlapping_windows(rows: DataFrame, ids: str = "ids", length: int = 256, stride: int = 128, least: int = 7, special: int = 2) -> DataFrame:

@@ -463,5 +463,5 @@ V_EVERY = f"{BASE_EVERY},\n{vote('v', entities='s1')}"
 GP_EVERY = f"{V_EVERY}, per_lo AS (SELECT * FROM per WHERE name_lower < 'm'), {HITS('ho', 'per_lo')},\n{fuzzy_signal('s2p', 'ho', 'hl')},\n{vote('vp', names='s2p')}"
 for _name in ("vote_labels", "vote_reasons", "signal_combinations", "vote_summary", "review_unknown_tokens", "doc_summary", "io_spans", "bio_spans", "seqeval_spans", "conll_emit", "conll_read_sentences", "conll_parse_entities", "metrics_entity", "metrics_entity_avg", "metrics_token", "metrics_token_avg"):
     SQL[f"{_name}_every_signal"] = SQL[_name].replace(GP, GP_EVERY).replace(V, V_EVERY)
-for _name in ("sentence_initial", "neighbour_words", "vote_labels", "io_spans", "bio_spans", "seqeval_spans"):
+for _name in ("sentence_initial", "neighbour_words", "vote_labels", "io_spans", "bio_spans", "seqeval_spans", "o_boundary_chunks"):
     SQL[f"{_name}_by_segments"] = SQL[_name]

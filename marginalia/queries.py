@@ -765,6 +765,12 @@ def o_boundary_chunks(spark, d):
     return out.select("doc_id", "chunk_no", F.col("c.first").alias("first_pos"), F.col("c.last").alias("last_pos"))
 
 
+@query
+def o_boundary_chunks_by_segments(spark, d):
+    rows = _in_segments(spark, d).select("doc_id", "idx", "label", F.length("text").alias("size"))
+    return corpus.chunk_rows_at_o(rows, 254, SEGMENT).select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col("first").cast("int").alias("first_pos"), F.col("last").cast("int").alias("last_pos"))
+
+
 def _ids(spark, d):
     return load(spark, d, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
 

@@ -690,12 +690,31 @@ def o_chunks(words, budget):
 
 
 def test_chunks_at_o(spark):
-    rows = [(i, [(RNG.choice(["O", "O", "B-Person", "I-Person"]), RNG.randrange(0, 9)) for _ in range(RNG.randrange(1, 60))]) for i in range(150)]
-    rows.append((900, [("B-Person", 50), ("O", 50), ("O", 1)]))
-    df = spark.createDataFrame(rows, "id long, t array<struct<label:string,size:int>>")
-    got = {r.id: [(c.first, c.last) for c in r.chunks] for r in corpus.chunk_at_o(df, 20).collect()}
-    for i, words in rows:
-        assert got[i] == o_chunks(words, 20), words
+    rows = [(i, [(RNG.choice(["O", "O", "B-Person", "I-Person", None]), RNG.choice([None, -1, *range(9)])) for _ in range(RNG.randrange(1, 90))]) for i in range(150)]
+    rows += [(900, [("B-Person", 50), ("O", 50), ("O", 1)]), (901, [("O", 2**31 - 1)] * 70), (902, [("B-Person", 1)] * 64), (903, [("O", 20)] * 65), (904, [("O", 1)])]
+    df = spark.createDataFrame([*rows, (905, []), (906, None)], "id long, t array<struct<label:string,size:int>>")
+    for budget in (1, 2, 20):
+        whole = {i: o_chunks([(label, size or 0) for label, size in words], budget) for i, words in rows}
+        got = {r.id: r.chunks and [(c.first, c.last) for c in r.chunks] for r in corpus.chunk_at_o(df, budget).collect()}
+        assert got == whole | {905: [(0, 0)], 906: None}
+        words = df.select("id", F.posexplode("t").alias("idx", "w")).select("id", "idx", "w.*")
+        for segment in (1, 32, 64):
+            found = {}
+            for r in corpus.chunk_rows_at_o(words, budget, segment, ("id",)).orderBy("id", "chunk_no").collect():
+                assert r.chunk_no == len(found.setdefault(r.id, []))
+                found[r.id].append((r.first, r.last))
+            assert found == whole, (budget, segment)
+
+
+def test_chunks_of_a_long_row(spark):
+    n = 300_000
+    word = lambda i: F.struct(F.when(i % 7 == 0, "O").otherwise("X").alias("label"), (i % 5).cast("int").alias("size"))
+    words = [("O" if i % 7 == 0 else "X", i % 5) for i in range(1, n + 1)]
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(n)), word).alias("t"))
+    chunks = corpus.chunk_at_o(df, 254).first().chunks
+    assert [tuple(c) for c in chunks] == o_chunks(words, 254)
+    rows = spark.range(n).select(F.lit(0).alias("doc_id"), F.col("id").cast("int").alias("idx"), word(F.col("id") + 1).alias("w")).select("doc_id", "idx", "w.*")
+    assert [(r.first, r.last) for r in corpus.chunk_rows_at_o(rows, 254, 4096).orderBy("chunk_no").collect()] == o_chunks(words, 254)
 
 
 def windows(text, size, back):
