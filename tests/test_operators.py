@@ -18,7 +18,7 @@ from marginalia.functions import text as tx
 from marginalia.functions.similarity import indel_ratio
 from marginalia.operators import corpus, gazetteer, metrics, segments, signals, spans, tokens, voting
 from marginalia.plans.annotate import annotate
-from marginalia.sources import files
+from marginalia.sources import conll, files
 from marginalia.streaming.annotate import annotate_stream
 
 RNG = random.Random(11)
@@ -842,6 +842,47 @@ def test_report_and_split(spark, tmp_path):
     assert json.loads(next((tmp_path / "out" / "manifest").glob("part-*")).read_text())["seed"] == 42
 
 
+def test_label_files_are_committed_whole(spark, tmp_path):
+    import hashlib
+
+    out = tmp_path / "labels"
+    words = [(d, i, w, lab, w.isalpha()) for d in range(23) for i, (w, lab) in enumerate([("Ann", "B-Person"), (f"né{'x' * d}", "O"), (".", "O"), ("Rom", "B-Location")])]
+    kind = "doc_id long, idx int, text string, label string, is_word boolean"
+    labels = spark.createDataFrame(words, kind)
+    conll.write_label_files(labels, str(out))
+    want = {f"doc_{r.doc_id}_silver.conll": r.value for r in spans.conll_documents(labels).collect()}
+    on_disk = lambda: {p.name: p.read_text() for p in out.glob("part-*/*.conll")}
+    assert on_disk() == want
+    listed = {r.file: r for r in conll.written_files(spark, str(out)).collect()}
+    assert {n: (r.bytes, r.sha256) for n, r in listed.items()} == {n: (len(v.encode()), hashlib.sha256(v.encode()).hexdigest()) for n, v in want.items()}
+    read = spark.read.format("conll").load(str(out))
+    assert read.count() == len(words) and {r.file for r in read.select("file").distinct().collect()} == set(want)
+
+    # a job that fails leaves nothing, whichever tasks were through
+    broken = spark.createDataFrame([(f"f{i}.conll" if i != 7 else "no/name", "x O") for i in range(8)], "file string, line string").repartition(4, "file").sortWithinPartitions("file")
+    with pytest.raises(Exception, match="not the name of a label file"):
+        broken.write.format("conll").mode("append").save(str(out))
+    assert on_disk() == want and len(list((out / "_commits").glob("*"))) == 1
+    unsorted = spark.createDataFrame([("b.conll", "x O"), ("a.conll", "x O"), ("b.conll", "y O")], "file string, line string").coalesce(1)
+    with pytest.raises(Exception, match="order of their files"):
+        unsorted.write.format("conll").mode("append").save(str(out))
+    assert on_disk() == want
+    with pytest.raises(Exception, match="columns file and line"):
+        labels.write.format("conll").mode("append").save(str(out))
+
+    # folders that no job has committed aren't read; later jobs add to what is there or replace it
+    (out / "part-lost-1").mkdir()
+    (out / "part-lost-1" / "doc_99_silver.conll").write_text("Lost O\n")
+    assert spark.read.format("conll").load(str(out)).count() == len(words)
+    more = spark.createDataFrame([(50, 0, "Eve", "B-Person", True)], kind)
+    conll.write_label_files(more, str(out))
+    assert spark.read.format("conll").load(str(out)).count() == len(words) + 1
+    conll.write_label_files(more, str(out), overwrite=True)
+    assert [(r.file, r.text, r.label) for r in spark.read.format("conll").load(str(out)).collect()] == [("doc_50_silver.conll", "Eve", "B-Person")]
+    conll.write_label_files(labels.limit(0), str(out), overwrite=True)
+    assert spark.read.format("conll").load(str(out)).count() == 0 and conll.written_files(spark, str(out)).count() == 0
+
+
 # plan, stream, contract
 
 
