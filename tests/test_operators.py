@@ -883,6 +883,45 @@ def test_label_files_are_committed_whole(spark, tmp_path):
     assert spark.read.format("conll").load(str(out)).count() == 0 and conll.written_files(spark, str(out)).count() == 0
 
 
+def test_label_files_in_ranges_of_bytes(spark, tmp_path):
+    from pyspark.sql import Window
+
+    out = tmp_path / "in"
+    out.mkdir()
+    lines = ["Ann B-Person", "é\tO", "two words\tI-Person", "", "", "  ", ".\tO", "‧ O", "alone", "Rom  x\u00a0B-Location", " Eve B-Person "]
+    for i in range(12):
+        text = "\n".join(RNG.choice(lines) for _ in range(RNG.randrange(0, 40)))
+        text = text.replace("\n", "\r\n") if i == 3 else text
+        (out / f"sdhk_{i % 9}_{i}.conll").write_bytes(("\ufeff" if i in (4, 5) else "").encode() + text.encode())
+    (out / "sdhk_77_empty.conll").write_text("")
+    (out / "notes.txt").write_text("no O")
+    conll.register(spark)
+    docs = files.whole_files(spark, str(out / "*.conll")).withColumnRenamed("file", "doc_id")
+    want = sorted(tuple(r) for r in files.read_sentences(docs).select("doc_id", "sent_id", "pos", "text", "label").collect())
+    entities = sorted(tuple(r) for r in files.read_entities_form(docs).select("doc_id", "idx", "text", "label").collect())
+    read = lambda **options: spark.read.format("conll").options(**options).load(str(out))
+    sentence = F.dense_rank().over(Window.partitionBy("file").orderBy("sent_at")) - 1
+    place = F.row_number().over(Window.partitionBy("file").orderBy("sent_at", "pos")) - 1
+    for split in (1, 3, 7, 50, 10_000):
+        got = read(split=split).select("file", sentence.alias("n"), "pos", "text", "label")
+        assert sorted(tuple(r) for r in got.collect()) == want, split
+        assert sorted(tuple(r) for r in read(split=split, form="entities").select("file", place.alias("n"), "text", "label").collect()) == entities, split
+    one = sorted({w[0] for w in want})[0]
+    assert {r.file for r in read().where(F.col("file") == one).collect()} == {one}
+    assert {r.file for r in read(latest="true").collect()} <= {f"sdhk_{i % 9}_{i}.conll" for i in range(3, 12)}
+
+    # a stream reads each file once, and what jobs write when they are committed
+    def arrived():
+        q = spark.readStream.format("conll").load(str(out)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(once=True).start(str(tmp_path / "got"))
+        q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "got")).count()
+
+    assert arrived() == len(want)
+    conll.write_label_files(spark.createDataFrame([(50, 0, "Eve", "B-Person", True)], "doc_id long, idx int, text string, label string, is_word boolean"), str(out))
+    assert arrived() == len(want) + 1
+    assert arrived() == len(want) + 1
+
+
 # plan, stream, contract
 
 
