@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.functions.arrays import let, running
-from marginalia.operators.segments import SEGMENT, in_order, past
+from marginalia.operators.segments import SEGMENT, segmented
 
 SECTION_MARK = "--- SIDBRYTNING ---"
 DATE_HEAD = "datum:"
@@ -168,40 +168,67 @@ def manifest(adjudicated: DataFrame) -> DataFrame:
     return adjudicated.rollup("coder").agg(F.count_if(F.col("kind") == "unique").alias("unique_items"), F.count_if(F.col("kind") == "adjudicated").alias("adjudicated_items"), F.count("*").alias("total"))
 
 
-def _next_cuts(words: Column, budget: int) -> Column:
-    """For each word of array<struct<label, size>> where a chunk that begins with it ends, exclusive.
+def _sizes(words: Column, budget: int) -> Column:
+    """The sizes of array<struct<label, size>>, from 1 to one over the budget, below zero for an O."""
+    size = lambda x: F.greatest(F.lit(1), F.least(F.coalesce(x["size"], F.lit(1)), F.lit(budget + 1))).cast("int")
+    return F.transform(words, lambda x: F.when(x["label"] == "O", -size(x)).otherwise(size(x)))
+
+
+def _next_cuts(sizes: Column, budget: int) -> Column:
+    """For each word (of ``_sizes``) where a chunk that begins with it ends, exclusive.
 
     That is behind the last O, other than the chunk's first word, before the first word
     over the budget; without such an O, at that word. Sums of sizes are searched in
     steps of powers of two, as a chunk has at most ``budget`` words.
     """
-    cost = F.transform(words, lambda x: F.greatest(F.lit(1), F.least(F.coalesce(x["size"], F.lit(1)), F.lit(budget + 1))).cast("long"))
-    sums = F.concat(F.array(F.lit(0).cast("long")), running(cost, lambda a, x: a + x, kind="long"))
-    last_o = running(F.transform(words, lambda x, i: F.when(x["label"] == "O", i).otherwise(-1)), lambda a, x: F.greatest(a, x), -1)
     steps = F.array(*[F.lit(2**b) for b in reversed(range(budget.bit_length()))])
 
+    def tables(w: Column) -> Column:
+        sums = F.concat(F.array(F.lit(0).cast("long")), running(F.transform(w, lambda x: F.abs(x).cast("long")), lambda a, x: a + x, kind="long"))
+        last_o = running(F.transform(w, lambda x, i: F.when(x < 0, i).otherwise(-1)), lambda a, x: F.greatest(a, x), -1)
+        return let(F.struct(sums.alias("sums"), last_o.alias("last_o")), lambda v: F.transform(w, lambda _, i: cut(v, i)))
+
     def cut(v: Column, i: Column) -> Column:
-        full = F.aggregate(steps, i, lambda at, k: F.when(F.get(v["sums"], at + k) <= F.get(v["sums"], i) + budget, at + k).otherwise(at), lambda at: F.greatest(at, i + 1))
         o = lambda j: F.get(v["last_o"], j - 1)
+        most = lambda end: F.aggregate(steps, i, lambda at, k: F.when(F.get(v["sums"], at + k) <= end, at + k).otherwise(at), lambda at: F.greatest(at, i + 1))
+        full = let(F.get(v["sums"], i) + budget, most)
         return let(full, lambda j: F.when((j < F.size(v["sums"]) - 1) & (o(j) > i), o(j) + 1).otherwise(j))
 
-    return let(F.struct(sums.alias("sums"), last_o.alias("last_o")), lambda v: F.transform(words, lambda _, i: cut(v, i)))
+    return let(sizes, tables)
+
 
+def _rounds(stop: Column) -> Column:
+    return F.sequence(F.lit(1), F.length(F.bin(stop)))
 
-def _doubled(cuts: Column, stop: Column, start: Column) -> Column:
-    """The places ``reached`` from ``start`` on by going from cut to cut, those before ``stop`` in order, and, for each place, the first one from ``stop`` on that it leads to (``exit``).
+
+def _jumps(cuts: Column, stop: Column) -> Column:
+    return F.transform(cuts, lambda x, i: F.when(i >= stop, i).otherwise(x))
+
+
+def _reached(cuts: Column, stop: Column, start: Column) -> Column:
+    """The places before ``stop`` that going from cut to cut leads to from ``start`` on, in order.
 
     Jumps are doubled, and with them the places reached, so as many rounds do as
     ``stop`` has binary digits, however many cuts there are.
     """
-    jump = F.transform(cuts, lambda x, i: F.when(i >= stop, i).otherwise(x))
-    first = F.struct(jump.alias("exit"), F.filter(F.array(start.cast("int")), lambda x: x < stop).alias("reached"))
+    first = F.struct(_jumps(cuts, stop).alias("jump"), F.filter(F.array(start.cast("int")), lambda x: x < stop).alias("reached"))
 
     def twice(acc: Column, _: Column) -> Column:
-        on = lambda x: F.coalesce(F.get(acc["exit"], x), x)
-        return F.struct(F.transform(acc["exit"], on).alias("exit"), F.concat(acc["reached"], F.filter(F.transform(acc["reached"], on), lambda x: x < stop)).alias("reached"))
+        on = lambda x: F.coalesce(F.get(acc["jump"], x), x)
+        return F.struct(F.transform(acc["jump"], on).alias("jump"), F.concat(acc["reached"], F.filter(F.transform(acc["reached"], on), lambda x: x < stop)).alias("reached"))
+
+    return F.aggregate(_rounds(stop), first, twice, lambda acc: acc["reached"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(stop))), first, twice)
+
+def _exits(cuts: Column, stop: Column) -> Column:
+    """For each place the first one from ``stop`` on that going from cut to cut leads to (``exit``), and in how many steps (``n``)."""
+    first = F.struct(_jumps(cuts, stop).alias("exit"), F.transform(cuts, lambda _, i: F.when(i >= stop, 0).otherwise(1)).alias("n"))
+
+    def twice(acc: Column, _: Column) -> Column:
+        on = F.transform(acc["exit"], lambda x: F.coalesce(F.get(acc["exit"], x), x))
+        return F.struct(on.alias("exit"), F.transform(acc["n"], lambda n, i: n + F.coalesce(F.get(acc["n"], F.get(acc["exit"], i)), F.lit(0))).alias("n"))
+
+    return F.aggregate(_rounds(stop), first, twice)
 
 
 def chunk_at_o(sentences: DataFrame, budget: int, tokens: str = "t") -> DataFrame:
@@ -214,40 +241,48 @@ def chunk_at_o(sentences: DataFrame, budget: int, tokens: str = "t") -> DataFram
     """
     t = F.col(tokens)
     chunk = lambda first, last: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
-    cut = let(_next_cuts(t, budget), lambda c: F.transform(_doubled(c, F.size(t), F.lit(0))["reached"], lambda i: chunk(i, F.get(c, i))))
+    cut = let(_next_cuts(_sizes(t, budget), budget), lambda c: F.transform(_reached(c, F.size(c), F.lit(0)), lambda i: chunk(i, F.get(c, i))))
     return sentences.withColumn("chunks", F.when(F.size(t) == 0, F.array(chunk(F.lit(0), F.lit(0)))).when(t.isNotNull(), cut))
 
 
 def chunk_rows_at_o(words: DataFrame, budget: int, segment: int = 8192, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys, chunk_no, first, last``: the chunks of ``chunk_at_o`` for words as rows (``idx`` from 0 without gaps, ``label``, ``size``).
 
-    A sequence may be of any length: a task gets ``segment`` words and the ``budget`` that
-    follow. As a chunk has at most ``budget`` words, a segment is entered at one of its
-    first ``budget``, so each becomes a table from these places to those where the next one
-    is entered; only the tables are put in order by sequence.
+    A sequence may be of any length: a task gets ``segment`` words (at least ``budget``) and
+    the ``budget`` that follow. As a chunk has at most ``budget`` words, a segment is entered
+    at one of its first ``budget``, so each that has a next one becomes a table from these
+    places to those where the next one is entered; only the tables are put in order by
+    sequence. Words that are dealt in segments of this size are packed where they are: a
+    number each is what gets exchanged. A segment that ``words`` already have must be of this size.
     """
-    segment = max(segment, budget)
-    if SEGMENT in words.columns:
-        words = words.drop(SEGMENT)
-    n = F.floor(F.col("idx") / segment)
-    ahead = F.when((n > 0) & (F.col("idx") % segment < budget), F.array(n, n - 1)).otherwise(F.array(n))
-    rows = words.select(*keys, "idx", "label", "size", F.explode(ahead).alias("n"))
-    rows = rows.select(F.struct(*keys, "n").alias(SEGMENT), F.struct("idx", "label", "size").alias("w"))
-    parts = rows.groupBy(SEGMENT).agg(F.array_sort(F.collect_list("w")).alias("w"))
-    own = F.least(F.size("w"), F.lit(segment))
-    parts = parts.select(SEGMENT, own.alias("own"), _next_cuts(F.col("w"), budget).alias("cuts"))
-
-    tables = parts.select(SEGMENT, F.transform(F.slice(_doubled(F.col("cuts"), F.col("own"), F.lit(0))["exit"], 1, budget), lambda x: x - segment).alias("f"))
+    if segment < budget:
+        segment, words = budget, words.drop(SEGMENT)
+    packed = segmented(words, segment, keys).groupBy(SEGMENT).agg(F.array_sort(F.collect_list(F.struct("idx", "label", "size"))).alias("w"))
+    packed = packed.select(SEGMENT, _sizes(F.col("w"), budget).alias("w"))
+    of = lambda n: F.struct(*[F.col(f"{SEGMENT}.{k}").alias(k) for k in keys], n.alias("n"))
+    number, none = F.col(f"{SEGMENT}.n"), F.lit(None).cast("array<int>")
+    itself = F.struct(of(number).alias("s"), F.col("w").alias("w"), none.alias("ahead"))
+    before = F.struct(of(number - 1).alias("s"), none.alias("w"), F.slice("w", 1, budget).alias("ahead"))
+    pieces = packed.select(F.explode(F.when(number > 0, F.array(itself, before)).otherwise(F.array(itself))).alias("e")).select(F.col("e.s").alias(SEGMENT), "e.w", "e.ahead")
+    parts = pieces.groupBy(SEGMENT).agg(F.first("w", ignorenulls=True).alias("w"), F.first("ahead", ignorenulls=True).alias("ahead"))
+    parts = parts.withColumns({"own": F.size("w"), "cuts": _next_cuts(F.concat("w", F.coalesce("ahead", F.array().cast("array<int>"))), budget)})
+
+    tables = parts.where(F.col("ahead").isNotNull()).select(SEGMENT, _exits(F.col("cuts"), F.col("own")).alias("e"))
+    tables = tables.select(SEGMENT, F.transform(F.slice("e.exit", 1, budget), lambda x: x - segment).alias("exit"), F.slice("e.n", 1, budget).alias("n"))
     key = [F.col(f"{SEGMENT}.{k}").alias(f"_key_{i}") for i, k in enumerate(keys)]
-    lists = tables.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(f"{SEGMENT}.n").alias("n"), SEGMENT, "f"))).alias("t"))
-    start = F.struct(F.lit(0).alias("entry"), F.array().cast("array<int>").alias("out"))
-    entries = F.aggregate("t", start, lambda acc, x: F.struct(F.get(x["f"], acc["entry"]).alias("entry"), F.concat(acc["out"], F.array(acc["entry"])).alias("out")), lambda acc: acc["out"])
-    entered = lists.select(F.explode(F.arrays_zip(F.transform("t", lambda x: x[SEGMENT]).alias("s"), entries.alias("entry"))).alias("e")).select(F.col("e.s").alias(SEGMENT), F.col("e.entry").alias("entry"))
-
-    parts = parts.join(entered, SEGMENT).withColumn("reached", _doubled(F.col("cuts"), F.col("own"), F.col("entry"))["reached"])
-    counts = parts.select(SEGMENT, F.coalesce(F.sum(F.size("reached")).over(past(in_order(keys))), F.lit(0)).alias("before"))
-    out = parts.join(counts, SEGMENT).select(SEGMENT, "before", "cuts", F.posexplode("reached").alias("nth", "at"))
-    base = F.col(f"{SEGMENT}.n") * segment
+    lists = tables.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(number.alias("at"), of(number + 1).alias("next"), "exit", "n"))).alias("t"))
+    at = lambda entry, before: F.struct(entry.cast("int").alias("entry"), before.cast("long").alias("before"))
+    start = F.struct(at(F.lit(0), F.lit(0)).alias("now"), F.array().cast("array<struct<entry:int,before:bigint>>").alias("out"))
+
+    def enter(acc: Column, x: Column) -> Column:
+        now = at(F.get(x["exit"], acc["now"]["entry"]), acc["now"]["before"] + F.get(x["n"], acc["now"]["entry"]))
+        return let(now, lambda v: F.struct(v.alias("now"), F.concat(acc["out"], F.array(v)).alias("out")))
+
+    entries = F.aggregate("t", start, enter, lambda acc: acc["out"])
+    entered = lists.select(F.explode(F.arrays_zip(F.transform("t", lambda x: x["next"]).alias("s"), entries.alias("v"))).alias("e")).select(F.col("e.s").alias(SEGMENT), "e.v.entry", "e.v.before")
+
+    out = parts.join(entered, SEGMENT, "left").select(SEGMENT, F.coalesce("before", F.lit(0)).alias("before"), "cuts", F.posexplode(_reached(F.col("cuts"), F.col("own"), F.coalesce("entry", F.lit(0)))).alias("nth", "at"))
+    base = number * segment
     return out.select(*[F.col(f"{SEGMENT}.{k}").alias(k) for k in keys], (F.col("before") + F.col("nth")).alias("chunk_no"), (base + F.col("at")).alias("first"), (base + F.get("cuts", F.col("at"))).alias("last"))
 
 
