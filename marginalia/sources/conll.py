@@ -30,6 +30,7 @@ SCHEMA = "file string, sent_at long, pos int, text string, label string"
 #: Fixed value: the token that sentences leave out.
 MIDDLE_DOT = "‧"
 SPLIT = 64 * 2**20
+BOM = b"\xef\xbb\xbf"
 
 
 @dataclass
@@ -97,12 +98,16 @@ def _lines(part: Range) -> Iterator[tuple[int, str]]:
     with io.BufferedReader(system.open_input_file(inner)) as f:
         begins = True
         if part.start:
-            # a sentence begins here if the line before is empty; else what comes first belongs to the range before
-            f.seek(max(part.start - 4, 0))
-            behind = f.read(part.start - max(part.start - 4, 0)).replace(b"\r\n", b"\n")
-            begins = behind.endswith(b"\n\n") or (behind == b"\n" and part.start <= 2)
-            if not behind.endswith(b"\n"):
-                f.readline()
+            # a sentence begins here if the line before is empty; else what comes first belongs to the range before.
+            # The range may begin within a line, and within the two bytes of its end
+            near = max(part.start - 8, 0)
+            f.seek(near)
+            behind = f.read(part.start - near)
+            behind += b"" if behind.endswith(b"\n") else f.readline()
+            behind = (behind if near else behind.removeprefix(BOM)).replace(b"\r\n", b"\n")
+            begins = behind.endswith(b"\n\n") or (not near and behind == b"\n")
+            if f.tell() >= part.end:
+                return
         while True:
             at = f.tell()
             raw = f.readline()
